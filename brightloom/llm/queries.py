@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .media import document_media
+from .packing import pack_documents
+from .sharding import shard_by_bytes
 from .token_counts import token_report
+from .url_filters import judge
+from .warc import archived, fixity_report, warc_record
 
 
 def vocabulary() -> str:
@@ -15,9 +21,79 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op9_token_counts,)}
-ORACLE_SQL: dict[str, str] = {}
+#: The rules of the url filter query.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, action string"))
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_media(table(spark, sf_dir, "documents"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica whose records of every 97th page have a changed first character."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.when(F.col("page_id") % 97 == 0, F.overlay("html", F.lit("#"), 1, 1)).otherwise(F.col("html"))
+    order = [F.col("page_id"), F.col("url")]
+    manifests = [
+        archived(x.select("page_id", "url", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), order)
+        for x in (pages, pages.withColumn("html", damaged))
+    ]
+    return fixity_report(*manifests, carry=["page_id", "url"])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_url_filters, op5_media_columns, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
+}
+
+ORACLE_SQL = {
+    "op3_url_filters": r"""
+        with split as (
+            select page_id, case when contains(url, '://') then translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+                case when contains(url, '://') then regexp_extract(url, '://[^/?#]*([^?#]*)', 1) else '' end as path
+            from pages),
+        rules(rule, rule_host, rule_path, action) as (values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+            ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+        best as (
+            select host, path, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action
+            from (select distinct host, path from split) s join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+            group by host, path)
+        select page_id, split.host, split.path, rule, coalesce(action, 'allow') as verdict
+        from split left join best on split.host = best.host and split.path = best.path""",
+    "op8_byte_shards": """
+        with sized as (
+            select doc_id, text, octet_length(encode(coalesce(text, ''))) + 8 as size from documents),
+        placed as (
+            select *, sum(size) over (order by doc_id rows unbounded preceding) - size as ahead, sum(size) over () as volume from sized),
+        cut as (
+            select *, cast(least(23, (24 * (2 * ahead + size)) // (2 * volume)) as int) as shard from placed)
+        select doc_id, cast(size as bigint) as size, 'bytes' as law, shard,
+            row_number() over (partition by shard order by doc_id) - 1 as slot, cast(null as int) as grown_shard
+        from cut""",
+    "op10_warc_fixity": """
+        with laid as (
+            select page_id, url, html, row_number() over (order by page_id) - 1 as n,
+                length('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Length: ....') + length(cast(page_id as varchar))
+                + octet_length(encode(url)) + length(cast(octet_length(encode(html)) as varchar)) + octet_length(encode(html)) + 4 as size
+            from pages),
+        placed as (select *, sum(size) over (order by n rows unbounded preceding) - size as ahead from laid)
+        select n // 4096 as archive, n % 4096 as seq, cast(ahead as bigint) as "offset", cast(size as bigint) as length,
+            cast(ahead as bigint) as replica_offset, cast(size as bigint) as replica_length, 'changed' as status, page_id, url
+        from placed where page_id % 97 = 0 and not starts_with(html, '#')""",
+}
