@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .media import document_media
+from .near_duplicates import classes
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .token_counts import token_report
@@ -41,6 +42,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,7 +64,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_url_filters, op5_media_columns, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
+    for f in (op3_url_filters, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
 }
 
 ORACLE_SQL = {
