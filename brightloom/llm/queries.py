@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language_id import language_report
 from .media import document_media
 from .near_duplicates import classes
 from .packing import pack_documents
 from .sharding import shard_by_bytes
 from .token_counts import token_report
+from .toxicity import toxicity_report
 from .url_filters import judge
 from .warc import archived, fixity_report, warc_record
 
@@ -30,6 +32,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the url filter query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -38,6 +44,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "rule string, action string"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_media(table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_url_filters, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
+    for f in (op1_language_id, op3_url_filters, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
 }
 
 ORACLE_SQL = {
