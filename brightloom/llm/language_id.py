@@ -27,6 +27,7 @@ PER_LANGUAGE = 400  #: expected rows of a language in the training sample; the d
 EXHAUSTIVE = 7  #: languages up to which the code has every bipartition
 STEPS, RATE, DECAY = 200, 2.0, 1e-4
 AMBIGUOUS = 0.25  #: margin of the best language's score over the next below which a text is ambiguous
+UNDECIDED = 0.05  #: and below which the filter rejects it
 
 
 @cache
@@ -141,10 +142,10 @@ def train(docs: DataFrame, usable, per_language: int = PER_LANGUAGE) -> Model |
 
 
 def identified(docs: DataFrame, model: Model | None, out: str = "_language") -> DataFrame:
-    """`docs` with struct `out`: lang (`und` for texts that are null or have no letter), score, runner_up and ambiguous."""
+    """`docs` with struct `out`: lang (`und` for texts that are null or have no letter), score, margin, runner_up and ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double, runner_up string, ambiguous boolean")
+    @F.pandas_udf("lang string, score double, margin double, runner_up string, ambiguous boolean")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for part in parts:
@@ -155,13 +156,14 @@ def identified(docs: DataFrame, model: Model | None, out: str = "_language") ->
                 scores = iter(model.decode(np.stack(known))) if known else iter(())
                 for x in found:
                     if x is None:
-                        rows.append((UNKNOWN, 0.0, None, True))
+                        rows.append((UNKNOWN, 0.0, 0.0, None, True))
                         continue
                     score = next(scores)
                     first, *rest = np.argsort(-score, kind="stable")
                     second = float(score[rest[0]]) if rest else 0.0
-                    rows.append((model.languages[first], float(score[first]), model.languages[rest[0]] if rest else None, bool(score[first] - second < AMBIGUOUS)))
-            yield pd.DataFrame(rows, columns=["lang", "score", "runner_up", "ambiguous"])
+                    margin = float(score[first]) - second
+                    rows.append((model.languages[first], float(score[first]), margin, model.languages[rest[0]] if rest else None, margin < AMBIGUOUS))
+            yield pd.DataFrame(rows, columns=["lang", "score", "margin", "runner_up", "ambiguous"])
 
     return docs.withColumn(out, told("text"))
 
@@ -186,6 +188,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, without rows whose language can't be told: no letter, or best and next language close together."""
+    """`docs`, all columns, without rows whose language can't be told: no letter, or the best language all but tied with the next."""
     judged = identified(docs, train(docs, usable_rows()))
-    return judged.where(~F.col("_language.ambiguous")).drop("_language")
+    return judged.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.margin") >= UNDECIDED)).drop("_language")

@@ -2,7 +2,8 @@
 
 Labels are of documents, so tokens of toxic documents are labelled first: those with a feature (the word or a prefix of
 it) that toxic documents hold far more often than clean ones. A two-state chain is fitted on windows of such tokens.
-Forward-backward marginals over each whole text then give offending offsets, and together the document's score.
+Forward-backward marginals over each whole text then give offending offsets. Their sum, the largest of them and the text's
+length give the document's score, through a logistic fitted on documents that the chain hasn't seen.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import remainder
 from .words import mixed, shingles
 
 SAMPLE = {1: 1500, 0: 4500}  #: expected training documents by label; the documented bound of the fit
+CALIBRATION = {1: 500, 0: 1000}  #: documents by label on which the score is fitted
 PREFIXES = (3, 4, 5, 6)
 WINDOW = 40  #: tokens of a training sequence
 SURPRISE = 30.0  #: log-likelihood ratio from which a feature marks toxic tokens
@@ -48,6 +50,7 @@ class Field:
     bias: float
     start: np.ndarray
     step: np.ndarray
+    document: np.ndarray | None = None  # weights of document_features
     kept: dict[str, float] = field(default_factory=dict, repr=False)
 
     def emission(self, token: str) -> float:
@@ -117,6 +120,34 @@ def marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step:
     return out.T.ravel()[:n]
 
 
+def document_features(model: Field, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text 1, the log of its summed marginals, the largest one's log-odds, the log of its length; all marginals; texts' ends."""
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    ends = np.cumsum(lengths)
+    first = np.zeros(int(lengths.sum()), bool)
+    first[(ends - lengths)[lengths > 0]] = True
+    p = np.zeros(0)
+    if len(first):
+        p = marginals(np.array([x for t in tokens for x in model.emissions(t)]), first, model.start, model.step)
+    owner = np.repeat(np.arange(len(tokens)), lengths)
+    telling = np.flatnonzero(p >= LEAST)
+    total = np.bincount(owner[telling], p[telling], len(tokens))
+    most = np.full(len(tokens), 1e-5)
+    np.maximum.at(most, owner[telling], p[telling])
+    most = np.minimum(most, 1 - 1e-5)
+    return np.stack([np.ones(len(tokens)), np.log(total + 0.01), np.log(most / (1 - most)) / 4, np.log1p(lengths)], 1), p, ends
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression with a small ridge, by Newton's method."""
+    w, ridge = np.zeros(x.shape[1]), np.diag([1e-6, *[0.2] * (x.shape[1] - 1)])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (y - p)) - ridge @ w
+        w = w + np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + ridge, slope)
+    return w
+
+
 def apart(texts: list[str]) -> list[int]:
     """Places of texts that share none of three MinHash values with an earlier one, so that copies don't count as evidence."""
     seen: list[set[int]] = [set(), set(), set()]
@@ -203,8 +234,11 @@ def fit_chain(tokens: list[list[str]], states: list[np.ndarray]) -> Field:
     return Field({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 1e-4}, float(bias), start, chain)
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Field | None:
-    """A field from whole texts and their labels; None if no feature marks toxic ones."""
+def fit(texts: list[str], toxic: np.ndarray, prior: dict[int, float]) -> Field | None:
+    """A field from whole texts and their labels; None if no feature marks toxic ones.
+
+    prior: by label, how many documents one of `texts` stands for.
+    """
     places = apart(texts)
     split = [texts[k].split() for k in places]
     label = toxic[places]
@@ -218,7 +252,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field | None:
         return None
     rng = np.random.default_rng(11)
     windows, states = [], []
-    for tokens, y in zip(split, label, strict=True):
+    later = np.arange(len(split)) % 3 == 2  # documents for the logistic
+    for tokens, y, left in zip(split, label, later, strict=True):
+        if left:
+            continue
         marked = np.array([any(f in marks for f in token_features(t)) for t in tokens], np.int64) if y else np.zeros(len(tokens), np.int64)
         starts = list(range(0, len(tokens), WINDOW))
         hot = [a for a in starts if marked[a : a + WINDOW].any()]
@@ -226,7 +263,14 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field | None:
         for a in [*hot[:8], *rng.permutation(rest)[:2].tolist()]:
             windows.append(tokens[a : a + WINDOW])
             states.append(marked[a : a + WINDOW])
-    return fit_chain(windows, states)
+    model = fit_chain(windows, states)
+    mine = np.concatenate([np.flatnonzero(later & (label == y))[:most] for y, most in CALIBRATION.items()])
+    if len(set(label[mine].tolist())) == 2:
+        x, _, _ = document_features(model, [split[k] for k in mine])
+        share = np.bincount(toxic, minlength=2) / np.bincount(label[mine], minlength=2)
+        weight = share[label[mine]] * np.array([prior[0], prior[1]])[label[mine]]
+        model.document = fit_logistic(x, label[mine], weight / weight.mean())
+    return model
 
 
 HELD_OUT = 3, 1  #: rows whose crc32 of the id leaves 1 modulo 3 are never learned from
@@ -246,31 +290,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y").toArrow().to_pandas()
     found = found.sort_values(["doc_id", "text"]).drop_duplicates(["doc_id", "text"])
-    return fit(found["text"].tolist(), found["y"].to_numpy().astype(np.int64)) if len(found) else None
+    prior = {y: max(1.0, counts.get(y, 1) / SAMPLE[y]) for y in SAMPLE}
+    return fit(found["text"].tolist(), found["y"].to_numpy().astype(np.int64), prior) if len(found) else None
 
 
 def document_scores(model: Field, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
-    """(score, offending spans) of each text."""
+    """(score, offending spans) of each text; a text without tokens scores 0."""
     tokens = [t.split() if t else [] for t in texts]
-    lengths = np.array([len(t) for t in tokens])
-    out: list[tuple[float, list[dict]]] = [(0.0, [])] * len(texts)
-    if not lengths.sum():
-        return out
-    emission = np.array([x for t in tokens for x in model.emissions(t)])
-    ends = np.cumsum(lengths)
-    first = np.zeros(len(emission), bool)
-    first[(ends - lengths)[lengths > 0]] = True
-    p = marginals(emission, first, model.start, model.step)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    telling = np.flatnonzero(p >= LEAST)
-    score = 1 - np.exp(np.bincount(owner[telling], np.log1p(-np.minimum(p[telling], 1 - 1e-12)), len(texts)))
-    for k in np.unique(owner[telling]).tolist():
-        mine = p[ends[k] - lengths[k] : ends[k]]
+    x, p, ends = document_features(model, tokens)
+    if model.document is None:
+        score = 1 / (1 + np.exp(-4 * x[:, 2]))
+    else:
+        score = 1 / (1 + np.exp(-np.clip(x @ model.document, -50, 50)))
+    out = []
+    for k, words in enumerate(tokens):
+        mine = p[ends[k] - len(words) : ends[k]]
         spans = []
         if (mine >= SPAN).any():
             places = [m.span() for m in re.finditer(r"\S+", texts[k])]
             spans = [{"start": places[j][0], "end": places[j][1], "p": float(mine[j])} for j in np.flatnonzero(mine >= SPAN).tolist()]
-        out[k] = float(min(1.0, max(0.0, score[k]))), spans
+        out.append((float(score[k]) if words else 0.0, spans))
     return out
 
 
