@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import contamination_report
 from .language_id import language_report
 from .media import document_media
 from .near_duplicates import classes
@@ -36,6 +37,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: The rules of the url filter query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -74,7 +79,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op3_url_filters, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
+    for f in (op1_language_id, op2_decontamination, op3_url_filters, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
 }
 
 ORACLE_SQL = {

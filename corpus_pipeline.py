@@ -1,12 +1,53 @@
-"""The corpus pipeline: five filtering and packing stages over documents."""
+"""The corpus pipeline: documents without toxic, unidentifiable, near-duplicate and contaminated ones, packed into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from brightloom.llm.common import durable, table
+from brightloom.llm.decontamination import keep_uncontaminated
+from brightloom.llm.language_id import keep_known_language
+from brightloom.llm.near_duplicates import one_of_each
+from brightloom.llm.packing import pack_documents
+from brightloom.llm.queries import vocabulary
+from brightloom.llm.toxicity import keep_clean
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_known_language(docs)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language_id", in_known_language),
+    ("ngram_jaccard_join", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
+
+#: No SQL expresses trained models, MinHash or byte-pair merging; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every stage's rows are written to the shared folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
