@@ -96,14 +96,15 @@ def fit(rows: np.ndarray, language: np.ndarray, languages: list[str]) -> Model:
     code = codewords(len(languages))
     wanted = code[language]
     weight = 1 / np.bincount(language, minlength=len(languages))[language]
-    weight = (weight / weight.sum())[:, None]
-    w, b = np.zeros((rows.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    weight = (weight / weight.sum())[:, None].astype(np.float32)
+    wanted = wanted.astype(np.float32)  # all in single precision: rows would be copied in each step else
+    w, b = np.zeros((rows.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(STEPS):
         pull = -wanted * weight / (1 + np.exp(np.clip(wanted * (rows @ w + b), -50, 50)))
-        vw = 0.9 * vw + rows.T @ pull + DECAY * w
-        vb = 0.9 * vb + pull.sum(axis=0)
-        w, b = w - RATE * vw, b - RATE * vb
+        vw = np.float32(0.9) * vw + rows.T @ pull + np.float32(DECAY) * w
+        vb = np.float32(0.9) * vb + pull.sum(axis=0)
+        w, b = w - np.float32(RATE) * vw, b - np.float32(RATE) * vb
     right = (np.sign(rows @ w + b) == wanted).astype(float)
     trust = np.stack([right[language == k].mean(axis=0) for k in range(len(languages))]) + 1e-6
     return Model(languages, code, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-12), w.astype(np.float32), b)
