@@ -98,12 +98,20 @@ ORACLE_SQL = {
         from split left join best on split.host = best.host and split.path = best.path""",
     "op8_byte_shards": """
         with sized as (
-            select doc_id, text, octet_length(encode(coalesce(text, ''))) + 8 as size from documents),
+            select doc_id, hex(encode(coalesce(text, ''))) as data, octet_length(encode(coalesce(text, ''))) + 8 as size from documents),
+        steps as (
+            select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as step
+            from range(256) t(i)),
+        summed as (
+            select *, xor(4294967295, list_reduce(
+                list_transform(regexp_extract_all(data, '..'), lambda b: cast('0x' || b as bigint)),
+                lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295)) as text_crc32
+            from sized, steps),
         placed as (
-            select *, sum(size) over (order by doc_id rows unbounded preceding) - size as ahead, sum(size) over () as volume from sized),
+            select *, sum(size) over (order by doc_id rows unbounded preceding) - size as ahead, sum(size) over () as volume from summed),
         cut as (
             select *, cast(least(23, (24 * (2 * ahead + size)) // (2 * volume)) as int) as shard from placed)
-        select doc_id, cast(size as bigint) as size, 'bytes' as law, shard,
+        select doc_id, cast(size as bigint) as size, text_crc32, 'bytes' as law, shard,
             row_number() over (partition by shard order by doc_id) - 1 as slot, cast(null as int) as grown_shard
         from cut""",
     "op10_warc_fixity": """
