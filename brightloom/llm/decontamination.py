@@ -53,22 +53,25 @@ def sketch(docs: DataFrame, passage: int = max(SCALES)) -> tuple[np.ndarray, np.
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, s, held, n = test_matrix(), np.zeros((1 << BITS, RANK + SPARE)), np.zeros(1 << BITS, np.int64), 0
-        for batch in slices(batches, 64):
-            words = [w for t in batch.column(0).to_pylist() if len(w := word_hashes(t))]
-            for whole in words:
-                n += -(-len(whole) // passage)
-            parts = [w[a : a + CHUNK] for w in words for a in range(0, len(w), CHUNK)]  # CHUNK is a multiple of passage
-            for group in groups_of(parts):
-                column = columns_of(np.concatenate(group))
-                starts = np.concatenate([at + np.arange(0, len(w), passage) for w, at in zip(group, np.cumsum([0, *map(len, group)]), strict=False)])
-                window = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(column))))
-                seen = np.add.reduceat(g[column], starts)
-                order = np.argsort(column.astype(np.int16), kind="stable")
-                column, window = column[order], window[order]
-                first = np.flatnonzero(np.diff(column, prepend=-1))
-                s[column[first]] += np.add.reduceat(seen[window], first)
-                new = (np.diff(column, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0)
-                held += np.bincount(column[new], minlength=1 << BITS)
+
+        def parts() -> Iterator[np.ndarray]:
+            nonlocal n
+            for batch in slices(batches, 64):
+                for whole in map(word_hashes, batch.column(0).to_pylist()):
+                    n += -(-len(whole) // passage)
+                    yield from (whole[a : a + CHUNK] for a in range(0, len(whole), CHUNK))  # CHUNK is a multiple of passage
+
+        for group in groups_of(parts()):
+            column = columns_of(np.concatenate(group))
+            starts = np.concatenate([at + np.arange(0, len(w), passage) for w, at in zip(group, np.cumsum([0, *map(len, group)]), strict=False)])
+            window = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(column))))
+            seen = np.add.reduceat(g[column], starts)
+            order = np.argsort(column.astype(np.int16), kind="stable")
+            column, window = column[order], window[order]
+            first = np.flatnonzero(np.diff(column, prepend=-1))
+            s[column[first]] += np.add.reduceat(seen[window], first)
+            new = (np.diff(column, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0)
+            held += np.bincount(column[new], minlength=1 << BITS)
         there = np.flatnonzero(held)
         sums = [pa.array(np.append(s[there, k], 0.0)) for k in range(RANK + SPARE)]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(held[there], n)), *sums], ["place", "held", *names])
@@ -84,7 +87,7 @@ def sketch(docs: DataFrame, passage: int = max(SCALES)) -> tuple[np.ndarray, np.
     return held, s, int(count[~real].sum())
 
 
-def groups_of(parts: list[np.ndarray], most: int = 4 * CHUNK) -> Iterator[list[np.ndarray]]:
+def groups_of(parts: Iterator[np.ndarray], most: int = 4 * CHUNK) -> Iterator[list[np.ndarray]]:
     """Consecutive parts of `most` words together, or a little more."""
     group, n = [], 0
     for part in parts:
@@ -129,6 +132,12 @@ def signatures(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(rows, starts)
 
 
+def bits_of(marks: np.ndarray) -> np.ndarray:
+    """Bits that are set in each row of four numbers; a passage has far fewer words than 256."""
+    a, b, c, d = np.bitwise_count(marks).T
+    return a + b + c + d
+
+
 def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence of `words` and the n words whose places `masks` has as bits."""
     full = (1 << n) - 1
@@ -144,6 +153,7 @@ class Passage:
     item_id: int
     words: list[int]
     masks: dict[int, int]
+    distinct: frozenset[int]
     answer: frozenset[int]
     reach: int  # words of the item
 
@@ -190,7 +200,7 @@ def index_items(items: list[tuple[int, str]], space: np.ndarray) -> Index:
             masks: dict[int, int] = {}
             for k, w in enumerate(part.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << k
-            found[scale].append((space[columns_of(part)].sum(axis=0), signatures(part, np.array([0]))[0], Passage(item_id, part.tolist(), masks, answer, len(words))))
+            found[scale].append((space[columns_of(part)].sum(axis=0), signatures(part, np.array([0]))[0], Passage(item_id, part.tolist(), masks, frozenset(masks), answer, len(words))))
     return Index({s: (unit(np.array([x[0] for x in rows])).astype(np.float32), np.array([x[1] for x in rows]), [x[2] for x in rows]) for s, rows in found.items() if rows}, runs)
 
 
@@ -220,6 +230,7 @@ def matches(words: np.ndarray, index: Index, space: np.ndarray) -> list[dict]:
         part = words[begin : begin + CHUNK]
         if not len(part) or (begin and len(part) <= 2 * max(SCALES)):
             break
+        words_of_part: list[int] = []
         starts = np.arange(0, len(part), STRIDE)
         vectors = np.add.reduceat(space[columns_of(part)], starts)
         marks = signatures(part, starts)
@@ -227,16 +238,21 @@ def matches(words: np.ndarray, index: Index, space: np.ndarray) -> list[dict]:
         for scale, (items, item_marks, passages) in index.by_scale.items():
             blocks = scale // STRIDE
             cosines = unit(together(vectors, blocks, np.add)) @ items.T
-            at, q = np.nonzero(cosines >= COSINE)
+            at, q = np.divmod(np.flatnonzero(cosines >= COSINE), len(passages))
             if not len(at):
                 continue
             around = together(padded, blocks + 2, np.bitwise_or)
-            shared = np.bitwise_count(around[at] & item_marks[q]).sum(axis=1)
-            near = shared >= SHARED * np.bitwise_count(item_marks).sum(axis=1)[q]
+            shared = bits_of(around[at] & item_marks[q])
+            words_of_part = words_of_part or part.tolist()
+            near = shared >= (SHARED * bits_of(item_marks))[q]
             for a, k in zip(at[near].tolist(), q[near].tolist(), strict=True):
                 passage = passages[k]
                 start, end = max(0, (a - 1) * STRIDE), min(len(part), (a + 1) * STRIDE + scale)
-                common = common_length(passage.masks, len(passage.words), part[start:end].tolist()) / len(passage.words)
+                nearby = words_of_part[start:end]
+                absent = len(passage.masks) - len(passage.distinct.intersection(nearby))
+                if len(passage.words) - absent < WEAK * len(passage.words):
+                    continue  # words that aren't there can't be in a common subsequence
+                common = common_length(passage.masks, len(passage.words), nearby) / len(passage.words)
                 if common < WEAK:
                     continue
                 reach = words[max(0, begin + start - passage.reach) : begin + end + passage.reach]
