@@ -94,7 +94,7 @@ def parse_date(text: Column) -> Column:
 
 
 def age_hours(posted: Column, now: str) -> Column:
-    return (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(posted)) / 3600.0
+    return (F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(posted.cast("timestamp"))) / 3600.0
 
 
 def salary_point(text: Column) -> Column:

@@ -23,7 +23,8 @@ select concat('p-', cast(o_orderkey as varchar(20))) as id,
         '• ', cast(2 + p_size % 7 as varchar(20)), '+ years of experience with Python', chr(10), '• SQL and Airflow', chr(10),
         case cast(p_size % 4 as int) when 0 then '• Apache Spark pipelines' when 1 then '• Kafka or Kinesis' when 2 then '• No Java required' else '• Degree in computer science' end, chr(10),
         'Nice to have', chr(10), '• Docker', chr(10), p_name, case when o_orderkey % 3 = 0 then concat(' ', p_name, ' ', p_brand, ' ', c_name) else '' end) as description
-from orders join lineitem on l_orderkey = o_orderkey and l_linenumber = 1 join part on p_partkey = l_partkey
+from orders join (select l_orderkey, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem where l_linenumber = 1 group by l_orderkey) first_line
+    on l_orderkey = o_orderkey join part on p_partkey = l_partkey
     join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""
 
 PROFILE_SKILLS = ["Python", "SQL", "Spark", "MySQL"]
