@@ -51,6 +51,14 @@ def row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores ahead as far as a column of `df` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that what Python makes of a batch stays small."""
     for batch in batches:

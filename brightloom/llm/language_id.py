@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import remainder, slices, unused
 from .words import MULTIPLIER, PIECE, code_points, mixed
 
 UNKNOWN = "und"
@@ -190,5 +190,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, without rows whose language can't be told: no letter, or the best language all but tied with the next."""
-    judged = identified(docs, train(docs, usable_rows()))
-    return judged.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.margin") >= UNDECIDED)).drop("_language")
+    name = unused(docs, "_language")
+    judged = identified(docs, train(docs, usable_rows()), name)
+    return judged.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.margin") >= UNDECIDED)).drop(name)

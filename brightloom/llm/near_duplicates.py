@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key, slices
+from .common import durable, row_key, slices, unused
 from .words import shingles
 
 THRESHOLD = 0.8
@@ -246,11 +246,12 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = THRESHOLD) -> Da
     repeated = assigned.where(stays & ~F.col("key").isin(*void)).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
     repeated = durable(repeated)
     few = gone.count() <= MOST_BROADCAST
-    keyed = docs.withColumn("_key", row_key(F.col("text")))
-    same = lambda other: F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d._key") == F.col(f"{other}.key"))
+    name = unused(docs, "_key")
+    keyed = docs.withColumn(name, row_key(F.col("text")))
+    same = lambda other: F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col(f"d.{name}") == F.col(f"{other}.key"))
     left = keyed.alias("d").join((F.broadcast(gone) if few else gone).alias("g"), same("g"), "left_anti")
     if not repeated.isEmpty():
         once = left.alias("d").join(repeated.alias("r"), same("r"), "left_anti")
-        again = left.alias("d").join(repeated.alias("r"), same("r"), "left_semi").dropDuplicates(["doc_id", "_key"])
+        again = left.alias("d").join(repeated.alias("r"), same("r"), "left_semi").dropDuplicates(["doc_id", name])
         left = once.unionByName(again)
-    return left.drop("_key")
+    return left.drop(name)

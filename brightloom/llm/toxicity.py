@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, unused
 from .words import mixed, shingles
 
 SAMPLE = {1: 1500, 0: 4500}  #: expected training documents by label; the documented bound of the fit
@@ -343,5 +343,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs`, all columns, without the rows whose score is THRESHOLD or more."""
-    judged = scored(docs, train(docs, labels))
-    return judged.where(F.col("_toxicity.score") < THRESHOLD).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    judged = scored(docs, train(docs, labels), name)
+    return judged.where(F.col(f"{name}.score") < THRESHOLD).drop(name)

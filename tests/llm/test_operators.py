@@ -1,0 +1,263 @@
+"""Operators against brute force, the public libraries, exact round trips or planted cases; nulls, empties, copies and clashing columns."""
+
+import hashlib
+import itertools
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brightloom.llm import bpe, decontamination, media, toxicity, warc
+from brightloom.llm.language_id import keep_known_language, language_report
+from brightloom.llm.near_duplicates import banding, classes, one_of_each
+from brightloom.llm.packing import best_fit, empty_bins, pack_documents
+from brightloom.llm.queries import URL_RULES, vocabulary
+from brightloom.llm.sharding import shard_by_bytes
+from brightloom.llm.token_counts import token_report
+from brightloom.llm.toxicity import keep_clean, toxicity_report
+from brightloom.llm.url_filters import judge
+from brightloom.llm.words import shingles
+
+TRICKY = [None, "", " ", "\n\n", "Hello world", "Hello  world", "it's  <|endoftext|> fine", "日本語 text 123", "a" * 3000, "x y  z", "tab\tand\r\nline ", "🙂🙂 ok", "don't we'll", "Hello world"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, size string"
+
+
+def documents(spark, texts, langs=None):
+    rows = [(k, t, (langs or {}).get(k, "en"), "s", len(t or ""), "clash", "clash") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary())
+
+
+def test_counts_equal_the_library(spark, library):
+    docs = documents(spark, TRICKY)
+    found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_report(docs, vocabulary()).collect()}
+    for k, t in enumerate(TRICKY):
+        assert found[k] == (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)), t
+    assert token_report(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_merging_random_texts(library):
+    counter, rng = bpe.Counter(bpe.Merges.read(vocabulary())), random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("abcdeth  'sé\n1.日") for _ in range(rng.randrange(60)))
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_packing_keeps_every_token(spark, library):
+    rng = random.Random(3)
+    texts = TRICKY + [" ".join(rng.choice(["data", "spark", "unbelievable"]) for _ in range(rng.choice([3, 50, 700, 5000]))) for _ in range(60)]
+    found = pack_documents(documents(spark, texts), vocabulary()).collect()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in found:
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    for k, t in enumerate(texts):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for n, r in enumerate(sorted(pieces[k], key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (n, at, zlib.crc32(ids[at : at + r.length].tobytes()))
+            assert n == 0 or r.length == 2048
+            at += r.length
+        assert at == len(ids)
+    for members in bins.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    lengths = np.array([r.length for r in found])
+    assert -(-lengths.sum() // 2048) <= len(bins) <= len(best_fit(lengths, 2048))  # exchanges never make it worse
+
+
+def test_exchanges_empty_bins():
+    lengths = np.array([6, 4, 4, 3, 3, 6, 2, 2])  # 30 in bins of 10: three are enough
+    found = empty_bins([[0, 7], [5, 6], [1, 3], [2, 4]], lengths, 10)
+    assert len(found) == 3 and sorted(k for b in found for k in b) == list(range(8))
+    assert all(lengths[b].sum() <= 10 for b in found)
+
+
+def similar_classes(texts):
+    grams = [set(shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    links = [0] * len(texts)
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if grams[a] and grams[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+            links[a] += 1
+            links[b] += 1
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return [(top(k), links[k]) for k in range(len(texts))]
+
+
+def test_join_equals_brute_force(spark):
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(400)]
+    texts = [None, "", "...", "...", "short text", "short text", "Short, text!"]
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 80, 300]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = documents(spark, texts)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in classes(docs, block=4).collect()}
+    assert [found[k] for k in range(len(texts))] == similar_classes(texts)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {c for c, _ in found.values()}
+    assert classes(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0)).count() == 0
+
+
+def test_banding_meets_its_recall():
+    bands, rows = banding(0.8, 0.9999)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
+
+
+def test_urls(spark):
+    urls = [None, "no scheme", "http://Shop.NET/x", "https://a.example.net/en/1?q", "https://example.net/de/", "http://example.com/de/a#b", "http://www.example.com/fr/", "http://x.org/fr/1", "http://notexample.com/de/", "http://net", "ftp://example.com?x=/de/"]
+    pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
+    found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, spark.createDataFrame(URL_RULES, "rule string, action string")).collect()}
+    assert found[0] == found[1] == ("", "", None, "allow")
+    assert found[2] == ("shop.net", "/x", "net/", "block") and found[3] == ("a.example.net", "/en/1", "example.net/en/", "allow")
+    assert found[4][2:] == ("net/", "block") and found[5][1:] == ("/de/a", "example.com/de/", "block") and found[6][2:] == (None, "allow")
+    assert found[7][2:] == ("org/fr/", "allow") and found[8][2:] == (None, "allow") and found[9][2:] == (None, "allow") and found[10][:2] == ("example.com", "")
+
+
+def test_media_round_trip(spark):
+    for text in TRICKY + ["é" * 20_000]:
+        payload, n = media.padded(text)
+        assert len(payload) % 192 == 0 and payload and payload[:n] == (text or "").encode()
+        data = media.mux(payload)
+        told = media.parse(data)
+        assert media.payload_of(data, told) == payload and told["duration"] == len(payload)
+    rows = {r.doc_id: r for r in media.document_media(documents(spark, TRICKY)).collect()}
+    assert rows[0].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest() and rows[4].media_sha256 == rows[13].media_sha256
+    broken = spark.createDataFrame([(bytearray(media.mux(b" " * 192)[:100]),), (None,), (bytearray(),)], "media binary")
+    assert all(r.track.problem for r in media.read_boxes(broken).collect())
+
+
+def test_shards(spark):
+    docs = documents(spark, TRICKY * 20)
+    found = shard_by_bytes(docs).collect()
+    assert len(found) == len(TRICKY) * 20
+    slots, sizes = defaultdict(list), defaultdict(int)
+    for r in found:
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r["size"]
+        text = (TRICKY * 20)[r.doc_id]
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len((text or "").encode()) + 8, zlib.crc32((text or "").encode()), "bytes", None)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 3008
+
+
+def test_fixity(spark):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "body" * (k % 7)) for k in range(300)] + [(None, None, None)], "page_id long, url string, html string")
+    damaged = pages.withColumn("html", F.when(F.col("page_id").isin(5, 250), F.lit("lost")).otherwise(F.col("html")))
+    made = [warc.archived(x.select("page_id", "url", warc.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), [F.col("page_id")], 64) for x in (pages, pages, damaged)]
+    assert warc.fixity_report(made[0], made[1], ["page_id"], 4, 3).count() == 0
+    ids = {r.page_id for r in warc.fixity_report(made[0], made[2], ["page_id"], 4, 3).collect()}
+    assert {5, 250} <= ids and all(i is not None and i >= 5 for i in ids)  # a changed length moves what follows it
+
+
+def prose(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_languages(spark):
+    rng = random.Random(2)
+    words = {"en": ["the", "house", "water", "with", "thing", "which"], "de": ["der", "das", "straße", "zwischen", "nicht", "schön"], "fr": ["les", "maison", "être", "avec", "quelque", "où"]}
+    langs = dict(enumerate(list(words) * 60))
+    docs = documents(spark, [prose(rng, words[x], 30) for x in langs.values()] + [None, "", "123 !!"], langs)
+    rows = language_report(docs).collect()
+    assert [r.lang_pred for r in sorted(rows, key=lambda r: r.doc_id)][-3:] == ["und"] * 3
+    assert all(r.lang_pred == langs[r.doc_id] and 0 <= r.score <= 1 for r in rows if r.doc_id in langs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    kept = keep_known_language(docs)
+    assert kept.columns == docs.columns and kept.count() == len(langs)
+    assert language_report(docs.limit(0)).count() == 0
+
+
+def test_toxic_spans(spark):
+    rng = random.Random(4)
+    plain, foul = [f"word{k}" for k in range(200)], ["grumblefoot", "stinkweasel", "snotgobbler"]
+    toxic = [k % 3 == 0 for k in range(600)]
+    texts = [prose(rng, plain, 60) + (f" you {rng.choice(foul)} {rng.choice(foul)} " if t else " ") + prose(rng, plain, 60) for t in toxic]
+    docs = documents(spark, [*texts, None, ""])
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    rows = {r.doc_id: r for r in toxicity_report(docs, labels).collect()}
+    assert sum(rows[k].predicted != int(t) for k, t in enumerate(toxic)) <= 6
+    spans = [texts[0][s.start : s.end] for s in rows[0].spans]
+    assert spans and set(spans) <= {*foul, "you"}
+    assert rows[600].score == rows[601].score == 0 and keep_clean(docs, labels).columns == docs.columns
+    assert {r.score for r in toxicity_report(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_marginals_equal_brute_force():
+    rng = np.random.default_rng(0)
+    e, start, step = rng.normal(size=9), rng.normal(size=2), rng.normal(size=(2, 2))
+    first = np.zeros(9, bool)
+    first[[0, 4]] = True
+    found = toxicity.marginals(e, first, start, step)
+    for a, b in ((0, 4), (4, 9)):
+        sums = np.zeros((b - a, 2))
+        for path in itertools.product((0, 1), repeat=b - a):
+            w = start[path[0]] + sum(step[i, j] for i, j in itertools.pairwise(path)) + sum(x * y for x, y in zip(e[a:b], path, strict=True))
+            for k, y in enumerate(path):
+                sums[k, y] += np.exp(w)
+        assert np.allclose(found[a:b], sums[:, 1] / sums.sum(1))
+
+
+def test_common_subsequence():
+    rng = random.Random(7)
+    for _ in range(100):
+        a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 20))] for _ in "ab")
+        masks = defaultdict(int)
+        for k, w in enumerate(a):
+            masks[w] |= 1 << k
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        assert decontamination.common_length(masks, len(a), b) == table[-1, -1]
+
+
+def test_benchmark_passages(spark):
+    rng = random.Random(6)
+    words = [f"term{k}" for k in range(900)]
+    items = [prose(rng, words, 40) for _ in range(8)] + ["two words"]
+    benchmark = spark.createDataFrame([*enumerate(items), (99, None), (None, "x")], "item_id long, text string")
+    clean = [prose(rng, words, 200) for _ in range(60)]
+    reworded = items[1].split()
+    reworded[5] = reworded[20] = "changed"
+    leaks = [clean[0] + " " + items[0].upper() + " " + clean[1], clean[2] + " " + " ".join(reworded), "say two, words now"]
+    docs = documents(spark, [*clean, *leaks, None, ""])
+    found = {(r.doc_id, r.item_id) for r in decontamination.contamination_report(docs, benchmark).collect()}
+    assert found == {(60, 0), (61, 1), (62, 8)}
+    kept = decontamination.keep_uncontaminated(docs, benchmark)
+    assert kept.columns == docs.columns and kept.count() == docs.count() - 3
+    assert decontamination.keep_uncontaminated(docs, benchmark.limit(0)).count() == docs.count()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, sf)
+        assert left.columns == docs.columns and left.count() >= 0.7 * docs.count(), name
+        docs = left
