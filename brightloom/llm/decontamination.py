@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, unused
 from .words import MULTIPLIER, mixed, word_hashes
 
 BITS = 13  #: words fall into 2 ** BITS columns of the TF-IDF matrix
@@ -292,9 +292,12 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows of `docs` that hold none give no row; repeated rows give their rows each; null ids stay null.
     """
     docs = docs.select("doc_id", "text")
-    return docs.withColumn("match", matched(docs, benchmark)).select("doc_id", F.explode("match").alias("match")).select("doc_id", "match.*")
+    # an outer explode: of an inner one Spark infers a filter on the array, and would seek twice
+    found = docs.withColumn("match", matched(docs, benchmark)).select("doc_id", F.explode_outer("match").alias("match"))
+    return found.where("match is not null").select("doc_id", "match.*")
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs`, all columns, without rows whose text holds a benchmark item."""
-    return docs.withColumn("_match", matched(docs, benchmark)).where(F.size("_match") == 0).drop("_match")
+    name = unused(docs, "_match")
+    return docs.withColumn(name, matched(docs, benchmark)).where(F.size(name) == 0).drop(name)
