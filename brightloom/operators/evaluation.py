@@ -53,3 +53,36 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     chance = left.join(right, "v").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("c"))
     po, pe = F.col("same") / F.col("total"), F.col("c") / (F.col("total") * F.col("total"))
     return n.crossJoin(chance).select(F.col("total").alias("n"), F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
+
+
+def logistic(rows: DataFrame, x: str, label: Column, rounds: int = 25) -> tuple[float, float]:
+    """(intercept, slope) of the likeliest logistic curve of a binary label over `x`, by Newton's steps.
+
+    Rows are counted for each value of `x` first. A step is one aggregate of those counts; the driver sees five sums.
+    A small ridge keeps the curve finite where `x` parts the labels.
+    """
+    counted = rows.groupBy(F.col(x).cast("double").alias("x")).agg(F.count("*").alias("n"), F.count_if(label).alias("k")).where("x is not null").persist()
+    a = b = 0.0
+    try:
+        for _ in range(rounds):
+            p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
+            w, miss = F.col("n") * p * (1 - p), F.col("k") - F.col("n") * p
+            s = counted.agg(*(F.coalesce(F.sum(c), F.lit(0.0)) for c in (miss, miss * F.col("x"), w, w * F.col("x"), w * F.col("x") * F.col("x")))).first()
+            g0, g1, h00, h01, h11 = s[0] - 1e-6 * a, s[1] - 1e-6 * b, s[2] + 1e-6, s[3], s[4] + 1e-6
+            det = h00 * h11 - h01 * h01
+            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+            a, b = a + da, b + db
+            if abs(da) + abs(db) < 1e-10:
+                break
+    finally:
+        counted.unpersist()
+    return a, b
+
+
+def macro_f1(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """classes, macro_f1: mean F1 of the classes that are labelled or predicted at all."""
+    joint = rows.groupBy(label, predicted).agg(F.count("*").alias("n"))
+    same = F.when(F.col(label) == F.col(predicted), F.col("n")).otherwise(0)
+    sides = joint.select(F.col(label).alias("c"), same.alias("tp"), F.col("n").alias("total")).unionByName(joint.select(F.col(predicted).alias("c"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("total")))
+    per = sides.where("c is not null").groupBy("c").agg((2 * F.sum("tp") / F.sum("total")).alias("f1"))
+    return per.agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1"))

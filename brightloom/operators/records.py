@@ -79,3 +79,26 @@ def nearest_rank(values: Column, p: float) -> Column:
 
 def iso_week(ts: Column) -> Column:
     return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), ts), F.weekofyear(ts))
+
+
+def purged(tables: dict[str, DataFrame], now: str) -> DataFrame:
+    """name, expired: how many rows of each table are no longer alive."""
+    counts = [rows.agg(F.lit(name).alias("name"), F.count_if(F.col("expires_at") <= F.lit(now).cast("timestamp")).alias("expired")) for name, rows in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def cascaded(tables: dict[str, DataFrame], root: str, gone: DataFrame, links: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
+    """`tables` without the rows of `root` that `gone` (its key) names and all that hang on them.
+
+    `links` are (parent, its key, child, the child's reference), parents first. Rows with a null reference stay.
+    """
+    removed = {root: tables[root].join(gone, gone.columns, "left_semi")}
+    left = {**tables, root: tables[root].join(gone, gone.columns, "left_anti")}
+    for parent, key, child, reference in links:
+        keys = removed[parent].select(F.col(key).alias(reference)).distinct()
+        removed[child] = tables[child].join(keys, reference, "left_semi")
+        left[child] = left[child].join(keys, reference, "left_anti")
+    return left

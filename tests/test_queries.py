@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from brightloom.plans import people  # noqa: F401 (registers its queries)
 from brightloom.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
