@@ -2,7 +2,8 @@
 
 A randomised SVD of the TF-IDF matrix of all corpus passages gives a latent space. In it windows of documents are held
 against passages of benchmark items by cosine; what is close and shares enough words is checked by the longest common
-subsequence of words, and weaker matches, as of paraphrases, also by the item's answer.
+subsequence of words, and weaker matches, as of paraphrases, also by the item's answer. A place where SEED words of a
+passage stand in a row is checked too, whatever its cosine, so no copy that keeps such a run hangs on the projection.
 
 The SVD is the one-pass kind for A'A: every partition adds up TF'(TF G) for a random G while it counts passages of each
 word, sums of both are rows that Spark aggregates, and the driver factors two small matrices (Nystroem's approximation).
@@ -27,10 +28,12 @@ from .words import MULTIPLIER, mixed, word_hashes
 
 BITS = 13  #: words fall into 2 ** BITS columns of the TF-IDF matrix
 RANK, SPARE = 48, 8  #: dimensions of the latent space, and those that the sketch has besides
-STRIDE = 8  #: words between the starts of windows
-SCALES = (16, 32)  #: words of a window; items of under 24 words are sought with the smaller ones
+STRIDE = 4  #: words between the starts of windows
+SCALES = (8, 12, 16, 24, 32)  #: words of a window; a passage is sought with those nearest to its length
+PASSAGES = (16, 32)  #: most words of a passage; items of under 24 words have the smaller ones
+SLACK = 8  #: words on both sides of a window that are held against a passage too
+SEED = 5  #: words in a row that make a place a candidate without a cosine
 COSINE = 0.65  #: of a candidate
-SHARED = 0.5  #: share of a passage's word bits that a candidate's surroundings have
 STRONG, WEAK = 0.85, 0.6  #: share of a passage in the common subsequence that proves a copy, and that asks for the answer
 ANSWER = 0.6  #: share of an answer's words that must stand near
 SHORTEST = 8  #: items of fewer words must stand as a run of just these words
@@ -47,7 +50,7 @@ def test_matrix() -> np.ndarray:
     return np.random.default_rng(20_240_602).standard_normal((1 << BITS, RANK + SPARE)).astype(np.float32)
 
 
-def sketch(docs: DataFrame, passage: int = max(SCALES)) -> tuple[np.ndarray, np.ndarray, int]:
+def sketch(docs: DataFrame, passage: int = max(PASSAGES)) -> tuple[np.ndarray, np.ndarray, int]:
     """Passages that hold each column's words, TF'(TF G), and the number of passages, over whole texts of all rows."""
     names = [f"s{k}" for k in range(RANK + SPARE)]
 
@@ -160,10 +163,12 @@ class Passage:
 
 @dataclass
 class Index:
-    """Items that are sought together. by_scale: window size -> (unit vectors, signatures, passages)."""
+    """Items that are sought together. by_scale: window size -> (unit vectors, signatures, bits that must be near, passages)."""
 
-    by_scale: dict[int, tuple[np.ndarray, np.ndarray, list[Passage]]]
+    by_scale: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[Passage]]]
     runs: dict[int, dict[int, list[int]]]  # number of words -> hash of the run -> items
+    seeds: np.ndarray  # sorted hashes of runs of SEED words
+    seeded: list[list[tuple[int, int, int]]]  # for each of them window size, number of the passage there, place in the passage
 
 
 def run_hash(words: np.ndarray, n: int) -> np.ndarray:
@@ -184,6 +189,7 @@ def answer_words(text: str) -> np.ndarray:
 
 def index_items(items: list[tuple[int, str]], space: np.ndarray) -> Index:
     found: dict[int, list] = {scale: [] for scale in SCALES}
+    seeds: dict[int, list[tuple[int, int, int]]] = {}
     runs: dict[int, dict[int, list[int]]] = {}
     for item_id, text in items:
         words = word_hashes(text)
@@ -193,22 +199,41 @@ def index_items(items: list[tuple[int, str]], space: np.ndarray) -> Index:
             runs.setdefault(len(words), {}).setdefault(int(run_hash(words, len(words))[0]), []).append(item_id)
             continue
         answer = frozenset(answer_words(text).tolist())
-        scale = next((s for s in SCALES if len(words) < s * 3 // 2), SCALES[-1])
-        last = max(0, len(words) - scale)
-        for at in sorted({*range(0, last, scale // 2), last}):
-            part = words[at : at + scale]
+        most = next((n for n in PASSAGES if len(words) < n * 3 // 2), PASSAGES[-1])
+        last = max(0, len(words) - most)
+        for at in sorted({*range(0, last, most // 2), last}):
+            part = words[at : at + most]
+            scale = min(SCALES, key=lambda s: abs(s - len(part)))
+            for k, h in enumerate(run_hash(part, SEED).tolist()):
+                seeds.setdefault(h, []).append((scale, len(found[scale]), k))
             masks: dict[int, int] = {}
             for k, w in enumerate(part.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << k
             found[scale].append((space[columns_of(part)].sum(axis=0), signatures(part, np.array([0]))[0], Passage(item_id, part.tolist(), masks, frozenset(masks), answer, len(words))))
-    return Index({s: (unit(np.array([x[0] for x in rows])).astype(np.float32), np.array([x[1] for x in rows]), [x[2] for x in rows]) for s, rows in found.items() if rows}, runs)
+    by_scale = {}
+    for scale, rows in found.items():
+        if rows:
+            marks, lengths = np.array([x[1] for x in rows]), np.array([len(x[2].words) for x in rows])
+            must = bits_of(marks) - (lengths - np.ceil(WEAK * lengths)).astype(np.int64)  # a bit that isn't near is a word that isn't
+            by_scale[scale] = unit(np.array([x[0] for x in rows])).astype(np.float32), marks, must, [x[2] for x in rows]
+    return Index(by_scale, runs, np.array(sorted(seeds), np.uint64), [seeds[h] for h in sorted(seeds)])
 
 
-def together(blocks: np.ndarray, n: int, join) -> np.ndarray:
-    """Each run of n consecutive blocks joined; runs that the end cuts short only if there are fewer blocks than n."""
-    if len(blocks) <= n:
-        return reduce(join, blocks)[None]
-    return reduce(join, (blocks[k : len(blocks) - n + 1 + k] for k in range(n)))
+def sums_over(blocks: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each run of n consecutive blocks; runs that the end cuts short only if there are fewer blocks than n."""
+    total = np.concatenate([np.zeros((1, blocks.shape[1])), np.cumsum(blocks, axis=0, dtype=float)])
+    n = min(n, len(blocks))
+    return (total[n:] - total[:-n]).astype(np.float32)
+
+
+def seeded(words: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
+    """Window size, number of the passage and start in the text where SEED words of a passage stand in a row."""
+    if len(words) < SEED or not len(index.seeds):
+        return
+    hashes = run_hash(words, SEED)
+    place = np.minimum(np.searchsorted(index.seeds, hashes), len(index.seeds) - 1)
+    hits = np.flatnonzero(index.seeds[place] == hashes)
+    yield from dict.fromkeys((scale, q, at - k) for at, seed in zip(hits.tolist(), place[hits].tolist(), strict=True) for scale, q, k in index.seeded[seed])
 
 
 def matches(words: np.ndarray, index: Index, space: np.ndarray) -> list[dict]:
@@ -225,40 +250,46 @@ def matches(words: np.ndarray, index: Index, space: np.ndarray) -> list[dict]:
             for at in np.flatnonzero(np.isin(hashes, np.fromiter(known, np.uint64))).tolist():
                 for item_id in known[int(hashes[at])]:
                     offer(item_id, "copy", 1.0, 1.0, 1.0, at, at + n)
+
+    def check(passage: Passage, start: int, end: int, cosine: float) -> None:
+        n = len(passage.words)
+        nearby = words[start:end].tolist()
+        if n - (len(passage.masks) - len(passage.distinct.intersection(nearby))) < WEAK * n:
+            return  # words that aren't there can't be in a common subsequence
+        common = common_length(passage.masks, n, nearby) / n
+        if common < WEAK:
+            return
+        reach = words[max(0, start - passage.reach) : end + passage.reach]
+        answer = len(passage.answer.intersection(reach.tolist())) / len(passage.answer)
+        if common >= STRONG or answer >= ANSWER:
+            offer(passage.item_id, "copy" if common >= STRONG else "paraphrase", cosine, common, answer, start, end)
+
+    for scale, q, at in seeded(words, index):
+        items, _, _, passages = index.by_scale[scale]
+        window = words[max(0, at) : max(0, at) + scale]
+        cosine = unit(space[columns_of(window)].sum(axis=0)[None])[0] @ items[q]
+        check(passages[q], max(0, at - SLACK), min(len(words), at + len(passages[q].words) + SLACK), float(cosine))
     step = CHUNK - 2 * max(SCALES)  # chunks overlap, so that no window is lost
     for begin in range(0, max(1, len(words)), step):
         part = words[begin : begin + CHUNK]
         if not len(part) or (begin and len(part) <= 2 * max(SCALES)):
             break
-        words_of_part: list[int] = []
         starts = np.arange(0, len(part), STRIDE)
         vectors = np.add.reduceat(space[columns_of(part)], starts)
-        marks = signatures(part, starts)
-        padded = np.concatenate([np.zeros((1, 4), np.uint64), marks, np.zeros((1, 4), np.uint64)])
-        for scale, (items, item_marks, passages) in index.by_scale.items():
+        beside = SLACK // STRIDE
+        padded = np.pad(signatures(part, starts), ((beside, beside + max(SCALES) // STRIDE), (0, 0)))
+        for scale, (items, item_marks, must, passages) in index.by_scale.items():
             blocks = scale // STRIDE
-            cosines = unit(together(vectors, blocks, np.add)) @ items.T
+            cosines = unit(sums_over(vectors, blocks)) @ items.T
             at, q = np.divmod(np.flatnonzero(cosines >= COSINE), len(passages))
             if not len(at):
                 continue
-            around = together(padded, blocks + 2, np.bitwise_or)
-            shared = bits_of(around[at] & item_marks[q])
-            words_of_part = words_of_part or part.tolist()
-            near = shared >= (SHARED * bits_of(item_marks))[q]
+            around = reduce(np.bitwise_or, (padded[k : len(starts) + k] for k in range(blocks + 2 * beside + 1)))  # a passage has at most STRIDE words more than its window
+            near = bits_of(around[at] & item_marks[q]) >= must[q]
             for a, k in zip(at[near].tolist(), q[near].tolist(), strict=True):
-                passage = passages[k]
-                start, end = max(0, (a - 1) * STRIDE), min(len(part), (a + 1) * STRIDE + scale)
-                nearby = words_of_part[start:end]
-                absent = len(passage.masks) - len(passage.distinct.intersection(nearby))
-                if len(passage.words) - absent < WEAK * len(passage.words):
-                    continue  # words that aren't there can't be in a common subsequence
-                common = common_length(passage.masks, len(passage.words), nearby) / len(passage.words)
-                if common < WEAK:
-                    continue
-                reach = words[max(0, begin + start - passage.reach) : begin + end + passage.reach]
-                answer = len(passage.answer.intersection(reach.tolist())) / len(passage.answer)
-                if common >= STRONG or answer >= ANSWER:
-                    offer(passage.item_id, "copy" if common >= STRONG else "paraphrase", float(cosines[a, k]), common, answer, begin + start, begin + end)
+                start = begin + a * STRIDE
+                end = start + max(scale, len(passages[k].words)) + SLACK
+                check(passages[k], max(0, start - SLACK), min(len(words), end), float(cosines[a, k]))
     return sorted(best.values(), key=lambda m: m["item_id"])
 
 

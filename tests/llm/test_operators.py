@@ -252,6 +252,18 @@ def test_benchmark_passages(spark):
     assert decontamination.keep_uncontaminated(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_copies_without_the_projection():
+    rng = random.Random(11)
+    words = [f"term{k}" for k in range(900)]
+    items = [prose(rng, words, n) for n in (8, 10, 12, 15, 24, 29, 50)]
+    space = np.zeros((1 << decontamination.BITS, decontamination.RANK), np.float32)
+    index = decontamination.index_items(list(enumerate(items)), space)
+    for k, item in enumerate(items):
+        for offset in range(8):
+            text = f"{prose(rng, words, 40 + offset)} {item} {prose(rng, words, 60)}"
+            assert [(m["item_id"], m["kind"]) for m in decontamination.matches(decontamination.word_hashes(text), index, space)] == [(k, "copy")]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
