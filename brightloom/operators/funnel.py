@@ -15,6 +15,7 @@ from ..functions.values import ANYWHERE, CITIES, COUNTRIES, EMPLOYMENT, JUNIOR_T
 
 GRACE = 6  #: hours by which a posting may be older than asked
 BANDS, BAND_BITS = 4, 16
+BUCKET = 4096  #: hashes of a band's value that are held against each other at once; more are dealt into pairs of blocks
 
 
 @dataclass(frozen=True)
@@ -155,20 +156,78 @@ def simhash(rows: DataFrame, id_column: str, text: str, out: str = "simhash") ->
     return counted.select(id_column, F.when(F.col("n") > 0, bits).otherwise(F.lit(0).cast("long")).alias(out))
 
 
-def near_pairs(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
-    """Pairs a < b of distinct hashes of one block that differ in at most `most` bits, with the least id that has each.
+def near_hashes(distinct: DataFrame, block: list[str], most: int, bucket: int = BUCKET) -> DataFrame:
+    """block, hash_a < hash_b, bits: distinct hashes of one block that differ in at most `most` bits.
 
-    Hashes that differ in under BANDS bits share one of BANDS bands, so blocks are joined on a band's value, not crossed;
-    equal hashes are one row before.
+    Hashes that differ in under BANDS bits share one of BANDS bands, so blocks are joined on a band's value, not crossed.
     """
     if most >= BANDS:
         raise ValueError("more differing bits than bands")
-    distinct = hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("id"))
     bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("value")) for k in range(BANDS)))
-    dealt = distinct.select(*block, "simhash", "id", F.inline(bands))
-    a, b = (dealt.withColumnsRenamed({"simhash": f"hash_{s}", "id": f"id_{s}"}) for s in "ab")
-    met = a.join(b, [*block, "band", "value"]).where("hash_a < hash_b")
-    return met.withColumn("bits", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))).where(F.col("bits") <= most).select(*block, "id_a", "id_b", "bits").distinct()
+    place = F.struct(*block).alias("block")
+    banded = distinct.select(place, "simhash", F.inline(bands))
+    held = banded.groupBy("block", "band", "value").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"), F.count("*").alias("size")).where("size > 1").drop("size")
+    sides = banded.join(held, ["block", "band", "value"]).withColumn("side", F.pmod(F.xxhash64("simhash"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = sides.select("block", "band", "value", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "simhash")
+    keys = ["block", "band", "value", "low", "high"]
+    a, b = dealt.alias("a"), dealt.alias("b")
+    met = F.col("a.simhash") < F.col("b.simhash")
+    met &= (F.col("a.low") == F.col("a.high")) | (F.col("a.side") != F.col("b.side"))
+    bits = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
+    for k in keys:
+        met &= F.col(f"a.{k}") == F.col(f"b.{k}")
+    found = a.join(b, met & (bits <= most)).select("a.block.*", F.col("a.simhash").alias("hash_a"), F.col("b.simhash").alias("hash_b"), bits.alias("bits"))
+    return found.distinct()
+
+
+def near_pairs(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
+    """Pairs a < b of distinct hashes of one block that differ in at most `most` bits, with the least id that has each.
+
+    Equal hashes are one row before; `near_classes` tells of every row.
+    """
+    distinct = hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("id"))
+    found = near_hashes(distinct, block, most)
+    for s in "ab":
+        found = matched(found, distinct.withColumnsRenamed({"simhash": f"hash_{s}", "id": f"id_{s}"}), [*block, f"hash_{s}"])
+    return found.select(*block, "id_a", "id_b", "bits")
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join whose keys match where both are null too; the right ones go."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(other, on, how).drop(*(f"_{k}" for k in keys))
+
+
+def near_classes(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
+    """A row for each of `hashes` (block, id, simhash): block, id, class_id and n_links.
+
+    A class is what links of at most `most` differing bits join within a block, equal hashes included; class_id is its
+    least id, n_links counts the other rows that a row is linked to. Rows of hash 0 are classes of their own.
+    """
+    hashes = hashes.select(*block, "id", "simhash").localCheckpoint()
+    distinct = hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("least"), F.count("*").alias("copies")).localCheckpoint()
+    found = near_hashes(distinct, block, most).select(*block, "hash_a", "hash_b")
+    turned = found.select(*block, F.col("hash_b").alias("simhash"), F.col("hash_a").alias("other"))
+    edges = found.select(*block, F.col("hash_a").alias("simhash"), F.col("hash_b").alias("other")).unionByName(turned).localCheckpoint()
+    labels = distinct.select(*block, "simhash", F.col("simhash").alias("label")).localCheckpoint()
+    while True:  # least labels and pointer jumps, until nothing changes
+        theirs = labels.withColumnsRenamed({"simhash": "other", "label": "theirs"})
+        offered = matched(edges, theirs, [*block, "other"]).groupBy(*block, "simhash").agg(F.min("theirs").alias("offer"))
+        lower = matched(labels, offered, [*block, "simhash"], "left").select(*block, "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
+        jump = labels.select(*block, F.col("simhash").alias("label"), F.col("label").alias("further"))
+        new = matched(lower, jump, [*block, "label"]).select(*block, "simhash", F.least("label", "further").alias("label"), "old").localCheckpoint()
+        labels = new.drop("old")
+        if new.where("label <> old").isEmpty():
+            break
+    others = distinct.select(*block, F.col("simhash").alias("other"), F.col("copies").alias("n"))
+    linked = matched(edges, others, [*block, "other"]).groupBy(*block, "simhash").agg(F.sum("n").alias("n"))
+    told = matched(matched(labels, distinct, [*block, "simhash"]), linked, [*block, "simhash"], "left")
+    least = told.groupBy(*block, "label").agg(F.min("least").alias("class_id"))
+    told = matched(told, least, [*block, "label"]).select(*block, "simhash", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return matched(hashes, told, [*block, "simhash"], "left").select(*block, "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def rank_score(relevance_: Column, description: Column, posted: Column, now: str, hours: float = 0) -> Column:

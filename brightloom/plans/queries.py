@@ -155,10 +155,10 @@ def simhash(spark, sf_dir):
 
 @query()
 def near_duplicates(spark, sf_dir):
-    """Pairs within a source whose SimHash differs in at most three bits."""
+    """Each document's class within its source by SimHashes that differ in at most three bits, and its number of links."""
     docs = table(spark, sf_dir, "documents")
     hashes = N.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").select("source", F.col("doc_id").alias("id"), "simhash")
-    return N.near_pairs(hashes, ["source"])
+    return N.near_classes(hashes, ["source"])
 
 
 # --- skills, scores, report ----------------------------------------------------------------------------------------

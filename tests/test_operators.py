@@ -48,6 +48,17 @@ def test_near_pairs_by_bands(spark):
     assert {tuple(sorted((r.id_a, r.id_b))) + (r.bits,) for r in found} == {(1, 2, 1), (1, 3, 3)}
 
 
+def test_near_classes_hold_every_row(spark):
+    rows = [("a", 1, 0b1111), ("a", 2, 0b1110), ("a", 3, 0b1111 | 1 << 40 | 1 << 20 | 1 << 60), ("a", 4, -1), ("b", 5, 0b1110), ("a", 6, 0b1111), ("b", 7, 0b1110), ("a", 8, 0), ("a", 9, 0), (None, 10, 7), (None, 11, 7)]
+    hashes = spark.createDataFrame(rows, "block string, id long, simhash long")
+    found = {r.id: (r.block, r.class_id, r.n_links) for r in N.near_classes(hashes, ["block"]).collect()}
+    assert found == {1: ("a", 1, 3), 2: ("a", 1, 2), 3: ("a", 1, 2), 4: ("a", 4, 0), 5: ("b", 5, 1), 6: ("a", 1, 3), 7: ("b", 5, 1), 8: ("a", 8, 0), 9: ("a", 9, 0), 10: (None, 10, 1), 11: (None, 10, 1)}
+    chain = spark.createDataFrame([("a", 100 - k, (1 << k) - 1) for k in range(1, 60)], "block string, id long, simhash long")
+    assert {r.class_id for r in N.near_classes(chain, ["block"]).collect()} == {41}
+    pairs = lambda bucket: {tuple(r) for r in N.near_hashes(chain, ["block"], 3, bucket).collect()}
+    assert pairs(2) == pairs(4096) and len(pairs(2)) == 58 + 57 + 56
+
+
 def test_negated_skill(spark):
     postings = spark.createDataFrame([("1", "No Java required. Python, Apache Spark"), ("2", "Java. Not Java"), ("3", None)], "id string, description string")
     aliases = spark.createDataFrame([("Java", "java"), ("Python", "python"), ("Spark", "apache spark")], "skill string, alias string")
