@@ -15,6 +15,7 @@ from ..functions.values import ANYWHERE, CITIES, COUNTRIES, EMPLOYMENT, JUNIOR_T
 
 GRACE = 6  #: hours by which a posting may be older than asked
 BANDS, BAND_BITS = 4, 16
+LEAST_TEXT = 200  #: characters of a description that is held against others
 BUCKET = 4096  #: hashes of a band's value that are held against each other at once; more are dealt into pairs of blocks
 
 
@@ -133,13 +134,16 @@ def merged(postings: DataFrame, key: Column | None = None) -> DataFrame:
     """
     rank = F.struct(priority(F.col("source")).alias("p"), -F.length("description"), F.col("id"))
     rows = postings.withColumn("_key", merge_key() if key is None else key)
-    columns = [c for c in postings.columns if c != "sources"]
+    columns = [c for c in postings.columns if c not in ("sources", "copies")]
+    own = F.array("source")
+    given = F.when(F.size("sources") > 0, F.col("sources")).otherwise(own) if "sources" in postings.columns else own
+    copies = F.sum("copies") if "copies" in postings.columns else F.count("*")
     best = F.min_by(F.struct(*columns), rank).alias("best")
     longest = F.min_by("description", F.struct(-F.length("description"), rank)).alias("longest")
-    grouped = rows.groupBy("_key").agg(best, longest, F.collect_set(F.struct(priority(F.col("source")).alias("p"), F.col("source"))).alias("s"), F.count("*").alias("copies"))
+    grouped = rows.groupBy("_key").agg(best, longest, F.array_distinct(F.flatten(F.collect_set(given))).alias("s"), copies.alias("copies"))
     text = F.when(F.length("longest") > F.length("best.description") + 200, F.col("longest")).otherwise(F.col("best.description"))
     out = [text.alias(c) if c == "description" else F.col(f"best.{c}") for c in columns]
-    return grouped.select(*out, F.transform(F.array_sort("s"), lambda x: x["source"]).alias("sources"), "copies")
+    return grouped.select(*out, F.transform(F.array_sort(F.transform("s", lambda x: F.struct(priority(x).alias("p"), x.alias("source")))), lambda x: x["source"]).alias("sources"), "copies")
 
 
 def simhash(rows: DataFrame, id_column: str, text: str, out: str = "simhash") -> DataFrame:
@@ -230,6 +234,17 @@ def near_classes(hashes: DataFrame, block: list[str], most: int = 3) -> DataFram
     return matched(hashes, told, [*block, "simhash"], "left").select(*block, "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def deduplicated(postings: DataFrame) -> DataFrame:
+    """`merged`, and then one posting for each class of near-equal descriptions at one company and city, as of reposts with another title."""
+    unique = merged(postings).withColumn("_row", merge_key()).localCheckpoint()
+    told = unique.where(F.length("description") >= LEAST_TEXT)
+    place = told.select(F.col("_row").alias("id"), norm_company(F.col("company")).alias("at"), city_key(F.col("location"), F.col("remote")).alias("city"))
+    hashes = simhash(told, "_row", "description").withColumnRenamed("_row", "id").join(place, "id")
+    classes = near_classes(hashes, ["at", "city"]).where("n_links > 0").select(F.col("id").alias("_row"), "class_id")
+    labelled = unique.join(classes, "_row", "left").withColumn("_class", F.coalesce("class_id", "_row"))
+    return merged(labelled.drop("class_id", "_row"), F.col("_class")).drop("_class")
+
+
 def rank_score(relevance_: Column, description: Column, posted: Column, now: str, hours: float = 0) -> Column:
     age = age_hours(posted, now)
     recency = F.when(age.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - age / (hours or 720)))
@@ -251,7 +266,7 @@ def fair_pick(scored: DataFrame, count: int) -> DataFrame:
 def funnel(postings: DataFrame, query: Query) -> DataFrame:
     """The picked postings, ranked."""
     kept = tagged(postings, query).where("drop is null")
-    unique = merged(kept)
+    unique = deduplicated(kept)
     score = rank_score(F.col("relevance"), F.col("description"), F.col("posted"), query.now, query.hours)
     return fair_pick(unique.withColumn("score", score), query.count)
 
@@ -260,7 +275,7 @@ def funnel_counts(postings: DataFrame, query: Query) -> DataFrame:
     """One row: fetched, relevant, after_filters, unique_rows, selected."""
     rows = tagged(postings, query)
     counts = rows.agg(F.count("*").alias("fetched"), F.count_if(F.coalesce("drop", F.lit("")).isin("no_title", "title") == F.lit(False)).alias("relevant"), F.count_if(F.col("drop").isNull()).alias("after_filters"))
-    unique = rows.where("drop is null").select(merge_key().alias("k")).agg(F.count_distinct("k").alias("unique_rows"))
+    unique = deduplicated(rows.where("drop is null")).agg(F.count("*").alias("unique_rows"))
     return counts.crossJoin(unique).withColumn("selected", F.least("unique_rows", F.lit(query.count).cast("long")))
 
 

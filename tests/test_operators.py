@@ -73,6 +73,16 @@ def test_merge_prefers_source_and_long_text(spark):
     assert set(found) == {"2", "3"} and found["2"].sources == ["lever", "remotive"] and len(found["2"].description) == 900
 
 
+def test_reposts_with_another_title_are_one(spark):
+    text = " ".join(f"word{k}" for k in range(120))
+    rows = [("1", "remotive", "Acme Inc.", "Data Engineer", "Berlin", text), ("2", "lever", "ACME", "Data Engineer, new", "Berlin, DE", text + "!"), ("3", "adzuna", "Acme", "data engineer", "Berlin", text), ("4", "lever", "Acme", "Data Engineer", "Bonn", text), ("5", "lever", "Other", "Data Engineer", "Berlin", text), ("6", "lever", "Acme", "Lead Data Engineer", "Berlin", "short text of three words")]
+    df = spark.createDataFrame(rows, "id string, source string, company string, title string, location string, description string").withColumns({"remote": F.lit(None).cast("boolean"), "url": F.lit(None).cast("string"), "posted": F.lit(None).cast("timestamp"), "employment_type": F.lit("")})
+    found = {r.id: (r.sources, r.copies) for r in N.deduplicated(df).collect()}
+    assert found == {"2": (["lever", "remotive", "adzuna"], 3), "4": (["lever"], 1), "5": (["lever"], 1), "6": (["lever"], 1)}
+    query = N.Query(title="Data Engineer", now="2024-05-01")
+    assert N.funnel_counts(df, query).first().unique_rows == 4 and {r.id for r in N.funnel(df, query).collect()} == set(found)
+
+
 def test_feeds(spark):
     remoteok = json.dumps([{"legal": "notice"}, {"id": "7", "position": "Dev", "company": "A", "salary_min": 10, "salary_max": 20, "tags": ["x"]}])
     lever = json.dumps([{"id": "1", "text": "Dev ", "categories": {"location": "Berlin"}, "createdAt": 1709287200000, "descriptionPlain": "Hello", "lists": [{"text": "Needs", "content": "<li>SQL</li>"}], "workplaceType": "on-site"}])
