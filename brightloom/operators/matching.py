@@ -21,32 +21,40 @@ class Profile:
     text: str
 
 
+def words_of(text: Column) -> Column:
+    """Words in lower case; a single full stop ahead belongs to its word, so .net isn't net."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:(?<!\.)\.)?[a-z0-9+#]+"), F.lit(0))
+
+
 def mentions(postings: DataFrame, aliases: DataFrame, text: str = "description") -> DataFrame:
     """id, skill, negated: each skill that a posting mentions; negated if every mention is.
 
-    Clauses become runs of one to three words that are joined to the aliases (skill, alias) by equality: no pattern is
-    tried against a text, so the cost follows the text and not the size of the taxonomy.
+    Clauses become runs of words, up to as many as the longest alias has, that are joined to the aliases (skill, alias) by
+    equality: no pattern is tried against a text, so the cost follows the text and not the size of the taxonomy. Aliases
+    are cut into words as texts are, and a clause ends at a full stop only before white space or the end.
     """
-    clauses = postings.select("id", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[.;,\n]")).alias("clause"))
-    words = clauses.select("id", F.regexp_extract_all("clause", F.lit("[a-z0-9+#]+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    told = F.array_join(words_of(F.col("alias")), " ")
+    aliases = aliases.select("skill", told.alias("alias")).where("alias <> ''").distinct()
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    clauses = postings.select("id", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[;,\n]|\.(?=\s|$)")).alias("clause"))
+    words = clauses.select("id", words_of(F.col("clause")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), n - at + 1)), lambda k: F.struct(at.alias("at"), F.array_join(F.slice("w", at, k), " ").alias("alias")))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - at + 1)), lambda k: F.struct(at.alias("at"), F.array_join(F.slice("w", at, k), " ").alias("alias")))))
     found = words.select("id", "w", F.explode(runs).alias("r")).select("id", "r.alias", F.slice("w", F.greatest(F.lit(1), F.col("r.at") - REACH), F.least(F.lit(REACH), F.col("r.at") - 1)).alias("ahead"))
     met = found.join(F.broadcast(aliases), "alias")
     return met.groupBy("id", "skill").agg(F.bool_and(F.arrays_overlap("ahead", F.array(*map(F.lit, NEGATIONS)))).alias("negated"))
 
 
-def closure(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """src, dst: what is implied, directly or through others, by a small ontology; ends when a round adds nothing."""
     known = edges.select("src", "dst").distinct()
     n = known.count()
-    for _ in range(rounds):
-        step = known.alias("k").join(edges.alias("e"), F.col("k.dst") == F.col("e.src")).select("k.src", "e.dst")
-        known = known.union(step).where("src <> dst").distinct()
+    while True:
+        step = known.alias("k").join(known.alias("e"), F.col("k.dst") == F.col("e.src")).select("k.src", "e.dst")
+        known = known.union(step).where("src <> dst").distinct().localCheckpoint()  # each round doubles the length of chains
         if (m := known.count()) == n:
-            break
+            return known
         n = m
-    return known
 
 
 def credits(required: DataFrame, owned: DataFrame, implied: DataFrame, related: DataFrame, partial: float) -> DataFrame:

@@ -66,6 +66,20 @@ def test_negated_skill(spark):
     assert found == {("1", "Java"): True, ("1", "Python"): False, ("1", "Spark"): False, ("2", "Java"): False}
 
 
+def test_skills_of_any_form(spark):
+    told = [("IAM", "identity and access management"), ("Node.js", "node.js"), (".NET", "asp.net"), (".NET", ".net"), ("CI/CD", "ci/cd"), ("scikit-learn", "Scikit-Learn"), ("SQL", "sql")]
+    aliases = spark.createDataFrame(told, "skill string, alias string")
+    postings = spark.createDataFrame([("1", "Identity and Access Management, Node.js. CI/CD; not ASP.NET"), ("2", "We use scikit-learn. SQL"), ("3", "no node. js, net income ...sql"), ("4", "(.NET)")], "id string, description string")
+    found = {(r.id, r.skill): r.negated for r in M.mentions(postings, aliases).collect()}
+    assert found == {("1", "IAM"): False, ("1", "Node.js"): False, ("1", "CI/CD"): False, ("1", ".NET"): True, ("2", "scikit-learn"): False, ("2", "SQL"): False, ("3", "SQL"): False, ("4", ".NET"): False}
+    assert M.mentions(postings, aliases.limit(0)).count() == 0
+
+
+def test_closure_of_long_chains(spark):
+    edges = spark.createDataFrame([(f"s{k:02}", f"s{k + 1:02}") for k in range(20)] + [("a", "b"), ("b", "a")], "src string, dst string")
+    assert {tuple(r) for r in M.closure(edges).collect()} == {(f"s{a:02}", f"s{b:02}") for a in range(21) for b in range(a + 1, 21)} | {("a", "b"), ("b", "a")}
+
+
 def test_merge_prefers_source_and_long_text(spark):
     rows = [("1", "remotive", "Acme Inc.", "Data Engineer", "Berlin", "x" * 900), ("2", "lever", "ACME", "data engineer", "Berlin, DE", "short"), ("3", "lever", "Other", "Data Engineer", "Berlin", "y")]
     df = spark.createDataFrame(rows, "id string, source string, company string, title string, location string, description string").withColumns({"remote": F.lit(None).cast("boolean"), "url": F.lit(None).cast("string")})
