@@ -5,17 +5,20 @@ against passages of benchmark items by cosine; what is close and shares enough w
 subsequence of words, and weaker matches, as of paraphrases, also by the item's answer. A place where SEED words of a
 passage stand in a row is checked too, whatever its cosine, so no copy that keeps such a run hangs on the projection.
 
+Windows that can't pass the check aren't projected: a subsequence that holds a share WEAK of a passage of n words misses
+so few of them that of the passage's n - WEAK * n + KEYS rarest words at least KEYS stand near. These keys are looked up
+word by word, so the cost follows the places where a passage's rare words meet, not documents times benchmark.
+
 The SVD is the one-pass kind for A'A: every partition adds up TF'(TF G) for a random G while it counts passages of each
 word, sums of both are rows that Spark aggregates, and the driver factors two small matrices (Nystroem's approximation).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
-from itertools import batched
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, unused
-from .words import MULTIPLIER, mixed, word_hashes
+from .common import durable, slices, unused
+from .words import MULTIPLIER, hashes_of, mixed, word_hashes
 
 BITS = 13  #: words fall into 2 ** BITS columns of the TF-IDF matrix
 RANK, SPARE = 48, 8  #: dimensions of the latent space, and those that the sketch has besides
@@ -33,11 +36,12 @@ SCALES = (8, 12, 16, 24, 32)  #: words of a window; a passage is sought with tho
 PASSAGES = (16, 32)  #: most words of a passage; items of under 24 words have the smaller ones
 SLACK = 8  #: words on both sides of a window that are held against a passage too
 SEED = 5  #: words in a row that make a place a candidate without a cosine
+KEYS = 4  #: of a passage's rarest words, so many stand near any place that can pass
 COSINE = 0.65  #: of a candidate
 STRONG, WEAK = 0.85, 0.6  #: share of a passage in the common subsequence that proves a copy, and that asks for the answer
 ANSWER = 0.6  #: share of an answer's words that must stand near
 SHORTEST = 8  #: items of fewer words must stand as a run of just these words
-ITEMS = 2000  #: items that are sought in one go; more take more goes
+A_GO = 50_000  #: passages that are sought in one go, some 40 MB; more take more goes over the texts
 CHUNK = 1 << 15  #: words of a text that are projected at once
 MATCHES = "array<struct<item_id: long, kind: string, cosine: double, common: double, answer: double, start_word: int, end_word: int>>"
 
@@ -55,24 +59,26 @@ def sketch(docs: DataFrame, passage: int = max(PASSAGES)) -> tuple[np.ndarray, n
     names = [f"s{k}" for k in range(RANK + SPARE)]
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, s, held, n = test_matrix(), np.zeros((1 << BITS, RANK + SPARE)), np.zeros(1 << BITS, np.int64), 0
+        g, s, held, n = np.pad(test_matrix(), ((0, 1), (0, 0))), np.zeros((1 << BITS, RANK + SPARE)), np.zeros(1 << BITS, np.int64), 0
 
         def parts() -> Iterator[np.ndarray]:
             nonlocal n
             for batch in slices(batches, 64):
-                for whole in map(word_hashes, batch.column(0).to_pylist()):
+                for whole in hashes_of(batch.column(0).to_pylist()):
                     n += -(-len(whole) // passage)
                     yield from (whole[a : a + CHUNK] for a in range(0, len(whole), CHUNK))  # CHUNK is a multiple of passage
 
         for group in groups_of(parts()):
-            column = columns_of(np.concatenate(group))
-            starts = np.concatenate([at + np.arange(0, len(w), passage) for w, at in zip(group, np.cumsum([0, *map(len, group)]), strict=False)])
-            window = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(column))))
-            seen = np.add.reduceat(g[column], starts)
-            order = np.argsort(column.astype(np.int16), kind="stable")
-            column, window = column[order], window[order]
+            lengths = np.array([len(w) for w in group])
+            rows = -(-lengths // passage)  # passages of each part; the last is filled up with a column that counts nothing
+            column = np.full(int(rows.sum()) * passage, 1 << BITS)
+            ahead = np.repeat(passage * (np.cumsum(rows) - rows) - (np.cumsum(lengths) - lengths), lengths)
+            column[ahead + np.arange(len(ahead))] = columns_of(np.concatenate(group))
+            seen = np.einsum("ijk->ik", g[column].reshape(-1, passage, RANK + SPARE))
+            order = np.argsort(column.astype(np.int16), kind="stable")[: len(ahead)]
+            column, window = column[order], order // passage
             first = np.flatnonzero(np.diff(column, prepend=-1))
-            s[column[first]] += np.add.reduceat(seen[window], first)
+            s[column[first]] += summed_by(seen, window, first)
             new = (np.diff(column, prepend=-1) != 0) | (np.diff(window, prepend=-1) != 0)
             held += np.bincount(column[new], minlength=1 << BITS)
         there = np.flatnonzero(held)
@@ -90,6 +96,17 @@ def sketch(docs: DataFrame, passage: int = max(PASSAGES)) -> tuple[np.ndarray, n
     return held, s, int(count[~real].sum())
 
 
+def summed_by(rows: np.ndarray, at: np.ndarray, first: np.ndarray, lanes: int = 16) -> np.ndarray:
+    """Sums of rows[at] from each of `first` to the next: lanes of them are added up as blocks, which is the quicker way."""
+    length = np.diff(np.append(first, len(at)))
+    blocks = -(-length // lanes)
+    begin = np.cumsum(blocks) - blocks
+    padded = np.full(int(blocks.sum()) * lanes, len(rows))
+    padded[np.repeat(begin * lanes - first, length) + np.arange(len(at))] = at
+    some = np.pad(rows, ((0, 1), (0, 0)))[padded].reshape(-1, lanes, rows.shape[1])
+    return np.add.reduceat(np.einsum("ijk->ik", some), begin)
+
+
 def groups_of(parts: Iterator[np.ndarray], most: int = 4 * CHUNK) -> Iterator[list[np.ndarray]]:
     """Consecutive parts of `most` words together, or a little more."""
     group, n = [], 0
@@ -127,20 +144,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def signatures(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """256 bits for each part of the words that begins at `starts`: one for each word."""
-    bit = (words >> np.uint64(20)) & np.uint64(255)
-    rows = np.zeros((len(words), 4), np.uint64)
-    rows[np.arange(len(words)), (bit >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (bit & np.uint64(63))
-    return np.bitwise_or.reduceat(rows, starts)
-
-
-def bits_of(marks: np.ndarray) -> np.ndarray:
-    """Bits that are set in each row of four numbers; a passage has far fewer words than 256."""
-    a, b, c, d = np.bitwise_count(marks).T
-    return a + b + c + d
-
-
 def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     """Length of the longest common subsequence of `words` and the n words whose places `masks` has as bits."""
     full = (1 << n) - 1
@@ -151,26 +154,6 @@ def common_length(masks: dict[int, int], n: int, words: list[int]) -> int:
     return n - free.bit_count()
 
 
-@dataclass
-class Passage:
-    item_id: int
-    words: list[int]
-    masks: dict[int, int]
-    distinct: frozenset[int]
-    answer: frozenset[int]
-    reach: int  # words of the item
-
-
-@dataclass
-class Index:
-    """Items that are sought together. by_scale: window size -> (unit vectors, signatures, bits that must be near, passages)."""
-
-    by_scale: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[Passage]]]
-    runs: dict[int, dict[int, list[int]]]  # number of words -> hash of the run -> items
-    seeds: np.ndarray  # sorted hashes of runs of SEED words
-    seeded: list[list[tuple[int, int, int]]]  # for each of them window size, number of the passage there, place in the passage
-
-
 def run_hash(words: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
@@ -187,36 +170,126 @@ def answer_words(text: str) -> np.ndarray:
     return whole[len(whole) * 3 // 4 :]
 
 
-def index_items(items: list[tuple[int, str]], space: np.ndarray) -> Index:
-    found: dict[int, list] = {scale: [] for scale in SCALES}
-    seeds: dict[int, list[tuple[int, int, int]]] = {}
-    runs: dict[int, dict[int, list[int]]] = {}
-    for item_id, text in items:
-        words = word_hashes(text)
-        if not len(words):
-            continue
-        if len(words) < SHORTEST:
-            runs.setdefault(len(words), {}).setdefault(int(run_hash(words, len(words))[0]), []).append(item_id)
-            continue
-        answer = frozenset(answer_words(text).tolist())
-        most = next((n for n in PASSAGES if len(words) < n * 3 // 2), PASSAGES[-1])
-        last = max(0, len(words) - most)
-        for at in sorted({*range(0, last, most // 2), last}):
-            part = words[at : at + most]
-            scale = min(SCALES, key=lambda s: abs(s - len(part)))
-            for k, h in enumerate(run_hash(part, SEED).tolist()):
-                seeds.setdefault(h, []).append((scale, len(found[scale]), k))
-            masks: dict[int, int] = {}
-            for k, w in enumerate(part.tolist()):
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each passage of each item: the item, its passage's words, and with the first of them the answer's words."""
+    for batch in slices(batches):
+        rows: list[tuple] = []
+        for row, item_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "item_id", "text")), strict=True):
+            words = word_hashes(text)
+            if not len(words):
+                continue
+            most = len(words) if len(words) < SHORTEST else next((n for n in PASSAGES if len(words) < n * 3 // 2), PASSAGES[-1])
+            last = max(0, len(words) - most)
+            for at in sorted({*range(0, last, max(1, most // 2)), last}):
+                rows.append((row, item_id, len(words), words[at : at + most].tobytes(), np.unique(answer_words(text)).tobytes() if not at else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["row", "item_id", "reach", "words", "answer"])
+
+
+@dataclass
+class Index:
+    """Passages that are sought together, as flat arrays; the words of passage p are words[start[p] : start[p + 1]]."""
+
+    item: np.ndarray  # of each passage, the number of its item
+    ids: list[int | None]  # of each item
+    reach: np.ndarray  # words of each item
+    answers: list[frozenset[int]]
+    words: np.ndarray
+    start: np.ndarray
+    scale: np.ndarray  # words of the windows that are held against the passage
+    vectors: np.ndarray
+    keys: np.ndarray  # sorted words that are key of some passage
+    keyed: np.ndarray  # passages of all keys; those of key k are keyed[key_at[k] : key_at[k + 1]]
+    key_at: np.ndarray
+    maybe: np.ndarray  # for the top bits of a word whether it can be a key
+    runs: dict[int, tuple[np.ndarray, np.ndarray]]  # number of words -> sorted hashes of items of so many, numbers of these
+    masks: dict[int, tuple[dict[int, int], frozenset[int], dict[int, list[int]]]] = field(default_factory=dict)
+
+    def of(self, p: int) -> tuple[dict[int, int], frozenset[int], dict[int, list[int]]]:
+        """Places of the passage's words as bits, its distinct words, and the places of its runs of SEED words."""
+        if p not in self.masks:
+            words, masks = self.words[self.start[p] : self.start[p + 1]], {}
+            for k, w in enumerate(words.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << k
-            found[scale].append((space[columns_of(part)].sum(axis=0), signatures(part, np.array([0]))[0], Passage(item_id, part.tolist(), masks, frozenset(masks), answer, len(words))))
-    by_scale = {}
-    for scale, rows in found.items():
-        if rows:
-            marks, lengths = np.array([x[1] for x in rows]), np.array([len(x[2].words) for x in rows])
-            must = bits_of(marks) - (lengths - np.ceil(WEAK * lengths)).astype(np.int64)  # a bit that isn't near is a word that isn't
-            by_scale[scale] = unit(np.array([x[0] for x in rows])).astype(np.float32), marks, must, [x[2] for x in rows]
-    return Index(by_scale, runs, np.array(sorted(seeds), np.uint64), [seeds[h] for h in sorted(seeds)])
+            seeds: dict[int, list[int]] = {}
+            for k, h in enumerate(run_hash(words, SEED).tolist()):
+                seeds.setdefault(h, []).append(k)
+            self.masks[p] = masks, frozenset(masks), seeds
+        return self.masks[p]
+
+
+TOP = 44  #: bits of a word that `Index.maybe` leaves out
+
+
+def index_passages(rows: pa.Table, space: np.ndarray, held: np.ndarray) -> Index:
+    numbers = {r: k for k, r in enumerate(dict.fromkeys(rows.column("row").to_pylist()))}
+    ids: list[int | None] = [None] * len(numbers)
+    reach, answers = np.zeros(len(numbers), np.int64), [frozenset()] * len(numbers)
+    item, parts, short = [], [], {}
+    for row, item_id, n, words, answer in zip(*(rows.column(c).to_pylist() for c in ("row", "item_id", "reach", "words", "answer")), strict=True):
+        k = numbers[row]
+        ids[k], reach[k] = item_id, n
+        if answer is not None:
+            answers[k] = frozenset(np.frombuffer(answer, np.uint64).tolist())
+        words = np.frombuffer(words, np.uint64)
+        if n < SHORTEST:
+            short.setdefault(n, []).append((int(run_hash(words, n)[0]), k))
+        else:
+            item.append(k)
+            parts.append(words)
+    start = np.cumsum([0, *map(len, parts)])
+    flat = np.concatenate([np.zeros(0, np.uint64), *parts])
+    scale = np.array([min(SCALES, key=lambda s: abs(s - len(w))) for w in parts], np.int64)
+    vectors = np.array([space[columns_of(w)].sum(axis=0) for w in parts], np.float32).reshape(-1, RANK)
+    key, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for p, w in enumerate(parts):
+        rarest = np.unique(w[np.argsort(held[columns_of(w)], kind="stable")[: len(w) - math.ceil(WEAK * len(w)) + KEYS]])
+        key.append(rarest)
+        owner.append(np.full(len(rarest), p))
+    flat_key, flat_owner = np.concatenate(key), np.concatenate(owner)
+    order = np.argsort(flat_key, kind="stable")
+    keys, first = np.unique(flat_key[order], return_index=True)
+    maybe = np.zeros(1 << (64 - TOP), bool)
+    maybe[(keys >> np.uint64(TOP)).astype(np.int64)] = True
+    runs = {n: (np.array([h for h, _ in sorted(some)], np.uint64), np.array([k for _, k in sorted(some)])) for n, some in short.items()}
+    return Index(np.array(item, np.int64), ids, reach, answers, flat, start, scale, unit(vectors), keys, flat_owner[order], np.append(first, len(flat_key)), maybe, runs)
+
+
+def repeated_ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after another, and for each the number of its range."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(which)) - (np.cumsum(n) - n)[which] + begin[which], which
+
+
+def places(texts: list[np.ndarray], index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Number of the text, passage, first and last word of each stretch where KEYS of the passage's keys are near each other."""
+    if not texts or not len(index.keys):
+        return
+    words, begins = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    at = np.flatnonzero(index.maybe[(words >> np.uint64(TOP)).astype(np.int64)])
+    key = np.minimum(np.searchsorted(index.keys, words[at]), len(index.keys) - 1)
+    real = index.keys[key] == words[at]
+    at, key = at[real], key[real]
+    apart = int(max(SCALES)) + 2 * SLACK  # texts are laid so far from each other
+    at += np.repeat(np.arange(len(texts)) * apart, np.diff(np.searchsorted(at, begins)))
+    entry, which = repeated_ranges(index.key_at[key], index.key_at[key + 1])
+    passage, at = index.keyed[entry], at[which]
+    order = np.argsort(passage.astype(np.int32), kind="stable")  # `at` ascends already
+    passage, at = passage[order], at[order]
+    if len(at) < KEYS:
+        return
+    span = (np.maximum(index.scale, np.diff(index.start)) + 2 * SLACK)[passage]
+    begin, end = slice(None, len(at) - KEYS + 1), slice(KEYS - 1, None)
+    near = np.flatnonzero((passage[begin] == passage[end]) & (at[end] - at[begin] < span[begin]))
+    if not len(near):
+        return
+    first, last, which, span = at[near], at[near + KEYS - 1], passage[near], span[near]
+    new = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (first[1:] > last[:-1] + span[1:])))
+    first, last, which = first[new], last[np.append(new[1:], len(near)) - 1], which[new]
+    laid = begins + np.arange(len(begins)) * apart
+    text = np.searchsorted(laid, first, "right") - 1
+    yield from zip(text.tolist(), which.tolist(), (first - laid[text]).tolist(), (last - laid[text]).tolist(), strict=True)
 
 
 def sums_over(blocks: np.ndarray, n: int) -> np.ndarray:
@@ -226,84 +299,88 @@ def sums_over(blocks: np.ndarray, n: int) -> np.ndarray:
     return (total[n:] - total[:-n]).astype(np.float32)
 
 
-def seeded(words: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
-    """Window size, number of the passage and start in the text where SEED words of a passage stand in a row."""
-    if len(words) < SEED or not len(index.seeds):
-        return
-    hashes = run_hash(words, SEED)
-    place = np.minimum(np.searchsorted(index.seeds, hashes), len(index.seeds) - 1)
-    hits = np.flatnonzero(index.seeds[place] == hashes)
-    yield from dict.fromkeys((scale, q, at - k) for at, seed in zip(hits.tolist(), place[hits].tolist(), strict=True) for scale, q, k in index.seeded[seed])
-
-
-def matches(words: np.ndarray, index: Index, space: np.ndarray) -> list[dict]:
-    """The best match of each item that the text holds."""
-    best: dict[int, dict] = {}
+def found_in(texts: list[np.ndarray], index: Index, space: np.ndarray) -> list[list[dict]]:
+    """For each text the best match of each item that it holds."""
+    best: list[dict[int, dict]] = [{} for _ in texts]
 
-    def offer(item_id: int, kind: str, cosine: float, common: float, answer: float, start: int, end: int) -> None:
-        if item_id not in best or (kind == "copy", common, cosine) > (best[item_id]["kind"] == "copy", best[item_id]["common"], best[item_id]["cosine"]):
-            best[item_id] = {"item_id": item_id, "kind": kind, "cosine": cosine, "common": common, "answer": answer, "start_word": start, "end_word": end}
+    def offer(text: int, item: int, kind: str, cosine: float, common: float, answer: float, start: int, end: int) -> None:
+        old = best[text].get(item)
+        if old is None or (kind == "copy", common, cosine) > (old["kind"] == "copy", old["common"], old["cosine"]):
+            best[text][item] = {"item_id": index.ids[item], "kind": kind, "cosine": cosine, "common": common, "answer": answer, "start_word": start, "end_word": end}
 
-    for n, known in index.runs.items():
-        if len(words) >= n:
+    for n, (known, item) in index.runs.items():
+        for text, words in enumerate(texts):
             hashes = run_hash(words, n)
-            for at in np.flatnonzero(np.isin(hashes, np.fromiter(known, np.uint64))).tolist():
-                for item_id in known[int(hashes[at])]:
-                    offer(item_id, "copy", 1.0, 1.0, 1.0, at, at + n)
-
-    def check(passage: Passage, start: int, end: int, cosine: float) -> None:
-        n = len(passage.words)
+            low, high = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            for at in np.flatnonzero(low < high).tolist():
+                for k in item[low[at] : high[at]].tolist():
+                    offer(text, k, "copy", 1.0, 1.0, 1.0, at, at + n)
+
+    def can_be(p: int, n: int, nearby: list[int]) -> bool:
+        """Words of the passage that aren't there can't be in a common subsequence."""
+        masks, distinct, _ = index.of(p)
+        return n - (len(masks) - len(distinct.intersection(nearby))) >= WEAK * n
+
+    def check(text: int, p: int, n: int, start: int, end: int, cosine: float) -> None:
+        words = texts[text]
+        start, end = max(0, start), min(len(words), end)
         nearby = words[start:end].tolist()
-        if n - (len(passage.masks) - len(passage.distinct.intersection(nearby))) < WEAK * n:
-            return  # words that aren't there can't be in a common subsequence
-        common = common_length(passage.masks, n, nearby) / n
+        if not can_be(p, n, nearby):
+            return
+        common = common_length(index.of(p)[0], n, nearby) / n
         if common < WEAK:
             return
-        reach = words[max(0, start - passage.reach) : end + passage.reach]
-        answer = len(passage.answer.intersection(reach.tolist())) / len(passage.answer)
+        item = int(index.item[p])
+        old = best[text].get(item)
+        if old and (old["kind"] == "copy", old["common"], old["cosine"]) >= (common >= STRONG, common, cosine):
+            return
+        wanted, reach = index.answers[item], int(index.reach[item])
+        answer = len(wanted.intersection(words[max(0, start - reach) : end + reach].tolist())) / len(wanted)
         if common >= STRONG or answer >= ANSWER:
-            offer(passage.item_id, "copy" if common >= STRONG else "paraphrase", cosine, common, answer, start, end)
-
-    for scale, q, at in seeded(words, index):
-        items, _, _, passages = index.by_scale[scale]
-        window = words[max(0, at) : max(0, at) + scale]
-        cosine = unit(space[columns_of(window)].sum(axis=0)[None])[0] @ items[q]
-        check(passages[q], max(0, at - SLACK), min(len(words), at + len(passages[q].words) + SLACK), float(cosine))
-    step = CHUNK - 2 * max(SCALES)  # chunks overlap, so that no window is lost
-    for begin in range(0, max(1, len(words)), step):
-        part = words[begin : begin + CHUNK]
-        if not len(part) or (begin and len(part) <= 2 * max(SCALES)):
-            break
-        starts = np.arange(0, len(part), STRIDE)
-        vectors = np.add.reduceat(space[columns_of(part)], starts)
-        beside = SLACK // STRIDE
-        padded = np.pad(signatures(part, starts), ((beside, beside + max(SCALES) // STRIDE), (0, 0)))
-        for scale, (items, item_marks, must, passages) in index.by_scale.items():
-            blocks = scale // STRIDE
-            cosines = unit(sums_over(vectors, blocks)) @ items.T
-            at, q = np.divmod(np.flatnonzero(cosines >= COSINE), len(passages))
-            if not len(at):
+            offer(text, item, "copy" if common >= STRONG else "paraphrase", cosine, common, answer, start, end)
+
+    for text, p, first, last in places(texts, index):
+        words = texts[text]
+        own, scale = index.words[index.start[p] : index.start[p + 1]], int(index.scale[p])
+        n = len(own)
+        span = max(n, scale) + SLACK
+        vector = index.vectors[p]
+        low, high = max(0, first - span) // STRIDE * STRIDE, min(len(words), last + span + SLACK)
+        for begin in range(low, high, CHUNK):
+            part = words[begin : min(high, begin + CHUNK + scale)]
+            if begin > low and len(part) <= scale:
+                break  # the chunk before has held it
+            if not can_be(p, n, part.tolist()):
                 continue
-            around = reduce(np.bitwise_or, (padded[k : len(starts) + k] for k in range(blocks + 2 * beside + 1)))  # a passage has at most STRIDE words more than its window
-            near = bits_of(around[at] & item_marks[q]) >= must[q]
-            for a, k in zip(at[near].tolist(), q[near].tolist(), strict=True):
-                start = begin + a * STRIDE
-                end = start + max(scale, len(passages[k].words)) + SLACK
-                check(passages[k], max(0, start - SLACK), min(len(words), end), float(cosines[a, k]))
-    return sorted(best.values(), key=lambda m: m["item_id"])
+            starts = np.arange(0, len(part), STRIDE)
+            cosines = unit(sums_over(np.add.reduceat(space[columns_of(part)], starts), scale // STRIDE)) @ vector
+            for a in np.flatnonzero(cosines >= COSINE).tolist():
+                at = begin + a * STRIDE
+                check(text, p, n, at - SLACK, at + span, float(cosines[a]))
+            seeds = index.of(p)[2]
+            for at in dict.fromkeys(begin + h - k for h, run in enumerate(run_hash(part, SEED).tolist()) for k in seeds.get(run, ())):
+                window = words[max(0, at) : max(0, at) + scale]
+                check(text, p, n, at - SLACK, at + n + SLACK, float(unit(space[columns_of(window)].sum(axis=0)[None])[0] @ vector))
+    return [sorted(b.values(), key=lambda m: (m["item_id"] is None, m["item_id"])) for b in best]
 
 
 def matched(docs: DataFrame, benchmark: DataFrame) -> Column:
     """For each row's whole text the benchmark items that it holds, as array of MATCHES; empty for null and empty texts.
 
-    Items without words are never held. The benchmark is read item by item and sought in goes of ITEMS.
+    Items without words are never held. Items whose id is null or no number are sought like others, with a null item_id;
+    of rows with one item_id each gives its match. Passages are cut by a Spark job and sought A_GO at a time: an item's
+    passages stay in one go, so a go is bounded by A_GO and by the longest item.
     """
     spark = docs.sparkSession
-    space = latent(*sketch(docs))
+    held, sums, passages = sketch(docs)
+    space = latent(held, sums, passages)
+    items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.expr("try_cast(item_id as bigint)").alias("item_id"), "text").where("text is not null")
+    parts = durable(items.mapInArrow(cut, "row long, item_id long, reach long, words binary, answer binary"))
+    goes = -(-parts.count() // A_GO)
     columns = []
-    items = ((r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").toLocalIterator())
-    for some in batched(items, ITEMS):
-        columns.append(seeker(spark.sparkContext.broadcast((index_items(list(some), space), space)))("text"))
+    for go in range(goes):
+        mine = parts.where(F.expr(f"pmod(xxhash64(row), {goes}) = {go}")).toArrow()
+        columns.append(seeker(spark.sparkContext.broadcast((index_passages(mine, space, held), space)))("text"))
     return F.concat(*columns) if columns else F.array().cast(MATCHES)
 
 
@@ -312,7 +389,7 @@ def seeker(shared):
     def seek(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index, space = shared.value
         for part in parts:
-            yield pd.Series([matches(word_hashes(t), index, space) if t else [] for t in part], dtype=object)
+            yield pd.Series([m for group in groups_of(hashes_of(part)) for m in found_in(group, index, space)], dtype=object)
 
     return seek
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -36,31 +37,58 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def hashed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words among at most PIECE code points, and where they begin."""
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = word_characters()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers()
+    terms = points + np.uint64(1)
+    terms *= up[: len(points)]
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash for each word, a longest run of letters and digits of the lower-cased text, in order."""
     points = code_points((text or "").lower())
     found, at = [], 0
     while at < len(points):
         stop = min(len(points), at + PIECE)
-        inside = word_characters()[points[at:stop]]
         if stop < len(points):  # end behind the last character that is none of a word, unless one word fills the piece
-            outside = np.flatnonzero(~inside)
+            outside = np.flatnonzero(~word_characters()[points[at:stop]])
             if len(outside):
                 stop = at + int(outside[-1]) + 1
-                inside = inside[: stop - at]
-        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        starts, ends = edges[::2], edges[1::2]
-        if len(starts):
-            up, down = powers()
-            n = stop - at
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((points[at:stop].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            found.append(mixed((sums[ends] - sums[starts]) * down[starts]))
+        found.append(hashed(points[at:stop])[0])
         at = stop
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def hashes_of(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """`word_hashes` of each text; short ones are joined and hashed together, which costs a third."""
+    group: list[str] = []
+    n = 0
+
+    def together() -> list[np.ndarray]:
+        hashes, starts = hashed(code_points("\n".join(group)))
+        return np.split(hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group])[:-1]))
+
+    for text in texts:
+        text = (text or "").lower()
+        if group and n + len(text) >= PIECE:
+            yield from together()
+            group, n = [], 0
+        if len(text) >= PIECE:
+            yield word_hashes(text)
+        else:
+            group.append(text)
+            n += len(text) + 1
+    if group:
+        yield from together()
+
+
 def shingles(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's runs of `n` words; a text of fewer words has one, of all of them.
 
