@@ -15,7 +15,7 @@ from .sharding import shard_by_bytes
 from .token_counts import token_report
 from .toxicity import toxicity_report
 from .url_filters import judge
-from .warc import archived, fixity_report, warc_record
+from .warc import PER_ARCHIVE, archived, fixity_report, warc_record
 
 
 def vocabulary() -> str:
@@ -66,15 +66,21 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC records, audited against a replica whose records of every 97th page have a changed first character."""
-    pages = table(spark, sf_dir, "pages")
-    damaged = F.when(F.col("page_id") % 97 == 0, F.overlay("html", F.lit("#"), 1, 1)).otherwise(F.col("html"))
-    order = [F.col("page_id"), F.col("url")]
+    """All pages as WARC records, audited against a replica with planted damage.
+
+    In the replica records of every 97th page have a changed first character, those of some other pages are longer, lost,
+    or stand with one more record of the page's id, a revisit.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = F.when(F.col("page_id") % 97 == 0, F.overlay("html", F.lit("#"), 1, 1)).when(F.col("page_id") % 89 == 5, F.concat("html", F.lit("<!-- cut"))).otherwise(F.col("html"))
+    damaged = pages.where("page_id is null or page_id % 83 <> 11").withColumn("html", text)
+    damaged = damaged.unionByName(pages.where("page_id % 79 = 7").withColumns({"url": F.concat("url", F.lit("#revisit")), "html": F.lit("")}))
+    number = F.col("page_id").cast("long")
     manifests = [
-        archived(x.select("page_id", "url", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), order)
-        for x in (pages, pages.withColumn("html", damaged))
+        archived(x.withColumn("record", warc_record(F.col("page_id"), F.col("url"), F.col("html"))).drop("html"), F.floor(number / PER_ARCHIVE), F.pmod(number, F.lit(PER_ARCHIVE)), [number, F.col("url")])
+        for x in (pages, damaged)
     ]
-    return fixity_report(*manifests, carry=["page_id", "url"])
+    return fixity_report(*manifests).select("archive", "slot", "seq", "offset", "length", "replica_seq", "replica_offset", "replica_length", "copies", "status", "about.page_id", "about.url")
 
 
 QUERIES = {
@@ -115,13 +121,20 @@ ORACLE_SQL = {
             row_number() over (partition by shard order by doc_id) - 1 as slot, cast(null as int) as grown_shard
         from cut""",
     "op10_warc_fixity": """
-        with laid as (
-            select page_id, url, html, row_number() over (order by page_id) - 1 as n,
-                length('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Length: ....') + length(cast(page_id as varchar))
-                + octet_length(encode(url)) + length(cast(octet_length(encode(html)) as varchar)) + octet_length(encode(html)) + 4 as size
-            from pages),
-        placed as (select *, sum(size) over (order by n rows unbounded preceding) - size as ahead from laid)
-        select n // 4096 as archive, n % 4096 as seq, cast(ahead as bigint) as "offset", cast(size as bigint) as length,
-            cast(ahead as bigint) as replica_offset, cast(size as bigint) as replica_length, 'changed' as status, page_id, url
-        from placed where page_id % 97 = 0 and not starts_with(html, '#')""",
+        with replica as (
+            select page_id, url, case when page_id % 97 = 0 then '#' || substring(html, 2) when page_id % 89 = 5 then html || '<!-- cut' else html end as html
+            from pages where page_id % 83 <> 11
+            union all select page_id, url || '#revisit', '' from pages where page_id % 79 = 7),
+        sized as (
+            select side, page_id, url, html, length('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Length: ....') + length(cast(page_id as varchar))
+                + octet_length(encode(url)) + length(cast(octet_length(encode(html)) as varchar)) + octet_length(encode(html)) + 4 as length
+            from (select 'a' as side, page_id, url, html from pages union all select 'b', * from replica)),
+        laid as (
+            select *, row_number() over archive - 1 as seq, sum(length) over (archive rows unbounded preceding) - length as "offset"
+            from sized window archive as (partition by side, page_id // 4096 order by page_id, url)),
+        a as (select * from laid where side = 'a'), b as (select * from laid where side = 'b')
+        select page_id // 4096 as archive, page_id % 4096 as slot, a.seq, cast(a."offset" as bigint) as "offset", cast(a.length as bigint) as length,
+            b.seq as replica_seq, cast(b."offset" as bigint) as replica_offset, cast(b.length as bigint) as replica_length,
+            cast(1 as bigint) as copies, case when b.url is null then 'missing' when a.url is null then 'extra' else 'changed' end as status, page_id, url
+        from a full join b using (page_id, url) where a.html is distinct from b.html""",
 }

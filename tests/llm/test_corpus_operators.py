@@ -166,13 +166,33 @@ def test_shards(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 3008
 
 
+def manifest(records, per=64):
+    number = F.col("page_id")
+    made = records.withColumn("record", warc.warc_record(number, F.col("url"), F.col("html"))).drop("html")
+    return warc.archived(made, F.floor(number / per), F.pmod(number, F.lit(per)), [number, F.col("url")])
+
+
 def test_fixity(spark):
-    pages = spark.createDataFrame([(k, f"http://x/{k}", "body" * (k % 7)) for k in range(300)] + [(None, None, None)], "page_id long, url string, html string")
-    damaged = pages.withColumn("html", F.when(F.col("page_id").isin(5, 250), F.lit("lost")).otherwise(F.col("html")))
-    made = [warc.archived(x.select("page_id", "url", warc.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), [F.col("page_id")], 64) for x in (pages, pages, damaged)]
-    assert warc.fixity_report(made[0], made[1], ["page_id"], 4, 3).count() == 0
-    ids = {r.page_id for r in warc.fixity_report(made[0], made[2], ["page_id"], 4, 3).collect()}
-    assert {5, 250} <= ids and all(i is not None and i >= 5 for i in ids)  # a changed length moves what follows it
+    """One changed record, one longer, one lost and one added give just their rows; so do repeated and null ids."""
+    rows = [(k, f"http://x/{k}", "body" * (k % 7), k, "clash") for k in range(300)] + [(None, None, None, 0, "clash"), (7, "http://x/7", "body" * 0, 1, "clash")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, offset int, digest string")
+    damaged = pages.withColumn("html", F.when(F.col("page_id") == 5, F.lit("lost")).when(F.col("page_id") == 250, F.concat("html", F.lit("!"))).otherwise(F.col("html")))
+    damaged = damaged.where("page_id is null or page_id <> 130").unionByName(spark.createDataFrame([(66, "http://x/new", "new", 0, "")], pages.schema))
+    whole, again, other = manifest(pages), manifest(pages.orderBy(F.rand(3))), manifest(damaged)
+    assert warc.fixity_report(whole, again, 4, 3).count() == 0
+    found = {(r.about.page_id, r.about.url): r for r in warc.fixity_report(whole, other, 4, 3).collect()}
+    assert {k[0]: r.status for k, r in found.items()} == {5: "changed", 250: "changed", 130: "missing", 66: "extra"}
+    assert found[66, "http://x/new"].seq is None and found[5, "http://x/5"].about.offset == 5
+    assert {r.status for r in warc.fixity_report(whole, manifest(pages.limit(0)), 4, 3).collect()} == {"missing"}
+    assert sum(r.copies for r in warc.fixity_report(manifest(pages.limit(0)), whole, 4, 3).collect()) == len(rows)
+    assert warc.fixity_report(manifest(pages.limit(0)), manifest(pages.limit(0)), 4, 3).count() == 0
+
+
+def test_fixity_of_displaced_records(spark):
+    whole = manifest(spark.createDataFrame([(k, "u", "x") for k in range(64)], "page_id long, url string, html string"))
+    moved = whole.withColumn("offset", F.col("offset") + F.when(F.col("slot").between(20, 23), 9).otherwise(0))
+    found = warc.fixity_report(whole, moved, 4, 3).collect()
+    assert [r.status for r in found] == ["displaced"] and found[0].slot == 16  # the node of slots 16 to 31, where 20 to 23 lie elsewhere
 
 
 def prose(rng, words, n):
