@@ -13,6 +13,11 @@ PHONE = r"\+?\d[\d ().-]{7,}\d"
 LINK = r"https?://[^\s<>\"')]+"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often and in whatever lambda the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literals(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 

@@ -78,3 +78,38 @@ STOP = (
     "relevant related similar equivalent field environment environments based high level highly hands ensure "
     "within into through both each other them they these those where while you'll we're you're it's"
 ).split()
+
+# --- fixed values: skills --------------------------------------------------------------------------------------------
+SOFT_CATEGORY = "Professional Skills"
+CONTEXT_WORDS = 8
+NEGATIONS = ["no", "not", "without", "never", "non", "nor"]
+CLAUSE_WORDS = ["but", "however", "whereas"]
+SEASON_YEAR = r"(?i)\b(?:spring|summer|fall|autumn|winter)\s+(?:term\s+|semester\s+|of\s+)?'?\d{2,4}\b"
+
+# --- fixed values: requirement lines, years, titles, degrees ---------------------------------------------------------
+PREFERRED_HEADING = r"(?im)^\W*(nice[\s-]*to[\s-]*haves?|preferred|bonus|good to have|desirable|a plus|pluses|extra credit|what would (?:make you|set you)|ideal(?:ly)?)\b.*$"
+REQUIRED_HEAD = r"(?i)(requirement|qualification|what you(?:'ll)? (?:need|bring)|who you are|about you|you have|you(?:'ll)? have|must[\s-]have|skills|what we(?:'re| are) looking for|experience|your profile|you should|you bring|ideal candidate)"
+PREFERRED_HEAD = r"(?i)(nice[\s-]*to[\s-]*have|preferred|bonus|good to have|desirable|a plus|pluses|extra credit|ideal)"
+SKIPPED_HEAD = (
+    r"(?i)(benefit|perk|what we offer|we offer|about us|about the company|who we are|why (?:join|us|work)|compensation|salary|equal opportunit|diversity|our values|"
+    r"how to apply|interview process|responsibilit|what you(?:'ll)? do|the role|about the role|day[\s-]to[\s-]day|your mission|in this role|you will|what you will)"
+)
+REQUIREMENT_CUE = r"(?i)\b(experience|proficien|knowledge|familiar|degree|must|required|ability to|skills?|years?|understanding|expertise|background in|certif|fluent|hands-on)\b"
+BULLET = r"^\s*(?:[•\-*·▪►◦–]|\d{1,2}[.)])\s*"
+ALTERNATIVES = r"(?i)\bor\b|/|\beither\b|\bsimilar\b|\bequivalent\b"
+YEARS_ASKED = r"(?i)(\d{1,2})\s*\+?\s*(?:(?:-|–|to)\s*\d{1,2}\s*\+?\s*)?(?:years?|yrs?)\b[^.\n]{0,40}?experience|experience[^.\n]{0,40}?(\d{1,2})\s*\+?\s*(?:years?|yrs?)"
+YEARS_ON_LINE = r"(?i)(\d{1,2})\s*\+?\s*(?:(?:-|–|to)\s*\d{1,2}\s*\+?\s*)?(?:years?|yrs?)\b"
+SENIORITY_YEARS = [
+    (r"(?i)\b(principal|staff|head of|director)\b", 8), (r"(?i)\b(lead|manager)\b", 6), (r"(?i)\b(senior|sr\.?)\b", 5),
+    (r"(?i)\b(junior|jr\.?|entry|graduate|intern|trainee|associate)\b", 0),
+]
+TITLE_NOISE = "senior sr junior jr lead principal staff associate intern ii iii i the and of for a an in at remote hybrid contract full time part".split()
+WEAK_TITLE = "engineer developer specialist analyst manager".split()
+NO_DEGREE = r"(?i)\b(scrum|data|branch|quarter|web|ring|post|head|station|chess|grand)[\s-]?master|master\s+(?:data|branch|class|plan|key|list|record|copy|bedroom|craftsman|of ceremon)|\bmaster(?:ed|y|ing)\b|\bmasterclass\b"
+DEGREES = [
+    ("PhD", 4, r"(?i)\b(ph\.?\s?d|doctorate|doctoral degree|d\.?phil)\b"),
+    ("Master's", 3, r"(?i)\bmaster'?s\b(?!\s+(?:data|branch|class))|\bmasters?\s+(?:degree|of|in)\b|\bmaster\s+of\s+(?:science|arts|business|engineering|technology|computer|education|public|fine|laws?|philosophy|commerce|information)|\bm\.\s?sc\b|\bmsc\b|\bm\.s\.(?=\s|$)|\bm\.?s\.?\s+in\b|\bmba\b|\bm\.?eng\b|\bm\.?\s?tech\b|post-?graduate degree"),
+    ("Bachelor's", 2, r"(?i)\b(bachelor'?s?|b\.\s?sc|bsc|b\.s\.|b\.a\.|b\.?eng|b\.?\s?tech|undergraduate degree|(?:university|college) degree|degree in)\b"),
+]
+DEGREE_CUE = r"(?i)\b(degree|bachelor'?s?|ph\.?\s?d|doctorate|bsc|msc|b\.s\.|m\.s\.|mba|b\.?\s?tech|m\.?\s?tech)\b|\bmaster'?s\b|\bmasters?\s+(?:degree|of|in)\b"
+DEGREE_SOFTENER = r"(?i)\b(or equivalent|equivalent (?:practical |work )?experience|preferred|a plus|nice to have|desirable|or similar experience|bonus)\b"

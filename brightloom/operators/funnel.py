@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions.text import age_hours, alnum, city_key, core_tokens, is_remote, norm_company, norm_tokens, relevance
 from ..functions.values import ANYWHERE, CITIES, COUNTRIES, EMPLOYMENT, JUNIOR_TITLE, OTHER_PRIORITY, REGIONS, SENIOR_TITLE, SOURCE_PRIORITY
 
@@ -152,11 +153,13 @@ def simhash(rows: DataFrame, id_column: str, text: str, out: str = "simhash") ->
     runs = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.array_join(F.slice("w", k, 3), " ")))
     shingles = rows.select(id_column, words.alias("w")).select(id_column, F.explode_outer(runs).alias("run"))
     h = F.conv(F.substring(F.md5("run"), 1, 16), 16, -10).cast("long")
-    counted = shingles.select(id_column, h.alias("h")).groupBy(id_column).agg(*(F.sum(F.when(F.getbit("h", F.lit(b)) == 1, 1).otherwise(-1)).alias(f"b{b}") for b in range(64)), F.count("h").alias("n"))
-    bits = None
+    pairs = F.lit((1 << 32) + 1)  # bits k and k + 32 are counted in the halves of one number
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pairs)).alias(f"s{k}") for k in range(32)]
+    counted = shingles.select(id_column, h.alias("h")).groupBy(id_column).agg(*sums, F.count("h").alias("n"))
+    bits = F.lit(0).cast("long")
     for b in range(64):
-        one = F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-        bits = one if bits is None else bits.bitwiseOR(one)
+        ones = F.shiftrightunsigned(f"s{b % 32}", 32) if b >= 32 else F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))
+        bits = bits.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     return counted.select(id_column, F.when(F.col("n") > 0, bits).otherwise(F.lit(0).cast("long")).alias(out))
 
 
@@ -211,18 +214,18 @@ def near_classes(hashes: DataFrame, block: list[str], most: int = 3) -> DataFram
     A class is what links of at most `most` differing bits join within a block, equal hashes included; class_id is its
     least id, n_links counts the other rows that a row is linked to. Rows of hash 0 are classes of their own.
     """
-    hashes = hashes.select(*block, "id", "simhash").localCheckpoint()
-    distinct = hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("least"), F.count("*").alias("copies")).localCheckpoint()
+    hashes = durable(hashes.select(*block, "id", "simhash"))
+    distinct = durable(hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
     found = near_hashes(distinct, block, most).select(*block, "hash_a", "hash_b")
     turned = found.select(*block, F.col("hash_b").alias("simhash"), F.col("hash_a").alias("other"))
-    edges = found.select(*block, F.col("hash_a").alias("simhash"), F.col("hash_b").alias("other")).unionByName(turned).localCheckpoint()
-    labels = distinct.select(*block, "simhash", F.col("simhash").alias("label")).localCheckpoint()
+    edges = durable(found.select(*block, F.col("hash_a").alias("simhash"), F.col("hash_b").alias("other")).unionByName(turned))
+    labels = distinct.select(*block, "simhash", F.col("simhash").alias("label"))
     while True:  # least labels and pointer jumps, until nothing changes
         theirs = labels.withColumnsRenamed({"simhash": "other", "label": "theirs"})
         offered = matched(edges, theirs, [*block, "other"]).groupBy(*block, "simhash").agg(F.min("theirs").alias("offer"))
         lower = matched(labels, offered, [*block, "simhash"], "left").select(*block, "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
         jump = labels.select(*block, F.col("simhash").alias("label"), F.col("label").alias("further"))
-        new = matched(lower, jump, [*block, "label"]).select(*block, "simhash", F.least("label", "further").alias("label"), "old").localCheckpoint()
+        new = durable(matched(lower, jump, [*block, "label"]).select(*block, "simhash", F.least("label", "further").alias("label"), "old"))
         labels = new.drop("old")
         if new.where("label <> old").isEmpty():
             break
@@ -236,7 +239,7 @@ def near_classes(hashes: DataFrame, block: list[str], most: int = 3) -> DataFram
 
 def deduplicated(postings: DataFrame) -> DataFrame:
     """`merged`, and then one posting for each class of near-equal descriptions at one company and city, as of reposts with another title."""
-    unique = merged(postings).withColumn("_row", merge_key()).localCheckpoint()
+    unique = durable(merged(postings).withColumn("_row", merge_key()))
     told = unique.where(F.length("description") >= LEAST_TEXT)
     place = told.select(F.col("_row").alias("id"), norm_company(F.col("company")).alias("at"), city_key(F.col("location"), F.col("remote")).alias("city"))
     hashes = simhash(told, "_row", "description").withColumnRenamed("_row", "id").join(place, "id")

@@ -7,28 +7,55 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# --- fixed values: countries, languages, licences and phrases by which a sentence states a gate ------------------------
+# --- fixed values: countries, languages, licences and phrases by which a posting states a gate -------------------------
 COUNTRIES = {
     "us": "US", "u.s.": "US", "usa": "US", "united states": "US", "uk": "UK", "u.k.": "UK", "united kingdom": "UK", "british": "UK", "eu": "EU",
-    "european union": "EU", "canada": "Canada", "canadian": "Canada", "australia": "Australia", "australian": "Australia", "germany": "Germany",
-    "india": "India", "ireland": "Ireland", "netherlands": "Netherlands", "france": "France", "singapore": "Singapore", "new zealand": "New Zealand",
+    "european union": "EU", "canadian": "Canada", "australian": "Australia",
 }
 LANGUAGES = (
-    "english german french spanish italian portuguese dutch polish swedish danish norwegian finnish japanese mandarin chinese "
-    "cantonese korean arabic hebrew hindi russian turkish greek czech"
-).split()
-LICENCES = {"RN licence": r"\b(rn|registered nurse) licen[cs]e\b", "CPA": r"\bcpa\b", "Driving licence": r"\bdriv(er'?s|ing) licen[cs]e\b", "Bar admission": r"\b(admitted to|member of) the bar\b"}
-SENTENCE_END = r"\n|\. |; "
-PLACE = "|".join(k.replace(".", r"\.") for k in sorted(COUNTRIES, key=len, reverse=True))
-AUTHORISED = rf"\b(?:authori[sz]ed|eligible|entitled|right) to work in (?:the )?({PLACE})(?:\W|$)"
-CITIZEN = rf"\b(?:must be|only) (?:an? )?({PLACE}) citizens?\b"
-UNSPONSORED = r"\b(?:no|not|unable to|cannot|can't|won't|don't) (?:offer |provide )?(?:visa )?sponsor|\bwithout (?:visa )?sponsorship\b|\bsponsorship (?:is )?not (?:available|offered|provided)\b"
-CLEARANCE = r"\b(ts/sci|top secret|secret|public trust|baseline)? ?(?:security )?clearance\b"
-LANGUAGE = rf"\b(?:fluent|fluency|native|proficient|proficiency) (?:in )?(?:written |spoken |and )*({'|'.join(LANGUAGES)})\b|\b({'|'.join(LANGUAGES)})(?: is)? (?:required|essential|mandatory)\b|\b({'|'.join(LANGUAGES)})[- ]speaking\b"
-ONSITE = r"\bfully on-?site\b|\bon-?site\b[^.]{0,40}\b(?:required|only|full[- ]time|\d days)\b|\bno remote\b|\brelocation (?:is )?required\b"
-SOFT = r"\b(?:a plus|nice to have|preferred|bonus|advantage|desirable|ideally)\b"
+    "English|German|French|Spanish|Italian|Portuguese|Dutch|Polish|Swedish|Danish|Norwegian|Finnish|"
+    "Japanese|Mandarin|Chinese|Cantonese|Korean|Arabic|Hebrew|Hindi|Russian|Turkish|Greek|Czech"
+)
+UNSPONSORED = (
+    r"(?i)\b(?:no|not|unable to|cannot|can't|will not|won't|do not|does not|don't)\s+(?:offer\s+|provide\s+)?(?:visa\s+)?sponsor(?:ship)?\b|"
+    r"\bwithout\s+(?:the\s+need\s+for\s+)?(?:visa\s+)?sponsorship\b|\bsponsorship\s+(?:is\s+)?not\s+(?:available|offered|provided)\b"
+)
+AUTHORISED = (
+    r"(?i)\b(?:legally\s+)?(?:authori[sz]ed|eligible|entitled|right)\s+to\s+work\s+in\s+(?:the\s+)?(US|U\.S\.|USA|United States|UK|U\.K\.|United Kingdom|EU|"
+    r"European Union|Canada|Australia|Germany|India|Ireland|Netherlands|France|Singapore|New Zealand)\b"
+)
+CITIZEN = r"(?i)\b(?:must be|only)\s+(?:a\s+)?(US|U\.S\.|UK|British|Canadian|Australian)\s+citizens?\b"
+CLEARANCE = r"(?i)\b(TS/SCI|top secret|secret|SC|DV|NV1|NV2|baseline|public trust)\s+(?:security\s+)?clearance\b|\bsecurity clearance\b|\bclearance\s+(?:is\s+)?required\b"
+CLEARED = r"(?i)\b(TS/SCI|top secret|secret|SC|DV|NV1|NV2|baseline|public trust)\b[^.\n]{0,30}\bclearance\b|\b(?:active|current|held|hold)\b[^.\n]{0,20}\bclearance\b"
+LANGUAGE = (
+    rf"(?i)\b(?:fluent|fluency|native|proficient|proficiency|business[- ]level|professional)\s+(?:in\s+)?(?:(?:written|spoken|and|or|both|level|working)\s+)*({LANGUAGES})\b|"
+    rf"\b({LANGUAGES})\s+(?:\(?(?:C1|C2|B2)\)?\s+)?(?:is\s+)?(?:required|essential|mandatory|a must)\b|\b({LANGUAGES})[- ]speaking\b"
+)
+SOFT = r"(?i)\b(?:a plus|nice to have|preferred|bonus|advantage|desirable|ideally)\b"
+ONSITE = (
+    r"(?i)\b(?:on-?site|in[- ]office|in the office)\b[^.\n]{0,40}\b(?:\d\s*days|full[- ]time|required|only|5 days|every day)\b|\bfully on-?site\b|"
+    r"\b(?:must|required to)\s+(?:be\s+)?(?:located|based|live)\s+(?:in|within|near)\b|\brelocation (?:is )?required\b|\bno remote\b|\bnot (?:a )?remote\b"
+)
+LANGUAGES_TOLD = r"(?im)^\W*languages?\W*$|\blanguages?\s*:"
+LICENCES = {
+    "Registered Nurse licence": r"\b(?:rn|registered nurse)\s+(?:license|licence|licensure|registration)\b|\bactive\s+rn\b|\bnmc\s+(?:pin|registration)\b",
+    "LPN licence": r"\blpn\b|\blicensed practical nurse\b",
+    "CPA / chartered accountant": r"\bcpa\b(?!\s+firm)|\bchartered accountant\b|\baca\b|\bacca\s+qualified\b",
+    "Bar admission / practising certificate": r"\badmitted to (?:the|practi[cs]e)|\bbar admission\b|\blicensed (?:attorney|to practi[cs]e law)\b|\bqualified solicitor\b",
+    "Commercial driver's licence (CDL/HGV)": r"\bcdl\b|\bcommercial driver'?s licen[cs]e\b|\bhgv licen[cs]e\b",
+    "Professional Engineer (PE/CEng)": r"\bprofessional engineer\b|\bpe licen[cs]e\b|\bchartered engineer\b",
+    "Teaching licence (QTS)": r"\bteaching (?:licen[cs]e|certificat\w+|credential)\b|\bqts\b|\bqualified teacher status\b",
+    "FINRA Series licence": r"\bseries\s+(?:7|63|65|66)\b",
+    "Electrician licence": r"\bjourneyman\b|\bmaster electrician\b|\blicensed electrician\b",
+    "CFA charter": r"\bcfa\s+charter\b|\bcfa charterholder\b",
+    "CISSP certification": r"\bcissp\b",
+}
+LABELS = {"authorization": "work authorization", "clearance": "security clearance", "license": "licence", "language": "language", "onsite": "on-site location", "degree": "degree"}
 WITHIN_EU = ["GERMANY", "FRANCE", "IRELAND", "NETHERLANDS"]
 
+GATE = "struct<type: string, need: string, text: string, no_sponsorship: boolean>"
+END = r"(?s)(?:\n|\. |; )"
+
 
 @dataclass(frozen=True)
 class Eligibility:
@@ -40,58 +67,115 @@ class Eligibility:
     licences: tuple[str, ...] = ()
     languages: tuple[str, ...] = ()
     relocate: bool | None = None
+    remote_only: bool = False
 
 
 def country(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair)), name)
+    known = F.create_map(*(F.lit(x) for pair in COUNTRIES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(name)), F.when(F.length(name) > 3, F.initcap(name)).otherwise(F.upper(name)))
 
 
-def stated(postings: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
-    """id, type, need, text, no_sponsorship: one row for each gate of a posting, with the sentence that states it first.
+def clause(text: Column, at: Column, found: Column) -> Column:
+    """The clause, up to line, sentence or semicolon ends, around what was `found` at place `at` (from 1); at most 220 characters."""
+    before = F.substring(text, F.lit(1), at - 1)
+    tail = F.substring(text, at + F.length(found), F.length(text))
+    start = F.regexp_replace(before, r"(?s)^.*(?:\n|\. |; )", "")
+    end = F.element_at(F.split(tail, END, 2), 1)
+    return F.substring(F.btrim(F.regexp_replace(F.concat(start, found, end), r"\s+", " "), F.lit(" -•*;.")), 1, 220)
+
+
+def first_of(text: Column, pattern: str, group: int = 1) -> Column:
+    """struct<group, text> of the first match of a pattern, or null."""
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, group).alias("group"), clause(text, F.regexp_instr(text, F.lit(pattern)), found).alias("text")))
+
 
-    A right to work counts before citizenship, and that before refused sponsorship. Softened sentences state no language;
-    a clearance or licence whose first mention is softened is no gate. A null description states none.
+def detected(description: Column, title: Column, licences: dict[str, str] | None = None) -> Column:
+    """array of GATE: each gate that a posting states, with the clause that states it first.
+
+    A right to work counts before citizenship, and that before refused sponsorship. A softened clause states no language,
+    licence or clearance. A null description states none.
     """
-    parts = postings.select("id", F.posexplode(F.split(F.col("description"), SENTENCE_END)).alias("at", "text"))
-    low = F.lower("text")
-    part = lambda pattern, n=1: F.nullif(F.regexp_extract(low, pattern, n), F.lit(""))
-    hit = lambda kind, rank, need, slot="": F.struct(F.lit(kind).alias("type"), F.lit(rank).alias("rank"), need.alias("need"), F.lit(slot).alias("slot"))
-    where = lambda pattern, need: F.when(low.rlike(pattern), need)
-    language = F.initcap(F.coalesce(part(LANGUAGE), part(LANGUAGE, 2), part(LANGUAGE, 3)))
-    hits = [
-        hit("authorization", 0, country(part(AUTHORISED))),
-        hit("authorization", 1, country(part(CITIZEN))),
-        hit("authorization", 2, where(UNSPONSORED, F.lit(""))),
-        hit("clearance", 0, where(CLEARANCE, F.upper(F.coalesce(part(CLEARANCE), F.lit("security"))))),
-        hit("language", 0, F.when(~low.rlike(SOFT), language)),
-        hit("onsite", 0, where(ONSITE, F.lit(""))),
-        *(hit("license", 0, where(p, F.lit(name)), name) for name, p in (licences or LICENCES).items()),
-    ]
-    found = parts.select("id", "at", "text", low.rlike(SOFT).alias("soft"), F.explode(F.filter(F.array(*hits), lambda h: h.need.isNotNull())).alias("h"))
-    slot = F.when(F.col("h.type") == "language", F.col("h.need")).otherwise(F.col("h.slot"))
-    first = F.min_by(F.struct("h.need", F.btrim("text", F.lit(" -•*;.")).alias("text"), "soft"), F.struct("h.rank", "at")).alias("g")
-    refused = F.bool_or((F.col("h.type") == "authorization") & F.col("h.rank").isin(1, 2)).alias("no_sponsorship")
-    gates = found.groupBy("id", F.col("h.type").alias("type"), slot.alias("slot")).agg(first, refused)
-    return gates.where(~(F.col("type").isin("clearance", "license") & F.col("g.soft"))).select("id", "type", "g.need", "g.text", "no_sponsorship")
+    text = F.coalesce(description, F.lit(""))
+    gate = lambda kind, need, told, refused=None: F.struct(F.lit(kind).alias("type"), need.alias("need"), told.alias("text"), (F.lit(False) if refused is None else refused).alias("no_sponsorship")).cast(GATE)
+    work, citizen, refused = first_of(text, AUTHORISED), first_of(text, CITIZEN), first_of(text, UNSPONSORED, 0)
+    right = F.when(work.isNotNull(), gate("authorization", country(work["group"]), work["text"], refused.isNotNull()))
+    right = right.when(citizen.isNotNull(), gate("authorization", country(citizen["group"]), citizen["text"], F.lit(True)))
+    right = right.when(refused.isNotNull(), gate("authorization", F.lit(""), refused["text"], F.lit(True)))
+    whole = F.concat_ws("\n", text, title)
+    held = first_of(whole, CLEARANCE)
+    softened = held["text"].rlike(SOFT) & (F.regexp_instr(whole, F.lit(CLEARANCE)) <= F.length(text))
+    level = F.when(held["group"] == "", "Security").otherwise(held["group"])
+    clearance = F.when(held.isNotNull() & ~softened, gate("clearance", F.when(F.length(level) <= 6, F.upper(level)).otherwise(F.initcap(level)), held["text"]))
+    papers = []
+    for name, pattern in (licences or LICENCES).items():
+        paper = first_of(text, f"(?i){pattern}", 0)
+        papers.append(F.when(paper.isNotNull() & ~paper["text"].rlike(SOFT), gate("license", F.lit(name), paper["text"])))
+    spoken = F.array_distinct(F.regexp_extract_all(text, F.lit(LANGUAGE), F.lit(0)))
+    tongues = F.transform(spoken, lambda m: F.struct(
+        F.initcap(F.coalesce(*(F.nullif(F.regexp_extract(m, LANGUAGE, k), F.lit("")) for k in (1, 2, 3)))).alias("need"), clause(text, F.position(m, text), m).alias("text"),
+    ))
+    hard = F.filter(tongues, lambda t: ~t["text"].rlike(SOFT))
+    firsts = F.filter(hard, lambda t, i: ~F.exists(F.slice(hard, 1, i), lambda u: u["need"] == t["need"]))
+    place = first_of(text, ONSITE, 0)
+    onsite = F.when(place.isNotNull(), gate("onsite", F.lit(""), place["text"]))
+    languages = F.transform(firsts, lambda t: gate("language", t["need"], t["text"]))
+    return F.concat(F.array_compact(F.array(right, clearance, *papers)), languages, F.array_compact(F.array(onsite)))
+
+
+def is_gate_line(line: Column, gates: Column) -> Column:
+    """Whether a requirement line just states a gate: one holds the other."""
+    plain = F.lower(F.btrim(F.regexp_replace(line, r"\s+", " "), F.lit(" -•*")))
+    return F.exists(gates, lambda g: (g["type"] != "onsite") & (plain != "") & (F.contains(F.lower(g["text"]), plain) | F.contains(plain, F.lower(g["text"]))))
+
+
+def judged(gates: Column, person: Eligibility, resume: str = "", location_ok: Column | None = None, licences: dict[str, str] | None = None) -> Column:
+    """array<struct<type, need, text, status, label>>: pass or fail where the person's answers or resume settle a gate, else unknown."""
+    said = F.lit(resume)
+    any_of = lambda values: F.lit([v for v in values]).cast("array<string>")
+    mine, spoken = [c.upper() for c in person.countries], [x.lower() for x in person.languages]
+    known = " ".join(person.licences)
+
+    def status(g: Column) -> Column:
+        kind, need = g["type"], g["need"]
+        within = F.array_contains(any_of(mine), F.upper(need)) | ((F.upper(need) == "EU") & F.lit(bool(set(mine) & {"EU", *WITHIN_EU})))
+        by_country = F.when(within, "pass").when(g["no_sponsorship"] | F.lit(person.needs_sponsorship is not False), "fail")
+        by_sponsor = F.when(g["no_sponsorship"], F.lit({None: None, True: "fail", False: "pass"}[person.needs_sponsorship]).cast("string"))
+        work = F.when((need != "") & F.lit(bool(mine)), by_country).otherwise(by_sponsor)
+        clearance = F.when(F.lit(bool(person.clearance)) | said.rlike(CLEARED), "pass").otherwise("fail")
+        holds = F.exists(any_of(x.lower() for x in person.licences), lambda x: F.contains(x, F.lower(need)))
+        for name, pattern in (licences or LICENCES).items():
+            holds = holds | ((need == name) & (said.rlike(f"(?i){pattern}") | F.lit(known).rlike(f"(?i){pattern}")))
+        speaks = F.array_contains(any_of(spoken), F.lower(need)) | F.array_contains(F.split(F.lower(said), r"[^\p{L}]+"), F.lower(need)) | (need == "English")
+        tongue = F.when(speaks, "pass").when(F.lit(bool(spoken)) | said.rlike(LANGUAGES_TOLD), "fail")
+        near = F.coalesce(location_ok, F.lit(False)) if location_ok is not None else F.lit(False)
+        place = F.when(near | F.lit(person.relocate is True), "pass").when(F.lit(person.relocate is False or person.remote_only), "fail")
+        told = F.when(kind == "authorization", work).when(kind == "clearance", clearance).when(kind == "license", F.when(holds, "pass").otherwise("fail"))
+        return F.coalesce(told.when(kind == "language", tongue).when(kind == "onsite", place), F.lit("unknown"))
+
+    label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return F.transform(gates, lambda g: F.struct(g["type"].alias("type"), g["need"].alias("need"), g["text"].alias("text"), status(g).alias("status"), F.element_at(label, g["type"]).alias("label")))
+
+
+def degree_gate(required: Column, have: Column, rank) -> Column:
+    """array of one judged gate for a strict required degree (struct level, strict, text), or an empty one."""
+    gate = F.struct(
+        F.lit("degree").alias("type"), required["level"].alias("need"), required["text"].alias("text"),
+        F.when(rank(have) >= rank(required["level"]), "pass").otherwise("fail").alias("status"), F.lit(LABELS["degree"]).alias("label"),
+    )
+    return F.array_compact(F.array(F.when(F.coalesce(required["strict"], F.lit(False)), gate)))
+
+
+def stated(postings: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
+    """id, type, need, text, no_sponsorship: a row for each gate of a posting (id, description and, if there is one, title)."""
+    title = F.col("title") if "title" in postings.columns else F.lit("")
+    return postings.select("id", F.inline(detected(F.col("description"), title, licences)))
 
 
 def settled(gates: DataFrame, person: Eligibility, resume: str = "") -> DataFrame:
-    """`gates` with status: pass or fail where the person's answers or resume settle the gate, else unknown."""
-    kind, need, said = F.col("type"), F.col("need"), F.lit(resume.lower())
-    any_of = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<string>")
-    mine = [c.upper() for c in person.countries]
-    allowed = F.array_contains(any_of(mine), F.upper(need)) | (need == "EU") & F.lit(bool(set(mine) & {"EU", *WITHIN_EU}))
-    barred = F.col("no_sponsorship") | F.lit(person.needs_sponsorship is not False)
-    by_country = F.when(allowed, "pass").when(barred, "fail")
-    by_sponsor = F.when(F.col("no_sponsorship"), F.lit({None: None, True: "fail", False: "pass"}[person.needs_sponsorship]).cast("string"))
-    work = F.when((need != "") & F.lit(bool(mine)), by_country).otherwise(by_sponsor)
-    clearance = F.lit("pass" if person.clearance or "clearance" in resume.lower() else "fail")
-    holds = F.contains(said, F.lower(need)) | F.array_contains(any_of(x.lower() for x in person.licences), F.lower(need))
-    speaks = F.contains(said, F.lower(need)) | F.array_contains(any_of(x.lower() for x in person.languages), F.lower(need)) | (need == "English")
-    tongue = F.when(speaks, "pass").when(F.lit(bool(person.languages) or "languages:" in resume.lower()), "fail")
-    place = F.lit({None: None, True: "pass", False: "fail"}[person.relocate]).cast("string")
-    status = F.when(kind == "authorization", work).when(kind == "clearance", clearance).when(kind == "license", F.when(holds, "pass").otherwise("fail")).when(kind == "language", tongue).when(kind == "onsite", place)
-    return gates.withColumn("status", F.coalesce(status, F.lit("unknown")))
+    """`gates` (rows of `stated`) with status and label."""
+    one = judged(F.array(F.struct("type", "need", "text", "no_sponsorship")), person, resume)[0]
+    return gates.withColumns({"status": one["status"], "label": one["label"]})
 
 
 def held_back(scores: DataFrame, gates: DataFrame, threshold: int) -> DataFrame:

@@ -1,67 +1,75 @@
-"""Scoring of postings against a profile: skills, requirement lines, years, similarity of terms, weights and the report."""
+"""Scoring of postings against a profile: skills, requirement lines, role, years, similarity of terms, gates and the report."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import grams, terms
-from ..functions.values import STOP, WEIGHTS
+from ..durable import durable
+from ..functions import values as V
+from ..functions.text import grams, let, terms
+from . import gates as G
+from . import requirements as Q
+from . import skills as S
 
-NEGATIONS = ["no", "not", "without", "never", "non", "nor"]
-REACH = 6  #: words before a mention in which a negation counts
+HOT = 200  #: a term that more than 1 / HOT of all rows hold is hot: there are at most HOT times as many as a row has terms
+TOP_WORDS = 12
+MINIMUM = {"keyword_skills": 3, "keyword_text": 200, "text": 80}
 
 
 @dataclass(frozen=True)
 class Profile:
+    """One person: skills, years and the resume's text, with what skills imply and what they are related to."""
+
     skills: tuple[str, ...]
     years: float
     text: str
+    education: str | None = None
+    implied: tuple[tuple[str, str], ...] = ()  # (skill, owned skill that implies it)
+    related: tuple[tuple[str, str], ...] = ()  # (skill, least owned skill related to it)
+    eligibility: G.Eligibility = field(default_factory=G.Eligibility)
 
-
-def words_of(text: Column) -> Column:
-    """Words in lower case; a single full stop ahead belongs to its word, so .net isn't net."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?:(?<!\.)\.)?[a-z0-9+#]+"), F.lit(0))
+    @property
+    def head(self) -> str:
+        return self.text[:400]
 
 
-def mentions(postings: DataFrame, aliases: DataFrame, text: str = "description") -> DataFrame:
-    """id, skill, negated: each skill that a posting mentions; negated if every mention is.
-
-    Clauses become runs of words, up to as many as the longest alias has, that are joined to the aliases (skill, alias) by
-    equality: no pattern is tried against a text, so the cost follows the text and not the size of the taxonomy. Aliases
-    are cut into words as texts are, and a clause ends at a full stop only before white space or the end.
-    """
-    told = F.array_join(words_of(F.col("alias")), " ")
-    aliases = aliases.select("skill", told.alias("alias")).where("alias <> ''").distinct()
-    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
-    clauses = postings.select("id", F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[;,\n]|\.(?=\s|$)")).alias("clause"))
-    words = clauses.select("id", words_of(F.col("clause")).alias("w")).where(F.size("w") > 0)
-    n = F.size("w")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - at + 1)), lambda k: F.struct(at.alias("at"), F.array_join(F.slice("w", at, k), " ").alias("alias")))))
-    found = words.select("id", "w", F.explode(runs).alias("r")).select("id", "r.alias", F.slice("w", F.greatest(F.lit(1), F.col("r.at") - REACH), F.least(F.lit(REACH), F.col("r.at") - 1)).alias("ahead"))
-    met = found.join(F.broadcast(aliases), "alias")
-    return met.groupBy("id", "skill").agg(F.bool_and(F.arrays_overlap("ahead", F.array(*map(F.lit, NEGATIONS)))).alias("negated"))
+def profile_of(spark: SparkSession, text: str, years: float, taxonomy: S.Taxonomy, edges: DataFrame, related: DataFrame, eligibility: G.Eligibility | None = None) -> Profile:
+    """The profile of one resume: skills and degree are read from it, and what they imply from the ontology (src, dst) and relations (a, b)."""
+    row = spark.range(1).select(S.wanted_of(S.hits_in(S.words_of(F.lit(text)), taxonomy)).alias("s"), Q.education_level(F.lit(text)).alias("e")).first()
+    owned = spark.createDataFrame([(s,) for s in row["s"]], "skill string")
+    by = closure(edges).join(owned.withColumnRenamed("skill", "src"), "src").groupBy("dst").agg(F.min("src").alias("via")).join(owned.withColumnRenamed("skill", "dst"), "dst", "left_anti")
+    near = related.join(owned.withColumnRenamed("skill", "b"), "b").groupBy("a").agg(F.min("b").alias("via"))
+    pairs = lambda df: tuple(tuple(r) for r in df.collect())  # noqa: E731 (no more rows than skills within reach of one person's)
+    return Profile(tuple(row["s"]), years, text, row["e"], pairs(by.select("dst", "via")), pairs(near.select("a", "via")), eligibility or G.Eligibility())
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """src, dst: what is implied, directly or through others, by a small ontology; ends when a round adds nothing."""
-    known = edges.select("src", "dst").distinct()
+    known = durable(edges.select("src", "dst").distinct())
     n = known.count()
     while True:
         step = known.alias("k").join(known.alias("e"), F.col("k.dst") == F.col("e.src")).select("k.src", "e.dst")
-        known = known.union(step).where("src <> dst").distinct().localCheckpoint()  # each round doubles the length of chains
+        known = durable(known.union(step).where("src <> dst").distinct())  # each round doubles the length of chains
         if (m := known.count()) == n:
             return known
         n = m
 
 
+def related_pairs(groups: DataFrame) -> DataFrame:
+    """a, b: skills that share a group (group, skill), both ways."""
+    a, b = groups.select("group", F.col("skill").alias("a")), groups.select("group", F.col("skill").alias("b"))
+    return a.join(b, "group").where("a <> b").select("a", "b").distinct()
+
+
 def credits(required: DataFrame, owned: DataFrame, implied: DataFrame, related: DataFrame, partial: float) -> DataFrame:
     """`required` (with skill) and credit, how (exact, implied, related, missing) and via (the first such skill by name)."""
     by_closure = implied.join(owned.withColumnRenamed("skill", "src"), "src").groupBy(F.col("dst").alias("skill")).agg(F.min("src").alias("_implied"))
     near = related.join(owned.withColumnRenamed("skill", "b"), "b").groupBy(F.col("a").alias("skill")).agg(F.min("b").alias("_related"))
-    rows = required.join(F.broadcast(owned.withColumn("_owned", F.lit(True))), "skill", "left").join(F.broadcast(by_closure), "skill", "left").join(F.broadcast(near), "skill", "left")
+    rows = required.join(owned.withColumn("_owned", F.lit(True)), "skill", "left").join(by_closure, "skill", "left").join(near, "skill", "left")
     how = F.when(F.col("_owned"), "exact").when(F.col("_implied").isNotNull(), "implied").when(F.col("_related").isNotNull(), "related").otherwise("missing")
     rows = rows.withColumn("how", how)
     credit = F.when(F.col("how").isin("exact", "implied"), 1.0).when(F.col("how") == "related", partial).otherwise(0.0)
@@ -69,19 +77,14 @@ def credits(required: DataFrame, owned: DataFrame, implied: DataFrame, related:
     return rows.withColumns({"credit": credit, "via": via}).drop("_owned", "_implied", "_related")
 
 
-def requirement_lines(postings: DataFrame) -> DataFrame:
-    """id, line_no, text, preferred: bulleted lines under a heading; a heading's label carries forward to the next."""
-    lines = postings.select("id", F.posexplode(F.split("description", "\n")).alias("line_no", "line"))
-    label = F.when(F.lower("line").rlike("^requirements|^qualifications|^what you"), "must").when(F.lower("line").rlike("^nice to have|^preferred|^bonus"), "nice").when(F.lower("line").rlike("^about"), "other")
-    carried = F.last(label, ignorenulls=True).over(Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("section", carried).where(F.col("line").startswith("• ") & F.col("section").isin("must", "nice"))
-    return rows.select("id", "line_no", F.expr("substring(line, 3)").alias("text"), (F.col("section") == "nice").alias("preferred"))
-
-
-def required_years(description: Column) -> Column:
-    """The least stated number of years from 1 to 20, or null."""
-    found = F.transform(F.regexp_extract_all(F.lower(description), F.lit(r"(\d{1,2})\+? years"), F.lit(1)), lambda x: x.cast("int"))
-    return F.array_min(F.filter(found, lambda n: n.between(1, 20)))
+def credit_of(skill: Column, profile: Profile) -> Column:
+    """struct<credit, how, via> of one required skill."""
+    table = lambda pairs: F.create_map(*(F.lit(x) for pair in pairs for x in pair)).cast("map<string, string>") if pairs else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    implied, related = F.try_element_at(table(profile.implied), skill), F.try_element_at(table(profile.related), skill)
+    exact = skill.isin(*profile.skills)
+    how = F.when(exact, "exact").when(implied.isNotNull(), "implied").when(related.isNotNull(), "related").otherwise("missing")
+    credit = F.when(exact | implied.isNotNull(), 1.0).when(related.isNotNull(), V.RELATED_CREDIT).otherwise(0.0)
+    return F.struct(credit.alias("credit"), how.alias("how"), F.when(~exact, F.coalesce(implied, related)).alias("via"))
 
 
 def experience_score(required: Column, years: float) -> Column:
@@ -89,62 +92,228 @@ def experience_score(required: Column, years: float) -> Column:
     return F.when(required.isNull(), 0.85).when(required == 0, 1.0).otherwise(scaled)
 
 
+def title_fit(title: Column, text: str, head: str) -> Column:
+    """0 to 1: how far a posting's role words begin words of the resume; its head and the whole phrase count extra."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("[a-z+#.]+"), F.lit(0)), lambda t: ~t.isin(*V.TITLE_NOISE))
+    starts = lambda s: F.lit(sorted({s[m.start() : m.start() + 60] for m in re.finditer(r"\b", s)})).cast("array<string>")
+    low, top = starts(text.lower()), starts(head.lower())
+    begins = lambda some, t: F.exists(some, lambda s: F.startswith(s, t))
+    weight = lambda t: F.when(t.isin(*V.WEAK_TITLE), 0.4).otherwise(1.0)
+    total = lambda some: F.aggregate(some, F.lit(0.0), lambda s, t: s + weight(t))
+
+    def fit(w: Column) -> Column:
+        distinct = F.array_distinct(w)
+        share = total(F.filter(distinct, lambda t: begins(low, t))) / total(distinct)
+        phrase = F.when(F.contains(F.lit(text.lower()), F.array_join(w, " ")), 0.3).otherwise(0.0)
+        heading = F.when(F.exists(distinct, lambda t: ~t.isin(*V.WEAK_TITLE) & begins(top, t)), 0.1).otherwise(0.0)
+        return F.when(F.size(w) == 0, 0.5).otherwise(F.least(F.lit(1.0), share * 0.7 + phrase + heading))
+
+    return let(words, fit)
+
+
+def repeated_words(description: Column) -> Column:
+    """Of the TOP_WORDS most frequent words that carry meaning (ties: the first met) those that occur at least twice."""
+    words = F.filter(F.regexp_extract_all(F.lower(description), F.lit(r"[a-z][a-z+#.\-]{2,}"), F.lit(0)), lambda w: ~w.isin(*V.STOP) & (F.length(w) > 3))
+    counted = lambda some: F.transform(F.array_distinct(some), lambda w, i: F.struct((-F.size(F.filter(some, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
+    return F.transform(F.filter(F.slice(F.array_sort(let(words, counted)), 1, TOP_WORDS), lambda c: c["n"] <= -2), lambda c: c["w"])
+
+
 def total_score(components: dict[str, Column], penalty: Column, capped: Column) -> Column:
     """0 to 100, rounded half to even."""
-    total = sum((WEIGHTS[k] * c for k, c in components.items()), F.lit(0.0)) - penalty
+    total = sum((V.WEIGHTS[k] * c for k, c in components.items()), F.lit(0.0)) - penalty
     total = F.when(capped, F.least(total, F.lit(0.45))).otherwise(total)
     return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100).cast("int")
 
 
 def term_counts(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id_column, term, tf: stemmed words and pairs of neighbours."""
-    return rows.select(id_column, F.explode(grams(terms(F.col(text), STOP))).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
+    """id_column, term, tf: stemmed words and pairs of neighbours, counted within the row."""
+    return rows.select(id_column, F.explode(grams(terms(F.col(text), V.STOP))).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
 
 
 def similarity(rows: DataFrame, id_column: str, text: str, other: str) -> DataFrame:
-    """id_column and cosine of TF-IDF vectors of each row's text against the text `other`, which counts as one more document."""
+    """id_column and cosine of TF-IDF vectors of each row's text against the text `other`, which counts as one more document.
+
+    Terms are counted once and written. Frequencies of hot terms, of which there can only be few whatever the table's
+    size, go to all tasks; those of the others, which no more than 1 / HOT of the rows share, are joined by term.
+    """
     spark = rows.sparkSession
-    mine = term_counts(rows, id_column, text)
+    mine = durable(term_counts(rows, id_column, text))
     theirs = term_counts(spark.createDataFrame([(0, other)], "q int, t string"), "q", "t").select("term", F.col("tf").alias("tf_q"))
-    n = rows.select(F.count("*").alias("n"))
-    df = mine.select("term", F.lit(1).alias("d")).union(theirs.select("term", F.lit(1))).groupBy("term").agg(F.sum("d").alias("df"))
-    idf = df.crossJoin(F.broadcast(n)).select("term", (F.ln((2 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weight = lambda tf: (1 + F.ln(tf)) * F.col("idf")
-    wanted = theirs.join(idf, "term").select("term", weight("tf_q").alias("wq"))
-    norm = wanted.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("norm_q"))
-    told = mine.join(idf, "term").join(F.broadcast(wanted), "term", "left").select(id_column, weight("tf").alias("w"), "wq")
-    sums = told.groupBy(id_column).agg(F.sum(F.col("w") * F.coalesce("wq", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    cosine = sums.crossJoin(F.broadcast(norm)).select(id_column, (F.col("dot") / (F.col("norm") * F.col("norm_q"))).alias("cosine"))
+    n = rows.count()
+    df = mine.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(theirs), "term", "full")
+    idf = F.ln((2 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)) + F.col("tf_q").isNotNull().cast("int"))) + 1
+    told = durable(df.select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), F.when(F.col("tf_q").isNotNull(), (1 + F.ln("tf_q")) * idf).alias("wq")))
+    norm = told.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq")))).first()[0] or 0.0
+    bar = max(1, n // HOT)
+    hot = told.where(F.col("df") > bar)
+    far = mine.join(F.broadcast(hot.select("term")), "term", "left_anti").join(told.where(F.col("df") <= bar), "term")
+    met = mine.join(F.broadcast(hot), "term").select(id_column, "tf", "idf", "wq").unionByName(far.select(id_column, "tf", "idf", "wq"))
+    weight = (1 + F.ln("tf")) * F.col("idf")
+    sums = met.groupBy(id_column).agg(F.sum(weight * F.coalesce("wq", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"))
+    cosine = sums.select(id_column, F.try_divide(F.col("dot"), F.col("norm") * F.lit(norm)).alias("cosine"))
     return rows.select(id_column).join(cosine, id_column, "left").select(id_column, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
-def skill_scores(postings: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
-    """id, wanted, matched, skill_score: of the skills that a posting asks for and doesn't rule out, the share that is owned."""
-    asked = mentions(postings, aliases).where("not negated")
-    has = F.col("skill").isin(*profile.skills)
-    found = asked.groupBy("id").agg(F.count("*").alias("wanted"), F.count_if(has).alias("matched"))
-    rows = postings.select("id").join(found, "id", "left").fillna(0, ["wanted", "matched"])
-    return rows.withColumn("skill_score", F.when(F.col("wanted") > 0, F.col("matched") / F.col("wanted")).otherwise(0.0))
-
-
-def scored(postings: DataFrame, aliases: DataFrame, profile: Profile) -> DataFrame:
-    """id, source, company, the components and the score of each posting."""
-    skills = skill_scores(postings, aliases, profile)
-    alike = similarity(postings, "id", "description", profile.text)
-    rows = postings.select("id", "source", "company", "title", "location", "description").join(skills, "id").join(alike, "id")
-    role = F.when(F.lower("title").rlike("data|engineer|developer"), 1.0).otherwise(0.5)
-    components = {
-        "skills": F.col("skill_score"), "requirements": F.col("skill_score"), "role": role,
-        "experience": experience_score(required_years(F.col("description")), profile.years), "semantic": F.least(F.lit(1.0), F.col("cosine") / 0.30),
+def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
+    """`df` (with hits, title_hits, description) and required, preferred, negated, weights, matched, missing, related, keywords and skill_score."""
+    soft = taxonomy.soft
+    split = Q.preferred_from(F.col("description"))
+    ahead = F.filter("hits", lambda h: F.coalesce(h["line"] < F.col("pref_line"), F.lit(True)))
+    df = df.withColumn("pref_line", split)
+    df = df.withColumns({"req_hits": F.concat(ahead, F.col("title_hits")), "pref_hits": F.filter("hits", lambda h: h["line"] >= F.col("pref_line"))})
+    df = df.withColumn("required", S.wanted_of(F.col("req_hits"))).withColumn("preferred", F.array_except(S.wanted_of(F.col("pref_hits")), "required"))
+    ruled = F.array_union(S.ruled_out_of(F.col("req_hits")), S.ruled_out_of(F.col("pref_hits")))
+    df = df.withColumn("negated", F.array_sort(F.array_except(F.array_except(ruled, "required"), "preferred")))
+    weigh = lambda names, w: F.transform(names, lambda s: F.struct(s.alias("skill"), F.when(s.isin(*soft) if soft else F.lit(False), 0.5 * w).otherwise(w).alias("weight"), credit_of(s, profile).alias("c")))
+    df = df.withColumn("weights", F.concat(weigh("required", 1.0), weigh("preferred", 0.5)))
+    named = lambda f: F.array_sort(F.transform(F.filter("weights", f), lambda x: x["skill"]))
+    by_keyword = (F.size("required") < MINIMUM["keyword_skills"]) & (F.length("description") >= MINIMUM["keyword_text"])
+    own = sorted(set(re.findall(r"[a-z][a-z+#.\-]{2,}", profile.text.lower())))
+    df = df.withColumns({
+        "matched": named(lambda x: x["c"]["credit"] >= 1), "missing": named(lambda x: x["c"]["credit"] < 1),
+        "related": F.transform(F.filter("weights", lambda x: x["c"]["how"].isin("implied", "related")), lambda x: F.struct(x["skill"].alias("skill"), x["c"]["via"].alias("via"), x["c"]["how"].alias("how"))),
+        "keywords": F.when(by_keyword, repeated_words(F.col("description"))).otherwise(F.array().cast("array<string>")), "by_keyword": by_keyword,
+    })
+    sums = lambda f: F.aggregate("weights", F.lit(0.0), lambda s, x: s + f(x))
+    skills = F.try_divide(sums(lambda x: x["weight"] * x["c"]["credit"]), sums(lambda x: x["weight"]))
+    words = F.try_divide(F.size(F.array_intersect("keywords", F.lit(own).cast("array<string>"))).cast("double"), F.size("keywords"))
+    n = F.size("weights")
+    both = F.when(words.isNotNull(), (skills * n + words * 3) / (n + 3)).otherwise(skills)
+    return df.withColumn("skill_score", F.coalesce(F.when(n > 0, both).otherwise(words), F.lit(0.0)))
+
+
+def assessed(line: Column, hits: Column, profile: Profile) -> Column:
+    """struct<coverage, missing, how> of one requirement line with the skills named on it, or null if it can't be judged."""
+    text = line["text"]
+    told = lambda coverage, how, lost=None: F.struct(coverage.cast("double").alias("coverage"), (F.array().cast("array<string>") if lost is None else lost).alias("missing"), how.alias("how"))
+
+    def by_skill(c: Column) -> Column:
+        any_of = text.rlike(V.ALTERNATIVES)
+        credits_ = F.transform(c, lambda x: x["c"]["credit"])
+        mean = F.aggregate(credits_, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+        has = lambda how: F.exists(c, lambda x: x["c"]["how"] == how)
+        whole = any_of & F.exists(c, lambda x: x["c"]["credit"] >= 1)
+        share = F.when(whole, 1.0).when(any_of, F.greatest(mean, F.array_max(credits_))).otherwise(mean)
+        kind = F.when(has("related"), "related skill").when(has("implied"), "implied skill").otherwise("exact skill")
+        missing = F.when(whole, F.array().cast("array<string>")).otherwise(F.transform(F.filter(c, lambda x: x["c"]["credit"] < 1), lambda x: x["skill"]))
+        return told(share, F.when(share > 0, kind).otherwise("not found"), missing)
+
+    need = F.regexp_extract(text, V.YEARS_ON_LINE, 1).try_cast("double")
+    years = F.when(need == 0, 1.0).otherwise(F.least(F.lit(1.0), F.lit(profile.years) / need) if profile.years else F.lit(0.3))
+    bar, have = Q.degree_rank(Q.lowest_degree(text)), Q.degree_rank(F.lit(profile.education))
+    degree = F.when(have >= bar, 1.0).when(text.rlike(V.DEGREE_SOFTENER), 0.5).otherwise(0.0)
+    own = F.lit(sorted(set(_content_terms(profile.text)))).cast("array<string>")
+    met = lambda asked: F.size(F.array_intersect(asked, own))
+    overlap = lambda asked: F.when(F.size(asked) >= 2, told(met(asked) / F.size(asked), F.when(met(asked) > 0, "term overlap").otherwise("not found")))
+    rest = F.when(need.isNotNull() & text.rlike(r"(?i)experience|exp\b"), told(years, F.lit("years check"))).when(Q.degree_text(text).rlike(V.DEGREE_CUE), told(degree, F.lit("degree check")))
+    credited = F.transform(S.wanted_of(hits), lambda s: F.struct(s.alias("skill"), credit_of(s, profile).alias("c")))
+    return let(credited, lambda c: F.when(F.size(c) > 0, by_skill(c)).when(F.size(hits) == 0, rest.otherwise(let(F.array_distinct(terms(text, V.STOP)), overlap))))
+
+
+def _content_terms(text: str) -> list[str]:
+    """The terms of one resume, as `functions.text.terms` gives them for columns."""
+    found = []
+    for word in re.findall(r"[a-z][a-z+#.\-]{2,}", text.lower()):
+        if word not in V.STOP and len(word) > 3:
+            word = word.strip(".-")
+            end = next((e for e in ("ing", "ies", "es", "s", "ed") if len(word) > 5 and word.endswith(e)), "")
+            found.append(word[: len(word) - len(end)] + ("y" if end == "ies" else ""))
+    return found
+
+
+def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
+    """Each posting with its score of 0 to 100, the components, and what they rest on.
+
+    id, source, company, location, title, required, preferred, matched, missing, negated, related, keywords, requirement_rows
+    (id, text, preferred, coverage, missing, how, status), requirements_met, required_years, years_inferred, education
+    (level, strict, text), gates (judged), blockers, penalty, capped, the five components, score, confidence. All but the
+    similarity of terms is worked out within the row. A null description counts as empty. Ids are unique.
+    """
+    base = durable(postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description")))
+    df = base.withColumns({"hits": S.hits_in(S.words_of(F.col("description")), taxonomy), "title_hits": S.hits_in(S.words_of(F.col("title")), taxonomy)})
+    df = df.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
+    df = skill_part(df, taxonomy, profile)
+    counted = F.filter("lines", lambda x: ~G.is_gate_line(x["text"], F.col("stated")))
+    told = F.transform(counted, lambda x: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), assessed(x, F.filter("hits", lambda h: h["line"] == x["line"]), profile).alias("a")))
+    df = df.withColumn("told", told).withColumn("told", F.filter("told", lambda x: x["a"].isNotNull()))
+    df = df.withColumn("rows", F.transform("told", lambda x, i: F.struct(
+        F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"), x["preferred"].alias("preferred"), x["a"]["coverage"].alias("coverage"),
+        x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"),
+    )))
+    df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
+    df = df.join(similarity(base, "id", "description", profile.text), "id")
+    lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))
+    degree = F.when(lacks & F.col("education.strict"), F.concat(F.lit("Requires a "), F.col("education.level"), F.lit(" degree"))).when(lacks, F.concat(F.lit("Prefers a "), F.col("education.level"), F.lit(" degree")))
+    few = ~F.col("years.inferred") & F.lit(profile.years > 0) & (F.lit(profile.years) < 0.6 * F.col("years.years"))
+    blockers = F.array_compact(F.array(degree, F.when(few, "More years of experience than the resume shows")))
+    short = F.length("description") < MINIMUM["text"]
+    parts = {
+        "skills": F.col("skill_score"), "requirements": F.coalesce(Q.coverage_of(F.col("rows")), "skill_score"), "role": title_fit(F.col("title"), profile.text, profile.head),
+        "experience": experience_score(F.col("years.years"), profile.years), "semantic": F.least(F.lit(1.0), F.col("cosine") / 0.30),
     }
-    score = total_score(components, F.lit(0.0), F.length("description") < 80)
-    return rows.select("id", "source", "company", "wanted", "matched", *(c.alias(k) for k, c in components.items()), score.alias("score"))
+    df = df.withColumns({"blockers": blockers, "penalty": F.when(lacks & F.col("education.strict"), 0.08).when(lacks, 0.02).otherwise(0.0), **parts})
+    judged = F.concat(G.judged(F.col("stated"), profile.eligibility, profile.text), G.degree_gate(F.col("education"), F.lit(profile.education), Q.degree_rank))
+    unsure = short | ((F.size("weights") == 0) & ~F.col("by_keyword") & (F.size("rows") == 0))
+    return df.select(
+        "id", "source", "company", "location", "title", "required", "preferred", "matched", "missing", "negated", "related", "keywords", F.col("rows").alias("requirement_rows"),
+        F.size(F.filter("rows", lambda r: r["status"] == "met")).alias("requirements_met"), F.col("years.years").alias("required_years"), F.col("years.inferred").alias("years_inferred"), "education",
+        judged.alias("gates"), "blockers", "penalty", short.alias("capped"), *parts, total_score({k: F.col(k) for k in parts}, F.col("penalty"), short).alias("score"), F.when(unsure, "low").otherwise("high").alias("confidence"),
+    )
+
+
+def failed_gates(scores: DataFrame) -> DataFrame:
+    """`scores` with failed: distinct labels of gates that fail."""
+    return scores.withColumn("failed", F.array_distinct(F.transform(F.filter("gates", lambda g: g["status"] == "fail"), lambda g: g["label"])))
+
+
+def standing(threshold: int, near: int = 15) -> Column:
+    """qualified, gate (enough, but a gate fails), near (at most `near` short) or below, of rows with score and failed."""
+    enough = F.col("score") >= threshold
+    return F.when(enough & (F.size("failed") == 0), "qualified").when(enough, "gate").when(F.col("score") >= threshold - near, "near").otherwise("below")
 
 
 def report(scores: DataFrame, threshold: int) -> DataFrame:
-    """One row: job_count, avg_score, qualifying and a five-bucket distribution."""
+    """One row: job_count, avg_score, qualifying, score_qualifying, gate_failed and a five-bucket distribution."""
     bucket = F.least(F.lit(4), F.floor(F.col("score") / 20).cast("int"))
-    return scores.agg(
-        F.count("*").alias("job_count"), F.coalesce(F.bround(F.avg("score")).cast("int"), F.lit(0)).alias("avg_score"), F.count_if(F.col("score") >= threshold).alias("qualifying"),
-        *(F.count_if(bucket == k).alias(f"bucket_{k}") for k in range(5)),
+    enough, free = F.col("score") >= threshold, F.size("failed") == 0
+    return failed_gates(scores).agg(
+        F.count("*").alias("job_count"), F.coalesce(F.bround(F.avg("score")).cast("int"), F.lit(0)).alias("avg_score"), F.count_if(enough & free).alias("qualifying"),
+        F.count_if(enough).alias("score_qualifying"), F.count_if(enough & ~free).alias("gate_failed"), *(F.count_if(bucket == k).alias(f"bucket_{k}") for k in range(5)),
     )
+
+
+def gate_breakdown(scores: DataFrame, threshold: int) -> DataFrame:
+    """label, failed (postings of enough score that fail such a gate), unknown (gates of all postings that can't be settled)."""
+    each = scores.select("score", F.explode("gates").alias("g"), F.col("id"))
+    failed = each.where((F.col("g.status") == "fail") & (F.col("score") >= threshold)).groupBy("g.label").agg(F.count_distinct("id").alias("failed"))
+    open_ = each.where(F.col("g.status") == "unknown").groupBy("g.label").agg(F.count("*").alias("unknown"))
+    return failed.join(open_, "label", "full").select("label", F.coalesce("failed", F.lit(0)).alias("failed"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
+
+
+def skill_demand(scores: DataFrame, profile: Profile, gaps: int = 15, strengths: int = 12) -> DataFrame:
+    """kind (gap, strength), skill, jobs, pct: skills most often missing, and owned ones most often asked for; ties by name."""
+    n = scores.count()
+    each = scores.select(F.explode(F.concat(F.transform("matched", lambda s: F.struct(s.alias("skill"), F.lit(0).alias("gap"))), F.transform("missing", lambda s: F.struct(s.alias("skill"), F.lit(1).alias("gap"))))).alias("x"))
+    demand = each.groupBy("x.skill").agg(F.count("*").alias("n"), F.sum("x.gap").alias("gap"))
+    top = lambda kind, jobs, most: demand.where(jobs > 0).select(F.lit(kind).alias("kind"), "skill", jobs.alias("jobs")).orderBy(F.desc("jobs"), "skill").limit(most)
+    lost = top("gap", F.col("gap"), gaps)
+    kept = top("strength", F.when(F.col("skill").isin(*profile.skills), F.col("n") - F.col("gap")).otherwise(0), strengths)
+    return lost.unionByName(kept).withColumn("pct", F.bround(100 * F.col("jobs") / F.lit(max(1, n))).cast("int"))
+
+
+def unused_skills(scores: DataFrame, profile: Profile) -> DataFrame:
+    """skill: those of the profile that no posting asks for."""
+    own = scores.sparkSession.createDataFrame([(s,) for s in profile.skills], "skill string")
+    return own.join(scores.select(F.explode(F.concat("matched", "missing")).alias("skill")).distinct(), "skill", "left_anti")
+
+
+def common_blockers(scores: DataFrame, most: int = 5) -> DataFrame:
+    """text, jobs: the most frequent blockers; ties by text."""
+    return scores.select(F.explode("blockers").alias("text")).groupBy("text").agg(F.count("*").alias("jobs")).orderBy(F.desc("jobs"), "text").limit(most)
+
+
+def rescored(before: DataFrame, after: DataFrame, threshold: int) -> DataFrame:
+    """One row that compares two scorings of the same postings: jobs, raised, lowered, unlocked (newly enough), mean_change."""
+    both = before.select("id", F.col("score").alias("a")).join(after.select("id", F.col("score").alias("b")), "id")
+    gain = F.col("b") - F.col("a")
+    return both.agg(F.count("*").alias("jobs"), F.count_if(gain > 0).alias("raised"), F.count_if(gain < 0).alias("lowered"), F.count_if((F.col("a") < threshold) & (F.col("b") >= threshold)).alias("unlocked"), F.avg(gain).alias("mean_change"))

@@ -10,15 +10,16 @@ from ..operators import gates as G
 from ..operators import profiles as R
 from ..operators import records
 from .postings import POSTINGS, postings
-from .queries import JUDGED, all_scores, judged, query, table
+from .queries import JUDGED, judged, query, table
+from .scoring import all_scores
 
 #: Sentences that the derived postings get in turn, so that there are gates to find.
 NOTICES = [
-    "Must be authorized to work in the United States.", "Only UK citizens; secret clearance needed.", "We do not offer visa sponsorship.", "Fluent in German. French is required.",
-    "German is a plus; fluent in Dutch is preferred.", "CPA; fully onsite.", "Security clearance is a plus.", "Eligible to work in Germany; no visa sponsorship.",
+    "Must be authorized to work in the United States.", "Only UK citizens; DV clearance needed.", "The company doesn't offer sponsorship; we do not offer visa sponsorship.", "Fluent in German. French is required.",
+    "German is a plus; fluent in Dutch is preferred.", "CPA; fully onsite.", "Security clearance is a plus.\nYou must be based in Berlin.", "Eligible to work in Germany; no visa sponsorship.",
 ]
 PERSON = G.Eligibility(countries=("US",), needs_sponsorship=True, languages=("German",))
-NOTICE = f"(array[{', '.join(repr(n) for n in NOTICES)}])[1 + cast(substr(id, 3) as bigint) % {len(NOTICES)}]"
+NOTICE = f"([{', '.join('\'' + n.replace('\'', '\'\'') + '\'' for n in NOTICES)}])[1 + cast(substr(id, 3) as bigint) % {len(NOTICES)}]"
 RESUME = "concat('Jane Doe', chr(10), 'Experience', chr(10), 'Engineer ', cast(1 + c_custkey % 12 as varchar(9)), '/', cast(2005 + c_nationkey % 9 as varchar(9)), ' - ', cast(2009 + c_nationkey % 13 as varchar(9)), chr(10), 'Analyst 2003 - 2004', chr(10), 'Education', chr(10), 'School 1990 - 2003')"
 CLAIM = "o_orderkey as id, concat('Senior engineer cut cost by ', cast(o_orderkey % 7 as varchar(9)), '% in ', cast(1994 + o_orderkey % 3 as varchar(9))) as new, concat('Cut cost by ', cast(o_custkey % 7 as varchar(9)), '% in ', cast(1994 + o_custkey % 3 as varchar(9))) as source"
 
@@ -29,25 +30,34 @@ def noticed(spark, sf_dir):
     return postings(spark, sf_dir).select("id", F.concat("description", F.lit("\n"), notice).alias("description"))
 
 
+_CLAUSE = r"substr(trim(regexp_replace(regexp_replace(substr(text, 1, strpos(text, m) - 1), '(?s)^.*(\n|\. |; )', '') || m || regexp_split_to_array(substr(text, strpos(text, m) + length(m)), '\n|\. |; ')[1], '\s+', ' ', 'g'), ' -•*;.'), 1, 220)"
+_TONGUES = "English|German|French|Spanish|Italian|Portuguese|Dutch|Polish|Swedish|Danish|Norwegian|Finnish|Japanese|Mandarin|Chinese|Cantonese|Korean|Arabic|Hebrew|Hindi|Russian|Turkish|Greek|Czech"
+_SPOKEN = rf"(?i)\b(?:fluent|fluency|native|proficient|proficiency|business[- ]level|professional)\s+(?:in\s+)?(?:(?:written|spoken|and|or|both|level|working)\s+)*({_TONGUES})\b|\b({_TONGUES})\s+(?:is\s+)?(?:required|essential|mandatory|a must)\b|\b({_TONGUES})[- ]speaking\b"
+
+
 def sql_gates() -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    known = "map {" + ", ".join(f"{q(a)}: {q(b)}" for a, b in G.COUNTRIES.items()) + "}"
-    part = lambda p, n=1: f"nullif(regexp_extract(low, {q(p)}, {n}), '')"
-    hit = lambda kind, rank, need, slot="''": f"select id, place, text, soft, '{kind}' as type, {rank} as rank, {need} as need, {slot} as slot from parts"
-    language = f"coalesce({part(G.LANGUAGE)}, {part(G.LANGUAGE, 2)}, {part(G.LANGUAGE, 3)})"
-    hits = [
-        hit("authorization", 0, f"{known}[{part(G.AUTHORISED)}]"), hit("authorization", 1, f"{known}[{part(G.CITIZEN)}]"),
-        hit("authorization", 2, f"case when regexp_matches(low, {q(G.UNSPONSORED)}) then '' end"),
-        hit("clearance", 0, f"case when regexp_matches(low, {q(G.CLEARANCE)}) then upper(coalesce({part(G.CLEARANCE)}, 'security')) end"),
-        hit("language", 0, f"case when not soft then upper(substr({language}, 1, 1)) || substr({language}, 2) end", f"coalesce({language}, '')"),
-        hit("onsite", 0, f"case when regexp_matches(low, {q(G.ONSITE)}) then '' end"),
-        *(hit("license", 0, f"case when regexp_matches(low, {q(p)}) then {q(n)} end", q(n)) for n, p in G.LICENCES.items()),
-    ]
-    return f"""p as ({POSTINGS}), d as (select id, regexp_split_to_array(description || chr(10) || {NOTICE}, '{G.SENTENCE_END}') as s from p),
-        l as (select id, unnest(range(1, len(s) + 1)) as place, s from d), t as (select id, place, s[place] as text, lower(s[place]) as low from l),
-        parts as (select *, regexp_matches(low, {q(G.SOFT)}) as soft from t), hits as ({" union all ".join(hits)}),
-        n as (select *, row_number() over w as n, bool_or(type = 'authorization' and rank > 0) over (partition by id, type, slot) as no_sponsorship from hits where need is not null window w as (partition by id, type, slot order by rank, place)),
-        gates as (select id, type, need, trim(text, ' -•*;.') as text, no_sponsorship from n where n = 1 and not (soft and type in ('clearance', 'license'))),
+    """Each kind of gate by itself: the first match, its clause, and whether the clause softens it."""
+    first = lambda pattern: rf"nullif(regexp_extract(text, '(?i){pattern}', 0), '') as m"
+    work = r"\b(?:legally\s+)?(?:authori[sz]ed|eligible|entitled|right)\s+to\s+work\s+in\s+(?:the\s+)?(US|U\.S\.|USA|United States|UK|U\.K\.|United Kingdom|EU|European Union|Canada|Australia|Germany|India|Ireland|Netherlands|France|Singapore|New Zealand)\b"
+    citizen = r"\b(?:must be|only)\s+(?:a\s+)?(US|U\.S\.|UK|British|Canadian|Australian)\s+citizens?\b"
+    refused = r"\b(?:no|not|unable to|cannot|can''t|will not|won''t|do not|does not|don''t)\s+(?:offer\s+|provide\s+)?(?:visa\s+)?sponsor(?:ship)?\b|\bwithout\s+(?:the\s+need\s+for\s+)?(?:visa\s+)?sponsorship\b|\bsponsorship\s+(?:is\s+)?not\s+(?:available|offered|provided)\b"
+    clearance = r"\b(?:TS/SCI|top secret|secret|SC|DV|NV1|NV2|baseline|public trust)\s+(?:security\s+)?clearance\b|\bsecurity clearance\b|\bclearance\s+(?:is\s+)?required\b"
+    onsite = r"\b(?:on-?site|in[- ]office|in the office)\b[^.\n]{0,40}\b(?:\d\s*days|full[- ]time|required|only|5 days|every day)\b|\bfully on-?site\b|\b(?:must|required to)\s+(?:be\s+)?(?:located|based|live)\s+(?:in|within|near)\b|\bno remote\b"
+    name = lambda pattern: rf"case lower(regexp_extract(m, '(?i){pattern}', 1)) when 'united states' then 'US' when 'us' then 'US' when 'uk' then 'UK' when 'germany' then 'Germany' end"
+    return rf"""p as ({POSTINGS}), d as (select id, description || chr(10) || {NOTICE} as text from p), r as (select id, regexp_matches(text, '(?i){refused}') as refused from d),
+        works as (select id, text, {first(work)} from d), citizens as (select id, text, {first(citizen)} from d where not regexp_matches(text, '(?i){work}')),
+        refusals as (select id, text, {first(refused)} from d where not regexp_matches(text, '(?i){work}') and not regexp_matches(text, '(?i){citizen}')),
+        spoken as (select id, text, unnest(list_distinct(regexp_extract_all(text, '{_SPOKEN}', 0))) as m from d),
+        tongues as (select id, {_CLAUSE} as told, coalesce(nullif(regexp_extract(m, '{_SPOKEN}', 1), ''), nullif(regexp_extract(m, '{_SPOKEN}', 2), ''), regexp_extract(m, '{_SPOKEN}', 3)) as need, strpos(text, m) as place from spoken),
+        found as (
+            select id, 'authorization' as type, {name(work)} as need, {_CLAUSE} as text, refused as no_sponsorship from works join r using (id) where m is not null
+            union all select id, 'authorization', {name(citizen)}, {_CLAUSE}, true from citizens where m is not null
+            union all select id, 'authorization', '', {_CLAUSE}, true from refusals where m is not null
+            union all select id, 'clearance', case when regexp_matches(m, '(?i)^security|^clearance') then 'Security' when lower(m) = 'dv clearance' then 'DV' else 'SECRET' end, {_CLAUSE}, false from (select id, text, {first(clearance)} from d) where m is not null
+            union all select id, 'license', 'CPA / chartered accountant', {_CLAUSE}, false from (select id, text, {first(chr(92) + 'bcpa' + chr(92) + 'b')} from d) where m is not null
+            union all select id, 'language', need, told, false from tongues where not regexp_matches(told, '(?i)\b(a plus|nice to have|preferred|bonus|advantage|desirable|ideally)\b') qualify row_number() over (partition by id, need order by place) = 1
+            union all select id, 'onsite', '', {_CLAUSE}, false from (select id, text, {first(onsite)} from d) where m is not null),
+        gates as (select * from found where not (type in ('clearance', 'license') and regexp_matches(text, '(?i)\b(a plus|nice to have|preferred|bonus|advantage|desirable|ideally)\b'))),
         settled as (select *, case type when 'authorization' then case when need = 'US' then 'pass' else 'fail' end when 'clearance' then 'fail' when 'license' then 'fail'
             when 'language' then case when need in ('German', 'English') then 'pass' else 'fail' end else 'unknown' end as status from gates)"""
 

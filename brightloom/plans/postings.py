@@ -22,15 +22,13 @@ select concat('p-', cast(o_orderkey as varchar(20))) as id,
     concat('About the role', chr(10), 'We ship ', lower(p_type), ' parts for ', lower(c_mktsegment), ' customers in ', n_name, '.', chr(10), 'Requirements', chr(10),
         '• ', cast(2 + p_size % 7 as varchar(20)), '+ years of experience with Python', chr(10), '• SQL and Airflow', chr(10),
         case cast(p_size % 4 as int) when 0 then '• Apache Spark pipelines' when 1 then '• Kafka or Kinesis' when 2 then '• No Java required' else '• Degree in computer science' end, chr(10),
+        case cast(l_partkey % 6 as int) when 0 then '• Node.js and CI/CD' when 1 then '• Identity and access management' when 2 then '• Java is not required' when 3 then '• Strong communication and teamwork'
+            when 4 then '• Ruby with Rails; spring 2024 intake' else '• Ability to explain steel parts to customers' end, chr(10),
         'Nice to have', chr(10), '• Docker', chr(10), p_name, case when o_orderkey % 3 = 0 then concat(' ', p_name, ' ', p_brand, ' ', c_name) else '' end) as description
 from orders join (select l_orderkey, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey from lineitem where l_linenumber = 1 group by l_orderkey) first_line
     on l_orderkey = o_orderkey join part on p_partkey = l_partkey
     join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey"""
 
-PROFILE_SKILLS = ["Python", "SQL", "Spark", "MySQL"]
-PROFILE_YEARS = 4.0
-
-
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation, without touching the session's catalog."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "part", "supplier", "customer", "nation")}

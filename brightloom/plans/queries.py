@@ -9,17 +9,12 @@ from ..functions import text as T
 from ..functions.values import NOISE, PHRASES, ROLE_NOUNS, SYNONYMS
 from ..operators import evaluation as E
 from ..operators import funnel as N
-from ..operators import matching as M
 from ..operators import records as R
 from ..sources import feeds
 from ..streaming import watch
-from .postings import NOW, POSTINGS, PROFILE_SKILLS, PROFILE_YEARS, postings
+from .postings import NOW, POSTINGS, postings
 
-ALIASES = [("Python", "python"), ("SQL", "sql"), ("Airflow", "airflow"), ("Spark", "apache spark"), ("Spark", "pyspark"), ("Kafka", "kafka"), ("Kinesis", "kinesis"), ("Java", "java"), ("Docker", "docker")]
-IMPLIES = [("MySQL", "SQL"), ("Spark", "Data engineering"), ("PySpark", "Spark"), ("Data engineering", "ETL"), ("Kubernetes", "Docker")]
-RELATED = [("Kafka", "Kinesis"), ("Airflow", "Luigi"), ("Kafka", "Spark"), ("Java", "Python")]
 WANTED = N.Query(title="Data Engineer", now=NOW, location="Berlin, Germany", hours=24 * 365 * 5, workplace=("remote", "onsite"), job_types=("full_time", "contract"), experience=("mid_senior",), count=40)
-PROFILE_TEXT = "Python and SQL pipelines with Spark; steel parts for automobile customers; degree in computer science"
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -43,10 +38,6 @@ def rows(spark: SparkSession, data: list, schema: str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    return rows(spark, ALIASES, "skill string, alias string")
-
-
 def values(data: list) -> str:
     return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in data)
 
@@ -161,120 +152,6 @@ def near_duplicates(spark, sf_dir):
     return N.near_classes(hashes, ["source"])
 
 
-# --- skills, scores, report ----------------------------------------------------------------------------------------
-
-SQL_MENTIONS = f"""{P}, clauses as (select id, regexp_extract_all(unnest(regexp_split_to_array(lower(description), '[.;,\\n]')), '[a-z0-9+#]+') as w from p),
-    starts as (select id, w, unnest(range(1, len(w) + 1)) as pos from clauses), runs as (select id, w, pos, unnest([1, 2, 3]) as k from starts),
-    aliases(skill, alias) as (values {values(ALIASES)}),
-    met as (select id, skill, len(list_filter(w[greatest(1, pos - 6):pos - 1], lambda x: x in ('no', 'not', 'without', 'never', 'non', 'nor'))) > 0 as neg
-        from runs join aliases on alias = array_to_string(w[pos:pos + k - 1], ' ') where pos + k - 1 <= len(w)),
-    mentions as (select id, skill, bool_and(neg) as negated from met group by id, skill)"""
-
-
-@query(f"with {SQL_MENTIONS} select id, skill, negated from mentions")
-def skill_mentions(spark, sf_dir):
-    return M.mentions(postings(spark, sf_dir), aliases(spark))
-
-
-@query(f"""with {SQL_MENTIONS} select skill, count(*) as postings, round(100.0 * count(*) / (select count(*) from p), 6) as pct from mentions where not negated group by skill order by postings desc, skill limit 5""")
-def top_skills(spark, sf_dir):
-    p = postings(spark, sf_dir)
-    n = p.agg(F.count("*").alias("n"))
-    found = M.mentions(p, aliases(spark)).where("not negated").groupBy("skill").agg(F.count("*").alias("postings")).crossJoin(F.broadcast(n))
-    return found.select("skill", "postings", F.round(F.col("postings") * 100.0 / F.col("n"), 6).alias("pct")).orderBy(F.desc("postings"), "skill").limit(5)
-
-
-@query(f"""with recursive c(src, dst) as (select * from (values {values(IMPLIES)}) e(src, dst) union select c.src, e.dst from c join (values {values(IMPLIES)}) e(src, dst) on c.dst = e.src) select src, dst from c""")
-def ontology_closure(spark, sf_dir):
-    return M.closure(rows(spark, IMPLIES, "src string, dst string"))
-
-
-@query(f"""with recursive c(src, dst) as (select * from (values {values(IMPLIES)}) e(src, dst) union select c.src, e.dst from c join (values {values(IMPLIES)}) e(src, dst) on c.dst = e.src),
-    owned(skill) as (values {values([(s,) for s in PROFILE_SKILLS])}), {SQL_MENTIONS},
-    pairs(a, b) as (select * from (values {values(RELATED)}) r(a, b) union select b, a from (values {values(RELATED)}) r(a, b)),
-    i as (select dst as skill, min(src) as v from c join owned on src = owned.skill group by dst), r as (select a as skill, min(b) as v from pairs join owned on b = owned.skill group by a)
-    select id, m.skill, case when o.skill is not null then 'exact' when i.v is not null then 'implied' when r.v is not null then 'related' else 'missing' end as how,
-        case how when 'exact' then 1.0::double when 'implied' then 1.0 when 'related' then 0.5 else 0.0 end as credit, case how when 'implied' then i.v when 'related' then r.v end as via
-    from mentions m left join owned o on o.skill = m.skill left join i on i.skill = m.skill left join r on r.skill = m.skill""")
-def skill_credit(spark, sf_dir):
-    owned = rows(spark, [(s,) for s in PROFILE_SKILLS], "skill string")
-    related = rows(spark, RELATED, "a string, b string")
-    both = related.union(related.select("b", "a")).distinct()
-    asked = M.mentions(postings(spark, sf_dir), aliases(spark)).select("id", "skill")
-    return M.credits(asked, owned, M.closure(rows(spark, IMPLIES, "src string, dst string")), both, 0.5).select("id", "skill", "how", "credit", "via")
-
-
-@query(f"""with {P}, l as (select id, unnest(string_split(description, chr(10))) as line, unnest(range(len(string_split(description, chr(10))))) as line_no from p),
-    s as (select *, last_value(case when regexp_matches(lower(line), '^requirements|^qualifications|^what you') then 'must' when regexp_matches(lower(line), '^nice to have|^preferred|^bonus') then 'nice' when lower(line) like 'about%' then 'other' end ignore nulls)
-        over (partition by id order by line_no rows unbounded preceding) as section from l)
-    select id, cast(line_no as int) as line_no, substr(line, 3) as text, section = 'nice' as preferred from s where line like '• %' and section in ('must', 'nice')""")
-def requirement_lines(spark, sf_dir):
-    return M.requirement_lines(postings(spark, sf_dir))
-
-
-SQL_TERMS = """list_transform(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z][a-z+#.\\-]{{2,}}'), lambda w: w not in {1} and length(w) > 3),
-    lambda w: case when length(trim(w, '.-')) <= 5 then trim(w, '.-') when ends_with(trim(w, '.-'), 'ing') then regexp_replace(trim(w, '.-'), 'ing$', '') when ends_with(trim(w, '.-'), 'ies') then regexp_replace(trim(w, '.-'), 'ies$', 'y')
-        when ends_with(trim(w, '.-'), 'es') then regexp_replace(trim(w, '.-'), 'es$', '') when ends_with(trim(w, '.-'), 's') then regexp_replace(trim(w, '.-'), 's$', '') when ends_with(trim(w, '.-'), 'ed') then regexp_replace(trim(w, '.-'), 'ed$', '') else trim(w, '.-') end)"""
-
-
-def sql_grams(rows_sql: str, text: str) -> str:
-    return f"""(select id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) as term from (select id, {SQL_TERMS.format(text, sql_in([x.replace("'", "''") for x in M.STOP]))} as w from {rows_sql}))"""
-
-
-SQL_SIMILAR = f"""mine as (select id, term, count(*) as tf from {sql_grams('p', 'description')} group by id, term),
-    theirs as (select term, count(*) as tf from {sql_grams(f"(select 0 as id, '{PROFILE_TEXT}' as t)", 't')} group by term),
-    idf as (select term, ln((2 + (select count(*) from p)) / (1 + count(*))) + 1 as idf from (select term from mine union all select term from theirs) group by term),
-    wanted as (select term, (1 + ln(tf)) * idf as wq from theirs join idf using (term)),
-    cosines as (select id, sum((1 + ln(m.tf)) * idf * coalesce(wq, 0)) / (sqrt(sum(((1 + ln(m.tf)) * idf) ** 2)) * (select sqrt(sum(wq * wq)) from wanted)) as cosine
-        from mine m join idf using (term) left join wanted using (term) group by id)"""
-
-
-@query(f"with {P}, {SQL_SIMILAR} select id, round(coalesce(cosine, 0), 9) as cosine from p left join cosines using (id)")
-def semantic_similarity(spark, sf_dir):
-    return M.similarity(postings(spark, sf_dir), "id", "description", PROFILE_TEXT).select("id", F.round("cosine", 9).alias("cosine"))
-
-
-SQL_SCORES = f"""{SQL_MENTIONS}, {SQL_SIMILAR},
-    k as (select id, count(*) as wanted, count(*) filter (skill in {sql_in(PROFILE_SKILLS)}) as matched from mentions where not negated group by id),
-    y as (select id, list_min(list_filter(list_transform(regexp_extract_all(lower(description), '(\\d{{1,2}})\\+? years', 1), lambda x: cast(x as int)), lambda n: n between 1 and 20)) as years from p),
-    parts as (select id, source, company, coalesce(wanted, 0) as wanted, coalesce(matched, 0) as matched, case when wanted > 0 then matched / wanted else 0.0 end as skills,
-        case when regexp_matches(lower(title), 'data|engineer|developer') then 1.0::double else 0.5 end as role, case when years is null then 0.85::double else least(1.0, {PROFILE_YEARS} / years) end as experience,
-        least(1.0, coalesce(cosine, 0) / 0.30) as semantic, length(description) < 80 as short from p left join k using (id) left join y using (id) left join cosines using (id)),
-    scores as (select *, cast(round_even(greatest(0.0, least(1.0, case when short then least(t, 0.45) else t end)) * 100, 0) as int) as score
-        from (select *, 0.40::double * skills + 0.20::double * skills + 0.15::double * role + 0.15::double * experience + 0.10::double * semantic as t from parts))"""
-
-
-def all_scores(spark, sf_dir):
-    return M.scored(postings(spark, sf_dir), aliases(spark), M.Profile(tuple(PROFILE_SKILLS), PROFILE_YEARS, PROFILE_TEXT))
-
-
-@query(f"with {SQL_SCORES} select id, wanted, matched, round(skills, 6) as skills, role, round(experience, 6) as experience, score from scores")
-def posting_scores(spark, sf_dir):
-    return all_scores(spark, sf_dir).select("id", "wanted", "matched", F.round("skills", 6).alias("skills"), "role", F.round("experience", 6).alias("experience"), "score")
-
-
-@query(f"""with {SQL_SCORES} select count(*) as job_count, cast(round_even(avg(score), 0) as int) as avg_score, count(*) filter (score >= 70) as qualifying, count(*) filter (score < 20) as bucket_0,
-    count(*) filter (score >= 20 and score < 40) as bucket_1, count(*) filter (score >= 40 and score < 60) as bucket_2, count(*) filter (score >= 60 and score < 80) as bucket_3, count(*) filter (score >= 80) as bucket_4 from scores""")
-def report_summary(spark, sf_dir):
-    return M.report(all_scores(spark, sf_dir), 70)
-
-
-@query(f"""with {SQL_SCORES}, h as (select least(9, score // 10) as bin, count(*) as n from scores group by 1) select cast(b as int) as bin, coalesce(n, 0) as n from (select unnest(range(10)) as b) left join h on bin = b""")
-def score_histogram(spark, sf_dir):
-    counted = all_scores(spark, sf_dir).groupBy(F.least(F.lit(9), F.floor(F.col("score") / 10).cast("int")).alias("bin")).agg(F.count("*").alias("n"))
-    return spark.range(10).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").fillna(0)
-
-
-@query(f"""with {SQL_SCORES} select source, company, count(*) as n, count(*) filter (score >= 70) as q, grouping(source) * 2 + grouping(company) as facet from scores group by grouping sets ((source), (company), ())""")
-def facet_counts(spark, sf_dir):
-    return all_scores(spark, sf_dir).groupingSets([["source"], ["company"], []], "source", "company").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= 70).alias("q"), F.grouping_id().cast("long").alias("facet"))
-
-
-@query(f"""with {SQL_SCORES} select source, floor(median(score) + 0.5) as median_score from scores group by source""")
-def median_scores(spark, sf_dir):
-    return all_scores(spark, sf_dir).groupBy("source").agg(F.floor(F.median("score") + 0.5).cast("double").alias("median_score"))
-
-
 # --- market statistics -----------------------------------------------------------------------------------------------
 
 
@@ -321,10 +198,11 @@ def recency_buckets(spark, sf_dir):
 # --- the store -------------------------------------------------------------------------------------------------------
 
 
-@query("select l_orderkey as search_id, l_linenumber as rank, p_partkey as job_id, p_name as title from lineitem join part on p_partkey = l_partkey where l_orderkey % 50 = 0")
+@query("select l_orderkey as search_id, l_linenumber as rank, p_partkey as job_id, p_name as title from lineitem join part on p_partkey = l_partkey")
 def search_results(spark, sf_dir):
+    """Results of all searches; one search's are those of its id, by rank."""
     found, jobs = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    met = found.where("l_orderkey % 50 = 0").join(jobs, F.col("l_partkey") == F.col("p_partkey"))
+    met = found.join(jobs, F.col("l_partkey") == F.col("p_partkey"))
     return met.select(F.col("l_orderkey").alias("search_id"), F.col("l_linenumber").alias("rank"), F.col("p_partkey").alias("job_id"), F.col("p_name").alias("title"))
 
 
@@ -369,9 +247,9 @@ def feedback_summary(spark, sf_dir):
     return table(spark, sf_dir, "labels").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), up.alias("up"), down.alias("down"), F.round(F.try_divide(up, up + down), 3).alias("approval"))
 
 
-@query("select user_id as run_id, event_id, row_number() over (partition by user_id order by ts, event_id) as seq from events qualify seq <= 50")
+@query("select user_id as run_id, event_id, row_number() over (partition by user_id order by ts, event_id) as seq from events qualify seq <= 2000")
 def event_sequence(spark, sf_dir):
-    return R.numbered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 50).select(F.col("user_id").alias("run_id"), "event_id", "seq")
+    return R.numbered(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], 2000).select(F.col("user_id").alias("run_id"), "event_id", "seq")
 
 
 @query("select user_id, event_id, event_type as stage from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as was from events) where was is distinct from event_type")
