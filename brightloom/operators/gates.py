@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # --- fixed values: countries, languages, licences and phrases by which a posting states a gate -------------------------
 COUNTRIES = {
     "us": "US", "u.s.": "US", "usa": "US", "united states": "US", "uk": "UK", "u.k.": "UK", "united kingdom": "UK", "british": "UK", "eu": "EU",
@@ -50,6 +52,14 @@ LICENCES = {
     "CFA charter": r"\bcfa\s+charter\b|\bcfa charterholder\b",
     "CISSP certification": r"\bcissp\b",
 }
+#: Of each pattern a few letters of which any match has some, in lower case: texts without them aren't searched.
+ANCHORS = {
+    UNSPONSORED: ["sponsor"], AUTHORISED: ["work"], CITIZEN: ["citizen"], CLEARANCE: ["clearance"], LANGUAGE: LANGUAGES.lower().split("|"), ONSITE: ["site", "office", "must", "required", "reloc", "remote"],
+    "Registered Nurse licence": ["rn", "registered", "nmc"], "LPN licence": ["lpn", "practical"], "CPA / chartered accountant": ["cpa", "chartered", "aca", "acca"],
+    "Bar admission / practising certificate": ["admitted", "admission", "licensed", "solicitor"], "Commercial driver's licence (CDL/HGV)": ["cdl", "commercial", "hgv"],
+    "Professional Engineer (PE/CEng)": ["professional engineer", "pe licen", "chartered"], "Teaching licence (QTS)": ["teaching", "qts", "teacher"], "FINRA Series licence": ["series"],
+    "Electrician licence": ["journeyman", "electrician"], "CFA charter": ["cfa"], "CISSP certification": ["cissp"],
+}
 LABELS = {"authorization": "work authorization", "clearance": "security clearance", "license": "licence", "language": "language", "onsite": "on-site location", "degree": "degree"}
 WITHIN_EU = ["GERMANY", "FRANCE", "IRELAND", "NETHERLANDS"]
 
@@ -84,10 +94,13 @@ def clause(text: Column, at: Column, found: Column) -> Column:
     return F.substring(F.btrim(F.regexp_replace(F.concat(start, found, end), r"\s+", " "), F.lit(" -•*;.")), 1, 220)
 
 
-def first_of(text: Column, pattern: str, group: int = 1) -> Column:
-    """struct<group, text> of the first match of a pattern, or null."""
-    found = F.regexp_extract(text, pattern, 0)
-    return F.when(text.rlike(pattern), F.struct(F.regexp_extract(text, pattern, group).alias("group"), clause(text, F.regexp_instr(text, F.lit(pattern)), found).alias("text")))
+def first_of(text: Column, low: Column, pattern: str, group: int = 1, anchors: list[str] | None = None) -> Column:
+    """struct<group, text> of the first match of a pattern, or null; `low` is the text in lower case."""
+    maybe = F.lit(not anchors)
+    for word in anchors or []:
+        maybe = maybe | F.contains(low, F.lit(word))
+    told = F.struct(F.regexp_extract(text, pattern, group).alias("group"), clause(text, F.regexp_instr(text, F.lit(pattern)), F.regexp_extract(text, pattern, 0)).alias("text"))
+    return F.when(maybe & text.rlike(pattern), told)
 
 
 def detected(description: Column, title: Column, licences: dict[str, str] | None = None) -> Column:
@@ -96,31 +109,42 @@ def detected(description: Column, title: Column, licences: dict[str, str] | None
     A right to work counts before citizenship, and that before refused sponsorship. A softened clause states no language,
     licence or clearance. A null description states none.
     """
-    text = F.coalesce(description, F.lit(""))
     gate = lambda kind, need, told, refused=None: F.struct(F.lit(kind).alias("type"), need.alias("need"), told.alias("text"), (F.lit(False) if refused is None else refused).alias("no_sponsorship")).cast(GATE)
-    work, citizen, refused = first_of(text, AUTHORISED), first_of(text, CITIZEN), first_of(text, UNSPONSORED, 0)
-    right = F.when(work.isNotNull(), gate("authorization", country(work["group"]), work["text"], refused.isNotNull()))
-    right = right.when(citizen.isNotNull(), gate("authorization", country(citizen["group"]), citizen["text"], F.lit(True)))
-    right = right.when(refused.isNotNull(), gate("authorization", F.lit(""), refused["text"], F.lit(True)))
-    whole = F.concat_ws("\n", text, title)
-    held = first_of(whole, CLEARANCE)
-    softened = held["text"].rlike(SOFT) & (F.regexp_instr(whole, F.lit(CLEARANCE)) <= F.length(text))
-    level = F.when(held["group"] == "", "Security").otherwise(held["group"])
-    clearance = F.when(held.isNotNull() & ~softened, gate("clearance", F.when(F.length(level) <= 6, F.upper(level)).otherwise(F.initcap(level)), held["text"]))
-    papers = []
-    for name, pattern in (licences or LICENCES).items():
-        paper = first_of(text, f"(?i){pattern}", 0)
-        papers.append(F.when(paper.isNotNull() & ~paper["text"].rlike(SOFT), gate("license", F.lit(name), paper["text"])))
-    spoken = F.array_distinct(F.regexp_extract_all(text, F.lit(LANGUAGE), F.lit(0)))
-    tongues = F.transform(spoken, lambda m: F.struct(
-        F.initcap(F.coalesce(*(F.nullif(F.regexp_extract(m, LANGUAGE, k), F.lit("")) for k in (1, 2, 3)))).alias("need"), clause(text, F.position(m, text), m).alias("text"),
-    ))
-    hard = F.filter(tongues, lambda t: ~t["text"].rlike(SOFT))
-    firsts = F.filter(hard, lambda t, i: ~F.exists(F.slice(hard, 1, i), lambda u: u["need"] == t["need"]))
-    place = first_of(text, ONSITE, 0)
-    onsite = F.when(place.isNotNull(), gate("onsite", F.lit(""), place["text"]))
-    languages = F.transform(firsts, lambda t: gate("language", t["need"], t["text"]))
-    return F.concat(F.array_compact(F.array(right, clearance, *papers)), languages, F.array_compact(F.array(onsite)))
+
+    def work(text: Column, low: Column) -> Column:
+        find = lambda pattern, group=1: first_of(text, low, pattern, group, ANCHORS[pattern])
+        refusal = lambda r: let(find(CITIZEN), lambda c: F.when(c.isNotNull(), gate("authorization", country(c["group"]), c["text"], F.lit(True))).when(r.isNotNull(), gate("authorization", F.lit(""), r["text"], F.lit(True))))
+        return let(find(UNSPONSORED, 0), lambda r: let(find(AUTHORISED), lambda a: F.when(a.isNotNull(), gate("authorization", country(a["group"]), a["text"], r.isNotNull())).otherwise(refusal(r))))
+
+    def clearance(text: Column, low: Column) -> Column:
+        whole = F.concat_ws("\n", text, title)
+
+        def told(held: Column) -> Column:
+            softened = held["text"].rlike(SOFT) & (F.regexp_instr(whole, F.lit(CLEARANCE)) <= F.length(text))
+            level = F.when(held["group"] == "", "Security").otherwise(held["group"])
+            return F.when(held.isNotNull() & ~softened, gate("clearance", F.when(F.length(level) <= 6, F.upper(level)).otherwise(F.initcap(level)), held["text"]))
+
+        return let(first_of(whole, F.lower(whole), CLEARANCE, 1, ANCHORS[CLEARANCE]), told)
+
+    def paper(text: Column, low: Column, name: str, pattern: str) -> Column:
+        return let(first_of(text, low, f"(?i){pattern}", 0, ANCHORS.get(name)), lambda p: F.when(p.isNotNull() & ~p["text"].rlike(SOFT), gate("license", F.lit(name), p["text"])))
+
+    def tongues(text: Column, low: Column) -> Column:
+        maybe = F.lit(False)
+        for word in ANCHORS[LANGUAGE]:
+            maybe = maybe | F.contains(low, F.lit(word))
+        need = lambda m: F.initcap(F.coalesce(*(F.nullif(F.regexp_extract(m, LANGUAGE, k), F.lit("")) for k in (1, 2, 3))))
+        spoken = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(LANGUAGE), F.lit(0))), lambda m: F.struct(need(m).alias("need"), clause(text, F.position(m, text), m).alias("text")))
+        firsts = lambda hard: F.filter(hard, lambda t, i: ~F.exists(F.slice(hard, 1, i), lambda u: u["need"] == t["need"]))
+        told = F.transform(let(F.filter(spoken, lambda t: ~t["text"].rlike(SOFT)), firsts), lambda t: gate("language", t["need"], t["text"]))
+        return F.when(maybe, told).otherwise(F.array().cast(f"array<{GATE}>"))
+
+    def all_gates(text: Column, low: Column) -> Column:
+        onsite = let(first_of(text, low, ONSITE, 0, ANCHORS[ONSITE]), lambda p: F.when(p.isNotNull(), gate("onsite", F.lit(""), p["text"])))
+        papers = [paper(text, low, name, pattern) for name, pattern in (licences or LICENCES).items()]
+        return F.concat(F.array_compact(F.array(work(text, low), clearance(text, low), *papers)), tongues(text, low), F.array_compact(F.array(onsite)))
+
+    return let(F.coalesce(description, F.lit("")), lambda text: let(F.lower(text), lambda low: all_gates(text, low)))
 
 
 def is_gate_line(line: Column, gates: Column) -> Column:

@@ -157,10 +157,8 @@ def similarity(rows: DataFrame, id_column: str, text: str, other: str) -> DataFr
 def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
     """`df` (with hits, title_hits, description) and required, preferred, negated, weights, matched, missing, related, keywords and skill_score."""
     soft = taxonomy.soft
-    split = Q.preferred_from(F.col("description"))
-    ahead = F.filter("hits", lambda h: F.coalesce(h["line"] < F.col("pref_line"), F.lit(True)))
-    df = df.withColumn("pref_line", split)
-    df = df.withColumns({"req_hits": F.concat(ahead, F.col("title_hits")), "pref_hits": F.filter("hits", lambda h: h["line"] >= F.col("pref_line"))})
+    split = lambda fits: let(Q.preferred_from(F.col("description")), lambda at: F.filter("hits", lambda h: fits(h["line"], at)))
+    df = df.withColumns({"req_hits": F.concat(split(lambda line, at: F.coalesce(line < at, F.lit(True))), F.col("title_hits")), "pref_hits": split(lambda line, at: line >= at)})
     df = df.withColumn("required", S.wanted_of(F.col("req_hits"))).withColumn("preferred", F.array_except(S.wanted_of(F.col("pref_hits")), "required"))
     ruled = F.array_union(S.ruled_out_of(F.col("req_hits")), S.ruled_out_of(F.col("pref_hits")))
     df = df.withColumn("negated", F.array_sort(F.array_except(F.array_except(ruled, "required"), "preferred")))
@@ -229,17 +227,19 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataF
     (level, strict, text), gates (judged), blockers, penalty, capped, the five components, score, confidence. All but the
     similarity of terms is worked out within the row. A null description counts as empty. Ids are unique.
     """
-    base = durable(postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description")))
-    df = base.withColumns({"hits": S.hits_in(S.words_of(F.col("description")), taxonomy), "title_hits": S.hits_in(S.words_of(F.col("title")), taxonomy)})
-    df = df.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
-    df = skill_part(df, taxonomy, profile)
-    counted = F.filter("lines", lambda x: ~G.is_gate_line(x["text"], F.col("stated")))
-    told = F.transform(counted, lambda x: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), assessed(x, F.filter("hits", lambda h: h["line"] == x["line"]), profile).alias("a")))
-    df = df.withColumn("told", told).withColumn("told", F.filter("told", lambda x: x["a"].isNotNull()))
-    df = df.withColumn("rows", F.transform("told", lambda x, i: F.struct(
+    base = postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
+    # steps are written, so that no later step works an earlier one out again for each of its uses
+    base = durable(base.withColumns({"hits": S.hits_in(S.words_of(F.col("description")), taxonomy), "title_hits": S.hits_in(S.words_of(F.col("title")), taxonomy)}))
+    df = base.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
+    df = durable(skill_part(df, taxonomy, profile))
+    counted = let(F.col("stated"), lambda gates: F.filter("lines", lambda x: ~G.is_gate_line(x["text"], gates)))
+    judge = lambda x, hits: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), let(F.filter(hits, lambda h: h["line"] == x["line"]), lambda own: assessed(x, own, profile)).alias("a"))
+    told = let(F.col("hits"), lambda hits: F.transform(counted, lambda x: judge(x, hits)))
+    df = df.withColumn("told", F.filter(told, lambda x: x["a"].isNotNull()))
+    df = durable(df.withColumn("rows", F.transform("told", lambda x, i: F.struct(
         F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"), x["preferred"].alias("preferred"), x["a"]["coverage"].alias("coverage"),
         x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"),
-    )))
+    ))))
     df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
     df = df.join(similarity(base, "id", "description", profile.text), "id")
     lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))
