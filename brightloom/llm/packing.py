@@ -8,6 +8,7 @@ all groups is packed once more together. A group is a bounded unit of work at an
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from .common import durable, slices
 
 CAPACITY = 2048
 GROUP = 4096  #: pieces that are packed together
-IDLE = 8  #: sequences in a row that can't be emptied before the search of a group ends
+IDLE = 8  #: sequences in a row that can't be emptied before the search of a group ends; None: all are tried
 _encoders: dict[str, bpe.Ids] = {}
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
@@ -60,12 +61,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def by_length(members: list[int], lengths: np.ndarray) -> dict[int, list[int]]:
+    found: dict[int, list[int]] = {}
+    for k in members:
+        found.setdefault(int(lengths[k]), []).append(k)
+    return found
+
+
 def best_exchange(mine: list[int], other: list[int], room: int, lengths: np.ndarray) -> tuple[int, list[int], list[int]]:
     """What to give `other`, which has `room` left, and what to take back, so that it gains most: (gain, given, taken)."""
     best: tuple[int, list[int], list[int]] = (0, [], [])
-    gifts = [([a], int(lengths[a])) for a in mine]
-    gifts += [([a, b], int(lengths[a] + lengths[b])) for n, a in enumerate(mine[:24]) for b in mine[n + 1 : 24]]
-    returns: list[tuple[list[int], int]] = [([], 0), *(([b], int(lengths[b])) for b in other)]
+    own = by_length(mine, lengths)  # a bin has few distinct lengths (64 at most in 2,048), and of one any will do
+    gifts = [([some[0]], n) for n, some in own.items()] + [([some[0], some[1]], 2 * n) for n, some in own.items() if len(some) > 1]
+    gifts += [([own[a][0], own[b][0]], a + b) for a, b in itertools.combinations(own, 2)]
+    returns: list[tuple[list[int], int]] = [([], 0), *(([some[0]], n) for n, some in by_length(other, lengths).items())]
     for given, size in gifts:
         for taken, back in returns if len(given) == 1 else returns[1:]:
             if best[0] < size - back <= room:
@@ -73,17 +82,17 @@ def best_exchange(mine: list[int], other: list[int], room: int, lengths: np.ndar
     return best
 
 
-def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, idle_most: int | None = IDLE) -> list[list[int]]:
     """Moves, one-for-one and two-for-one exchanges from the emptiest bin into fuller ones.
 
     Each one takes from the emptier bin and gives to the fuller, so the sum of squared fills grows and the search ends. A
-    bin that has given all is gone. It stops at the lower bound, or after `IDLE` bins that nothing could empty.
+    bin that has given all is gone. It stops at the lower bound, or after `idle_most` bins in a row that nothing could empty (None: when all were tried).
     """
     fill = [int(lengths[b].sum()) for b in bins]
     least = -(-sum(fill) // capacity)
     open_bins = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: fill[k])
     alive, idle, at = len(bins), 0, 0
-    while alive > least and idle < IDLE and at < len(open_bins):
+    while alive > least and (idle_most is None or idle < idle_most) and at < len(open_bins):
         donor, gone = open_bins[at], False
         for k in sorted(open_bins[at + 1 :], key=lambda k: (fill[k], k)):
             while fill[donor] <= fill[k] < capacity and bins[donor]:
@@ -134,7 +143,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             names = ["doc_id", "uid", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("uid"), "text")
+    numbered = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), "text")
     return numbered.mapInArrow(cut, PIECES)
 
 
