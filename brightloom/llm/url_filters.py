@@ -47,7 +47,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
     A rule fits its host and all subdomains if the url's path starts with the rule's. The longest fitting rule wins: more
     of the host first, then more of the path; of one rule with two actions, `block`. Urls without a rule get `default`;
-    null urls and those without `://` have an empty host and path, which no rule fits. Repeated pages and null ids stay.
+    null urls and those without `://` have an empty host and path, which no rule fits; urls may be of any length. Repeated pages and null ids stay; other columns don't matter; an empty table gives none.
     Each host and path is judged once, however many pages have it.
     """
     rules = rule_parts(rules.where("rule is not null")).groupBy("rule", "rule_host", "rule_path").agg(F.max(F.col("action") == "block").alias("blocks"))
@@ -69,4 +69,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     fits = met.where("digest = rule_digest")
     best = fits.groupBy("host", "path").agg(F.max(F.struct("rule_host_length", F.length("rule").alias("n"), "blocks", "rule")).alias("best"))
     verdict = F.when(F.col("best").isNull(), default).when(F.col("best.blocks"), "block").otherwise("allow")
-    return split.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    # a popular url, or the many without a host, would all go to one task: rows are dealt by salt, urls without a host by row
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    judged = split.where("host <> ''").withColumn("salt", salt).join(salted, ["host", "path", "salt"], "left")
+    out = ["page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict")]
+    none = split.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return judged.select(*out).unionByName(none)
