@@ -24,10 +24,8 @@ CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"u
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 MEDIA = "media binary, payload_bytes long"
-PARSED = (
-    "brand string, codec string, handler string, timescale long, duration long, samples long, sample_bytes long, chunks long, "
-    "keyframes array<struct<sample: long, at: long, length: long>>, problem string"
-)
+KEYFRAMES = "array<struct<sample: long, at: long, length: long>>"
+PARSED = f"brand string, tracks array<struct<number: long, codec: string, handler: string, timescale: long, duration: long, chunks: long, samples: long, sample_bytes: long, keyframes: {KEYFRAMES}>>, problem string"
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -110,49 +108,115 @@ def counted(data: memoryview, body: int, end: int, kind: str, columns: int, skip
     return np.frombuffer(data, kind, n * columns, body + skip + 4).astype(np.int64).reshape(n, columns)
 
 
-def parse(data: bytes) -> dict:
-    """What the boxes of the first track say; payload bytes aren't touched. ValueError for what is no whole file."""
-    view, found, brand = memoryview(data), {}, None
-    track = None
-    for path, body, end in walk(view):
-        if path == (b"ftyp",):
-            brand = bytes(view[body : body + 4]).decode("latin-1")
-        elif path == (b"moov", b"trak"):
-            track = body if track is None else track
-            inside = track == body
-        elif path[:2] == (b"moov", b"trak") and inside:
-            found[path[-1]] = (body, end)
-    if b"stsd" not in found:
-        raise ValueError("no track")
-    body = found[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", view, body + 20) if view[body] == 1 else struct.unpack_from(">II", view, body + 12)
+def sample_table(view: memoryview, found: dict[bytes, tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sizes, places and keyframe numbers of the samples that a track's tables list, and the number of chunks."""
     body, end = found[b"stsz"]
     (same, n) = struct.unpack_from(">II", view, body + 4)
     sizes = np.full(n, same, np.int64) if same else counted(view, body, end, ">u4", 1, skip=8)[:, 0]
     offsets = counted(view, *found[b"co64"], ">u8", 1) if b"co64" in found else counted(view, *found[b"stco"], ">u4", 1)
     runs = counted(view, *found[b"stsc"], ">u4", 3)
     upto = np.append(runs[1:, 0], len(offsets) + 1)
-    per_chunk = np.repeat(runs[:, 1], upto - runs[:, 0])
+    per_chunk = np.repeat(runs[:, 1], upto - runs[:, 0]) if len(runs) else np.zeros(0, np.int64)
     chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
+    if len(chunk_of) < n:
+        raise ValueError("samples lie outside the file")
     at = offsets[chunk_of, 0] + before - before[first[chunk_of]]
-    if len(chunk_of) < n or (n and (at + sizes).max() > len(data)):
+    if n and (at + sizes).max() > size:
         raise ValueError("samples lie outside the file")
     keys = counted(view, *found[b"stss"], ">u4", 1)[:, 0] - 1 if b"stss" in found else np.arange(n)
-    body = found[b"stsd"][0]
-    handler = found[b"hdlr"][0]
-    return {
-        "brand": brand,
-        "codec": bytes(view[body + 12 : body + 16]).decode("latin-1"),
-        "handler": bytes(view[handler + 8 : handler + 12]).decode("latin-1"),
-        "timescale": timescale,
-        "duration": duration,
-        "sizes": sizes,
-        "at": at,
-        "chunks": len(offsets),
-        "keys": keys[keys < n],
-    }
+    return sizes, at, keys[keys < n], len(offsets)
+
+
+def optional(view: memoryview, at: int, flags: int, fields: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
+    """Values by flag of the fields that `flags` says are there, and where they end."""
+    told = {}
+    for flag, kind in fields:
+        if flags & flag:
+            (told[flag],) = struct.unpack_from(f">{kind}", view, at)
+            at += struct.calcsize(f">{kind}")
+    return told, at
+
+
+def run_of(view: memoryview, body: int, end: int, header: dict, at: int) -> tuple[list[tuple[int, int, bool, int]], int]:
+    """(size, place, key, duration) of each sample of a fragment's run, and where its data ends; `at` is where the run before ended."""
+    flags, n = struct.unpack_from(">II", view, body)
+    told, place = optional(view, body + 8, flags, [(0x1, "i"), (0x4, "I")])
+    at = header["base"] + told[0x1] if 0x1 in told else at
+    samples = []
+    for k in range(n):
+        own, place = optional(view, place, flags, [(0x100, "I"), (0x200, "I"), (0x400, "I"), (0x800, "I")])
+        if place > end:
+            raise ValueError("table overruns its box")
+        length = own.get(0x200, header["size"])
+        marks = own.get(0x400, told[0x4] if not k and 0x4 in told else header["flags"])
+        if at + length > len(view):
+            raise ValueError("samples lie outside the file")
+        samples.append((length, at, not marks & 0x10000, own.get(0x100, header["duration"])))
+        at += length
+    return samples, at
+
+
+def tracks(data: bytes) -> list[dict]:
+    """What the boxes say of each track, fragments included; payload bytes aren't touched. ValueError for what is no whole file."""
+    view, brand = memoryview(data), None
+    boxes: list[dict[bytes, tuple[int, int]]] = []
+    extends: dict[int, dict] = {}
+    fragments: dict[int, list] = {}
+    header, at, moof = {}, 0, 0
+    for path, body, end in walk(view):
+        if path == (b"ftyp",):
+            brand = bytes(view[body : body + 4]).decode("latin-1")
+        elif path == (b"moov", b"trak"):
+            boxes.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            boxes[-1][path[-1]] = (body, end)
+        elif path == (b"moov", b"mvex", b"trex"):
+            number, _, duration, size, flags = struct.unpack_from(">5I", view, body + 4)
+            extends[number] = {"duration": duration, "size": size, "flags": flags}
+        elif path == (b"moof",):
+            moof = body - 8
+        elif path == (b"moof", b"traf", b"tfhd"):
+            flags, number = struct.unpack_from(">II", view, body)
+            told, _ = optional(view, body + 8, flags & 0xFFFFFF, [(0x1, "Q"), (0x2, "I"), (0x8, "I"), (0x10, "I"), (0x20, "I")])
+            usual = extends.get(number, {"duration": 0, "size": 0, "flags": 0})
+            header = {"number": number, "base": told.get(0x1, moof), "duration": told.get(0x8, usual["duration"]), "size": told.get(0x10, usual["size"]), "flags": told.get(0x20, usual["flags"])}
+            at = header["base"]
+        elif path == (b"moof", b"traf", b"trun"):
+            if not header:
+                raise ValueError("a run without its header")
+            samples, at = run_of(view, body, end, header, at)
+            fragments.setdefault(header["number"], []).extend(samples)
+    if not boxes or any(b"stsd" not in found for found in boxes):
+        raise ValueError("no track")
+    out = []
+    for found in boxes:
+        body = found[b"tkhd"][0]
+        (number,) = struct.unpack_from(">I", view, body + (20 if view[body] == 1 else 12))
+        body = found[b"mdhd"][0]
+        timescale, duration = struct.unpack_from(">IQ", view, body + 20) if view[body] == 1 else struct.unpack_from(">II", view, body + 12)
+        sizes, places, keys, chunks = sample_table(view, found, len(data))
+        if more := fragments.get(number):
+            length, where, key, lasts = (np.array(c, np.int64) for c in zip(*more, strict=True))
+            keys = np.append(keys, len(sizes) + np.flatnonzero(key))
+            sizes, places, duration = np.append(sizes, length), np.append(places, where), duration or int(lasts.sum())
+        kind, handler = found[b"stsd"][0], found[b"hdlr"][0]
+        out.append({
+            "brand": brand, "number": number, "codec": bytes(view[kind + 12 : kind + 16]).decode("latin-1"), "handler": bytes(view[handler + 8 : handler + 12]).decode("latin-1"),
+            "timescale": timescale, "duration": duration, "sizes": sizes, "at": places, "chunks": chunks, "keys": keys,
+        })
+    return out
+
+
+def parse(data: bytes) -> dict:
+    """What the boxes say of the first track."""
+    return tracks(data)[0]
+
+
+def keyframes_of(told: dict) -> list[dict]:
+    keys = told["keys"]
+    return [{"sample": k, "at": a, "length": n} for k, a, n in zip(keys.tolist(), told["at"][keys].tolist(), told["sizes"][keys].tolist(), strict=True)]
 
 
 def payload_of(data: bytes, told: dict) -> bytes:
@@ -178,50 +242,50 @@ def to_media(text: Column) -> Column:
     return stored(text)
 
 
-def read_boxes(df: DataFrame, media: str = "media", out: str = "track") -> DataFrame:
-    """`df` with struct `out` of what each file's boxes say: brand, codec, handler, timescale, duration, samples, bytes,
-    chunks and the byte range of each keyframe. Null, empty or broken files give null fields and say why in `problem`.
+def read_boxes(df: DataFrame, media: str = "media", out: str = "file") -> DataFrame:
+    """`df` with struct `out` of what each file's boxes say: brand, tracks and problem.
+
+    Each track has its number, codec, handler, timescale, duration, samples, bytes, chunks and the byte range of each
+    keyframe, samples of fragments included. Null, empty or broken files have no tracks and say why in `problem`.
     """
 
     @F.pandas_udf(PARSED)
     def parsed(files: pd.Series) -> pd.DataFrame:
         rows = []
         for data in files:
-            row = dict.fromkeys(("brand", "codec", "handler", "timescale", "duration", "samples", "sample_bytes", "chunks", "keyframes", "problem"))
+            row = {"brand": None, "tracks": [], "problem": None if data else "no bytes"}
             try:
-                told = parse(data) if data else None
-                if told is None:
-                    row["problem"] = "no bytes"
-                else:
-                    keys = told["keys"]
-                    row |= {k: told[k] for k in ("brand", "codec", "handler", "timescale", "duration", "chunks")}
-                    row |= {"samples": len(told["sizes"]), "sample_bytes": int(told["sizes"].sum())}
-                    spans = zip(keys.tolist(), told["at"][keys].tolist(), told["sizes"][keys].tolist(), strict=True)
-                    row["keyframes"] = [{"sample": k, "at": a, "length": n} for k, a, n in spans]
+                for told in tracks(data) if data else []:
+                    row["brand"] = told["brand"]
+                    row["tracks"].append({k: told[k] for k in ("number", "codec", "handler", "timescale", "duration", "chunks")} | {"samples": len(told["sizes"]), "sample_bytes": int(told["sizes"].sum()), "keyframes": keyframes_of(told)})
             except (ValueError, KeyError, IndexError, struct.error) as e:
-                row["problem"] = str(e) or type(e).__name__
+                row |= {"tracks": [], "problem": str(e) or type(e).__name__}
             rows.append(row)
-        return pd.DataFrame(rows).astype({c: "Int64" for c in ("timescale", "duration", "samples", "sample_bytes", "chunks")})
+        return pd.DataFrame(rows)
 
     return df.withColumn(out, parsed(media))
 
 
 def media_digest(df: DataFrame, media: str = "media", out: str = "digest") -> DataFrame:
-    """`df` with struct `out`: sizes and digests of each file and of the payload that its sample tables lead to, and a feature."""
+    """`df` with struct `out`: sizes and digests of each file and of the payload that its sample tables lead to, a feature, and what the boxes say."""
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes {KEYFRAMES}")
     def digested(files: pd.Series) -> pd.DataFrame:
         rows = []
         for data in files:
             told = parse(data)
             payload = payload_of(data, told)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(told)))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(told), told["codec"], told["timescale"], told["duration"], keyframes_of(told)))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "keyframes"])
 
     return df.withColumn(out, digested(media))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each row of `docs` stored as a media file and read back: doc_id, n_bytes and the digest columns."""
+    """Each row of `docs` stored as a media file and read back: doc_id, n_bytes, the digest columns, codec, timescale, duration, keyframes.
+
+    A null or empty text is one unit of spaces; repeated rows and null ids give their rows each; other columns don't
+    matter; an empty table gives an empty one.
+    """
     stored = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), to_media(F.col("text")).alias("media"))
     return media_digest(stored).select("doc_id", "n_bytes", "digest.*")
