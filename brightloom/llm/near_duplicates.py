@@ -2,7 +2,7 @@
 
 Texts with one set of word 5-grams are one set with a count. Signatures of the sets are cut into bands, sets meet where
 they share a band's hash, and pairs that meet are verified on their full n-gram sets. No pair is ever a row: large
-buckets are dealt into pairs of blocks, a block pair is verified at once, and gives for each set the copies that it links
+buckets are dealt into pairs of blocks (work, though not rows, grows with the square of a bucket's distinct sets), a block pair is verified at once, and gives for each set the copies that it links
 to and a spanning forest of the links. A pair that meets in several buckets counts in the first of them alone.
 """
 
@@ -25,7 +25,7 @@ RECALL = 0.9999
 MOST_HASHES = 128
 BLOCK = 256  #: sets of a bucket that are held against as many at once
 COLUMNS = 8192  #: n-grams of a block pair that are multiplied at once
-MOST_BROADCAST = 2_000_000  #: row keys (some 40 bytes each) up to which they are broadcast
+MOST_BROADCAST = 300_000  #: row keys (some 40 bytes each, so 12 MB) up to which they are broadcast; more are shuffled
 
 
 def banding(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -124,14 +124,14 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 hashes.append(band_hashes(grams, bands, rows).view(np.int64) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "key", "set_id", "bands"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("key"), "text")
+    keyed = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), "text")
     return keyed.mapInArrow(sign, "doc_id long, key long, set_id binary, bands array<long>")
 
 
 def grams_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """set_id and grams for each row of `wanted` (doc_id, key, set_id), from the whole texts of `docs`."""
     few = wanted.count() <= MOST_BROADCAST
-    keyed = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("key"), "text")
+    keyed = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), "text")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.key") == F.col("w.key"))
     found = keyed.alias("d").join((F.broadcast(wanted) if few else wanted).alias("w"), same).select("set_id", "text")
 
@@ -193,7 +193,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = THRESHOLD, recall: f
     """A row for each row of `docs`: doc_id, key, class_id, n_links, keeper_id, keeper_key.
 
     A class is what links of Jaccard similarity `threshold` or more join, equal texts included; class_id is its least
-    doc_id, n_links counts the other rows that the row's text is linked to. Null and empty texts have no n-grams: each row
+    doc_id (an id that is no number counts as null), n_links counts the other rows that the row's text is linked to. Null and empty texts have no n-grams: each row
     is a class of its own with no links. Repeated rows are copies. keeper_id and keeper_key name the row that stays if
     one of a class does. Extra columns don't matter; an empty table gives an empty one.
     """
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, n: int = 5, threshold: float = THRESHOLD, recall: f
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs`, all its columns, with one row of each class. Rows of null or empty text all stay."""
+    """`docs`, all its columns, with one row of each class. Rows of null or empty text all stay; of wholly repeated rows one does."""
     assigned = durable(classes(docs, n, threshold))
     stays = F.col("doc_id").eqNullSafe(F.col("keeper_id")) & (F.col("key") == F.col("keeper_key"))
     void = row_key(F.lit(None).cast("string")), row_key(F.lit(""))
@@ -248,10 +248,10 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = THRESHOLD) -> Da
     few = gone.count() <= MOST_BROADCAST
     name = unused(docs, "_key")
     keyed = docs.withColumn(name, row_key(F.col("text")))
-    same = lambda other: F.col("d.doc_id").cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col(f"d.{name}") == F.col(f"{other}.key"))
+    same = lambda other: F.col("d.doc_id").try_cast("long").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col(f"d.{name}") == F.col(f"{other}.key"))
     left = keyed.alias("d").join((F.broadcast(gone) if few else gone).alias("g"), same("g"), "left_anti")
     if not repeated.isEmpty():
         once = left.alias("d").join(repeated.alias("r"), same("r"), "left_anti")
-        again = left.alias("d").join(repeated.alias("r"), same("r"), "left_semi").dropDuplicates(["doc_id", name])
+        again = left.alias("d").join(repeated.alias("r"), same("r"), "left_semi").dropDuplicates([name])
         left = once.unionByName(again)
     return left.drop(name)
