@@ -25,6 +25,7 @@ SAMPLE = {1: 1500, 0: 4500}  #: expected training documents by label; the docume
 CALIBRATION = {1: 500, 0: 1000}  #: documents by label on which the score is fitted
 PREFIXES = (3, 4, 5, 6)
 WINDOW = 40  #: tokens of a training sequence
+WINDOWS = {1: 8, 0: 2}  #: of a sampled text at most so many sequences with and without a mark teach the chain; scoring reads whole texts
 SURPRISE = 30.0  #: log-likelihood ratio from which a feature marks toxic tokens
 LIFT = 8.0  #: and how many times as often toxic documents have it
 STEPS, RATE, DECAY = 80, 0.3, 1e-3
@@ -260,7 +261,7 @@ def fit(texts: list[str], toxic: np.ndarray, prior: dict[int, float]) -> Field |
         starts = list(range(0, len(tokens), WINDOW))
         hot = [a for a in starts if marked[a : a + WINDOW].any()]
         rest = [a for a in starts if a not in set(hot)]
-        for a in [*hot[:8], *rng.permutation(rest)[:2].tolist()]:
+        for a in [*hot[: WINDOWS[1]], *rng.permutation(rest)[: WINDOWS[0]].tolist()]:
             windows.append(tokens[a : a + WINDOW])
             states.append(marked[a : a + WINDOW])
     model = fit_chain(windows, states)
@@ -283,11 +284,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     bounded, and broadcast. A document with both labels counts as toxic.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.coalesce(remainder(F.col("doc_id"), HELD_OUT[0]) != HELD_OUT[1], F.lit(False)))
-    marked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    marked = usable.groupBy(F.col("doc_id").try_cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     counts = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, SAMPLE[1] / counts.get(1, 1)).otherwise(SAMPLE[0] / counts.get(0, 1))
     drawn = marked.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").where("text is not null")
     found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "y").toArrow().to_pandas()
     found = found.sort_values(["doc_id", "text"]).drop_duplicates(["doc_id", "text"])
     prior = {y: max(1.0, counts.get(y, 1) / SAMPLE[y]) for y in SAMPLE}

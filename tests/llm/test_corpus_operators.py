@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import bpe, decontamination, media, toxicity, warc
+from brightloom.llm import bpe, decontamination, media, near_duplicates, toxicity, url_filters, warc
 from brightloom.llm.language_id import keep_known_language, language_report
 from brightloom.llm.near_duplicates import banding, classes, one_of_each
 from brightloom.llm.packing import best_fit, empty_bins, pack_documents
@@ -84,6 +85,11 @@ def test_exchanges_empty_bins():
     found = empty_bins([[0, 7], [5, 6], [1, 3], [2, 4]], lengths, 10)
     assert len(found) == 3 and sorted(k for b in found for k in b) == list(range(8))
     assert all(lengths[b].sum() <= 10 for b in found)
+    rng = np.random.default_rng(3)
+    for _ in range(20):  # the search over all bins is never worse than the one that ends early
+        lengths = rng.integers(1, 10, 40)
+        early, whole = (empty_bins(best_fit(lengths, 20), lengths, 20, idle) for idle in (1, None))
+        assert len(whole) <= len(early) and sorted(k for b in whole for k in b) == list(range(40))
 
 
 def similar_classes(texts):
@@ -124,12 +130,25 @@ def test_join_equals_brute_force(spark):
     assert classes(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0)).count() == 0
 
 
+def test_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "MOST_BROADCAST", 0)
+    words = [f"w{k}" for k in range(40)]
+    docs = documents(spark, [" ".join(words), " ".join(words[:-1]), " ".join(words), "other words", None]).unionByName(documents(spark, ["again", "again"]).withColumn("doc_id", F.lit(9).cast("long")))
+    docs = docs.unionByName(docs.where("doc_id = 9").limit(1))
+    assert {r.doc_id: (r.class_id, r.n_links) for r in classes(docs).collect()} == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 0), 4: (4, 0), 9: (9, 2)}
+    assert sorted(r.doc_id for r in one_of_each(docs).collect()) == [0, 3, 4, 9]
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))  # ids that are no numbers
+    assert classes(named).count() == docs.count() and one_of_each(named).count() == 4
+
+
 def test_banding_meets_its_recall():
     bands, rows = banding(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("most", [0, url_filters.MOST_BROADCAST])
+def test_urls(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "MOST_BROADCAST", most)
     urls = [None, "no scheme", "http://Shop.NET/x", "https://a.example.net/en/1?q", "https://example.net/de/", "http://example.com/de/a#b", "http://www.example.com/fr/", "http://x.org/fr/1", "http://notexample.com/de/", "http://net", "ftp://example.com?x=/de/"]
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages, spark.createDataFrame(URL_RULES, "rule string, action string")).collect()}
@@ -149,7 +168,41 @@ def test_media_round_trip(spark):
     rows = {r.doc_id: r for r in media.document_media(documents(spark, TRICKY)).collect()}
     assert rows[0].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest() and rows[4].media_sha256 == rows[13].media_sha256
     broken = spark.createDataFrame([(bytearray(media.mux(b" " * 192)[:100]),), (None,), (bytearray(),)], "media binary")
-    assert all(r.track.problem for r in media.read_boxes(broken).collect())
+    assert all(r.file.problem and not r.file.tracks for r in media.read_boxes(broken).collect())
+    assert rows[4].codec == "raw " and rows[4].duration == rows[4].payload_bytes and rows[4].keyframes[0].length == 192
+
+
+def atom(kind, *parts):
+    return struct.pack(">I4s", 8 + sum(map(len, parts)), kind) + b"".join(parts)
+
+
+def plain_track(number, codec, handler, samples, chunk_at):
+    """A track written by hand: one chunk of samples of the given sizes, the first and third of them keys."""
+    tables = [
+        atom(b"stsd", bytes(4), struct.pack(">I", 1), atom(codec, bytes(8))), atom(b"stsz", bytes(4), struct.pack(">II", 0, len(samples)), struct.pack(f">{len(samples)}I", *samples)),
+        atom(b"stsc", bytes(4), struct.pack(">I3I", 1, 1, len(samples), 1) if samples else bytes(4)), atom(b"stco", bytes(4), struct.pack(">II", 1, chunk_at) if samples else bytes(4)),
+        atom(b"stss", bytes(4), struct.pack(">III", 2, 1, 3)),
+    ]
+    media_ = atom(b"mdia", atom(b"mdhd", bytes(12), struct.pack(">II", 1000, 0 if not samples else 700), bytes(4)), atom(b"hdlr", bytes(8), handler, bytes(12)), atom(b"minf", atom(b"stbl", *tables)))
+    return atom(b"trak", atom(b"tkhd", bytes(12), struct.pack(">I", number), bytes(60)), media_)
+
+
+def test_tracks_and_fragments_by_hand(spark):
+    """A file of two tracks, the second one of fragments, whose bytes aren't made by the module."""
+    head = atom(b"ftyp", b"isom", bytes(4))
+    first = atom(b"mdat", b"aabbbcccc")
+    trex = atom(b"mvex", atom(b"trex", bytes(4), struct.pack(">5I", 2, 1, 40, 5, 0x10000)))
+    moov = atom(b"moov", plain_track(1, b"avc1", b"vide", [2, 3, 4], len(head) + 8), plain_track(2, b"mp4a", b"soun", [], 0), trex)
+    # three samples of the usual size, of which the first is a key
+    moof = lambda at: atom(b"moof", atom(b"traf", atom(b"tfhd", struct.pack(">II", 0x20000, 2)), atom(b"trun", struct.pack(">II", 0x5, 3), struct.pack(">i", at), struct.pack(">I", 0))))
+    data = head + first + moov + moof(len(moof(0)) + 8) + atom(b"mdat", b"x" * 15)
+    video, sound = media.tracks(data)
+    assert (video["codec"], video["duration"], video["keys"].tolist(), video["at"].tolist()) == ("avc1", 700, [0, 2], [len(head) + 8, len(head) + 10, len(head) + 13])
+    assert (sound["codec"], sound["duration"], sound["sizes"].tolist(), sound["keys"].tolist(), sound["at"].tolist()) == ("mp4a", 120, [5] * 3, [0], [len(data) - 15 + 5 * k for k in range(3)])
+    (row,) = media.read_boxes(spark.createDataFrame([(bytearray(data),)], "media binary")).collect()
+    assert [(t.codec, t.samples, len(t.keyframes)) for t in row.file.tracks] == [("avc1", 3, 2), ("mp4a", 3, 1)] and row.file.problem is None
+    with pytest.raises(ValueError):
+        media.tracks(data[:-4])
 
 
 def test_shards(spark):
