@@ -14,22 +14,27 @@ from brightloom.llm.toxicity import keep_clean
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose toxicity score is under the threshold, all columns; null, empty and wordless texts score 0 and stay, as do repeated rows."""
     return keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a letter, of which a language can be predicted; null and empty texts go; repeated rows stay."""
     return keep_known_language(docs)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates; null and empty texts are no copies and stay; of repeated rows one stays."""
     return one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item; null and empty texts hold none and stay, as does everything if the benchmark is empty."""
     return keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining rows as pieces in sequences; a null or empty text is one piece of the id 0; an empty table packs into nothing."""
     return pack_documents(docs, vocabulary())
 
 
