@@ -86,3 +86,73 @@ def macro_f1(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     sides = joint.select(F.col(label).alias("c"), same.alias("tp"), F.col("n").alias("total")).unionByName(joint.select(F.col(predicted).alias("c"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("total")))
     per = sides.where("c is not null").groupBy("c").agg((2 * F.sum("tp") / F.sum("total")).alias("f1"))
     return per.agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1"))
+
+
+def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """n, accuracy and mean_error (of numbers); null for no rows."""
+    hit = F.col(label).eqNullSafe(F.col(predicted)).cast("double")
+    return rows.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), F.avg(F.abs(F.col(label) - F.col(predicted)).cast("double")).alias("mean_error"))
+
+
+def matched_lines(gold: DataFrame, predicted: DataFrame, least: float = 0.6) -> DataFrame:
+    """id, n_gold, n_predicted, n_matched of cases (id, array lines of token sets) when each predicted line, in order, takes the first free gold line that is alike.
+
+    Greedy and one to one, by a fold over the lines of one case, which are few.
+    """
+    from ..functions.phrases import jaccard
+
+    both = gold.select("id", F.col("lines").alias("g")).join(predicted.select("id", F.col("lines").alias("p")), "id", "full")
+    empty = F.array().cast("array<array<string>>")
+    both = both.select("id", F.coalesce("g", empty).alias("g"), F.coalesce("p", empty).alias("p"))
+    fits = lambda taken, p: F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda k: ~F.array_contains(taken, k) & (jaccard(F.get("g", k), p) >= least))
+    step = lambda taken, p: F.concat(taken, F.slice(fits(taken, p), 1, 1))
+    taken = F.when((F.size("g") > 0) & (F.size("p") > 0), F.aggregate("p", F.array().cast("array<int>"), step)).otherwise(F.array().cast("array<int>"))
+    return both.select("id", F.size("g").alias("n_gold"), F.size("p").alias("n_predicted"), F.size(taken).alias("n_matched"))
+
+
+def leaderboard(runs: DataFrame) -> DataFrame:
+    """suite, model, quality, cost_per_100, p95_ms, runs: the newest run of each suite and model, and how many there are."""
+    newest = F.max_by(F.struct("quality", F.round(F.try_divide(F.col("cost_usd"), F.col("cases")) * 100, 4).alias("cost_per_100"), "p95_ms"), F.struct("created_at", "run_id"))
+    board = runs.groupBy("suite", "model").agg(newest.alias("r"), F.count("*").alias("runs"))
+    return board.select("suite", "model", "r.quality", "r.cost_per_100", "r.p95_ms", "runs")
+
+
+def trend(runs: DataFrame, key: str, most: int = 20) -> DataFrame:
+    """The `most` newest values of each key, oldest first: key, n, value."""
+    back = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("run_id"))
+    last = runs.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= most)
+    return last.select(key, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_back"))).alias("n"), "value")
+
+
+def regressions(current: DataFrame, baseline: DataFrame, headline: DataFrame) -> DataFrame:
+    """key, was, value of metrics (key, value) that are worse than the baseline by more than the headline (key, direction, tolerance) allows."""
+    both = headline.join(current.select("key", "value"), "key").join(baseline.select("key", F.col("value").alias("was")), "key")
+    worse = F.when(F.col("direction") == "+", F.col("was") - F.col("value")).otherwise(F.col("value") - F.col("was"))
+    return both.where(worse > F.col("tolerance") + 1e-9).select("key", "was", "value")
+
+
+def flattened(results: DataFrame) -> DataFrame:
+    """key (suite.metric) and value of results (suite, metrics map)."""
+    return results.select("suite", F.explode("metrics").alias("m", "value")).select(F.concat_ws(".", "suite", "m").alias("key"), "value")
+
+
+def label_agreement(labels: DataFrame) -> DataFrame:
+    """item, models, distinct, majority, disagree, of labels (item, model, label); ties go to the first label by name."""
+    counts = labels.groupBy("item", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("item").agg(F.max_by("label", F.struct("n", -F.conv(F.substring(F.hex("label"), 1, 12), 16, 10).cast("long"))).alias("majority"), F.count("*").alias("distinct"), F.sum("n").alias("models"))
+    return most.select("item", "models", "distinct", "majority", (F.col("distinct") > 1).alias("disagree"))
+
+
+def label_stats(pairs: DataFrame) -> DataFrame:
+    """One row of pairs (reviewed, done, n_labels): total, reviewed, queue, double."""
+    return pairs.agg(F.count("*").alias("total"), F.count_if("reviewed").alias("reviewed"), F.count_if(~F.col("done")).alias("queue"), F.count_if(F.col("n_labels") >= 2).alias("double"))
+
+
+def rates(cases: DataFrame, suite: str, flags: list[str]) -> DataFrame:
+    """suite, n and the rate of each flag over the cases where it is known (null where it never is), rounded to four places."""
+    return cases.groupBy(suite).agg(F.count("*").alias("n"), *(F.round(F.avg(F.col(f).cast("double")), 4).alias(f) for f in flags))
+
+
+def spend(calls: DataFrame, run: str) -> DataFrame:
+    """run, calls, known and cost: null where no call's cost is known."""
+    return calls.groupBy(run).agg(F.count("*").alias("calls"), F.count("cost_usd").alias("known"), F.sum("cost_usd").alias("cost"))

@@ -119,10 +119,10 @@ def repeated_words(description: Column) -> Column:
 
 
 def total_score(components: dict[str, Column], penalty: Column, capped: Column) -> Column:
-    """0 to 100, rounded half to even."""
+    """0 to 100, rounded half to even; noise in the ninth place doesn't decide a half."""
     total = sum((V.WEIGHTS[k] * c for k, c in components.items()), F.lit(0.0)) - penalty
     total = F.when(capped, F.least(total, F.lit(0.45))).otherwise(total)
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100).cast("int")
+    return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100, 9)).cast("int")
 
 
 def term_counts(rows: DataFrame, id_column: str, text: str) -> DataFrame:

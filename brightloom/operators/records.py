@@ -102,3 +102,112 @@ def cascaded(tables: dict[str, DataFrame], root: str, gone: DataFrame, links: li
         removed[child] = tables[child].join(keys, reference, "left_semi")
         left[child] = left[child].join(keys, reference, "left_anti")
     return left
+
+
+def replaced(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
+    """`stored` without the keys that `arriving` has, and all of `arriving`: a search saved anew, a resume, a profile."""
+    return unseen(stored, arriving, keys).unionByName(arriving)
+
+
+def ranked_results(picked: DataFrame, search: str, order: list[Column]) -> DataFrame:
+    """search_id, rank from 0 and job_id of one search's picked rows (bounded by its count)."""
+    return picked.select(F.lit(search).alias("search_id"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"), F.col("id").alias("job_id"))
+
+
+def in_order(keys: DataFrame, rows: DataFrame, list_column: str, key: str) -> DataFrame:
+    """`rows` in the order of a list of their keys, with pos; keys without a row are left out."""
+    wanted = keys.select(*(c for c in keys.columns if c != list_column), F.posexplode(list_column).alias("pos", key))
+    return wanted.join(rows, key)
+
+
+def inserted_once(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
+    """`stored` and those of `arriving` whose keys it hasn't; of several that arrive with one key, one. For trackers, labels and promotions."""
+    return stored.unionByName(unseen(arriving, stored, keys).dropDuplicates(keys), allowMissingColumns=True)
+
+
+def updated(rows: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`rows` with the columns of the results of their key, where there are any."""
+    new = results.groupBy(key).agg(F.min(F.struct(*columns)).alias("_new"))
+    return rows.join(new, key, "left").withColumns({c: F.coalesce(F.col(f"_new.{c}"), F.col(c)) for c in columns}).drop("_new")
+
+
+def due(watches: DataFrame, now: str, most: int = 20) -> DataFrame:
+    """Active watches whose time has come, the longest due first."""
+    ready = watches.where(F.col("active") & (F.col("next_run_at") <= F.lit(now).cast("timestamp")))
+    return ready.orderBy("next_run_at", "watch_id").limit(most)
+
+
+def newest_within(rows: DataFrame, now: str, most: int, order: str, key: str) -> DataFrame:
+    """What a store keeps: unexpired rows, of these the `most` newest."""
+    return alive(rows, now).orderBy(F.desc(order), key).limit(most)
+
+
+def to_the_back(queue: DataFrame, skipped: DataFrame, key: str) -> DataFrame:
+    """key and place from 0: the queue (key, place) with skipped rows behind all others, in their order."""
+    marked = queue.join(skipped.select(key, F.lit(1).alias("_s")).distinct(), key, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))
+    n = marked.agg(F.max("place").alias("_n"))
+    return marked.crossJoin(F.broadcast(n)).select(key, (F.col("place") + F.col("_s") * (F.col("_n") + 1)).alias("place"))
+
+
+def owned(tables: dict[str, DataFrame], owner: str) -> DataFrame:
+    """name, row: everything of one owner in every table, each row as JSON."""
+    parts = [t.where(F.col("owner") == owner).select(F.lit(name).alias("name"), F.to_json(F.struct(*t.columns)).alias("row")) for name, t in sorted(tables.items())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def metric_lines(counters: DataFrame, prefix: str = "app_") -> DataFrame:
+    """name, line: counters (name, labels map, value) summed, as lines of the text exposition format."""
+    from ..functions.phrases import label_value
+
+    keys = F.array_sort(F.map_entries("labels"))
+    told = F.array_join(F.transform(keys, lambda e: F.concat(e["key"], F.lit('="'), label_value(e["value"]), F.lit('"'))), ",")
+    sums = counters.withColumn("told", told).groupBy("name", "told").agg(F.sum("value").alias("value"))
+    number = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.col("value")), r"0+$", ""), r"\.$", "")
+    name = F.concat(F.lit(prefix), F.col("name"))
+    return sums.select("name", F.concat(name, F.when(F.col("told") != "", F.concat(F.lit("{"), F.col("told"), F.lit("}"))).otherwise(""), F.lit(" "), number).alias("line"))
+
+
+def digests(matches: DataFrame, watch: str, most: int = 25, lines: int = 15) -> DataFrame:
+    """watch, n, matches (the `most` best: id, title, score) and text (the `lines` best a line each), of scored new rows."""
+    best = Window.partitionBy(watch).orderBy(F.desc("score"), "id")
+    top = matches.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= most)
+    row = F.struct("_n", "id", "title", "score")
+    listed = F.array_sort(F.collect_list(row))
+    found = top.groupBy(watch).agg(listed.alias("rows")).join(matches.groupBy(watch).agg(F.count("*").alias("n")), watch)
+    told = F.array_join(F.transform(F.slice("rows", 1, lines), lambda r: F.concat(F.lit("- "), r["title"], F.lit(" ("), r["score"].cast("string"), F.lit(")"))), "\n")
+    return found.select(watch, "n", F.transform("rows", lambda r: F.struct(r["id"].alias("id"), r["title"].alias("title"), r["score"].alias("score"))).alias("matches"), told.alias("text"))
+
+
+def canaries(found: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, jobs, ok: each source, and whether a probe gave it any posting."""
+    n = found.groupBy("source").agg(F.count("*").alias("jobs"))
+    return sources.join(n, "source", "left").select("source", F.coalesce("jobs", F.lit(0)).alias("jobs"), (F.coalesce("jobs", F.lit(0)) > 0).alias("ok"))
+
+
+def boards(names: DataFrame, responses: DataFrame) -> DataFrame:
+    """company, ats, slug, jobs: of the slugs that a company may have, each system's best recorded response (ats, slug, jobs); none below 0."""
+    from ..functions.phrases import slug_candidates
+
+    tried = names.select("company", F.posexplode(slug_candidates(F.col("company"))).alias("turn", "slug"))
+    met = tried.join(responses.where("jobs >= 0"), "slug")
+    best = met.groupBy("company", "ats").agg(F.max(F.struct("jobs", -F.col("turn"), "slug")).alias("b"))
+    return best.select("company", "ats", "b.slug", "b.jobs")
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
+    """Rows as CSV with every cell quoted and formulas made harmless, or as JSON lines; an old report goes only once the new one is whole."""
+    from ..functions.text import csv_safe
+
+    if kind == "csv":
+        rows = rows.withColumns({c: csv_safe(F.col(c)) for c, t in rows.dtypes if t == "string"})
+        rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    else:
+        rows.write.mode("overwrite").json(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append-only logs: feedback, calls, runs, digests."""
+    rows.write.mode("append").parquet(path)

@@ -227,7 +227,7 @@ SQL_SCORES = f"""{SQL_LINES}, {SQL_SIMILAR}, {SQL_YEARS}, {SQL_ROLE}, {sql_hits(
         coalesce(stated, senior) as years, stated is null as inferred, case when coalesce(stated, senior) is null then 0.85::double when coalesce(stated, senior) = 0 then 1.0 else least(1.0, {YEARS} / coalesce(stated, senior)) end as experience,
         least(1.0, coalesce(cosine, 0) / 0.30) as semantic, case when strict then 0.08 when strict is not null then 0.02 else 0 end as penalty, length(description) < 80 as short
         from p left join skill_parts using (id) left join coverage using (id) left join role using (id) left join years using (id) left join cosines using (id) left join degrees using (id)),
-    scores as (select *, cast(round_even(greatest(0.0, least(1.0, case when short then least(t, 0.45) else t end)) * 100, 0) as int) as score
+    scores as (select *, cast(round_even(round(greatest(0.0, least(1.0, case when short then least(t, 0.45) else t end)) * 100, 9), 0) as int) as score
         from (select *, 0.40::double * skills + 0.20::double * requirements + 0.15::double * role + 0.15::double * experience + 0.10::double * semantic - penalty as t from parts))"""
 
 
@@ -309,7 +309,7 @@ def median_scores(spark, sf_dir):
 
 
 @query(f"""with {SQL_SCORES} select count(*) as jobs, count(*) filter (b > score) as raised, count(*) filter (b < score) as lowered, count(*) filter (score < 60 and b >= 60) as unlocked, avg(b - score) as mean_change
-    from (select score, cast(round_even(greatest(0.0, least(1.0, case when short then least(u, 0.45) else u end)) * 100, 0) as int) as b from (select *, t + 0.15::double * (case when years is null then 0.85 else 1 end - experience) as u from scores))""")
+    from (select score, cast(round_even(round(greatest(0.0, least(1.0, case when short then least(u, 0.45) else u end)) * 100, 9), 0) as int) as b from (select *, t + 0.15::double * (case when years is null then 0.85 else 1 end - experience) as u from scores))""")
 def what_if_years(spark, sf_dir):
     """The same postings for a person of more years than any asks for; requirement lines of years are left as they are."""
     before = all_scores(spark, sf_dir)

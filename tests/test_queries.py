@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from brightloom.plans import people, scoring  # noqa: F401 (register their queries)
+from brightloom.plans import people, scoring, store, texts  # noqa: F401 (register their queries)
 from brightloom.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
