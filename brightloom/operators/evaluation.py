@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_before
+
 
 def ratio(a: Column, b: Column, empty: float | None = 1.0) -> Column:
     return F.when(b == 0, F.lit(empty).cast("double")).otherwise(a / b)
@@ -20,12 +22,11 @@ def precision_recall(rows: DataFrame, label: Column, predicted: Column) -> DataF
 
 
 def average_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """`rows` with the rank of `value` from 1, ties sharing their mean: values are counted before they are ordered, and
-    ranks are joined back, so that only distinct values meet in one place."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(out, F.coalesce(upto, F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return rows.join(ranks, value)
+    """`rows` with the rank of `value` from 1, ties sharing their mean: values are counted, ranked by running totals over
+    ranges, and the ranks joined back."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    ranks = running_before(counts, [], value, "_n").withColumn(out, F.col("before") + (F.col("_n") + 1) / 2)
+    return rows.join(ranks.select(value, out), value)
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:

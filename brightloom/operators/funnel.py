@@ -285,3 +285,16 @@ def funnel_counts(postings: DataFrame, query: Query) -> DataFrame:
 def drops_by_source(postings: DataFrame, query: Query) -> DataFrame:
     """source, drop (`kept` if none), n."""
     return tagged(postings, query).groupBy("source", F.coalesce("drop", F.lit("kept")).alias("drop")).agg(F.count("*").alias("n"))
+
+
+def all_drops(postings: DataFrame, query: Query) -> DataFrame:
+    """source, drop, n: postings lost to each reason, those merged into another (duplicate) and those beyond the count (over_limit) too."""
+    rows = tagged(postings, query)
+    kept = rows.where("drop is null")
+    unique = durable(deduplicated(kept))
+    score = rank_score(F.col("relevance"), F.col("description"), F.col("posted"), query.now, query.hours)
+    counted = lambda df, n: df.groupBy("source").agg(F.count("*").alias(n))
+    steps = counted(kept, "kept").join(counted(unique, "unique"), "source", "left").join(counted(fair_pick(unique.withColumn("score", score), query.count), "picked"), "source", "left").fillna(0)
+    more = [("duplicate", F.col("kept") - F.col("unique")), ("over_limit", F.col("unique") - F.col("picked"))]
+    late = steps.select("source", F.inline(F.array(*(F.struct(F.lit(k).alias("drop"), n.alias("n")) for k, n in more)))).where("n > 0")
+    return rows.where("drop is not null").groupBy("source", "drop").agg(F.count("*").alias("n")).unionByName(late)

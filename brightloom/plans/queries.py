@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..functions.values import NOISE, PHRASES, ROLE_NOUNS, SYNONYMS
 from ..operators import evaluation as E
 from ..operators import funnel as N
+from ..operators import ordering as O
 from ..operators import records as R
+from ..operators import vectors as X
 from ..sources import feeds
 from ..streaming import watch
 from .postings import NOW, POSTINGS, postings
@@ -121,6 +123,14 @@ def funnel_counts(spark, sf_dir):
     return N.funnel_counts(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string")), WANTED)
 
 
+@query(f"""with {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked),
+    picked as (select source from turns qualify row_number() over (order by turn, best desc, source) <= 40), k as (select source, count(*) as n from keyed group by 1), m as (select source, count(*) as n from merged group by 1), g as (select source, count(*) as n from picked group by 1)
+    select source, "drop", count(*) as n from tagged where "drop" is not null group by all union all select k.source, 'duplicate', k.n - coalesce(m.n, 0) from k left join m using (source) where k.n > coalesce(m.n, 0)
+    union all select m.source, 'over_limit', m.n - coalesce(g.n, 0) from m left join g using (source) where m.n > coalesce(g.n, 0)""")
+def all_drops(spark, sf_dir):
+    return N.all_drops(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string")), WANTED)
+
+
 @query(f"""with {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked)
     select id, source, turn, row_number() over (order by turn, best desc, source) as place from turns qualify place <= 40""")
 def fair_pick(spark, sf_dir):
@@ -134,17 +144,23 @@ def merged_postings(spark, sf_dir):
     return N.merged(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))).select("id", F.array_join("sources", ",").alias("sources"), "copies")
 
 
-@query(r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents),
+SQL_SIMHASH = r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents),
     r as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) as run from w where len(w) >= 3),
     h as (select doc_id, cast('0x' || substr(md5(run), 1, 16) as ubigint) as h from r),
     b as (select doc_id, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as v from h, (select cast(unnest(range(64)) as ubigint) as b) group by doc_id, b),
     s as (select doc_id, sum(case when v > 0 then (case when b = 63 then -9223372036854775808::hugeint else (1::hugeint << b::int) end) else 0 end) as simhash from b group by doc_id)
-    select doc_id, cast(coalesce(simhash, 0) as bigint) as simhash from documents left join s using (doc_id)""")
+    select doc_id, cast(coalesce(simhash, 0) as bigint) as simhash from documents left join s using (doc_id)"""
+
+
+@query(SQL_SIMHASH)
 def simhash(spark, sf_dir):
     return N.simhash(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(f"""with recursive s0 as ({SQL_SIMHASH}), d as (select source, doc_id as id, simhash from s0 join documents using (doc_id)),
+    links as (select a.id as a, b.id as b from d a join d b on a.source = b.source and a.id <> b.id and a.simhash <> 0 and b.simhash <> 0 and bit_count(xor(a.simhash, b.simhash)) <= 3),
+    reach(id, other) as (select id, id from d union select r.id, l.b from reach r join links l on l.a = r.other)
+    select source, id, min(other) as class_id, (select count(*) from links where a = id) as n_links from reach join d using (id) group by source, id""")
 def near_duplicates(spark, sf_dir):
     """Each document's class within its source by SimHashes that differ in at most three bits, and its number of links."""
     docs = table(spark, sf_dir, "documents")
@@ -161,14 +177,11 @@ def near_duplicates(spark, sf_dir):
     l as (select currency, count(*) as n, median(yearly) as median, list(yearly order by yearly) as v from y where yearly between 8000 and 1500000 group by currency having count(*) >= 3)
     select currency, n, median, v[1 + cast(floor(0.25 * (n - 1) + 0.5) as int)] as p25, v[1 + cast(floor(0.75 * (n - 1) + 0.5) as int)] as p75 from l""")
 def salary_quartiles(spark, sf_dir):
-    """Distinct amounts are counted first, so that what is ordered per currency stays small."""
+    """Distinct amounts are counted, and placed by running totals over ranges, so that no currency is one task."""
     found = postings(spark, sf_dir).select(T.salary_point(F.col("salary")).alias("s")).where("s is not null").groupBy("s.currency", "s.yearly").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(N.Window.partitionBy("currency").orderBy("yearly"))
-    ranked = found.withColumn("upto", upto).withColumn("n", F.sum("c").over(N.Window.partitionBy("currency")))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("yearly")))
-    rank = lambda p: F.floor(p * (F.col("n") - 1) + 0.5)
-    low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
-    return ranked.groupBy("currency", "n").agg(((low + high) / 2).alias("median"), at(rank(0.25)).alias("p25"), at(rank(0.75)).alias("p75")).where("n >= 3")
+    rank = lambda p: lambda n: F.floor(p * (n - 1) + 0.5)
+    placed = O.at_places(found, ["currency"], "yearly", "c", {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p25": rank(0.25), "p75": rank(0.75)})
+    return placed.where("total >= 3").select("currency", F.col("total").alias("n"), ((F.col("low") + F.col("high")) / 2).alias("median"), "p25", "p75")
 
 
 @query(f"with {P} select strftime(posted, '%G-W%V') as week, count(*) as n from p where posted is not null group by 1 order by 1 desc limit 12")
@@ -311,10 +324,8 @@ def cohen_kappa(spark, sf_dir):
 @query("with l as (select event_type, list(value order by value) as v from events group by 1) select event_type, median as p50, v[1 + least(len(v) - 1, cast(floor(0.95 * len(v)) as int))] as p95 from (select event_type, v, list_aggregate(v, 'median') as median from l)")
 def latency_percentiles(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = N.Window.partitionBy("event_type")
-    e = e.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
-    return e.groupBy("event_type", "n").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("p50"), at(F.least(F.col("n") - 1, F.floor(0.95 * F.col("n")))).alias("p95")).drop("n")
+    placed = O.at_places(e, ["event_type"], "value", "c", {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p95": lambda n: F.least(n - 1, F.floor(0.95 * n))})
+    return placed.select("event_type", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95")
 
 
 # --- text, vectors, streams, sources -----------------------------------------------------------------------------------
@@ -327,15 +338,11 @@ def without_identity(spark, sf_dir):
 
 
 @query("""with q as (select vec_id as q, embedding as e from embeddings where vec_id % 100 = 0), s as (select q, v.vec_id, list_inner_product(e::double[], v.embedding::double[]) as cosine from q, embeddings v where v.vec_id <> q)
-    select q, vec_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by q order by round(cosine, 6) desc, vec_id) as n from s) where n <= 5""")
+    select q, vec_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by q order by round(cosine, 9) desc, vec_id) as n from s) where n <= 5""")
 def nearest_vectors(spark, sf_dir):
-    """A stated query set against all vectors, in blocks: queries ride along with each row as one array, top five per task first."""
+    """Every row whose id is a multiple of 100 is a query against all vectors, a block of queries at a time."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("e"))
-    dot = F.aggregate(F.zip_with("e", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    met = e.join(queries, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot, 6).alias("cosine"))
-    own = N.Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
-    return met.withColumn("n", F.row_number().over(own)).where("n <= 5").drop("n")
+    return X.nearest(e, e.where("vec_id % 100 = 0"), 5).select("q", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("select time_bucket(interval '1 day', ts) as day, event_type, count(*) as n, sum(value) as total from events group by all")

@@ -175,11 +175,3 @@ def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
     found = details.select("id", *(F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in columns))
     joined_rows = postings.join(found, "id", "left")
     return joined_rows.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns)).select(postings.columns)
-
-
-def enriched(postings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Thin postings (under 400 characters) with the text of their page (url, html) where that has 100 characters more."""
-    text = pages.select("url", html_to_text(F.col("html")).alias("_text"))
-    thin = F.length("description") < 400
-    better = thin & (F.length("_text") > F.length("description") + 100)
-    return postings.join(text, "url", "left").withColumn("description", F.when(better, F.col("_text")).otherwise(F.col("description"))).select(postings.columns)

@@ -3,14 +3,18 @@ import math
 
 from pyspark.sql import functions as F
 
+from brightloom.functions import phrases as W
 from brightloom.functions import text as T
 from brightloom.operators import claims as C
 from brightloom.operators import evaluation as E
 from brightloom.operators import funnel as N
 from brightloom.operators import gates as G
 from brightloom.operators import matching as M
+from brightloom.operators import pages as G2
 from brightloom.operators import profiles as P
 from brightloom.operators import records as R
+from brightloom.operators import requirements as Q
+from brightloom.operators import skills as S
 from brightloom.sources import feeds
 from brightloom.streaming import watch
 
@@ -59,20 +63,100 @@ def test_near_classes_hold_every_row(spark):
     assert pairs(2) == pairs(4096) and len(pairs(2)) == 58 + 57 + 56
 
 
+def told_skills(spark, texts, entries):
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts, 1)], "id string, description string")
+    found = {(r.id, r.skill): r.negated for r in S.mentions(rows, S.Taxonomy.of(entries)).collect()}
+    joined = S.mentions_joined(rows, spark.createDataFrame(entries, "skill string, category string, alias string, context array<string>"))
+    assert {(r.id, r.skill): r.negated for r in joined.collect()} == found
+    return found
+
+
 def test_negated_skill(spark):
-    postings = spark.createDataFrame([("1", "No Java required. Python, Apache Spark"), ("2", "Java. Not Java"), ("3", None)], "id string, description string")
-    aliases = spark.createDataFrame([("Java", "java"), ("Python", "python"), ("Spark", "apache spark")], "skill string, alias string")
-    found = {(r.id, r.skill): r.negated for r in M.mentions(postings, aliases).collect()}
-    assert found == {("1", "Java"): True, ("1", "Python"): False, ("1", "Spark"): False, ("2", "Java"): False}
+    texts = ["No Java required; Python, Apache Spark", "Java. Not Java", None, "Java is not required", "You don't need Java but Python", "Java isn't needed"]
+    found = told_skills(spark, texts, [("Java", "", "java", None), ("Python", "", "python", None), ("Spark", "", "apache spark", None)])
+    assert found == {("1", "Java"): True, ("1", "Python"): False, ("1", "Spark"): False, ("2", "Java"): False, ("4", "Java"): True, ("5", "Java"): True, ("5", "Python"): False, ("6", "Java"): True}
 
 
 def test_skills_of_any_form(spark):
     told = [("IAM", "identity and access management"), ("Node.js", "node.js"), (".NET", "asp.net"), (".NET", ".net"), ("CI/CD", "ci/cd"), ("scikit-learn", "Scikit-Learn"), ("SQL", "sql")]
-    aliases = spark.createDataFrame(told, "skill string, alias string")
-    postings = spark.createDataFrame([("1", "Identity and Access Management, Node.js. CI/CD; not ASP.NET"), ("2", "We use scikit-learn. SQL"), ("3", "no node. js, net income ...sql"), ("4", "(.NET)")], "id string, description string")
-    found = {(r.id, r.skill): r.negated for r in M.mentions(postings, aliases).collect()}
-    assert found == {("1", "IAM"): False, ("1", "Node.js"): False, ("1", "CI/CD"): False, ("1", ".NET"): True, ("2", "scikit-learn"): False, ("2", "SQL"): False, ("3", "SQL"): False, ("4", ".NET"): False}
-    assert M.mentions(postings, aliases.limit(0)).count() == 0
+    texts = ["Identity and Access Management, Node.js. CI/CD; not ASP.NET", "We use scikit-learn. SQL", "no node. js, net income ...sql", "(.NET)"]
+    found = told_skills(spark, texts, [(s, "", a, None) for s, a in told])
+    assert found == {("1", "IAM"): False, ("1", "Node.js"): False, ("1", "CI/CD"): False, ("1", ".NET"): True, ("2", "scikit-learn"): False, ("2", "SQL"): False, ("4", ".NET"): False}
+    assert S.mentions(spark.createDataFrame([("1", "java")], "id string, description string"), S.Taxonomy(())).count() == 0
+
+
+def test_skills_in_context(spark):
+    entries = [("Spring", "", "spring", ["java", "boot"]), ("Agile", "", "agile", ["scrum"])]
+    found = told_skills(spark, ["Spring Boot services", "Spring 2024 intake for Java", "an agile person", "Agile, with Scrum"], entries)
+    assert set(found) == {("1", "Spring"), ("4", "Agile")}
+
+
+def test_requirement_lines(spark):
+    text = "We are a firm.\nRequirements:\n- Python\n- Five years of experience with data\nOur founders met in a garage. They like long walks and they wrote a very long story about how it came to be.\nmore\nNice to have\n- SQL\nBenefits\n- Free fruit"
+    rows = spark.createDataFrame([(1, text), (2, "You must have a degree in law. Bring lunch."), (3, None)], "id int, d string")
+    lines = Q.requirement_lines(F.col("d"), F.array(F.lit(2), F.lit(7)))
+    found = {r.id: [(x.text, x.preferred) for x in r.l] for r in rows.select("id", lines.alias("l")).collect()}
+    assert found == {1: [("Python", False), ("Five years of experience with data", False), ("SQL", True)], 2: [("You must have a degree in law. Bring lunch", False)], 3: []}
+
+
+def test_years_and_degrees(spark):
+    told = [("", "3-5 yrs experience", 3.0, False), ("", "Founded 3 years ago", None, True), ("Senior Nurse", "", 5.0, True), ("Intern", "experience of 2+ years; 10 years of experience", 2.0, False)]
+    rows = spark.createDataFrame([(k, t, d) for k, (t, d, _, _) in enumerate(told)], "k int, t string, d string")
+    found = {r.k: (r.y.years, r.y.inferred) for r in rows.select("k", Q.required_years(F.col("t"), F.col("d")).alias("y")).collect()}
+    assert found == {k: r[2:] for k, r in enumerate(told)}
+    names = [("Certified Scrum Master", None), ("MSc in physics", "Master's"), ("PhD or Bachelor's degree", "PhD"), ("BSc in maths", "Bachelor's"), ("", None)]
+    rows = spark.createDataFrame(names, "t string, want string")
+    assert all(r.got == r.want for r in rows.select("want", Q.education_level(F.col("t")).alias("got")).collect())
+
+
+def test_scores(spark):
+    from brightloom.plans.scoring import TAX
+
+    text = "Requirements\n- Python or Kotlin\n- 10 years of experience\n- A PhD in physics is required\n- Ability to juggle burning torches"
+    rows = spark.createDataFrame([("a", "s", "c", "Data Engineer", "", text), ("b", "s", "c", None, "", None)], "id string, source string, company string, title string, location string, description string")
+    profile = M.profile_of(spark, "Data engineer\nPython for years. BSc", 4.0, TAX, spark.createDataFrame([("Python", "Scripting")], "src string, dst string"), spark.createDataFrame([("Java", "Python")], "a string, b string"))
+    assert (profile.skills, profile.education, profile.implied, profile.related) == (("Python",), "Bachelor's", (("Scripting", "Python"),), (("Java", "Python"),))
+    found = {r.id: r for r in M.scored(rows, TAX, profile).collect()}
+    a, b = found["a"], found["b"]
+    assert [(r.id, round(r.coverage, 3), r.how) for r in a.requirement_rows] == [("r1", 1.0, "exact skill"), ("r2", 0.4, "years check"), ("r3", 0.0, "degree check"), ("r4", 0.0, "not found")]
+    assert (a.penalty, a.required_years, a.education.level, a.confidence) == (0.08, 10.0, "PhD", "high") and len(a.blockers) == 2
+    assert [(g.type, g.status) for g in a.gates] == [("degree", "fail")] and b.capped and b.score <= 45 and b.confidence == "low"
+
+
+def test_pages_cards_details(spark):
+    html = """<html><head><title>x</title><script type="application/ld+json">[{"@type":"Thing"},{"@graph":[{"@type":["JobPosting"],"title":"Nurse &amp; more","hiringOrganization":"City","employmentType":["FULL_TIME","PART_TIME"],
+    "jobLocation":[{"address":{"addressLocality":"Rome","addressCountry":{"name":"IT"}}},{"address":"Remote desk"}],"jobLocationType":"TELECOMMUTE","datePosted":"2024-05-01","description":"<p>Care</p>"}]}]</script></head></html>"""
+    plain = "<html><title>Cook</title><article>" + "Requirements and experience: cooking. " * 20 + "</article></html>"
+    rows = spark.createDataFrame([("u1", html), ("u2", plain), ("u3", "<title>a</title>"), ("u4", None)], "url string, html string")
+    found = {r.url: r for r in G2.page_postings(rows).collect()}
+    assert (found["u1"].title, found["u1"].company, found["u1"].location, found["u1"].employment_type, found["u1"].remote) == ("Nurse & more", "City", "Rome, IT; Remote desk (remote)", "FULL_TIME, PART_TIME", True)
+    assert found["u2"].ok and not found["u2"].structured and found["u2"].title == "Cook" and not found["u3"].ok and not found["u4"].ok
+    detail = '<div class="show-more-less-html__markup x"><p>Do things</p></div><li class="description__job-criteria-item"><h3 class="description__job-criteria-subheader">Seniority level</h3><span class="description__job-criteria-text">Entry</span></li>'
+    (d,) = G2.details(spark.createDataFrame([(detail,)], "html string")).collect()
+    assert (d.description, d.seniority, d.employment_type) == ("Do things", "Entry", "")
+    old = spark.createDataFrame([("https://a.example.com/1", "short", "", ""), ("https://b.example.com/2", "Pay £45,000–55,000 a year", "", "temp")], "url string, description string, salary string, employment_type string")
+    page = lambda text: '<script type="application/ld+json">{"@type":"JobPosting","title":"t","employmentType":"CONTRACTOR","description":"' + text + '"}</script>'
+    twice = spark.createDataFrame([("https://a.example.com/1", page("long " * 40)), ("https://a.example.com/1", page("long " * 60))], "url string, html string")
+    got = {r.url: r for r in G2.enriched(old, twice).collect()}
+    assert len(got) == 2 and len(got["https://a.example.com/1"].description) == 299 and got["https://a.example.com/1"].employment_type == "contractor" and got["https://b.example.com/2"].salary == "£45,000–55,000 a year"
+
+
+def test_hashed_embedding(spark):
+    rows = spark.createDataFrame([("nurses nursing nurse",), ("",), (None,)], "t string")
+    a, b, c = [r.v for r in rows.select(W.embedded(W.embed_words(F.col("t"))).alias("v")).collect()]
+    assert abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b) and not any(c) and len(a) == 512
+
+
+def test_nearest_in_blocks(spark):
+    from brightloom.operators import vectors
+
+    rng = __import__("random").Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    found = {(r.q, r.vec_id) for r in vectors.nearest(df, df.where("vec_id % 10 = 0"), 3, block=2).collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    wanted = {(q, k) for q, a in rows if q % 10 == 0 for k in [k for _, k in sorted((-dot(a, b), k) for k, b in rows if k != q)[:3]]}
+    assert found == wanted
 
 
 def test_closure_of_long_chains(spark):
@@ -139,7 +223,7 @@ def test_gates(spark):
     text = "Join us. Eligible to work in the UK; no visa sponsorship\nFluent in German and kind. French is a plus\nTop secret clearance; fully on-site"
     rows = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "CPA preferred. CPA")], "id int, description string")
     found = {(r.id, r.type, r.need): r for r in G.stated(rows).collect()}
-    assert set(found) == {(1, "authorization", "UK"), (1, "language", "German"), (1, "clearance", "TOP SECRET"), (1, "onsite", "")}
+    assert set(found) == {(1, "authorization", "UK"), (1, "language", "German"), (1, "clearance", "Top Secret"), (1, "onsite", "")}
     assert found[1, "authorization", "UK"].no_sponsorship
     told = lambda **k: {r.type: r.status for r in G.settled(G.stated(rows), G.Eligibility(**k)).collect()}
     assert told() == {"authorization": "unknown", "language": "unknown", "clearance": "fail", "onsite": "unknown"}
