@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from functools import cached_property
 from dataclasses import dataclass
 
 import regex
@@ -142,16 +143,23 @@ class Ids:
 
     def __init__(self, definition: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         told = json.loads(definition)
         byte = {symbol: b for b, symbol in byte_symbols().items()}
         self.special = tuple(t["content"] for t in told["added_tokens"])
         ranks = {bytes(map(byte.__getitem__, k)): v for k, v in told["model"]["vocab"].items() if k not in self.special}
         self.fast = tiktoken.Encoding("from_file", pat_str=SPLIT.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_str(definition)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.definition = definition
+
+    @cached_property
+    def library(self):
+        """Made when a text first needs it: it takes tens of MB of a worker."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.definition)
+        made.no_truncation()
+        made.no_padding()
+        return made
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

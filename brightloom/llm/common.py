@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from ..durable import durable, shared_dir  # noqa: F401 (the corpus operators take them from here)
 
 
+BATCH = 1000  #: rows of an Arrow batch, so that long texts don't fill a worker
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. The session's Arrow batches are kept to BATCH rows from then on, if they were larger."""
+    if not 0 < int(spark.conf.get(ROWS)) <= BATCH:
+        spark.conf.set(ROWS, BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -107,7 +107,7 @@ def summed_by(rows: np.ndarray, at: np.ndarray, first: np.ndarray, lanes: int =
     return np.add.reduceat(np.einsum("ijk->ik", some), begin)
 
 
-def groups_of(parts: Iterator[np.ndarray], most: int = 4 * CHUNK) -> Iterator[list[np.ndarray]]:
+def groups_of(parts: Iterator[np.ndarray], most: int = CHUNK) -> Iterator[list[np.ndarray]]:
     """Consecutive parts of `most` words together, or a little more."""
     group, n = [], 0
     for part in parts:

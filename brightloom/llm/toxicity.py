@@ -322,8 +322,8 @@ def scored(docs: DataFrame, model: Field | None, out: str = "_toxicity") -> Data
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts, rows = part.tolist(), []
-            for at in range(0, len(texts), 128):
-                some = texts[at : at + 128]
+            for at in range(0, len(texts), 64):
+                some = texts[at : at + 64]
                 rows += document_scores(shared.value, some) if shared.value else [(0.0, [])] * len(some)
             yield pd.DataFrame(rows, columns=["score", "spans"])
 

@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  #: odd, so it has an inverse modulo 2 ** 64
-PIECE = 1 << 20  #: code points that are hashed at once
+PIECE = 1 << 18  #: code points that are hashed at once
 
 
 @cache
