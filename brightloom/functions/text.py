@@ -92,10 +92,11 @@ def html_to_text(html: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """A timestamp from epoch seconds or milliseconds, ISO date or time; null if it is none of these."""
+    """A timestamp from epoch seconds or milliseconds, ISO date or time, or a feed's date as in RFC 822; null if it is none of these."""
+    mail = F.regexp_replace(F.regexp_extract(text, r"(\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} (?:[+-]\d{4}|GMT|UTC|UT|Z))$", 1), "(GMT|UTC|UT|Z)$", "+0000")
     number = F.when(text.rlike(r"^\d{9,14}(\.\d+)?$"), text.try_cast("double"))
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    return F.when(number.isNotNull(), F.timestamp_seconds(seconds)).when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
+    return F.when(number.isNotNull(), F.timestamp_seconds(seconds)).when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp")).when(mail != "", F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def age_hours(posted: Column, now: str) -> Column:

@@ -13,18 +13,19 @@ OTHER = r"^(education|skills|technical skills|projects|certifications|publicatio
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 SCHOOL = r"\b(university|college|school|bachelor|master'?s|ph\.?d|degree|gpa|diploma)\b"
 DEGREES = [("PhD", r"\bph\.?d\b|\bdoctorate\b"), ("Master's", r"\bmaster'?s?\b|\bm\.?sc\b|\bmba\b"), ("Bachelor's", r"\bbachelor'?s?\b|\bb\.?sc\b|\bb\.?tech\b")]
-DAY = rf"(?:(?:{'|'.join(MONTHS)})[a-z]*\.? \d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}}-\d{{2}}|\d{{4}})"
-RANGE = rf"\b({DAY}) ?(?:-|–|to) ?({DAY}|present|current|now)\b"
+DAY = rf"(?:(?:{'|'.join(MONTHS)})[a-z]*\.? ?'?(?:\d{{4}}|\d{{2}}(?!\d))|\d{{1,2}}[/.]\d{{4}}|\d{{4}}-\d{{2}}|\d{{4}})"
+RANGE = rf"\b({DAY})\s*(?:-|–|—|to|until|till)\s*({DAY}|present|current(?:ly)?|now|today|till date|to date|ongoing)\b"
 CLAIM = r"(\d{1,2})\+? ?(?:years?|yrs?)\b[^.\n]{0,60}experience|experience[^.\n]{0,60}?(\d{1,2})\+? ?(?:years?|yrs?)\b"
 LONGEST = 40 * 12  #: months beyond which a range is taken for an error
 
 
 def month_index(text: Column, last: Column) -> Column:
     """year * 12 + month - 1 of a date; `last` is the month that a bare year stands for."""
-    named = F.regexp_extract(text, rf"^({'|'.join(MONTHS)})[a-z]*\.? (\d{{4}})$", 1)
+    named = F.regexp_extract(text, rf"^({'|'.join(MONTHS)})[a-z]*\.? ?'?(\d{{4}}|\d{{2}})$", 1)
     number = F.array_position(F.array(*map(F.lit, MONTHS)), named)
-    year = F.regexp_extract(text, r"(\d{4})", 1).try_cast("int")
-    month = F.coalesce(F.regexp_extract(text, r"^(\d{1,2})/", 1).try_cast("int"), F.regexp_extract(text, r"^\d{4}-(\d{2})$", 1).try_cast("int"))
+    short = F.regexp_extract(text, r"(?<!\d)(\d{2})$", 1).try_cast("int") + 2000  # as in Jan '24
+    year = F.coalesce(F.regexp_extract(text, r"(\d{4})", 1).try_cast("int"), short)
+    month = F.coalesce(F.regexp_extract(text, r"^(\d{1,2})[/.]", 1).try_cast("int"), F.regexp_extract(text, r"^\d{4}-(\d{2})$", 1).try_cast("int"))
     return (year * 12 + F.when(number > 0, number).otherwise(F.coalesce(month, last)) - 1).cast("int")
 
 
@@ -45,7 +46,7 @@ def spans(resumes: DataFrame, today: str) -> DataFrame:
     dated = lines.withColumn("work", work).where(own).select("id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(RANGE), F.lit(0))).alias("r"))
     a, b = F.regexp_extract("r", RANGE, 1), F.regexp_extract("r", RANGE, 2)
     now = F.year(F.lit(today).cast("date")) * 12 + F.month(F.lit(today).cast("date")) - 1
-    open_end = b.rlike("^(present|current|now)$")
+    open_end = b.rlike("^(present|current|now|today|till|to date|ongoing)")
     end = F.when(open_end, now).otherwise(F.least(month_index(b, F.lit(12)), now))
     rows = dated.select("id", "line_no", month_index(a, F.lit(1)).alias("start"), end.alias("end"), (~a.rlike(r"^\d{4}$") & ~b.rlike(r"^\d{4}$")).alias("precise"))
     return rows.where((F.col("start") >= 1970 * 12) & (F.col("end") >= F.col("start")) & (F.col("end") - F.col("start") <= LONGEST))

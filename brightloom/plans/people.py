@@ -9,9 +9,10 @@ from ..operators import evaluation as E
 from ..operators import gates as G
 from ..operators import profiles as R
 from ..operators import records
+from ..operators import resumes as B
 from .postings import POSTINGS, postings
 from .queries import JUDGED, judged, query, table
-from .scoring import all_scores
+from .scoring import TAX, all_scores
 
 #: Sentences that the derived postings get in turn, so that there are gates to find.
 NOTICES = [
@@ -120,3 +121,63 @@ def macro_f1(spark, sf_dir):
 def calibration_curve(spark, sf_dir):
     a, b = E.logistic(judged(spark, sf_dir), "confidence", F.col("quality") == 1)
     return spark.createDataFrame([(a, b)], "intercept double, slope double")
+
+
+# --- resumes in parts ------------------------------------------------------------------------------------------------------
+
+PERSON_TEXT = """concat('Jane Doe | Data Engineer', chr(10), 'she/her', chr(10), 'jane@example.org', chr(10), 'Experience', chr(10), 'Engineer at Acme ', cast(1 + c_custkey % 12 as varchar(9)), '/', cast(2005 + c_nationkey % 9 as varchar(9)), ' - ',
+    case when c_custkey % 3 = 0 then 'present' else cast(2014 + c_nationkey % 3 as varchar(9)) end, chr(10), '• Built Python pipelines, 20% faster', chr(10), '• SQL and Airflow', chr(10), 'Beta Ltd, Analyst 2003 - 2004', chr(10), '• Moved to Python', chr(10),
+    'Education', chr(10), 'MSc in Physics, Rome University, 1998 - 2003', chr(10), 'Skills', chr(10), 'Docker, Kafka')"""
+_START = "(2005 + c_nationkey % 9) * 12 + c_custkey % 12"
+_END = "case when c_custkey % 3 = 0 then 2024 * 12 + 4 else (2014 + c_nationkey % 3) * 12 + 11 end"
+_LABEL = "cast({0} // 12 as varchar) || '-' || lpad(cast({0} % 12 + 1 as varchar), 2, '0')"
+SQL_ROLES = f"""jobs as (select c_custkey as id, 'r1' as role, 'Engineer' as title, 'Acme' as company, {_LABEL.format(f'({_START})')} as start, case when c_custkey % 3 = 0 then 'present' else {_LABEL.format(f'({_END})')} end as "end", {_END} - ({_START}) + 1 as months, case when c_custkey % 3 = 0 then 'month' else 'year' end as precision from customer
+    union all select c_custkey, 'r2', 'Analyst', 'Beta Ltd', '2003-01', '2004-12', 24, 'year' from customer)"""
+
+
+def people(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", f"{PERSON_TEXT} as text")
+
+
+@query(f"with {SQL_ROLES} select * from jobs")
+def resume_roles(spark, sf_dir):
+    return B.roles(people(spark, sf_dir), "2024-05-01")
+
+
+@query("select c_custkey as id, bullet, role, text, n from customer, (values ('b1', 'r1', 'Built Python pipelines, 20% faster', 1), ('b2', 'r1', 'SQL and Airflow', 0), ('b3', 'r2', 'Moved to Python', 0)) b(bullet, role, text, n)")
+def resume_bullets(spark, sf_dir):
+    return B.bullets(people(spark, sf_dir), "2024-05-01").select("id", "bullet", "role", "text", F.size("measures").alias("n"))
+
+
+@query("""select c_custkey as id, 'MSc in Physics, Rome University, 1998 - 2003' as text, 'Master''s' as degree, 'Rome University' as institution, '1998' as start, '2003' as "end" from customer""")
+def resume_schools(spark, sf_dir):
+    return B.schools(people(spark, sf_dir))
+
+
+@query(f"""with {SQL_ROLES}, m as (select id, max(months) filter (role = 'r1') as a from jobs group by id) select id, skill, evidence, case when n = 2 then a + 24 when n = 1 then a else 0 end as months,
+    case when n > 0 then case when id % 3 = 0 then 'present' else (select max("end") from jobs j where j.id = m.id) end else '' end as last_used, source, strength
+    from m, (values ('Python', 'b1,b3', 2, 'experience', 'strong'), ('SQL', 'b2', 1, 'experience', 'moderate'), ('Airflow', 'b2', 1, 'experience', 'moderate'), ('Docker', '', 0, 'skills_list', 'weak'), ('Kafka', '', 0, 'skills_list', 'weak')) s(skill, evidence, n, source, strength)""")
+def resume_skills(spark, sf_dir):
+    found = B.skill_evidence(people(spark, sf_dir), TAX, "2024-05-01")
+    return found.select("id", "skill", F.array_join("evidence", ",").alias("evidence"), "months", "last_used", "source", "strength")
+
+
+@query("select c_custkey as id, false as extractable, true as headings, true as contact, true as one_column, false as length_ok, false as dated, true as measured from customer")
+def resume_form(spark, sf_dir):
+    return B.form_checks(people(spark, sf_dir), "2024-05-01")
+
+
+@query(f"with {SQL_ROLES} select id, cast(months + case when id % 2 = 0 then 12 else 0 end as bigint) as months from jobs where role = 'r1'")
+def corrected_experience(spark, sf_dir):
+    """Everyone ignores the second role; every other one lets the first begin a year before."""
+    jobs = B.roles(people(spark, sf_dir), "2024-05-01")
+    year = F.concat((F.substring("start", 1, 4).cast("int") - 1).cast("string"), F.substring("start", 5, 3))
+    blank = F.lit(None).cast("string")
+    told = jobs.select("id", "role", blank.alias("title"), blank.alias("company"), F.when((F.col("role") == "r1") & (F.col("id") % 2 == 0), year).alias("start"), blank.alias("end"), (F.col("role") == "r2").alias("ignore"))
+    return B.corrected_months(B.corrected(jobs, told, 2024 * 12 + 4))
+
+
+@query("select c_custkey as id, 'Data Engineer' as first, false as named from customer")
+def resumes_without_identity(spark, sf_dir):
+    text = B.without_identity(F.col("text"))
+    return people(spark, sf_dir).select("id", text.alias("t")).select("id", F.element_at(F.split("t", "\n"), 1).alias("first"), F.col("t").rlike("Jane|she/her|@").alias("named"))
