@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import phrases as W
+from ..operators import claims as C
 from ..operators import evidence as V
 from ..operators import pages as G
 from ..operators import skills as S
@@ -213,3 +214,34 @@ def result_cards(spark, sf_dir):
     )
     pages = postings(spark, sf_dir).groupBy(F.pmod(F.xxhash64("id"), F.lit(64)).alias("page")).agg(F.array_join(F.collect_list(card), "\n").alias("html"))
     return G.cards(pages)
+
+
+# --- claims ----------------------------------------------------------------------------------------------------------------
+
+_CLAIMS = [
+    ("Built Kafka streams at Acme Analytics", "Python at Acme", "", "skill Kafka,name Acme Analytics"), ("Led Python work at Acme", "Python at Acme", "", ""), ("Cut cost by 30% in 2021", "Work of 2020", "Cut cost by 30%", "year 2021"),
+    ("Holds a PhD and was senior", "Engineer", "", "degree degree,title senior,name PhD"), ("Shipped to [N] users with Globex", "Engineer", "", "name Globex"),
+]
+
+
+@query("select * from (values " + ", ".join(f"({k}, '{c[3]}')" for k, c in enumerate(_CLAIMS)) + ") t(case_id, found)")
+def verified_claims(spark, sf_dir):
+    rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(_CLAIMS)], "case_id int, new string, profile string, source string")
+    found = C.verified_claim(F.col("new"), F.col("profile"), F.col("source"), F.lit(""), TAX)
+    return rows.select("case_id", F.array_join(F.transform(found, lambda v: F.concat_ws(" ", v["kind"], v["value"])), ",").alias("found"))
+
+
+@query("""select event_id, case when value::int % 2 = 0 then '' else (event_id % 50 + 100) || '%' end as strange from events""".replace("value::int", "user_id"))
+def supported_numbers(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    answer = F.concat(F.lit("1. It rose by "), (F.col("event_id") % 50 + 100).cast("string"), F.lit("%"))
+    evidence = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("rise: "), (F.col("event_id") % 50 + 100).cast("string"))).otherwise("rise: 7")
+    return e.select("event_id", F.array_join(C.numbers_supported(answer, evidence), ",").alias("strange"))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k, event_id % 3 <> 0 as ok from events where event_id % 3 <> 0 union all select event_id, null, false from events where event_id % 3 = 0")
+def loose_json(spark, sf_dir):
+    """JSON out of an answer's prose; a cut one is none."""
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure: "), F.substring("props", 1, 4))).otherwise(F.concat(F.lit("Sure: "), "props", F.lit(" I hope.")))
+    told = table(spark, sf_dir, "events").select("event_id", C.loose_json(said).alias("j"))
+    return told.select("event_id", F.get_json_object("j", "$.k").cast("long").alias("k"), F.col("j").isNotNull().alias("ok"))
