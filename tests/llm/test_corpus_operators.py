@@ -390,6 +390,26 @@ def test_hashing_together():
     assert len(word_hashes(texts[15])) == PIECE // 2 and len(set(word_hashes(texts[15]).tolist())) == 1  # words over the edges of pieces
 
 
+def edge_operators(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    benchmark = spark.createDataFrame([(1, "one passage of a benchmark that nobody else would ever write in just this way")], "item_id long, text string")
+    return {
+        "language": language_report, "toxicity": lambda d: toxicity_report(d, labels), "media": media.document_media, "join": classes, "shards": shard_by_bytes, "counts": lambda d: token_report(d, vocabulary()),
+        "packing": lambda d: pack_documents(d, vocabulary()).where("piece = 0"), "clean": lambda d: keep_clean(d, labels), "uncontaminated": lambda d: decontamination.keep_uncontaminated(d, benchmark),
+    }
+
+
+@pytest.mark.parametrize("name", ["language", "toxicity", "media", "join", "shards", "counts", "packing", "clean", "uncontaminated"])
+def test_null_ids_and_repeated_rows(spark, name):
+    """Null ids and rows that repeat as a whole give a row each; an empty table gives none."""
+    operator = edge_operators(spark)[name]
+    docs = documents(spark, ["some words that are here", "more words", None, ""])
+    rows = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    found = operator(rows).select("doc_id").collect()
+    assert len(found) == 12 and sum(r.doc_id is None for r in found) == 4
+    assert operator(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
