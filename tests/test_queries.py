@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from brightloom.plans import people, scoring, store, texts  # noqa: F401 (register their queries)
+from brightloom.durable import durable
+from brightloom.plans import lists, people, scoring, store, texts  # noqa: F401 (register their queries)
 from brightloom.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
@@ -21,6 +22,23 @@ def duck():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def scores_once(spark):
+    """The queries over scores share one written scoring here; by themselves each works it out."""
+    kept, real, modules = {}, scoring.all_scores, (scoring, people, texts)
+
+    def once(session, sf_dir):
+        if sf_dir not in kept:
+            kept[sf_dir] = durable(real(session, sf_dir))
+        return kept[sf_dir]
+
+    for m in modules:
+        m.all_scores = once
+    yield
+    for m in modules:
+        m.all_scores = real
+
+
 def plain(v):
     if v is None:
         return "null"
