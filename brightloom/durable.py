@@ -32,3 +32,11 @@ def durable(df: DataFrame) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt evenly for steps whose work a row is much and whose bytes are few: by size alone, adaptive plans would give such
+    rows to a handful of tasks. As many parts as the session's shuffles have, and four for each core at least."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)

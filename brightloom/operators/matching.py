@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, spread
 from ..functions import values as V
 from ..functions.text import grams, let, terms
 from . import gates as G
@@ -228,6 +228,7 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataF
     similarity of terms is worked out within the row. A null description counts as empty. Ids are unique.
     """
     base = postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
+    base = spread(base, "id")
     # steps are written, so that no later step works an earlier one out again for each of its uses
     base = durable(base.withColumns({"hits": S.hits_in(S.words_of(F.col("description")), taxonomy), "title_hits": S.hits_in(S.words_of(F.col("title")), taxonomy)}))
     df = base.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})

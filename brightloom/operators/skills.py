@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import spread
 from ..functions.text import let
 from ..functions.values import CLAUSE_WORDS, CONTEXT_WORDS, NEGATIONS, SEASON_YEAR, SOFT_CATEGORY
 
@@ -141,7 +142,7 @@ def ruled_out_of(hits: Column) -> Column:
 
 def mentions(rows: DataFrame, taxonomy: Taxonomy, text: str = "description") -> DataFrame:
     """id, skill, negated: each skill that a row's text names; negated if every mention is. Null texts name none."""
-    words = rows.select("id", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+    words = spread(rows.select("id", text), "id").select("id", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
     found = words.select("id", F.explode(skills_of(hits_in(F.col("w"), taxonomy))).alias("s"))
     return found.select("id", "s.skill", "s.negated")
 
