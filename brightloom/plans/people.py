@@ -12,7 +12,7 @@ from ..operators import records
 from ..operators import resumes as B
 from .postings import POSTINGS, postings
 from .queries import JUDGED, judged, query, table
-from .scoring import TAX, all_scores
+from .scoring import SQL_SCORES, TAX, all_scores
 
 #: Sentences that the derived postings get in turn, so that there are gates to find.
 NOTICES = [
@@ -73,7 +73,7 @@ def gate_statuses(spark, sf_dir):
     return G.settled(G.stated(noticed(spark, sf_dir)), PERSON).groupBy("type", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with {SQL_SCORES}, {sql_gates().replace(f"p as ({POSTINGS}), ", "", 1)} select type, count(distinct id) as jobs from settled join (select id as scored, score from scores) s on scored = id where status = 'fail' and score >= 60 group by type""")
 def gates_held_back(spark, sf_dir):
     gates = G.settled(G.stated(noticed(spark, sf_dir)), PERSON)
     return G.held_back(all_scores(spark, sf_dir), gates, 60)
