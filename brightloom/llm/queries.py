@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contamination_report
 from .language_id import language_report
+from .line_dedup import line_report
 from .media import document_media
 from .near_duplicates import classes
 from .packing import pack_documents
+from .resampling import resampled
 from .sharding import shard_by_bytes
 from .token_counts import token_report
 from .toxicity import toxicity_report
 from .url_filters import judge
 from .warc import PER_ARCHIVE, archived, fixity_report, warc_record
+from .whitening import whitening_report
 
 
 def vocabulary() -> str:
@@ -83,9 +86,21 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity_report(*manifests).select("archive", "slot", "seq", "offset", "length", "replica_seq", "replica_offset", "replica_length", "copies", "status", "about.page_id", "about.url")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language_id, op2_decontamination, op3_url_filters, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity)
+    for f in (op1_language_id, op2_decontamination, op3_url_filters, op4_toxicity, op5_media_columns, op6_ngram_jaccard_join, op7_best_fit_packing, op8_byte_shards, op9_token_counts, op10_warc_fixity, op11_embedding_whitening, op12_importance_resampling, op13_line_dedup)
 }
 
 ORACLE_SQL = {
@@ -137,4 +152,43 @@ ORACLE_SQL = {
             b.seq as replica_seq, cast(b."offset" as bigint) as replica_offset, cast(b.length as bigint) as replica_length,
             cast(1 as bigint) as copies, case when b.url is null then 'missing' when a.url is null then 'extra' else 'changed' end as status, page_id, url
         from a full join b using (page_id, url) where a.html is distinct from b.html""",
+    "op12_importance_resampling": r"""
+        with words as (
+            select 'documents' as side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from documents
+            union all
+            select 'benchmark', null, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+        steps as (
+            select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as step
+            from range(256) t(i)),
+        hashed as (
+            select word, xor(4294967295, list_reduce(
+                list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda b: cast('0x' || b as bigint))),
+                lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 10000 as bucket
+            from (select distinct word from words), steps),
+        placed as (select side, doc_id, bucket from words join hashed using (word)),
+        held as (
+            select bucket, count(*) filter (side = 'documents') as s, count(*) filter (side = 'benchmark') as t from placed group by bucket),
+        gained as (
+            select bucket, cast(floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double))) as bigint) as gain from held),
+        weighed as (
+            select doc_id, count(*) as n_features, cast(sum(gain) as bigint) as weight from placed join gained using (bucket) where side = 'documents' group by doc_id),
+        lucky as (
+            select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                cast(floor(-1000 * ln(-ln((cast('0x' || substring(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as draw
+            from documents left join weighed using (doc_id)),
+        ranked as (
+            select *, weight + draw as score, n_features >= 20 as able, row_number() over (partition by n_features >= 20 order by weight + draw desc, doc_id) as place,
+                count(*) filter (n_features >= 20) over () as n from lucky)
+        select doc_id, n_features, weight, score, case when able and place <= 10 * n // 100 then place end as rank from ranked""",
+    "op13_line_dedup": r"""
+        with lines as (
+            select doc_id, seq, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+            from (select doc_id, unnest(list) as line, generate_subscripts(list, 1) as seq from (select doc_id, string_split(coalesce(text, ''), chr(10)) as list from documents))),
+        repeated as (
+            select key, max(doc_id) as keeper from lines where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+        marked as (
+            select lines.*, keeper is not null and keeper <> doc_id as gone from lines left join repeated using (key))
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by seq) filter (not gone), '')) as kept_sha256
+        from marked group by doc_id""",
 }
