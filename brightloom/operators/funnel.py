@@ -10,14 +10,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, spread
 from ..functions.text import age_hours, alnum, city_key, core_tokens, is_remote, norm_company, norm_tokens, relevance
 from ..functions.values import ANYWHERE, CITIES, COUNTRIES, EMPLOYMENT, JUNIOR_TITLE, OTHER_PRIORITY, REGIONS, SENIOR_TITLE, SOURCE_PRIORITY
+from .near import BAND_BITS, BANDS, BUCKET, greedy_classes, matched, near_classes, simhash, simhash_of  # noqa: F401 (callers find them here)
 
 GRACE = 6  #: hours by which a posting may be older than asked
-BANDS, BAND_BITS = 4, 16
 LEAST_TEXT = 200  #: characters of a description that is held against others
-BUCKET = 4096  #: hashes of a band's value that are held against each other at once; more are dealt into pairs of blocks
 
 
 @dataclass(frozen=True)
@@ -147,26 +146,11 @@ def merged(postings: DataFrame, key: Column | None = None) -> DataFrame:
     return grouped.select(*out, F.transform(F.array_sort(F.transform("s", lambda x: F.struct(priority(x).alias("p"), x.alias("source")))), lambda x: x["source"]).alias("sources"), "copies")
 
 
-def simhash(rows: DataFrame, id_column: str, text: str, out: str = "simhash") -> DataFrame:
-    """`id_column` and 64-bit SimHash over runs of three words; 0 for under three words."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda k: F.array_join(F.slice("w", k, 3), " ")))
-    shingles = rows.select(id_column, words.alias("w")).select(id_column, F.explode_outer(runs).alias("run"))
-    h = F.conv(F.substring(F.md5("run"), 1, 16), 16, -10).cast("long")
-    pairs = F.lit((1 << 32) + 1)  # bits k and k + 32 are counted in the halves of one number
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pairs)).alias(f"s{k}") for k in range(32)]
-    counted = shingles.select(id_column, h.alias("h")).groupBy(id_column).agg(*sums, F.count("h").alias("n"))
-    bits = F.lit(0).cast("long")
-    for b in range(64):
-        ones = F.shiftrightunsigned(f"s{b % 32}", 32) if b >= 32 else F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))
-        bits = bits.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return counted.select(id_column, F.when(F.col("n") > 0, bits).otherwise(F.lit(0).cast("long")).alias(out))
-
-
 def near_hashes(distinct: DataFrame, block: list[str], most: int, bucket: int = BUCKET) -> DataFrame:
     """block, hash_a < hash_b, bits: distinct hashes of one block that differ in at most `most` bits.
 
-    Hashes that differ in under BANDS bits share one of BANDS bands, so blocks are joined on a band's value, not crossed.
+    Hashes that differ in under BANDS bits share one of BANDS bands, so blocks are joined on a band's value, not crossed. For
+    tables whose pairs are few and wanted as rows; `near_classes` and `greedy_classes` tell of every row without them.
     """
     if most >= BANDS:
         raise ValueError("more differing bits than bands")
@@ -199,53 +183,18 @@ def near_pairs(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
     return found.select(*block, "id_a", "id_b", "bits")
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join whose keys match where both are null too; the right ones go."""
-    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return left.join(other, on, how).drop(*(f"_{k}" for k in keys))
-
-
-def near_classes(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
-    """A row for each of `hashes` (block, id, simhash): block, id, class_id and n_links.
+def deduplicated(postings: DataFrame) -> DataFrame:
+    """`merged`, and then one posting for each greedy group of near-equal descriptions at one company and city, as of reposts with another title.
 
-    A class is what links of at most `most` differing bits join within a block, equal hashes included; class_id is its
-    least id, n_links counts the other rows that a row is linked to. Rows of hash 0 are classes of their own.
+    Groups are those of `greedy_classes` in the order of ids; short and null descriptions are held against none.
     """
-    hashes = durable(hashes.select(*block, "id", "simhash"))
-    distinct = durable(hashes.where("simhash <> 0").groupBy(*block, "simhash").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
-    found = near_hashes(distinct, block, most).select(*block, "hash_a", "hash_b")
-    turned = found.select(*block, F.col("hash_b").alias("simhash"), F.col("hash_a").alias("other"))
-    edges = durable(found.select(*block, F.col("hash_a").alias("simhash"), F.col("hash_b").alias("other")).unionByName(turned))
-    labels = distinct.select(*block, "simhash", F.col("simhash").alias("label"))
-    while True:  # least labels and pointer jumps, until nothing changes
-        theirs = labels.withColumnsRenamed({"simhash": "other", "label": "theirs"})
-        offered = matched(edges, theirs, [*block, "other"]).groupBy(*block, "simhash").agg(F.min("theirs").alias("offer"))
-        lower = matched(labels, offered, [*block, "simhash"], "left").select(*block, "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(*block, F.col("simhash").alias("label"), F.col("label").alias("further"))
-        new = durable(matched(lower, jump, [*block, "label"]).select(*block, "simhash", F.least("label", "further").alias("label"), "old"))
-        labels = new.drop("old")
-        if new.where("label <> old").isEmpty():
-            break
-    others = distinct.select(*block, F.col("simhash").alias("other"), F.col("copies").alias("n"))
-    linked = matched(edges, others, [*block, "other"]).groupBy(*block, "simhash").agg(F.sum("n").alias("n"))
-    told = matched(matched(labels, distinct, [*block, "simhash"]), linked, [*block, "simhash"], "left")
-    least = told.groupBy(*block, "label").agg(F.min("least").alias("class_id"))
-    told = matched(told, least, [*block, "label"]).select(*block, "simhash", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    return matched(hashes, told, [*block, "simhash"], "left").select(*block, "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def deduplicated(postings: DataFrame) -> DataFrame:
-    """`merged`, and then one posting for each class of near-equal descriptions at one company and city, as of reposts with another title."""
     unique = durable(merged(postings).withColumn("_row", merge_key()))
     told = unique.where(F.length("description") >= LEAST_TEXT)
-    place = told.select(F.col("_row").alias("id"), norm_company(F.col("company")).alias("at"), city_key(F.col("location"), F.col("remote")).alias("city"))
-    hashes = simhash(told, "_row", "description").withColumnRenamed("_row", "id").join(place, "id")
-    classes = near_classes(hashes, ["at", "city"]).where("n_links > 0").select(F.col("id").alias("_row"), "class_id")
-    labelled = unique.join(classes, "_row", "left").withColumn("_class", F.coalesce("class_id", "_row"))
-    return merged(labelled.drop("class_id", "_row"), F.col("_class")).drop("_class")
+    hashes = spread(told.select("id", "_row", "description", norm_company(F.col("company")).alias("at"), city_key(F.col("location"), F.col("remote")).alias("city")), "_row")
+    hashes = hashes.select(F.col("_row").alias("id"), F.col("id").alias("turn"), "at", "city", simhash_of(F.col("description")).alias("simhash"))
+    groups = greedy_classes(hashes, ["at", "city"], [F.col("turn")]).select(F.col("id").alias("_row"), "leader_id")
+    labelled = unique.join(groups, "_row", "left").withColumn("_class", F.coalesce("leader_id", "_row"))
+    return merged(labelled.drop("leader_id", "_row"), F.col("_class")).drop("_class")
 
 
 def rank_score(relevance_: Column, description: Column, posted: Column, now: str, hours: float = 0) -> Column:

@@ -1,14 +1,19 @@
-"""Skills named in texts: a taxonomy of aliases is met inside the row, run by run of words, with context and negation.
+"""Skills named in texts: one pass of an automaton of all aliases over a text's words, then context and negation in the row.
 
-A text is cut into words once. Runs of words that begin like some alias are looked up in the set of aliases, so no row
-is multiplied, nothing is shuffled, and cost follows the text. Only a taxonomy beyond IN_ROW aliases is joined instead.
+A text is cut into words once. An Aho-Corasick automaton, which each worker builds once from a taxonomy of a checked size,
+finds every run of words that is an alias in one pass, so no row is multiplied, nothing is shuffled, and cost follows the
+text whatever the number of aliases. A taxonomy beyond that size is joined by equality instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,10 @@ MARKS = [".", ";", ":", "!", "?", "\n", "•"]
 NEAR = 6  #: words before a mention in which a negation counts
 NOT_ASKED = r"^(\S+ ){0,4}?((is|are) )?(not|\S*n't) (required|needed|necessary|mandatory|a requirement)( |$)"
 HITS = "array<struct<skill: string, line: int, negated: boolean>>"
-IN_ROW = 20_000  #: aliases that are looked up in the row, a few MB in each task
+FOUND = "array<struct<at: int, n: int, skill: string, context: array<string>>>"
+MOST_ALIASES = 200_000  #: rows of a taxonomy that goes to all workers
+MOST_LETTERS = 16 << 20  #: and the letters of its aliases, skills and context words
+_automata: dict[str, ahocorasick.Automaton] = {}  # of a worker, by the taxonomy's digest; outlives a task
 
 
 @dataclass(frozen=True)
@@ -40,11 +48,13 @@ class Taxonomy:
 
     @classmethod
     def load(cls, table: DataFrame) -> Taxonomy:
-        """From a table (skill, category, alias, context array<string>) of at most IN_ROW rows; a larger one is refused."""
-        rows = table.select("skill", "category", "alias", "context").where("skill is not null and alias is not null").limit(IN_ROW + 1).collect()
-        if len(rows) > IN_ROW:
-            raise ValueError(f"more than {IN_ROW} aliases: use mentions_joined")
-        return cls.of(rows)
+        """From a table (skill, category, alias, context array<string>) within MOST_ALIASES and MOST_LETTERS; a larger one is refused."""
+        rows = table.select("skill", "category", "alias", "context").where("skill is not null and alias is not null")
+        letters = F.length("skill") + F.length("alias") + F.coalesce(F.length(F.array_join("context", "")), F.lit(0))
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(letters), F.lit(0))).first()
+        if n > MOST_ALIASES or size > MOST_LETTERS:
+            raise ValueError(f"{n} aliases of {size} letters, more than {MOST_ALIASES} or {MOST_LETTERS}: use mentions_joined")
+        return cls.of(rows.collect())
 
     @property
     def soft(self) -> list[str]:
@@ -92,30 +102,60 @@ def runs_in(words: Column, starts: Column, longest: int) -> Column:
     return F.flatten(runs)
 
 
+def automaton_of(runs: list[str]) -> ahocorasick.Automaton:
+    """Finds runs between blanks; each gives its number of words and the places of its entries in `runs`."""
+    places: dict[str, list[int]] = {}
+    for k, run in enumerate(runs):
+        places.setdefault(run, []).append(k)
+    found = ahocorasick.Automaton()
+    for run, own in places.items():
+        if run:
+            found.add_word(f" {run} ", (run.count(" ") + 1, own))
+    found.make_automaton()
+    return found
+
+
+def finder(taxonomy: Taxonomy):
+    """A column function: of words joined by blanks, each run that is an alias, once for each entry of that alias."""
+    runs, skills, contexts = [_run(a) for a, _, _ in taxonomy.entries], [s for _, s, _ in taxonomy.entries], [list(c or ()) for _, _, c in taxonomy.entries]
+    name = hashlib.blake2b(repr(taxonomy.entries).encode(), digest_size=16).hexdigest()
+
+    @F.arrow_udf(FOUND)
+    def found(lines: pa.Array) -> pa.Array:
+        automaton = _automata.get(name)
+        if automaton is None:
+            automaton = _automata[name] = automaton_of(runs)
+        ends, at, size, entry = [0], [], [], []
+        for line in lines.to_pylist():
+            if line and len(automaton):
+                line = f" {line} "
+                words = upto = 0
+                for end, (n, own) in automaton.iter(line):  # ends never go back, so blanks are counted once
+                    words += line.count(" ", upto, end)
+                    upto = end
+                    for k in own:
+                        at.append(words - n + 1)
+                        size.append(n)
+                        entry.append(k)
+            ends.append(len(at))
+        entry = np.array(entry, np.int64)
+        fields = [pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(skills, pa.string()).take(pa.array(entry)), pa.array(contexts, pa.list_(pa.string())).take(pa.array(entry))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["at", "n", "skill", "context"]))
+
+    return found
+
+
 def hits_in(words: Column, taxonomy: Taxonomy) -> Column:
-    """array<struct<skill, line, negated>>: every mention in `words` (of `words_of`), with the line that it is on, from 0."""
+    """array<struct<skill, line, negated>>: every mention in `words` (of `words_of`), with the line that it is on, from 0.
+
+    Not for use within a lambda, as the automaton runs in an Arrow batch. Null words have no hits.
+    """
     if not taxonomy.entries:
         return F.array().cast(HITS)
-    cut = {e: _run(e[0]) for e in taxonomy.entries}
-    known = sorted(set(cut.values()))
-    firsts, longest = sorted({r.split(" ")[0] for r in known}), max(len(r.split(" ")) for r in known)
-    table = F.array(*(F.struct(F.lit(run).alias("run"), F.lit(s).alias("skill"), F.lit(list(c or ())).cast("array<string>").alias("context")) for (_, s, c), run in cut.items()))
-
-    def mentions_of(w: Column, runs: Column) -> Column:
-        """Of the runs that are aliases, one for each entry whose context is near."""
-        told = lambda r: F.struct(r["run"].alias("run"), around(w, r["at"], r["n"]).alias("near"), F.size(F.filter(F.slice(w, 1, r["at"]), lambda x: x == "\n")).alias("line"), negated(w, r["at"], r["n"]).alias("negated"))
-        fits = lambda e, r: (e["run"] == r["run"]) & ((F.size(e["context"]) == 0) | F.arrays_overlap(r["near"], e["context"]))
-        each = lambda r: F.transform(F.filter(table, lambda e: fits(e, r)), lambda e: F.struct(e["skill"].alias("skill"), r["line"].alias("line"), r["negated"].alias("negated")))
-        return F.flatten(F.transform(F.transform(runs, told), each))
-
-    def looked_up(w: Column, runs: Column) -> Column:
-        return let(F.array_intersect(F.transform(runs, lambda r: r["run"]), F.lit(known)), lambda met: mentions_of(w, F.filter(runs, lambda r: F.array_contains(met, r["run"]))))
-
-    def started(w: Column, present: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda at: F.array_contains(present, F.element_at(w, at)))
-        return F.when(F.size(present) > 0, let(runs_in(w, starts, longest), lambda runs: looked_up(w, runs))).otherwise(F.array().cast(HITS))
-
-    return let(words, lambda w: let(F.array_intersect(w, F.lit(firsts)), lambda present: started(w, present)))
+    both = F.struct(words.alias("w"), finder(taxonomy)(F.array_join(words, " ")).alias("found"))
+    fits = lambda w, r: (F.size(r["context"]) == 0) | F.arrays_overlap(around(w, r["at"], r["n"]), r["context"])
+    told = lambda w, r: F.struct(r["skill"].alias("skill"), F.size(F.filter(F.slice(w, 1, r["at"]), lambda x: x == "\n")).alias("line"), negated(w, r["at"], r["n"]).alias("negated"))
+    return let(both, lambda x: F.transform(F.filter(x["found"], lambda r: fits(x["w"], r)), lambda r: told(x["w"], r)))
 
 
 def _run(alias: str) -> str:
