@@ -406,6 +406,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs`, all columns, without rows whose text holds a benchmark item."""
+    """`docs`, all columns, without rows whose text holds a benchmark item.
+
+    Null and empty texts hold none and stay, as all rows do if the benchmark is empty or has null and empty items alone;
+    repeated rows stay or go together; an empty table stays empty. Columns of clashing names are kept.
+    """
     name = unused(docs, "_match")
     return docs.withColumn(name, matched(docs, benchmark)).where(F.size(name) == 0).drop(name)

@@ -189,7 +189,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """`docs`, all columns, without rows whose language can't be told: no letter, or the best language all but tied with the next."""
+    """`docs`, all columns, without rows whose language can't be told: no letter, or the best language all but tied with the next.
+
+    So null, empty and letterless texts go; repeated rows stay or go together; an empty table stays empty, and without
+    any row to learn from every row goes. Columns of clashing names are kept.
+    """
     name = unused(docs, "_language")
     judged = identified(docs, train(docs, usable_rows()), name)
     return judged.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.margin") >= UNDECIDED)).drop(name)

@@ -233,7 +233,7 @@ def feature_of(told: dict) -> str:
 
 
 def to_media(text: Column) -> Column:
-    """The file that holds each whole text's payload (binary); null counts as empty, equal texts give equal files."""
+    """The file that holds each whole text's payload (binary); null and empty ones are one unit of spaces, equal texts give equal files."""
 
     @F.pandas_udf("binary")
     def stored(texts: pd.Series) -> pd.Series:
@@ -267,16 +267,31 @@ def read_boxes(df: DataFrame, media: str = "media", out: str = "file") -> DataFr
 
 
 def media_digest(df: DataFrame, media: str = "media", out: str = "digest") -> DataFrame:
-    """`df` with struct `out`: sizes and digests of each file and of the payload that its sample tables lead to, a feature, and what the boxes say."""
+    """`df` with struct `out`: sizes and digests of each file and of the payload that its sample tables lead to, a feature, and what the boxes say.
 
-    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes {KEYFRAMES}")
+    A null or broken file has its problem told and null instead of what can't be read; a null one has no size or digest
+    either. Repeated rows are digested each; an existing column `out` is replaced; an empty table stays empty.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "keyframes", "problem"]
+
+    @F.pandas_udf(f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, timescale long, duration long, keyframes {KEYFRAMES}, problem string")
     def digested(files: pd.Series) -> pd.DataFrame:
         rows = []
         for data in files:
-            told = parse(data)
-            payload = payload_of(data, told)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(told), told["codec"], told["timescale"], told["duration"], keyframes_of(told)))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "keyframes"])
+            row = dict.fromkeys(names) | {"problem": None if data is not None else "no bytes"}
+            if data is not None:
+                row |= {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
+                try:
+                    told = parse(data)
+                    payload = payload_of(data, told)
+                    row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "feature": feature_of(told)}
+                    row |= {"codec": told["codec"], "timescale": told["timescale"], "duration": told["duration"], "keyframes": keyframes_of(told)}
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    row["problem"] = str(e) or type(e).__name__
+            rows.append(row)
+        found = pd.DataFrame(rows, columns=names)
+        whole = ["payload_bytes", "tail_crc32", "media_bytes", "timescale", "duration"]
+        return found.astype({c: "Int64" for c in whole})
 
     return df.withColumn(out, digested(media))
 

@@ -24,6 +24,7 @@ from .common import durable, slices
 CAPACITY = 2048
 GROUP = 4096  #: pieces that are packed together
 IDLE = 8  #: sequences in a row that can't be emptied before the search of a group ends; None: all are tried
+OPEN = 1.0  #: share of the capacity under which a sequence is opened and packed once more with those of other groups; 1: all that have room
 _encoders: dict[str, bpe.Ids] = {}
 
 PIECES = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
@@ -112,10 +113,10 @@ def empty_bins(bins: list[list[int]], lengths: np.ndarray, capacity: int, idle_m
     return [b for b in bins if b]
 
 
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int, idle: int | None = IDLE) -> tuple[np.ndarray, np.ndarray]:
     """Number of the bin and place in it for each length."""
     bin_of, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for number, members in enumerate(empty_bins(best_fit(lengths, capacity), lengths, capacity)):
+    for number, members in enumerate(empty_bins(best_fit(lengths, capacity), lengths, capacity, idle)):
         members = np.array(members)
         bin_of[members] = number
         offset[members] = np.cumsum(lengths[members]) - lengths[members]
@@ -147,34 +148,36 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     return numbered.mapInArrow(cut, PIECES)
 
 
-def pack_groups(pieces: DataFrame, capacity: int, group: int) -> DataFrame:
-    """`pieces` (uid, piece, length and more) with bin (number within the group), group and offset."""
+def pack_groups(pieces: DataFrame, capacity: int, group: int, idle: int | None = IDLE, deal: int = 0) -> DataFrame:
+    """`pieces` (uid, piece, length and more) with bin (number within the group), group and offset; another `deal` mixes them otherwise."""
     n = pieces.count()
     groups = max(1, -(-n // group))
 
     def packed(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "uid", "piece"], ascending=[False, True, True])
-        part["bin"], part["offset"] = pack(part["length"].to_numpy(), capacity)
+        part["bin"], part["offset"] = pack(part["length"].to_numpy(), capacity, idle)
         return part
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("uid", "piece", F.lit(deal)), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(packed, f"{PIECES}, group long, bin long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, group: int = GROUP, idle: int | None = IDLE, reopened: float = OPEN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece, gapless from 0 in each sequence.
 
-    Repeated rows and null ids are packed like any row; columns beside doc_id and text don't matter; an empty table packs
+    No setting loses a piece; they only decide how long fewer sequences are sought: `idle` (see IDLE; None tries every
+    sequence) and `reopened` (see OPEN; 1 packs every sequence with room once more). A text of any length is cut into pieces
+    of `capacity`, of which the first may be shorter. Repeated rows and null ids are packed like any row; columns beside doc_id and text don't matter; an empty table packs
     into nothing. Sequence numbers: negative for a piece that fills its sequence alone, else from round, group and bin.
     """
     pieces = durable(token_pieces(docs, vocabulary, capacity))
     whole = pieces.where(F.col("length") == capacity).withColumns({"offset": F.lit(0).cast("long"), "sequence_id": -1 - F.monotonically_increasing_id()})
-    first = durable(pack_groups(pieces.where(F.col("length") < capacity), capacity, group))
+    first = durable(pack_groups(pieces.where(F.col("length") < capacity), capacity, group, idle))
     per_bin = first.groupBy("group", "bin").agg(F.sum("length").alias("fill"))
-    open_bins = per_bin.where(F.col("fill") < capacity * 15 // 16).select("group", "bin")
+    open_bins = per_bin.where(F.col("fill") < int(capacity * reopened)).select("group", "bin")
     rounds = [first.join(open_bins, ["group", "bin"], "left_anti").withColumn("round", F.lit(0))]
     again = first.join(open_bins, ["group", "bin"], "left_semi").drop("group", "bin", "offset")
-    rounds.append(pack_groups(durable(again), capacity, group).withColumn("round", F.lit(1)))
+    rounds.append(pack_groups(durable(again), capacity, group, idle, 1).withColumn("round", F.lit(1)))
     number = (F.col("group") * 2 + F.col("round")) * (1 << 20) + F.col("bin")
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return rounds[0].unionByName(rounds[1], allowMissingColumns=True).withColumn("sequence_id", number).select(out).unionByName(whole.select(out))

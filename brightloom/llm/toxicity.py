@@ -25,7 +25,8 @@ SAMPLE = {1: 1500, 0: 4500}  #: expected training documents by label; the docume
 CALIBRATION = {1: 500, 0: 1000}  #: documents by label on which the score is fitted
 PREFIXES = (3, 4, 5, 6)
 WINDOW = 40  #: tokens of a training sequence
-WINDOWS = {1: 8, 0: 2}  #: of a sampled text at most so many sequences with and without a mark teach the chain; scoring reads whole texts
+CHAIN = {1: 600, 0: 600}  #: of these so many documents by label teach the chain, with their whole texts
+SLICE = 4096  #: training sequences that are worked on at once
 SURPRISE = 30.0  #: log-likelihood ratio from which a feature marks toxic tokens
 LIFT = 8.0  #: and how many times as often toxic documents have it
 STEPS, RATE, DECAY = 80, 0.3, 1e-3
@@ -176,10 +177,8 @@ def marking(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> set[s
     return found
 
 
-def fit_chain(tokens: list[list[str]], states: list[np.ndarray]) -> Field:
-    """The chain's weights by gradient ascent on the likelihood of labelled token windows."""
-    seen = Counter(f for window in tokens for t in window for f in token_features(t))
-    number = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= 3)}
+def chain_slice(tokens: list[list[str]], states: list[np.ndarray], number: dict[str, int]) -> tuple:
+    """Of some sequences: which places are real, their states, and the features of each place."""
     rows, width = len(tokens), WINDOW
     real = np.zeros((rows, width), bool)
     y = np.zeros((rows, width), np.int64)
@@ -191,42 +190,58 @@ def fit_chain(tokens: list[list[str]], states: list[np.ndarray]) -> Field:
             mine = [number[f] for f in token_features(token) if f in number]
             which += mine
             place += [r * width + c] * len(mine)
-    which, place = np.array(which, np.int64), np.array(place, np.int64)
+    return real, y, np.array(place, np.int64), np.array(which, np.int64)
+
+
+def chain_gradient(part: tuple, w: np.ndarray, chain: np.ndarray, start: np.ndarray, bias: float) -> tuple:
+    """The likelihood's gradient over some sequences by feature, step, start and bias: what is labelled less what is expected."""
+    real, y, place, which = part
+    rows, width = real.shape
     both = real[:, 1:] & real[:, :-1]
+    e = np.bincount(place, w[which], rows * width).reshape(rows, width) + bias
+    up, t, s = np.exp(np.clip(e, -30, 30)), np.exp(chain), np.exp(start)
+    alpha, beta = np.empty((width, rows, 2)), np.ones((width, rows, 2))
+    x = np.stack([np.full(rows, s[0]), s[1] * up[:, 0]], 1)
+    alpha[0] = x / x.sum(1, keepdims=True)
+    for k in range(1, width):
+        x = alpha[k - 1] @ t
+        x[:, 1] *= up[:, k]
+        x /= x.sum(1, keepdims=True)
+        alpha[k] = np.where(real[:, k, None], x, alpha[k - 1])
+    for k in range(width - 2, -1, -1):
+        x = beta[k + 1].copy()
+        x[:, 1] *= up[:, k + 1]
+        x = x @ t.T
+        x /= x.sum(1, keepdims=True)
+        beta[k] = np.where(real[:, k + 1, None], x, 1.0)
+    node = alpha * beta
+    p = (node[:, :, 1] / node.sum(2)).T
+    pull = np.where(real, y - p, 0.0)
+    edge = np.zeros((2, 2))
+    for k in range(1, width):
+        m = alpha[k - 1][:, :, None] * t[None] * beta[k][:, None, :]
+        m[:, :, 1] *= up[:, k, None]
+        m /= m.sum((1, 2), keepdims=True)
+        edge += m[real[:, k]].sum(0)
+    met = np.zeros((2, 2))
+    np.add.at(met, (y[:, :-1][both], y[:, 1:][both]), 1)
+    first = np.bincount(y[:, 0], minlength=2) - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
+    return np.bincount(which, pull.ravel()[place], len(w)), met - edge, first, pull.sum()
+
+
+def fit_chain(tokens: list[list[str]], states: list[np.ndarray]) -> Field:
+    """The chain's weights by gradient ascent on the likelihood of labelled token windows."""
+    seen = Counter(f for window in tokens for t in window for f in token_features(t))
+    number = {f: k for k, f in enumerate(f for f, n in seen.items() if n >= 3)}
+    parts = [chain_slice(tokens[at : at + SLICE], states[at : at + SLICE], number) for at in range(0, len(tokens), SLICE)]
     w, chain, bias = np.zeros(len(number)), np.zeros((2, 2)), 0.0
     start = np.zeros(2)
     sums = [np.full_like(x, 1e-6) for x in (w, chain, start)] + [1e-6]
-    total = max(1, int(real.sum()))
+    total = max(1, sum(len(t) for t in tokens))
     for _ in range(STEPS):
-        e = np.bincount(place, w[which], rows * width).reshape(rows, width) + bias
-        up, t, s = np.exp(np.clip(e, -30, 30)), np.exp(chain), np.exp(start)
-        alpha, beta = np.empty((width, rows, 2)), np.ones((width, rows, 2))
-        x = np.stack([np.full(rows, s[0]), s[1] * up[:, 0]], 1)
-        alpha[0] = x / x.sum(1, keepdims=True)
-        for k in range(1, width):
-            x = alpha[k - 1] @ t
-            x[:, 1] *= up[:, k]
-            x /= x.sum(1, keepdims=True)
-            alpha[k] = np.where(real[:, k, None], x, alpha[k - 1])
-        for k in range(width - 2, -1, -1):
-            x = beta[k + 1].copy()
-            x[:, 1] *= up[:, k + 1]
-            x = x @ t.T
-            x /= x.sum(1, keepdims=True)
-            beta[k] = np.where(real[:, k + 1, None], x, 1.0)
-        node = alpha * beta
-        p = (node[:, :, 1] / node.sum(2)).T
-        pull = np.where(real, y - p, 0.0)
-        edge = np.zeros((2, 2))
-        for k in range(1, width):
-            m = alpha[k - 1][:, :, None] * t[None] * beta[k][:, None, :]
-            m[:, :, 1] *= up[:, k, None]
-            m /= m.sum((1, 2), keepdims=True)
-            edge += m[real[:, k]].sum(0)
-        met = np.zeros((2, 2))
-        np.add.at(met, (y[:, :-1][both], y[:, 1:][both]), 1)
-        first = np.bincount(y[:, 0], minlength=2) - np.array([(1 - p[:, 0]).sum(), p[:, 0].sum()])
-        steps = [np.bincount(which, pull.ravel()[place], len(number)) / total - DECAY * w / 100, (met - edge) / total, first / total, pull.sum() / total]
+        found = [chain_gradient(part, w, chain, start, bias) for part in parts]
+        by_feature, by_step, by_start, by_bias = (sum(f[k] for f in found) for k in range(4))
+        steps = [by_feature / total - DECAY * w / 100, by_step / total, by_start / total, by_bias / total]
         new = []
         for k, (value, gradient) in enumerate(zip((w, chain, start, bias), steps, strict=True)):
             sums[k] = sums[k] + gradient**2
@@ -251,19 +266,14 @@ def fit(texts: list[str], toxic: np.ndarray, prior: dict[int, float]) -> Field |
     marks = marking(counts[1], counts[0], int(label.sum()), int((1 - label).sum()))
     if not marks:
         return None
-    rng = np.random.default_rng(11)
     windows, states = [], []
     later = np.arange(len(split)) % 3 == 2  # documents for the logistic
-    for tokens, y, left in zip(split, label, later, strict=True):
-        if left:
-            continue
-        marked = np.array([any(f in marks for f in token_features(t)) for t in tokens], np.int64) if y else np.zeros(len(tokens), np.int64)
-        starts = list(range(0, len(tokens), WINDOW))
-        hot = [a for a in starts if marked[a : a + WINDOW].any()]
-        rest = [a for a in starts if a not in set(hot)]
-        for a in [*hot[: WINDOWS[1]], *rng.permutation(rest)[: WINDOWS[0]].tolist()]:
-            windows.append(tokens[a : a + WINDOW])
-            states.append(marked[a : a + WINDOW])
+    for k in np.concatenate([np.flatnonzero(~later & (label == y))[:most] for y, most in CHAIN.items()]).tolist():
+        tokens = split[k]
+        marked = np.array([any(f in marks for f in token_features(t)) for t in tokens], np.int64) if label[k] else np.zeros(len(tokens), np.int64)
+        for at in range(0, len(tokens), WINDOW):
+            windows.append(tokens[at : at + WINDOW])
+            states.append(marked[at : at + WINDOW])
     model = fit_chain(windows, states)
     mine = np.concatenate([np.flatnonzero(later & (label == y))[:most] for y, most in CALIBRATION.items()])
     if len(set(label[mine].tolist())) == 2:
@@ -343,7 +353,11 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs`, all columns, without the rows whose score is THRESHOLD or more."""
+    """`docs`, all columns, without the rows whose score is THRESHOLD or more.
+
+    Null, empty and wordless texts score 0 and stay, as do repeated rows of a clean text; an empty table stays empty;
+    a column named like the score is kept.
+    """
     name = unused(docs, "_toxicity")
     judged = scored(docs, train(docs, labels), name)
     return judged.where(F.col(f"{name}.score") < THRESHOLD).drop(name)

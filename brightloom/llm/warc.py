@@ -90,7 +90,8 @@ def fixity_report(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT,
     whose records are all right but lie elsewhere from its start on (its seq, copies and about are null). about is the
     primary's, of an extra record the replica's. Where several records share slot and key, one that differs on each side is
     a `changed` one; more are told as `missing` and `extra`, equal ones in one row with their number of copies.
-    Equal or empty manifests give no rows.
+    Equal or empty manifests give no rows. Null archives and slots are keys like others; records whose bytes are null have
+    the digest and length of none.
     """
     both = primary.withColumn("replica", F.lit(False)).unionByName(replica.withColumn("replica", F.lit(True)))
     tree = [leaves(both), durable(above(leaves(both), fanout))]  # higher levels are a small part of this one and are made from it

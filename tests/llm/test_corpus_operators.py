@@ -419,3 +419,70 @@ def test_pipeline_stages(spark):
         left = stage(spark, docs, sf)
         assert left.columns == docs.columns and left.count() >= 0.7 * docs.count(), name
         docs = left
+
+
+def test_every_setting_packs_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [None, ""] + [" ".join(rng.choice(["data", "spark", "unbelievable"]) for _ in range(rng.choice([3, 20, 90, 300]))) for _ in range(150)]
+    docs = documents(spark, texts)
+    sizes = []
+    for settings in ({}, {"idle": None}, {"idle": 0, "reopened": 0.5}, {"group": 20}, {"group": 20, "reopened": 0.0}):
+        found = pack_documents(docs, vocabulary(), 256, **settings).collect()
+        bins = defaultdict(list)
+        for r in found:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for members in bins.values():
+            assert [o for o, _ in sorted(members)] == list(itertools.accumulate([n for _, n in sorted(members)], initial=0))[:-1]
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == (sizes[0][1] if sizes else sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found))
+        sizes.append((len(bins), sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found)))
+    least = -(-sum(n for *_, n, _ in sizes[0][1]) // 256)
+    assert least <= sizes[1][0] <= sizes[0][0] <= sizes[2][0] and sizes[3][0] <= sizes[4][0]  # round two never makes more
+
+
+def test_broken_files_are_told(spark):
+    whole = media.mux(media.padded("hello")[0])
+    rows = spark.createDataFrame([(1, None), (2, b""), (3, b"abcd"), (4, whole[: len(whole) // 3]), (5, whole)], "id int, media binary")
+    found = {r.id: r.digest for r in media.media_digest(rows).collect()}
+    assert found[1].media_bytes is None and found[1].problem == "no bytes" and found[2].media_bytes == 0
+    assert all(found[k].payload_sha256 is None and found[k].problem for k in (2, 3, 4))
+    assert found[5].problem is None and found[5].payload_bytes == 192 and found[5].payload_sha256 == hashlib.sha256(b"hello".ljust(192)).hexdigest()
+
+
+def test_media_round_trip_of_texts(spark):
+    texts = [*TRICKY, "x" * 192, "é" * 96, "y" * 193]
+    rows = {r.doc_id: r for r in media.document_media(documents(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data.ljust(max(192, -(-len(data) // 192) * 192))
+        r = rows[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        file = media.mux(media.padded(t)[0])
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest()) and r.problem is None
+    assert rows[TRICKY.index("Hello world")].feature == rows[len(TRICKY) - 1].feature
+
+
+def test_chain_in_slices_is_the_same(monkeypatch):
+    rng = random.Random(2)
+    windows = [[rng.choice(["good", "bad", "awful", "fine", "words"]) for _ in range(rng.choice([5, 40]))] for _ in range(60)]
+    states = [np.array([int(t in ("bad", "awful")) for t in w]) for w in windows]
+    whole = toxicity.fit_chain(windows, states)
+    monkeypatch.setattr(toxicity, "SLICE", 7)
+    parts = toxicity.fit_chain(windows, states)
+    assert whole.weights.keys() == parts.weights.keys() and all(abs(whole.weights[f] - parts.weights[f]) < 1e-6 for f in whole.weights)
+    assert np.allclose(whole.step, parts.step) and whole.emission("bad") > 2 > -2 > whole.emission("good")
+
+
+def test_marginals_beyond_a_block():
+    rng = np.random.default_rng(5)
+    e, first, step = rng.normal(size=3 * toxicity.BLOCK + 17), rng.normal(size=2), rng.normal(size=(2, 2))
+    up, t = np.stack([np.ones(len(e)), np.exp(e)], 1), np.exp(step)
+    alpha, beta = [np.exp(first) * up[0]], [np.ones(2)]
+    for k in range(1, len(e)):
+        alpha.append((alpha[-1] @ t) * up[k])
+        alpha[-1] /= alpha[-1].sum()
+        beta.append(t @ (up[-k] * beta[-1]))
+        beta[-1] /= beta[-1].sum()
+    both = np.array(alpha) * np.array(beta[::-1])
+    begins = np.zeros(len(e), bool)
+    begins[0] = True
+    assert np.allclose(toxicity.marginals(e, begins, first, step), both[:, 1] / both.sum(1), atol=1e-9)
