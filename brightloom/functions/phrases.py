@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import let
-from .values import STOP
+from .values import ROLE_WORD, STOP
 
 # --- fixed values: endings, marks, words, prices' units ------------------------------------------------------------------
 EMBED_ENDINGS = ("ations", "ation", "ings", "ing", "ies", "es", "ed", "s", "al", "ly")
@@ -24,7 +24,6 @@ SLUG = r"^[a-z0-9][a-z0-9._-]{1,60}$"
 ACRONYMS = "ml ai bi ui ux rn sre qa it hr seo etl".split()
 KEYS = r"\b(sk-[A-Za-z0-9_-]{6,}|sk-ant-[A-Za-z0-9_-]{6,}|cvx_[A-Za-z0-9_-]{6,})"
 TRUNCATED = "\n…[truncated]"
-ROLE_WORD = r"(?i)\b(engineer|developer|manager|analyst|scientist|designer|consultant|lead|director|intern|specialist|architect|nurse|teacher|administrator|assistant|officer)\b"
 HEADER_MARK = r"(?i)\s+(?:[|·•–—@]|-|at)\s+|,\s*"
 UNACCENTED = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 

@@ -113,3 +113,9 @@ DEGREES = [
 ]
 DEGREE_CUE = r"(?i)\b(degree|bachelor'?s?|ph\.?\s?d|doctorate|bsc|msc|b\.s\.|m\.s\.|mba|b\.?\s?tech|m\.?\s?tech)\b|\bmaster'?s\b|\bmasters?\s+(?:degree|of|in)\b"
 DEGREE_SOFTENER = r"(?i)\b(or equivalent|equivalent (?:practical |work )?experience|preferred|a plus|nice to have|desirable|or similar experience|bonus)\b"
+
+# --- fixed values: words that name a role --------------------------------------------------------------------------
+ROLE_WORD = (
+    r"(?i)\b(engineer|developer|analyst|manager|designer|nurse|teacher|scientist|consultant|accountant|specialist|assistant|officer|director|lead|intern|architect|administrator|coordinator|executive|"
+    r"representative|technician|programmer|writer|editor|researcher|recruiter|driver|operator|associate|advisor|adviser|attorney|lawyer|paralegal|pharmacist|therapist|chef|marketer)s?\b"
+)

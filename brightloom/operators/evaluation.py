@@ -140,7 +140,7 @@ def flattened(results: DataFrame) -> DataFrame:
 def label_agreement(labels: DataFrame) -> DataFrame:
     """item, models, distinct, majority, disagree, of labels (item, model, label); ties go to the first label by name."""
     counts = labels.groupBy("item", "label").agg(F.count("*").alias("n"))
-    most = counts.groupBy("item").agg(F.max_by("label", F.struct("n", -F.conv(F.substring(F.hex("label"), 1, 12), 16, 10).cast("long"))).alias("majority"), F.count("*").alias("distinct"), F.sum("n").alias("models"))
+    most = counts.groupBy("item").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("majority"), F.count("*").alias("distinct"), F.sum("n").alias("models"))
     return most.select("item", "models", "distinct", "majority", (F.col("distinct") > 1).alias("disagree"))
 
 

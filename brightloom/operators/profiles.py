@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .records import merged_months
+from .requirements import education_level  # noqa: F401 (one rule of degrees; callers find it here too)
 
-# --- fixed values: headings, months, degrees ---------------------------------------------------------------------------
+# --- fixed values: headings, months ---------------------------------------------------------------------------
 WORK = r"^(professional |work |relevant )?(experience|employment|work history|career history)( history)?$"
 OTHER = r"^(education|skills|technical skills|projects|certifications|publications|awards|languages|interests|summary|volunteering|courses)$"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 SCHOOL = r"\b(university|college|school|bachelor|master'?s|ph\.?d|degree|gpa|diploma)\b"
-DEGREES = [("PhD", r"\bph\.?d\b|\bdoctorate\b"), ("Master's", r"\bmaster'?s?\b|\bm\.?sc\b|\bmba\b"), ("Bachelor's", r"\bbachelor'?s?\b|\bb\.?sc\b|\bb\.?tech\b")]
 DAY = rf"(?:(?:{'|'.join(MONTHS)})[a-z]*\.? ?'?(?:\d{{4}}|\d{{2}}(?!\d))|\d{{1,2}}[/.]\d{{4}}|\d{{4}}-\d{{2}}|\d{{4}})"
 RANGE = rf"\b({DAY})\s*(?:-|–|—|to|until|till)\s*({DAY}|present|current(?:ly)?|now|today|till date|to date|ongoing)\b"
 CLAIM = r"(\d{1,2})\+? ?(?:years?|yrs?)\b[^.\n]{0,60}experience|experience[^.\n]{0,60}?(\d{1,2})\+? ?(?:years?|yrs?)\b"
@@ -62,11 +62,3 @@ def experience(resumes: DataFrame, today: str) -> DataFrame:
     months = F.coalesce("months", F.lit(0)).cast("long")
     precision = F.when(F.col("precise"), "month").when(F.col("precise").isNotNull(), "year").otherwise("none")
     return rows.select("id", months.alias("months"), "explicit_years", F.bround(F.greatest(months / 12, F.col("explicit_years").cast("double")), 2).alias("years"), precision.alias("precision"))
-
-
-def education_level(text: Column) -> Column:
-    """The highest degree that a text names, or null."""
-    level = F.lit(None).cast("string")
-    for name, pattern in reversed(DEGREES):
-        level = F.when(F.lower(text).rlike(pattern), name).otherwise(level)
-    return level

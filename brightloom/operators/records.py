@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, arriving: DataFrame, key: str, keep_first: list[str], keep_if_null: list[str]) -> DataFrame:
-    """`stored` with `arriving` rows put in: `keep_first` columns stay as first stored, `keep_if_null` where the new one is null."""
-    a, b = stored.alias("a"), arriving.alias("b")
+def one_each(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """`rows` with one of each key: the one of the largest `order`, then (or without) the last by its columns as JSON. Rows of a null key all stay."""
+    last = F.struct(*([order] if order is not None else []), F.to_json(F.struct(*rows.columns)))
+    once = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), last).alias("_row"))
+    return once.select("_row.*").unionByName(rows.where(F.col(key).isNull()))
+
+
+def upsert(stored: DataFrame, arriving: DataFrame, key: str, keep_first: list[str], keep_if_null: list[str], order: Column | None = None) -> DataFrame:
+    """`stored` with `arriving` rows put in: `keep_first` columns stay as first stored, `keep_if_null` where the new one is null.
+
+    A key is one row in the result, however often it arrives or is stored: `one_each` chooses, by `order`. Rows of a null
+    key match none and stay.
+    """
+    a, b = one_each(stored, key).alias("a"), one_each(arriving, key, order).alias("b")
     new = F.col(f"b.{key}").isNotNull()
 
     def pick(c: str) -> Column:
         if c in keep_first:
             return F.coalesce(f"a.{c}", f"b.{c}")
-        return F.coalesce(f"b.{c}", f"a.{c}") if c in keep_if_null or c == key else F.when(new, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
+        return F.coalesce(f"b.{c}", f"a.{c}") if c in keep_if_null or c == key else F.when(new, F.col(f"b.{c}")).otherwise(F.coalesce(f"a.{c}", f"b.{c}"))
 
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*(pick(c).alias(c) for c in stored.columns))
 
@@ -197,15 +211,69 @@ def boards(names: DataFrame, responses: DataFrame) -> DataFrame:
     return best.select("company", "ats", "b.slug", "b.jobs")
 
 
-def write_report(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """Rows as CSV with every cell quoted and formulas made harmless, or as JSON lines; an old report goes only once the new one is whole."""
+POINTER = "CURRENT"  #: the file of a report's folder that names the version to read
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes paths under it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    files, under = _files(spark, path)
+    if not files.exists(under(POINTER)):
+        return None
+    return "".join(r.value for r in spark.read.text(f"{path.rstrip('/')}/{POINTER}").collect())  # one line
+
+
+def write_report(rows: DataFrame, path: str, kind: str = "csv", keep: int = 2) -> str:
+    """A report in a new version folder under `path`, which readers see at once and whole, or not at all; gives the folder.
+
+    CSV (every cell quoted, formulas made harmless) or JSON lines. The version is written beside the others; only then a
+    pointer file is renamed over the old one, which the file system does in one step. If anything fails before, the old
+    report stays. The `keep` newest versions stay in place for readers under way.
+    """
     from ..functions.text import csv_safe
 
+    spark, version = rows.sparkSession, f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    files, under = _files(spark, path)
     if kind == "csv":
         rows = rows.withColumns({c: csv_safe(F.col(c)) for c, t in rows.dtypes if t == "string"})
-        rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+        rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(str(under(version)))
     else:
-        rows.write.mode("overwrite").json(path)
+        rows.write.json(str(under(version)))
+    point_to(spark, path, version)
+    versions = sorted(s.getPath().getName() for s in files.listStatus(under()) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    for old in versions[: -max(1, keep)]:
+        if old != version:
+            files.delete(under(old), True)
+    return str(under(version))
+
+
+def point_to(spark: SparkSession, path: str, version: str) -> None:
+    """The pointer file names another version, by one rename over the old file."""
+    jvm = spark.sparkContext._jvm
+    files, under = _files(spark, path)
+    fresh = under(f".{POINTER}-{uuid.uuid4().hex}")
+    out = files.create(fresh, False)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(fresh), files.makeQualified(under(POINTER)), options)
+
+
+def read_report(spark: SparkSession, path: str, kind: str = "csv", schema: str | None = None) -> DataFrame | None:
+    """The report that the pointer names; None if there is none yet."""
+    version = _current(spark, path)
+    if version is None:
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    at = f"{path.rstrip('/')}/{version}"
+    return reader.option("header", True).option("escape", '"').option("multiLine", True).csv(at) if kind == "csv" else reader.json(at)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

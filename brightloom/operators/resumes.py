@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phrases import header_parts, month_label, months_between
 from ..functions.text import let
-from ..functions.values import BULLET
+from ..functions.values import BULLET, ROLE_WORD
 from .profiles import RANGE, month_index
 from .records import merged_months
 from .requirements import education_level
@@ -23,10 +23,6 @@ EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 PHONE = r"(?<!\w)\+?\d[\d\s().-]{7,}\d"
 LINK = r"(?i)(?:https?://|www\.)\S+|\b(?:linkedin|github)\.com/\S+"
 PRONOUNS = r"(?i)^\W*(?:pronouns?\s*:?\s*)?\(?(?:he|she|they|ze|xe)\s*/\s*(?:him|her|them|hir|zir|xem)(?:\s*/\s*\w+)?\)?\W*$"
-ROLE_WORD = (
-    r"(?i)\b(engineer|developer|analyst|manager|designer|nurse|teacher|scientist|consultant|accountant|specialist|assistant|officer|director|lead|intern|architect|administrator|coordinator|executive|"
-    r"representative|technician|programmer|writer|editor|researcher|recruiter|driver|operator|associate|advisor|adviser|attorney|lawyer|paralegal|pharmacist|therapist|chef|marketer)s?\b"
-)
 NAME = r"^\p{L}[\p{L}'’.-]*(?:[\s'’.-]+\p{L}[\p{L}'’.-]*){0,4}$"
 SCHOOL_LINE = r"(?i)\b(university|college|school|institute|academy|bachelor|master'?s|ph\.?d|b\.?\s?tech|m\.?\s?tech|b\.?sc|m\.?sc|b\.?e\b|b\.?a\b|mba|degree|gpa|cgpa|graduat|diploma|high school|secondary)\b"
 INSTITUTION = r"(?i)\b(university|college|institute|school|academy|polytechnic)\b"

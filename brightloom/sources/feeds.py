@@ -170,8 +170,14 @@ def unreadable(payloads: DataFrame, feed: str) -> DataFrame:
 
 
 def with_details(postings: DataFrame, details: DataFrame) -> DataFrame:
-    """List rows left-joined to detail rows (id, description, location, url, employment_type): what a detail has replaces."""
+    """List rows left-joined to detail rows (id, description, location, url, employment_type): what a detail has replaces.
+
+    Of several details of an id the one of the longest description counts (ties: the last in the order of its columns);
+    details without an id none.
+    """
     columns = ["description", "location", "url", "employment_type"]
-    found = details.select("id", *(F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in columns))
+    told = F.struct(F.coalesce(F.length("description"), F.lit(0)).alias("size"), *columns)
+    once = details.where("id is not null").groupBy("id").agg(F.max(told).alias("d")).select("id", "d.*")
+    found = once.select("id", *(F.nullif(F.col(c), F.lit("")).alias(f"_{c}") for c in columns))
     joined_rows = postings.join(found, "id", "left")
     return joined_rows.withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns)).select(postings.columns)
