@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import let
-from .values import ROLE_WORD, STOP
+from .values import ROLE_WORD, STOP, STOP_EMBED
 
 # --- fixed values: endings, marks, words, prices' units ------------------------------------------------------------------
 EMBED_ENDINGS = ("ations", "ation", "ings", "ing", "ies", "es", "ed", "s", "al", "ly")
@@ -208,4 +208,4 @@ def embedded(words: Column, dim: int = 512) -> Column:
 
 def embed_words(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z0-9+#]+"), F.lit(0))
-    return F.transform(F.filter(words, lambda w: ~w.isin(*STOP)), lambda w: cut_ending(w, EMBED_ENDINGS, 4))
+    return F.transform(F.filter(words, lambda w: ~w.isin(*sorted(STOP_EMBED))), lambda w: cut_ending(w, EMBED_ENDINGS, 4))

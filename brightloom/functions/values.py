@@ -119,3 +119,8 @@ ROLE_WORD = (
     r"(?i)\b(engineer|developer|analyst|manager|designer|nurse|teacher|scientist|consultant|accountant|specialist|assistant|officer|director|lead|intern|architect|administrator|coordinator|executive|"
     r"representative|technician|programmer|writer|editor|researcher|recruiter|driver|operator|associate|advisor|adviser|attorney|lawyer|paralegal|pharmacist|therapist|chef|marketer)s?\b"
 )
+
+# --- fixed values: words that an embedding leaves out -----------------------------------------------------------------
+STOP_EMBED = frozenset(
+    "a an the and or of in on to with for at by from as is are be we you our your this that will have has using use experience strong ability skills skill work working years year".split()
+)

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import durable, spread
 from ..functions import values as V
 from ..functions.text import grams, let, terms
+from . import embedding as B
 from . import gates as G
 from . import requirements as Q
 from . import skills as S
+from .records import one_each
 
-HOT = 200  #: a term that more than 1 / HOT of all rows hold is hot: there are at most HOT times as many as a row has terms
+MOST_HOT = 200_000  #: terms whose weights go to all tasks, some 20 MB
 TOP_WORDS = 12
 MINIMUM = {"keyword_skills": 3, "keyword_text": 200, "text": 80}
 
@@ -125,33 +130,64 @@ def total_score(components: dict[str, Column], penalty: Column, capped: Column)
     return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100, 9)).cast("int")
 
 
-def term_counts(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """id_column, term, tf: stemmed words and pairs of neighbours, counted within the row."""
-    return rows.select(id_column, F.explode(grams(terms(F.col(text), V.STOP))).alias("term")).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
-
-
-def similarity(rows: DataFrame, id_column: str, text: str, other: str) -> DataFrame:
-    """id_column and cosine of TF-IDF vectors of each row's text against the text `other`, which counts as one more document.
-
-    Terms are counted once and written. Frequencies of hot terms, of which there can only be few whatever the table's
-    size, go to all tasks; those of the others, which no more than 1 / HOT of the rows share, are joined by term.
+def weighed(terms_: Column, hot: dict[str, tuple[float, float]]) -> Column:
+    """struct<dot, norm2, cold> beside an array of terms: sums over its words and pairs that are in `hot` (idf, weight in the other text), and the rest with their counts."""
+
+    @F.arrow_udf("struct<dot: double, norm2: double, cold: array<struct<term: string, tf: int>>>")
+    def told(rows: pa.Array) -> pa.Array:
+        found = []
+        for row in rows.to_pylist():
+            own = row or []
+            dot = norm2 = 0.0
+            cold = []
+            for term, n in Counter([*own, *(f"{a} {b}" for a, b in zip(own, own[1:], strict=False))]).items():
+                known = hot.get(term)
+                if known is None:
+                    cold.append({"term": term, "tf": n})
+                else:
+                    w = (1 + math.log(n)) * known[0]
+                    norm2 += w * w
+                    dot += w * known[1]
+            found.append({"dot": dot, "norm2": norm2, "cold": cold})
+        cold = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())]))
+        return pa.array(found, pa.struct([("dot", pa.float64()), ("norm2", pa.float64()), ("cold", cold)]))
+
+    return told(terms_)
+
+
+def with_cosine(rows: DataFrame, terms_column: str, other: str, most_hot: int = MOST_HOT) -> DataFrame:
+    """`rows` (from the shared folder, with an array of terms) and cosine: of TF-IDF vectors of each row's terms and pairs against those of the text `other`, which counts as one more document.
+
+    Documents are counted for each term by an aggregate with partial results. The most frequent `most_hot` terms go to all
+    tasks, and what a row has of them is summed within it; only terms beyond are joined by equality, none of which is a
+    large part of all, as at most `most_hot` can be. With fewer terms than that, nothing but the counts is shuffled.
     """
     spark = rows.sparkSession
-    mine = durable(term_counts(rows, id_column, text))
-    theirs = term_counts(spark.createDataFrame([(0, other)], "q int, t string"), "q", "t").select("term", F.col("tf").alias("tf_q"))
     n = rows.count()
-    df = mine.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(theirs), "term", "full")
+    theirs = spark.createDataFrame([(other,)], "t string").select(F.explode(grams(terms(F.col("t"), V.STOP))).alias("term")).groupBy("term").agg(F.count("*").alias("tf_q"))
+    df = rows.select(F.explode(F.array_distinct(grams(F.col(terms_column)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(theirs), "term", "full")
     idf = F.ln((2 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)) + F.col("tf_q").isNotNull().cast("int"))) + 1
-    told = durable(df.select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), F.when(F.col("tf_q").isNotNull(), (1 + F.ln("tf_q")) * idf).alias("wq")))
+    told = durable(df.select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), F.coalesce(F.when(F.col("tf_q").isNotNull(), (1 + F.ln("tf_q")) * idf), F.lit(0.0)).alias("wq")))
     norm = told.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq")))).first()[0] or 0.0
-    bar = max(1, n // HOT)
-    hot = told.where(F.col("df") > bar)
-    far = mine.join(F.broadcast(hot.select("term")), "term", "left_anti").join(told.where(F.col("df") <= bar), "term")
-    met = mine.join(F.broadcast(hot), "term").select(id_column, "tf", "idf", "wq").unionByName(far.select(id_column, "tf", "idf", "wq"))
-    weight = (1 + F.ln("tf")) * F.col("idf")
-    sums = met.groupBy(id_column).agg(F.sum(weight * F.coalesce("wq", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"))
-    cosine = sums.select(id_column, F.try_divide(F.col("dot"), F.col("norm") * F.lit(norm)).alias("cosine"))
-    return rows.select(id_column).join(cosine, id_column, "left").select(id_column, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    bars = [n >> k for k in range(n.bit_length() + 1)]  # from all rows down to 0
+    above = told.agg(*(F.count_if(F.col("df") > b) for b in bars)).first()
+    bar = min(b for b, count in zip(bars, above, strict=True) if count <= most_hot)
+    hot = {r.term: (r.idf, r.wq) for r in told.where(F.col("df") > bar).select("term", "idf", "wq").toLocalIterator()}  # at most `most_hot`
+    summed = rows.withColumn("_w", weighed(F.col(terms_column), hot))
+    cosine = lambda dot, norm2: F.coalesce(F.try_divide(dot, F.sqrt(norm2) * F.lit(norm)), F.lit(0.0))
+    if told.where(F.col("df") <= bar).where("df > 0").isEmpty():
+        return summed.withColumn("cosine", cosine(F.col("_w.dot"), F.col("_w.norm2"))).drop("_w")
+    summed = durable(summed.withColumn("_row", F.monotonically_increasing_id()))
+    w = (1 + F.ln("tf")) * F.col("idf")
+    rare = summed.select("_row", F.inline("_w.cold")).join(told, "term").groupBy("_row").agg(F.sum(w * F.col("wq")).alias("_dot"), F.sum(w * w).alias("_norm2"))
+    both = summed.join(rare, "_row", "left").fillna(0.0, ["_dot", "_norm2"])
+    return both.withColumn("cosine", cosine(F.col("_w.dot") + F.col("_dot"), F.col("_w.norm2") + F.col("_norm2"))).drop("_w", "_row", "_dot", "_norm2")
+
+
+def similarity(rows: DataFrame, id_column: str, text: str, other: str, most_hot: int = MOST_HOT) -> DataFrame:
+    """id_column and cosine of TF-IDF vectors of each row's text against the text `other`; null texts have 0."""
+    own = durable(spread(rows.select(id_column, text), id_column).select(id_column, terms(F.col(text), V.STOP).alias("terms")))
+    return with_cosine(own, "terms", other, most_hot).select(id_column, "cosine")
 
 
 def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
@@ -180,8 +216,11 @@ def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFra
     return df.withColumn("skill_score", F.coalesce(F.when(n > 0, both).otherwise(words), F.lit(0.0)))
 
 
-def assessed(line: Column, hits: Column, profile: Profile) -> Column:
-    """struct<coverage, missing, how> of one requirement line with the skills named on it, or null if it can't be judged."""
+def assessed(line: Column, hits: Column, profile: Profile, by: B.Embedder | None = None) -> Column:
+    """struct<coverage, missing, how> of one requirement line with the skills named on it, or null if it can't be judged.
+
+    With an embedder the line also has `near`, its best line of the resume, whose credit counts where it is more than the shared terms.
+    """
     text = line["text"]
     told = lambda coverage, how, lost=None: F.struct(coverage.cast("double").alias("coverage"), (F.array().cast("array<string>") if lost is None else lost).alias("missing"), how.alias("how"))
 
@@ -202,7 +241,9 @@ def assessed(line: Column, hits: Column, profile: Profile) -> Column:
     degree = F.when(have >= bar, 1.0).when(text.rlike(V.DEGREE_SOFTENER), 0.5).otherwise(0.0)
     own = F.lit(sorted(set(_content_terms(profile.text)))).cast("array<string>")
     met = lambda asked: F.size(F.array_intersect(asked, own))
-    overlap = lambda asked: F.when(F.size(asked) >= 2, told(met(asked) / F.size(asked), F.when(met(asked) > 0, "term overlap").otherwise("not found")))
+    shared = lambda asked: told(met(asked) / F.size(asked), F.when(met(asked) > 0, "term overlap").otherwise("not found"))
+    alike = lambda asked: F.when(by.credit(line["near"]["sim"]) > met(asked) / F.size(asked), told(by.credit(line["near"]["sim"]), F.lit("semantic match"))).otherwise(shared(asked)) if by else shared(asked)
+    overlap = lambda asked: F.when(F.size(asked) >= 2, alike(asked))
     rest = F.when(need.isNotNull() & text.rlike(r"(?i)experience|exp\b"), told(years, F.lit("years check"))).when(Q.degree_text(text).rlike(V.DEGREE_CUE), told(degree, F.lit("degree check")))
     credited = F.transform(S.wanted_of(hits), lambda s: F.struct(s.alias("skill"), credit_of(s, profile).alias("c")))
     return let(credited, lambda c: F.when(F.size(c) > 0, by_skill(c)).when(F.size(hits) == 0, rest.otherwise(let(F.array_distinct(terms(text, V.STOP)), overlap))))
@@ -219,30 +260,40 @@ def _content_terms(text: str) -> list[str]:
     return found
 
 
-def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
+def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Embedder | None = None) -> DataFrame:
     """Each posting with its score of 0 to 100, the components, and what they rest on.
 
     id, source, company, location, title, required, preferred, matched, missing, negated, related, keywords, requirement_rows
     (id, text, preferred, coverage, missing, how, status), requirements_met, required_years, years_inferred, education
     (level, strict, text), gates (judged), blockers, penalty, capped, the five components, score, confidence. All but the
-    similarity of terms is worked out within the row. A null description counts as empty. Ids are unique.
+    similarity of terms is worked out within the row. A null description counts as empty. Of rows that share an id the last
+    by its columns counts. With an embedder `by`, lines that name no skill are also held against the resume's lines by
+    meaning (how: semantic match), and requirement_rows has `evidence`, the nearest of these lines.
     """
     base = postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
-    base = spread(base, "id")
+    base = spread(one_each(base, "id"), "id")
     # steps are written, so that no later step works an earlier one out again for each of its uses
-    base = durable(base.withColumns({"hits": S.hits_in(S.words_of(F.col("description")), taxonomy), "title_hits": S.hits_in(S.words_of(F.col("title")), taxonomy)}))
+    words = lambda c: S.words_of(F.col(c))
+    base = durable(base.withColumns({"hits": S.hits_in(words("description"), taxonomy), "title_hits": S.hits_in(words("title"), taxonomy), "terms": terms(F.col("description"), V.STOP)}))
     df = base.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
-    df = durable(skill_part(df, taxonomy, profile))
-    counted = let(F.col("stated"), lambda gates: F.filter("lines", lambda x: ~G.is_gate_line(x["text"], gates)))
-    judge = lambda x, hits: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), let(F.filter(hits, lambda h: h["line"] == x["line"]), lambda own: assessed(x, own, profile)).alias("a"))
-    told = let(F.col("hits"), lambda hits: F.transform(counted, lambda x: judge(x, hits)))
-    df = df.withColumn("told", F.filter(told, lambda x: x["a"].isNotNull()))
+    df = durable(skill_part(df, taxonomy, profile).drop("title_hits", "req_hits", "pref_hits"))
+    asked = F.col("lines")
+    if by:
+        own = B.worth_comparing([x.strip(" -•*\t") for x in profile.text.splitlines()])
+        near = B.best_lines_in_row(F.transform("lines", lambda x: x["text"]), own, by)
+        df = df.withColumn("near", near)
+        asked = F.transform(F.arrays_zip(F.col("lines").alias("x"), F.col("near").alias("y")), lambda z: F.struct(z["x"]["text"].alias("text"), z["x"]["preferred"].alias("preferred"), z["x"]["line"].alias("line"), z["y"].alias("near")))
+    counted = let(F.struct(F.col("stated").alias("g"), asked.alias("x")), lambda s: F.filter(s["x"], lambda x: ~G.is_gate_line(x["text"], s["g"])))
+    more = (lambda x: [x["near"]["line"].alias("evidence")]) if by else (lambda x: [])
+    judge = lambda x, hits: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), *more(x), let(F.filter(hits, lambda h: h["line"] == x["line"]), lambda own: assessed(x, own, profile, by)).alias("a"))
+    told = let(F.struct(F.col("hits").alias("h"), counted.alias("x")), lambda s: F.transform(s["x"], lambda x: judge(x, s["h"])))
+    df = df.withColumn("told", F.filter(told, lambda x: x["a"].isNotNull())).drop("near")
     df = durable(df.withColumn("rows", F.transform("told", lambda x, i: F.struct(
         F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"), x["preferred"].alias("preferred"), x["a"]["coverage"].alias("coverage"),
-        x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"),
-    ))))
+        x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"), *([x["evidence"].alias("evidence")] if by else []),
+    ))).drop("told", "hits"))
     df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
-    df = df.join(similarity(base, "id", "description", profile.text), "id")
+    df = with_cosine(df, "terms", profile.text)
     lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))
     degree = F.when(lacks & F.col("education.strict"), F.concat(F.lit("Requires a "), F.col("education.level"), F.lit(" degree"))).when(lacks, F.concat(F.lit("Prefers a "), F.col("education.level"), F.lit(" degree")))
     few = ~F.col("years.inferred") & F.lit(profile.years > 0) & (F.lit(profile.years) < 0.6 * F.col("years.years"))

@@ -77,6 +77,12 @@ def years_asked(years: DataFrame) -> DataFrame:
     return years.where("years is not null").groupBy("years").agg(F.count("*").alias("n"))
 
 
+def recency(hours: Column) -> Column:
+    """A posting's age in the table's steps: a day, a week, a month of 31 days, older, or unknown."""
+    days = hours / 24
+    return F.when(days.isNull(), "date unknown").when(days <= 1, "≤ 1 day").when(days <= 7, "≤ 1 week").when(days <= 31, "≤ 1 month").otherwise("older")
+
+
 def median_of_counts(counts: DataFrame, value: str, n: str) -> DataFrame:
     """One row: the median of values given with how often each occurs."""
     from .ordering import at_places

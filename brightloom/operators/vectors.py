@@ -10,25 +10,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 BLOCK = 4096  #: queries that are held against the rows at once, a few MB
 
 
+def in_blocks(rows: DataFrame, key: str, block: int) -> Iterator:
+    """`rows`, dealt by a hash of their key into blocks of about `block`, one broadcast after the other.
+
+    A block is gathered when it is asked for and released when the next one is, so the driver and the tasks hold one
+    whatever the number of rows. What a block is used for must be worked out before the next is taken. Keys should tell rows apart.
+    """
+    spark = rows.sparkSession
+    blocks = -(-rows.count() // block)
+    shared = None
+    try:
+        for b in range(blocks):
+            own = rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toArrow()  # about `block` rows
+            if shared is not None:
+                shared.unpersist()
+            shared = spark.sparkContext.broadcast(own)
+            if own.num_rows:
+                yield shared
+    finally:
+        if shared is not None:
+            shared.unpersist()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """q, vec_id, cosine: for each query (vec_id, v) the `k` rows (vec_id, v) of largest inner product, itself left out; ties by vec_id.
 
     A task keeps the best `k` of each query of the block as it goes, so what is shuffled is k rows a query and task.
-    Each block of queries is a pass over the rows.
+    Each block of queries is a pass over the rows, whose answers are written before the next block is taken.
     """
     spark = vectors.sparkSession
-    blocks = -(-queries.count() // block)
+    schema = "q long, vec_id long, cosine double"
+    own = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
     parts = []
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "v").toArrow()  # about `block` rows
-        parts.append(vectors.select("vec_id", "v").mapInArrow(best_of(spark.sparkContext.broadcast(mine), k), "q long, vec_id long, cosine double"))
+    for shared in in_blocks(durable(queries.select("vec_id", "v")), "vec_id", block):
+        found = vectors.select("vec_id", "v").mapInArrow(best_of(shared, k), schema)
+        parts.append(durable(found.withColumn("n", F.row_number().over(own)).where(F.col("n") <= k).drop("n")))
     if not parts:
-        return spark.createDataFrame([], "q long, vec_id long, cosine double")
-    own = Window.partitionBy("q").orderBy(F.desc("cosine"), "vec_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("n", F.row_number().over(own)).where(F.col("n") <= k).drop("n")
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.phrases import EMBED_ENDINGS
+from ..functions.values import STOP_EMBED
+from ..operators import embedding as E
+from ..operators import matching as M
 from ..operators import near as N
 from ..operators import ontology as O
 from ..operators import skills as S
 from .queries import SQL_SIMHASH, query, table
-from .scoring import _WORDS
+from .postings import postings
+from .scoring import PROFILE, RESUME, SQL_LINES, SQL_SCORES, TAX, _WORDS
 
 _ITEM = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 
@@ -58,3 +63,49 @@ def greedy_duplicates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hashes = N.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "source", "n_chars"), "doc_id")
     return N.greedy_classes(hashes.withColumnRenamed("doc_id", "id"), ["source"], [-F.col("n_chars")])
+
+
+# --- embeddings: the hashing one of 256 places, whose hash SQL knows too -------------------------------------------------------
+
+_STEM = f"w[1:length(w) - length(coalesce(list_filter({list(EMBED_ENDINGS)}, lambda e: ends_with(w, e) and length(w) > length(e) + 3)[1], ''))]"
+
+
+def sql_vectors(source: str, key: str, text: str, name: str) -> str:
+    """{name} (key, v): unit vectors of 256 places."""
+    return f"""{name}_w as (select {key}, list_transform(list_filter(regexp_extract_all(lower({text}), '[a-z0-9+#]+'), lambda w: w not in ({", ".join(f"'{w}'" for w in sorted(STOP_EMBED))})), lambda w: {_STEM}) as w from {source}),
+    {name}_f as (select {key}, unnest(list_concat(list_transform(w, lambda x: {{'f': 'w:' || x, 'v': 1.0::double}}), list_transform(range(1, len(w)), lambda k: {{'f': 'b:' || w[k] || '_' || w[k + 1], 'v': 0.7::double}}),
+        flatten(list_transform(w, lambda x: list_transform(range(1, greatest(1, length(x) - 1) + 1), lambda k: {{'f': 'c:' || substr('#' || x || '#', k, 4), 'v': 0.25::double}}))))) as f from {name}_w),
+    {name}_h as (select {key}, f.v as v, cast('0x' || substr(md5(f.f), 1, 16) as ubigint) as h from {name}_f),
+    {name}_s as (select {key}, cast(h % 256 as int) as spot, sum(case when h >= 9223372036854775808 then v else -v end) as v from {name}_h group by all),
+    {name}_m as (select {key}, map(list(spot), list(v)) as m, sqrt(sum(v * v)) as norm from {name}_s group by {key}),
+    {name} as (select s.{key}, list_transform(range(256), lambda k: coalesce(m[cast(k as int)] / nullif(norm, 0), 0.0)) as v from {source} s left join {name}_m using ({key}))"""
+
+
+_BEST = """sims as (select t.text, l.no, round(list_inner_product(t.v, l.v), 9) as sim from asked_v t, lines_v l),
+    best as (select text, arg_min(no, (-sim, no)) as no, max(sim) as sim from sims group by text)"""
+_PARTS = "select distinct 'Shipped ' || p_name || ' of ' || lower(p_type) || ' grade to customers' as line from part"
+
+
+@query(f"""with {SQL_LINES}, asked_t as (select distinct text from req_lines), parts as (select line, row_number() over (order by line) as no from ({_PARTS})),
+    {sql_vectors("asked_t", "text", "text", "asked_v")}, {sql_vectors("parts", "no", "line", "lines_v")}, {_BEST}
+    select text, best.no as line_no, line, round(sim, 6) as sim from best join parts using (no)""")
+def best_resume_lines(spark, sf_dir):
+    """Each distinct requirement line of the postings, and the nearest of lines made of all parts."""
+    from .scoring import requirement_lines
+
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("Shipped "), "p_name", F.lit(" of "), F.lower("p_type"), F.lit(" grade to customers")).alias("line")).distinct()
+    numbered = E.numbered_lines(parts, "line")
+    found = E.best_lines(requirement_lines(spark, sf_dir).select("text"), numbered, E.embedder("md5"))
+    return found.select("text", "line_no", "line", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""with {SQL_SCORES}, asked_t as (select distinct text from judged), own_lines as (select unnest(range(len(l))) as no, unnest(l) as line from (select list_filter(string_split('{RESUME}', chr(10)), lambda x: len(string_split(x, ' ')) >= 4) as l)),
+    {sql_vectors("asked_t", "text", "text", "asked_v")}, {sql_vectors("own_lines", "no", "line", "lines_v")}, {_BEST},
+    matched_t as (select c.*, greatest(0.0, least(1.0, (sim - 0.25) / 0.40)) as credit, line from covered c join (select text, no as best_no, sim from best) b on b.text = c.text join own_lines o on o.no = best_no),
+    sem_t as (select *, coverage is not null and named is null and not (need is not null and regexp_matches(text, '(?i)experience|exp\\b')) and not degree and credit > coverage as semantic from matched_t where coverage is not null)
+    select id, 'r' || row_number() over (partition by id order by no) as line_id, round(case when semantic then credit else coverage end, 6) as coverage, semantic, line as evidence from sem_t""")
+def semantic_coverage(spark, sf_dir):
+    """Coverage of requirement lines when lines without a skill are also held against the resume's lines by meaning."""
+    scores = M.scored(postings(spark, sf_dir), TAX, PROFILE, E.embedder("md5"))
+    rows = scores.select("id", F.inline("requirement_rows"))
+    return rows.toDF("id", "line_id", *rows.columns[2:]).select("id", "line_id", F.round("coverage", 6).alias("coverage"), (F.col("how") == "semantic match").alias("semantic"), "evidence")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrases as W
 from ..operators import claims as C
+from ..operators import embedding as V2
 from ..operators import evidence as V
 from ..operators import pages as G
 from ..operators import skills as S
@@ -97,10 +98,11 @@ def document_stems(spark, sf_dir):
 @query()
 def hashed_embeddings(spark, sf_dir):
     """Each conversation's turn and its likeness to the turn before it; BLAKE2 isn't in SQL, so tests hold it against plain Python."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", W.embedded(W.embed_words(F.col("text"))).alias("v"))
+    by = V2.embedder("hash")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", V2.embedded(F.col("text"), by).alias("v"))
     met = c.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("v").alias("u")), ["conv_id", "turn"])
     sim = W.cosine(F.col("v"), F.col("u"))
-    return met.select("conv_id", "turn", F.round(sim, 6).alias("cosine"), F.round(W.semantic_credit(sim), 6).alias("credit"))
+    return met.select("conv_id", "turn", F.round(sim, 6).alias("cosine"), F.round(by.credit(sim), 6).alias("credit"))
 
 
 # --- quotes ----------------------------------------------------------------------------------------------------------------

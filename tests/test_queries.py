@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from brightloom.durable import durable
-from brightloom.plans import lists, ontologies, people, scoring, store, texts  # noqa: F401 (register their queries)
+from brightloom.plans import lists, ontologies, people, scoring, services, store, texts  # noqa: F401 (register their queries)
 from brightloom.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
