@@ -10,7 +10,7 @@ from .skills import Taxonomy, hits_in, words_of
 
 # --- fixed values: phrases and marks -----------------------------------------------------------------------------------
 PLACEHOLDER = r"\[[^\]]{1,40}\]"
-NUMBER = r"[$£€]? ?\b\d+(?:[.,]\d+)*(?: ?%|[xkm]\b|bn\b)?"
+NUMBER = r"(?<![\w\[])(?:[$£€]\s?)?\d+(?:[.,]\d+)*\s*(?:%|x\b|k\b|m\b|bn\b|\+)?"
 YEAR = r"\b(?:19[5-9]\d|20[0-4]\d)\b"
 DEGREE = r"\b(?:ph\.?d|doctorate|master'?s|msc|m\.s\.|mba|bachelor'?s|bsc|b\.s\.|b\.a\.|degree)\b"
 TITLE = r"\b(?:senior|lead|principal|staff|head of|director|manager|vp|chief|architect)\b"
@@ -33,7 +33,7 @@ def all_of(text: Column, pattern: str) -> Column:
 def numbers(text: Column) -> Column:
     """Distinct numbers with their units, without separators; placeholders in brackets have none."""
     found = all_of(F.regexp_replace(text, PLACEHOLDER, " "), NUMBER)
-    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(n, r"[ ,$£€]", "")))
+    return F.array_distinct(F.transform(found, lambda n: F.regexp_replace(F.regexp_replace(n, r"[\s,$£€]", ""), r"\++$", "")))
 
 
 def violations(new: Column, source: Column, profile: Column) -> Column:

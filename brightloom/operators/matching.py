@@ -65,8 +65,9 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def related_pairs(groups: DataFrame) -> DataFrame:
-    """a, b: skills that share a group (group, skill), both ways."""
-    a, b = groups.select("group", F.col("skill").alias("a")), groups.select("group", F.col("skill").alias("b"))
+    """a, b: skills that share a group (group, skill), both ways. Groups are of a taxonomy: repeated rows are one, nulls go."""
+    once = groups.where("group is not null and skill is not null").select("group", "skill").distinct()
+    a, b = once.select("group", F.col("skill").alias("a")), once.select("group", F.col("skill").alias("b"))
     return a.join(b, "group").where("a <> b").select("a", "b").distinct()
 
 

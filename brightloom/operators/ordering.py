@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
@@ -33,3 +33,18 @@ def at_places(counted: DataFrame, group: list[str], value: str, n: str, places:
     told = running_before(counted, group, value, n).join(totals, group)
     at = lambda place: F.min(F.when(F.col("before") + F.col(n) > place(F.col("total")), F.col(value)))
     return told.groupBy(*group, "total").agg(*(at(p).alias(name) for name, p in places.items()))
+
+
+def ranked(rows: DataFrame, orders: list[Column], out: str = "place") -> DataFrame:
+    """`rows` with their place from 1 in a global order, ties as they come.
+
+    Rows are dealt into ranges of the order and written; places are counted within each range, and the numbers of rows of
+    the ranges ahead, one for each range, are added. No task orders more than its range.
+    """
+    columns = rows.columns
+    ranged = durable(rows.repartitionByRange(*orders).withColumn("_part", F.spark_partition_id()))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*orders))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    starts = counts.select("_part", F.coalesce(ahead, F.lit(0)).alias("_start"))
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").select(*columns, (F.col("_start") + F.col("_own")).alias(out))

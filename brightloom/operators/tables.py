@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+from .ordering import ranked
+
 
 def faceted(rows: DataFrame, chosen: dict[str, list[str]], sought: str, columns: list[str]) -> DataFrame:
     """Rows that have one of the chosen values of every facet, and the sought letters somewhere in the columns."""
@@ -28,8 +31,24 @@ def listed(postings: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, *orders: Column) -> DataFrame:
-    """`rows` (id) with their place from 1 in an order; ties by id. For one page of a table: the order is global."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*orders, "id")))
+    """`rows` (id) with their place from 1 in an order; ties by id. The whole table is ordered, range by range."""
+    return ranked(rows, [*orders, F.col("id")])
+
+
+#: How tables order a column: text without case, unknown dates last, statuses by what they mean, other numbers with null least.
+STATUS_RANK = {"qualified": 0, "gate": 1, "near": 2, "below": 3}
+
+
+def table_orders(column: str, kind: str, descending: bool = False) -> Column:
+    """The order of a table by one of its columns of kind text, number, date or status; unknown values come last either way."""
+    told = F.col(column)
+    if kind == "text":
+        told = F.nullif(F.lower(told), F.lit(""))
+    elif kind == "date":
+        told = F.unix_seconds(told.cast("timestamp"))
+    elif kind == "status":
+        told = F.try_element_at(F.create_map(*(F.lit(x) for pair in STATUS_RANK.items() for x in pair)), told)
+    return told.desc_nulls_last() if descending else told.asc_nulls_last()
 
 
 def best_in_row(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -50,25 +69,39 @@ def deep_targets(results: DataFrame, threshold: int, most: int) -> DataFrame:
 
 
 def checked_picks(picks: DataFrame, facts: DataFrame) -> DataFrame:
-    """job_id, priority, known, place: picks against the facts they may rest on; unknown jobs are told, known ones ordered by priority and score."""
-    rows = picks.join(facts.select("job_id", "score"), "job_id", "left").withColumn("priority", F.greatest(F.lit(1), F.least(F.lit(3), F.col("priority"))))
+    """job_id, priority, known, place: picks against the facts they may rest on; unknown jobs are told, known ones ordered by priority and score.
+
+    Picks may be any number: known ones are ordered range by range. Facts are one a job; of several the best score counts.
+    """
+    best = facts.groupBy("job_id").agg(F.max("score").alias("score"))
+    rows = picks.join(best, "job_id", "left").withColumn("priority", F.greatest(F.lit(1), F.least(F.lit(3), F.col("priority"))))
     rows = rows.withColumn("known", F.col("score").isNotNull())
-    order = Window.partitionBy("known").orderBy("priority", F.desc("score"), "job_id")
-    return rows.select("job_id", "priority", "known", F.when(F.col("known"), F.row_number().over(order)).alias("place"))
+    known = ranked(rows.where("known"), [F.col("priority"), F.desc("score"), F.col("job_id")])
+    unknown = rows.where(~F.col("known")).withColumn("place", F.lit(None).cast("long"))
+    out = ["job_id", "priority", "known", "place"]
+    return known.select(out).unionByName(unknown.select(out))
+
+
+def first_of_each(rows: DataFrame, group: str, order: list[Column], most: int, n: str) -> DataFrame:
+    """The `most` first rows of each group with their number; tasks keep as many of a group before they shuffle, so a hot group is cut at once."""
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(n) <= most)
 
 
 def label_pairs(resumes: DataFrame, postings: DataFrame, most: int, seed: str) -> DataFrame:
     """resume, id, own: for each resume a third of `most` postings of its occupation, the first by id, and a hashed sample of others.
 
-    Postings are ranked within their occupation once, and only the first of each go to the join, so no resume meets all.
+    Only the first few postings of each occupation go on, so no resume meets all; those of other occupations are gathered
+    for each occupation, of which there are few, and joined to resumes by equality.
     """
     head, rest = max(1, most // 3), most - max(1, most // 3)
-    by = lambda order: F.row_number().over(Window.partitionBy("occupation").orderBy(order, "id"))
-    ranked = postings.select("id", "occupation", by(F.col("id")).alias("n"), by(F.md5(F.concat(F.lit(seed), "id"))).alias("m"))
-    few = ranked.where((F.col("n") <= head) | (F.col("m") <= rest))
-    own = resumes.join(few.where(F.col("n") <= head), "occupation").select("resume", "id", F.lit(True).alias("own"))
-    met = resumes.alias("r").join(few.where(F.col("m") <= rest).alias("p"), F.col("r.occupation") != F.col("p.occupation"))
-    drawn = met.withColumn("k", F.row_number().over(Window.partitionBy("resume").orderBy(F.md5(F.concat(F.lit(seed), F.col("resume").cast("string"), "id")), "id"))).where(F.col("k") <= rest)
+    told = postings.select("id", "occupation")
+    heads = first_of_each(told, "occupation", [F.col("id")], head, "n")
+    pool = durable(first_of_each(told, "occupation", [F.md5(F.concat(F.lit(seed), "id")), F.col("id")], rest, "m"))
+    own = resumes.join(heads, "occupation").select("resume", "id", F.lit(True).alias("own"))
+    kinds = resumes.select("occupation").distinct().alias("k")
+    others = kinds.join(pool.alias("p"), F.col("k.occupation") != F.col("p.occupation")).select("k.occupation", "p.id")  # occupations times `rest` for each
+    met = resumes.join(others, "occupation").withColumn("h", F.md5(F.concat(F.lit(seed), F.col("resume").cast("string"), "id")))
+    drawn = first_of_each(met, "resume", [F.col("h"), F.col("id")], rest, "k")
     return own.unionByName(drawn.select("resume", "id", F.lit(False).alias("own")))
 
 

@@ -48,10 +48,10 @@ def deep_targets(spark, sf_dir):
     return L.deep_targets(results(spark, sf_dir), 60, 25)
 
 
-@query(f"""with r as ({_RESULTS}), p as (select o_orderkey * 2 as job_id, greatest(1, least(3, o_custkey % 6)) as priority from orders where o_orderkey <= 200), j as (select p.job_id, priority, score is not null as known, score from p left join r on r.id = p.job_id)
+@query(f"""with r as ({_RESULTS}), p as (select o_orderkey * 2 as job_id, greatest(1, least(3, o_custkey % 6)) as priority from orders), j as (select p.job_id, priority, score is not null as known, score from p left join r on r.id = p.job_id)
     select job_id, priority, known, case when known then row_number() over (partition by known order by priority, score desc, job_id) end as place from j""")
 def strategy_picks(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 200")
+    o = table(spark, sf_dir, "orders")
     picks = o.select((F.col("o_orderkey") * 2).alias("job_id"), (F.col("o_custkey") % 6).alias("priority"))
     return L.checked_picks(picks, results(spark, sf_dir).select(F.col("id").alias("job_id"), "score"))
 

@@ -9,7 +9,7 @@ from ..operators import matching as M
 from ..operators import requirements as Q
 from ..operators import skills as S
 from .postings import postings
-from .queries import P, query, rows, values
+from .queries import P, query, rows, table, values
 
 #: skill, category, alias, words of which one must stand near.
 TAXONOMY = [
@@ -82,9 +82,13 @@ def top_skills(spark, sf_dir):
 _CLOSURE = f"c(src, dst) as (select * from (values {values(IMPLIES)}) e(src, dst) union select c.src, e.dst from c join (values {values(IMPLIES)}) e(src, dst) on c.dst = e.src)"
 
 
-@query(f"with recursive {_CLOSURE} select src, dst from c")
+_EDGES = "select concat('s', cast(p_partkey as varchar(20))) as src, concat('s', cast(cast(floor(p_partkey / 3) as bigint) as varchar(20))) as dst from part where p_partkey > 2"
+
+
+@query(f"with recursive e as ({_EDGES}), c(src, dst) as (select * from e union select c.src, e.dst from c join e on c.dst = e.src) select src, dst from c")
 def ontology_closure(spark, sf_dir):
-    return M.closure(rows(spark, IMPLIES, "src string, dst string"))
+    """Each part implies the one of a third of its number: what follows from what, at any length."""
+    return M.closure(spark.sql(_EDGES.replace("from part", "from {part}"), part=table(spark, sf_dir, "part")))
 
 
 @query(f"""with recursive {_CLOSURE}, owned(skill) as (values {values([(s,) for s in SKILLS])}), {SQL_MENTIONS},
@@ -100,18 +104,23 @@ def skill_credit(spark, sf_dir):
     return M.credits(asked, owned, M.closure(rows(spark, IMPLIES, "src string, dst string")), related.union(related.select("b", "a")).distinct(), 0.5).select("id", "skill", "how", "credit", "via")
 
 
-@query("select * from (values ('PYTHON', 'Python', 'Languages'), (' apache spark ', 'Spark', 'Data'), ('ci/cd', 'CI/CD', 'Platform'), ('Cobol', null, 'Other')) t(name, skill, category)")
-def canonical_skills(spark, sf_dir):
-    told = S.canonical(rows(spark, [("PYTHON",), (" apache spark ",), ("ci/cd",), ("Cobol",)], "name string"), aliases(spark))
-    return S.categorised(told, aliases(spark)).select("name", "skill", "category")
+_NAMED = "[A-Za-z][A-Za-z./]*[A-Za-z]"
 
 
-GROUPS = [("streams", "Kafka"), ("streams", "Kinesis"), ("streams", "Flink"), ("jvm", "Java"), ("jvm", "Kafka")]
+@query(f"""with {P}, n as (select distinct ' ' || unnest(regexp_extract_all(description || ' apache spark', '{_NAMED}')) || ' ' as name from p), t(skill, category, alias) as (values {", ".join(f"('{s}', '{c}', '{a}')" for s, c, a, _ in TAXONOMY)}),
+    k as (select lower(skill) as k, skill, 0 as rank from t union all select alias, skill, 1 from t)
+    select name, any_value(k.skill) as skill, coalesce(any_value(category), 'Other') as category from n left join (select k, arg_min(skill, (rank, skill)) as skill from k group by k) k on k.k = lower(trim(name)) left join (select skill, min(category) as category from t group by skill) c on c.skill = k.skill group by name""")
+def canonical_skills(spark, sf_dir):
+    """Every word of the derived postings as a skill's name, in its case and with blanks around it."""
+    words = F.regexp_extract_all(F.concat("description", F.lit(" apache spark")), F.lit(_NAMED), F.lit(0))
+    names = postings(spark, sf_dir).select(F.explode(words).alias("w")).distinct().select(F.concat(F.lit(" "), "w", F.lit(" ")).alias("name"))
+    return S.categorised(S.canonical(names, aliases(spark)), aliases(spark)).select("name", "skill", "category")
 
 
-@query(f"with g(\"group\", skill) as (values {values(GROUPS)}) select distinct a.skill as a, b.skill as b from g a join g b on a.\"group\" = b.\"group\" and a.skill <> b.skill")
+@query("select distinct a.p_name as a, b.p_name as b from part a join part b on a.p_brand = b.p_brand and a.p_name <> b.p_name")
 def related_skills(spark, sf_dir):
-    return M.related_pairs(rows(spark, GROUPS, "group string, skill string"))
+    """Names that share a brand."""
+    return M.related_pairs(table(spark, sf_dir, "part").select(F.col("p_brand").alias("group"), F.col("p_name").alias("skill")))
 
 
 # --- requirement lines ---------------------------------------------------------------------------------------------------

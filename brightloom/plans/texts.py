@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import phrases as W
+from ..functions.values import ROLE_WORD
 from ..operators import claims as C
 from ..operators import embedding as V2
 from ..operators import evidence as V
@@ -36,16 +37,28 @@ def conversation_phrases(spark, sf_dir):
     return c.select("conv_id", "turn", W.trimmed(F.col("text"), 40).alias("cut"), W.squeezed(F.col("text")).alias("plain"), W.file_slug(F.concat_ws(" ", "role", "text")).alias("slug"), W.label_value(F.col("text")).alias("label"))
 
 
-@query("""with t(text, masked, titled) as (values ('key sk-abc_12345 here', 'key *** here', 'Key Sk-abc_12345 Here'), ('ml engineer', 'ml engineer', 'ML Engineer'), ('etl  and BI lead', 'etl  and BI lead', 'ETL And Bi Lead')) select * from t""")
+_TITLED = "array_to_string(list_transform(regexp_split_to_array(trim({0}), '\\s+'), lambda w: case when w in ('ml', 'ai', 'bi', 'ui', 'ux', 'rn', 'sre', 'qa', 'it', 'hr', 'seo', 'etl') then upper(w) else upper(w[1]) || lower(w[2:]) end), ' ')"
+
+
+@query(f"""with t as (select conv_id, turn, left(text, 30) || ' sk-abc_' || (10000 + conv_id) || ' cvx_' || turn || ' and cvx_abcdef' || turn || '. sk-12345' as text, role || '  etl of ml BI turn' || turn as name from conversations)
+    select conv_id, turn, regexp_replace(text, '\\b(sk-[A-Za-z0-9_-]{{6,}}|cvx_[A-Za-z0-9_-]{{6,}})', '***', 'g') as masked, {_TITLED.format("name")} as titled from t""")
 def masked_and_titled(spark, sf_dir):
-    rows = spark.createDataFrame([("key sk-abc_12345 here",), ("ml engineer",), ("etl  and BI lead",)], "text string")
-    return rows.select("text", W.masked(F.col("text")).alias("masked"), W.title_case(F.col("text")).alias("titled"))
+    """Turns with keys planted in them, and labels made of their roles."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    text = F.concat(F.substring("text", 1, 30), F.lit(" sk-abc_"), (F.col("conv_id") + 10000).cast("string"), F.lit(" cvx_"), turn, F.lit(" and cvx_abcdef"), turn, F.lit(". sk-12345"))
+    return c.select("conv_id", "turn", W.masked(text).alias("masked"), W.title_case(F.concat("role", F.lit("  etl of ml BI turn"), turn)).alias("titled"))
+
 
+_HEADER = "case cast(cast(substr(id, 3, 20) as bigint) % 4 as int) when 0 then concat(title, ' | ', company) when 1 then concat(company, ', ', title) when 2 then concat(title, ' at ', company) else company end"
 
-@query("""select * from (values ('Data Engineer | Acme Corp', 'Data Engineer', 'Acme Corp'), ('Acme Corp, Senior Analyst', 'Senior Analyst', 'Acme Corp'), ('Nurse at City Clinic', 'Nurse', 'City Clinic'), ('Founder', 'Founder', '')) t(text, title, company)""")
+
+@query(f"""with {P}, h as (select id, list_filter(list_transform(regexp_split_to_array({_HEADER}, '(?i)\\s+(?:[|·•–—@]|-|at)\\s+|,\\s*'), lambda x: trim(x, ' ,|-–—')), lambda x: x <> '') as parts from p),
+    t as (select id, coalesce(parts[1], '') as a, coalesce(parts[2], '') as b from h), s as (select *, regexp_matches(b, '{ROLE_WORD}') and not regexp_matches(a, '{ROLE_WORD}') as swap from t)
+    select id, case when swap then b else a end as title, case when swap then a else b end as company from s""")
 def role_headers(spark, sf_dir):
-    rows = spark.createDataFrame([("Data Engineer | Acme Corp",), ("Acme Corp, Senior Analyst",), ("Nurse at City Clinic",), ("Founder",)], "text string")
-    return rows.select("text", W.header_parts(F.col("text")).alias("h")).select("text", "h.title", "h.company")
+    """Headings of roles made of the derived postings in four forms."""
+    return postings(spark, sf_dir).select("id", W.header_parts(F.expr(_HEADER)).alias("h")).select("id", "h.title", "h.company")
 
 
 @query(f"""with {P} select id, case when posted is null then null when d < 1 then 'today' when d < 30 then d || 'd' when d < 365 then d // 30 || 'mo' else d // 365 || 'y' end as age, month from
@@ -124,25 +137,29 @@ def quotes_found(spark, sf_dir):
     return quotes(spark, sf_dir).select("id", V.stands_in(F.col("quote"), F.col("resume")).alias("found"))
 
 
-_JUDGED = [
-    ("met", "Built ETL pipelines in Python", "Python experience", "Built ETL pipelines in Python for 3 years", "met", True, ""),
-    ("met", "Ran a bakery", "Python experience", "Built ETL pipelines", "partial", False, "quote not found in the resume"),
-    ("partial", "Built ETL pipelines", "Negotiating supplier contracts", "Built ETL pipelines", "missing", False, "quote doesn't relate to the requirement"),
-    ("met", "", "Anything", "Built ETL pipelines", "partial", False, "no resume evidence given"),
-    ("met", "Negotiated supplier contracts", "Negotiating contracts with suppliers", "Negotiated supplier contracts", "met", True, ""),
-    ("met", "Engineer 2019 - 2022", "5+ years of experience", "Engineer 2019 - 2022", "met", True, ""),
-    ("odd", "x", "y", "z", "missing", False, ""),
-]
+def sql_stems(text: str) -> str:
+    """Distinct stems of a text, as a list."""
+    words = f"list_filter(list_transform(regexp_extract_all(lower({text}), '[a-z][a-z0-9+#\\-]{{1,}}'), lambda x: trim(x, '-')), lambda x: length(x) >= 3 and x not in (" + ", ".join(f"'{w}'" for w in W.LOW_INFORMATION) + ") and x not in (" + ", ".join("'" + w.replace("'", "''") + "'" for w in W.STOP) + "))"
+    return f"list_distinct(list_transform({words}, lambda w: w[1:length(w) - length(coalesce(list_filter(['ations', 'ation', 'ments', 'ment', 'ings', 'ing', 'ers', 'er', 'ies', 'es', 'ed', 's'], lambda e: ends_with(w, e) and length(w) - length(e) >= 3)[1], ''))][1:5]))"
+
+
+_CASE = "case cast(id % 3 as int) when 0 then concat('Handling ', resume) when 1 then 'Painting houses' else '5+ years of experience' end as requirement, case cast(id % 5 as int) when 0 then 'partial' when 1 then 'odd' when 2 then 'missing' else 'met' end as said"
 
 
-@query("select * from (values " + ", ".join(f"({k}, '{r[4]}', {str(r[5]).lower()}, '{r[6].replace(chr(39), chr(39) * 2)}')" for k, r in enumerate(_JUDGED)) + ") t(case_id, status, verified, flag)")
+@query(f"""with q as (select *, {_CASE} from ({_QUOTE})), n as (select id, said, quote, {_PLAIN.format('quote')} as q, {_PLAIN.format('resume')} as r, {sql_stems('quote')} as own, {sql_stems('requirement')} as asked from q), w as (select *, string_split(q, ' ') as w from n),
+    f as (select *, case when length(q) < 4 then false when contains(r, q) then true when len(w) < 5 then false else len(list_filter(w, lambda x: list_contains(string_split(r, ' '), x))) / len(w) >= 0.85
+        and len(list_filter(range(1, len(w) - 3), lambda k: contains(r, array_to_string(w[k:k + 4], ' ')))) > 0 end as found, len(asked) > 0 and len(list_intersect(asked, own)) >= least(greatest(1, (len(asked) + 1) // 2), len(asked)) as bears from w),
+    c as (select *, case when said = 'odd' then 'missing' else said end as known, said in ('met', 'partial') as claims from f)
+    select id, case when claims and not (found and bears) then case when known = 'met' then 'partial' else 'missing' end else known end as status, claims and found and bears as verified,
+        case when not claims or (found and bears) then '' when not found then 'quote not found in the resume' else 'quote doesn''t relate to the requirement' end as flag from c""")
 def judged_claims(spark, sf_dir):
-    rows = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(_JUDGED)], "case_id int, said string, quote string, requirement string, resume string")
+    """What was said of each order's requirement, with a quote that may be made up or beside the point."""
+    rows = quotes(spark, sf_dir).selectExpr("*", *_CASE.replace(" as requirement, ", " as requirement|").split("|"))
     skills = lambda c: S.wanted_of(S.hits_in(S.words_of(F.col(c)), TAX))
     rows = rows.withColumns({"qs": skills("quote"), "rs": skills("requirement")})
     found = (F.col("quote") != "") & V.stands_in(F.col("quote"), F.col("resume"))
     j = V.judged(F.col("said"), F.col("quote"), found, V.bears_on(F.col("quote"), F.col("requirement"), F.col("qs"), F.col("rs")))
-    return rows.select("case_id", j.alias("j")).select("case_id", "j.status", "j.verified", "j.flag")
+    return rows.select("id", j.alias("j")).select("id", "j.status", "j.verified", "j.flag")
 
 
 _SMALL = "('a', 'an', 'the', 'and', 'or', 'of', 'in', 'to', 'with', 'for')"
@@ -220,17 +237,17 @@ def result_cards(spark, sf_dir):
 
 # --- claims ----------------------------------------------------------------------------------------------------------------
 
-_CLAIMS = [
-    ("Built Kafka streams at Acme Analytics", "Python at Acme", "", "skill Kafka,name Acme Analytics"), ("Led Python work at Acme", "Python at Acme", "", ""), ("Cut cost by 30% in 2021", "Work of 2020", "Cut cost by 30%", "year 2021"),
-    ("Holds a PhD and was senior", "Engineer", "", "degree degree,title senior,name PhD"), ("Shipped to [N] users with Globex", "Engineer", "", "name Globex"),
-]
+_WRITTEN = """o_orderkey as id, concat('Built ', case cast(o_orderkey % 3 as int) when 0 then 'Kafka' when 1 then 'Python' else 'SQL' end, ' jobs at Acme ', case cast(o_custkey % 2 as int) when 0 then 'Analytics' else 'Works' end, case when o_orderkey % 5 = 0 then ' as a senior' else '' end,
+    case when o_orderkey % 7 = 0 then ', saving 30%' else '' end, case when o_orderkey % 11 = 0 then ' since 2021' else '' end, case when o_orderkey % 13 = 0 then ' with a PhD' else '' end) as new, case when o_custkey % 3 = 0 then 'Cut cost by 30% at Acme Works' else 'Work of 2020 at Acme' end as source"""
 
 
-@query("select * from (values " + ", ".join(f"({k}, '{c[3]}')" for k, c in enumerate(_CLAIMS)) + ") t(case_id, found)")
+@query("""select o_orderkey as id, concat_ws(',', case when o_orderkey % 3 = 0 then 'skill Kafka' end, case when o_orderkey % 7 = 0 and o_custkey % 3 <> 0 then 'number 30%' end, case when o_orderkey % 11 = 0 then 'year 2021' end, case when o_orderkey % 13 = 0 then 'degree degree' end,
+    case when o_orderkey % 5 = 0 then 'title senior' end, case when o_custkey % 2 = 0 then 'name Acme Analytics' when o_custkey % 3 <> 0 then 'name Acme Works' end, case when o_orderkey % 13 = 0 then 'name PhD' end) as found from orders""")
 def verified_claims(spark, sf_dir):
-    rows = spark.createDataFrame([(k, *c[:3]) for k, c in enumerate(_CLAIMS)], "case_id int, new string, profile string, source string")
-    found = C.verified_claim(F.col("new"), F.col("profile"), F.col("source"), F.lit(""), TAX)
-    return rows.select("case_id", F.array_join(F.transform(found, lambda v: F.concat_ws(" ", v["kind"], v["value"])), ",").alias("found"))
+    """Rewritten lines that may claim a skill, number, year, degree, title or name beyond what they were made of."""
+    rows = table(spark, sf_dir, "orders").selectExpr(*_WRITTEN.replace(", concat('Built", "|concat('Built").replace(" as new, ", " as new|").split("|"))
+    found = C.verified_claim(F.col("new"), F.lit("Python and SQL"), F.col("source"), F.lit(""), TAX)
+    return rows.select("id", F.array_join(F.transform(found, lambda v: F.concat_ws(" ", v["kind"], v["value"])), ",").alias("found"))
 
 
 @query("""select event_id, case when value::int % 2 = 0 then '' else (event_id % 50 + 100) || '%' end as strange from events""".replace("value::int", "user_id"))
