@@ -183,18 +183,22 @@ def near_pairs(hashes: DataFrame, block: list[str], most: int = 3) -> DataFrame:
     return found.select(*block, "id_a", "id_b", "bits")
 
 
-def deduplicated(postings: DataFrame) -> DataFrame:
-    """`merged`, and then one posting for each greedy group of near-equal descriptions at one company and city, as of reposts with another title.
+def greedy_groups(unique: DataFrame) -> DataFrame:
+    """Rows of `merged` with `_class`: the merge key of the first row, in the order of ids, whose description theirs is near at one company and city.
 
-    Groups are those of `greedy_classes` in the order of ids; short and null descriptions are held against none.
+    Groups are those of `greedy_classes`; short and null descriptions are held against none.
     """
-    unique = durable(merged(postings).withColumn("_row", merge_key()))
+    unique = durable(unique.withColumn("_row", merge_key()))
     told = unique.where(F.length("description") >= LEAST_TEXT)
     hashes = spread(told.select("id", "_row", "description", norm_company(F.col("company")).alias("at"), city_key(F.col("location"), F.col("remote")).alias("city")), "_row")
     hashes = hashes.select(F.col("_row").alias("id"), F.col("id").alias("turn"), "at", "city", simhash_of(F.col("description")).alias("simhash"))
     groups = greedy_classes(hashes, ["at", "city"], [F.col("turn")]).select(F.col("id").alias("_row"), "leader_id")
-    labelled = unique.join(groups, "_row", "left").withColumn("_class", F.coalesce("leader_id", "_row"))
-    return merged(labelled.drop("leader_id", "_row"), F.col("_class")).drop("_class")
+    return unique.join(groups, "_row", "left").withColumn("_class", F.coalesce("leader_id", "_row")).drop("leader_id", "_row")
+
+
+def deduplicated(postings: DataFrame) -> DataFrame:
+    """`merged`, and then one posting for each greedy group of near-equal descriptions at one company and city, as of reposts with another title."""
+    return merged(greedy_groups(merged(postings)), F.col("_class")).drop("_class")
 
 
 def rank_score(relevance_: Column, description: Column, posted: Column, now: str, hours: float = 0) -> Column:

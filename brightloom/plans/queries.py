@@ -70,12 +70,22 @@ SQL_CITY = rf"case when trim(location) = '' or (coalesce({SQL_REMOTE}, false) an
 SQL_AGE = f"(epoch(timestamp '{NOW}') - epoch(posted)) / 3600.0"
 
 
-def sql_tagged() -> str:
+#: The derived postings and reposts of some: another title, every other one with a word more in its description.
+_AGAIN = "select concat(id, '-again') as id, source, company, concat(title, ' II') as title, location, remote, posted, employment_type, salary, case when cast(substr(id, 3) as bigint) % 2 = 0 then description else concat(description, ' New') end as description from {0} where cast(substr(id, 3) as bigint) % 5 < 2"
+REPOSTED = f"once as ({POSTINGS}), p as (select id, source, company, title, location, remote, posted, employment_type, salary, description from once union all {_AGAIN.format('once')})"
+
+
+def reposted(spark, sf_dir) -> DataFrame:
+    p = postings(spark, sf_dir).select("id", "source", "company", "title", "location", "remote", "posted", "employment_type", "salary", "description")
+    return p.unionByName(spark.sql(_AGAIN.format("{p}"), p=p)).withColumn("url", F.lit(None).cast("string"))
+
+
+def sql_tagged(relation: str = P) -> str:
     low = "lower(location)"
     parts, fits, of_country, regions = N.location_words(WANTED.location.lower())
     free = f"({low} = '' or {sql_word(low, ['worldwide', 'anywhere', 'global'])} or trim({low}) in ('remote', 'remote (worldwide)'))"
     place = f"({sql_word(low, parts)} or {sql_word(low, fits)} or (coalesce({SQL_REMOTE}, false) and ({free} or {sql_word(low, of_country)} or {sql_word(low, regions)})))"
-    return f"""{P},
+    return f"""{relation},
         t as (select *, {sql_tokens('title')} as tokens, {sql_tokens("substr(description, 1, 800)")} as ctx from p),
         u as (select *, ['data', 'engineer'] as core, list_filter(tokens, lambda w: w in {sql_in(ROLE_NOUNS)})[-1] as noun from t),
         v as (select *, len(list_filter(core, lambda w: list_contains(tokens, w))) / 2.0 as hits,
@@ -88,12 +98,31 @@ def sql_tagged() -> str:
             when regexp_matches(lower(title), '\\b(intern|internship|junior|jr\\.?|graduate|trainee)\\b') then 'experience' end as "drop" from r)"""
 
 
-SQL_MERGED = f"""{sql_tagged()},
-        keyed as (select *, case source when 'greenhouse' then 0 when 'lever' then 0 when 'linkedin' then 2 when 'adzuna' then 4 else 3 end as pri,
+def sql_simhash(rows_: str, key: str, text: str, name: str) -> str:
+    """{name} (key, simhash) of rows_."""
+    return rf"""{name}_w as (select {key}, regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+') as w from {rows_}),
+    {name}_r as (select {key}, unnest(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' '))) as run from {name}_w where len(w) >= 3),
+    {name}_h as (select {key}, cast('0x' || substr(md5(run), 1, 16) as ubigint) as h from {name}_r),
+    {name}_b as (select {key}, b, sum(case when (h >> b) & 1 = 1 then 1 else -1 end) as v from {name}_h, (select cast(unnest(range(64)) as ubigint) as b) group by {key}, b),
+    {name} as (select {key}, cast(sum(case when v > 0 then (case when b = 63 then -9223372036854775808::hugeint else (1::hugeint << b::int) end) else 0 end) as bigint) as simhash from {name}_b group by {key})"""
+
+
+SQL_ONCE = f"""{sql_tagged(REPOSTED)},
+        keyed as (select *, case source when 'greenhouse' then 0 when 'lever' then 0 when 'linkedin' then 2 when 'adzuna' then 4 else 3 end as pri, {SQL_COMPANY} as firm, {SQL_CITY} as city,
             concat_ws('|', {SQL_COMPANY}, regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), {SQL_CITY}) as k from tagged where "drop" is null),
         ordered as (select *, row_number() over (partition by k order by pri, -length(description), id) as n,
             first_value(description) over (partition by k order by -length(description), pri, id) as longest from keyed),
-        merged as (select * exclude (description), case when length(longest) > length(description) + 200 then longest else description end as description from ordered where n = 1),
+        once_each as (select * exclude (description), case when length(longest) > length(description) + 200 then longest else description end as description from ordered where n = 1)"""
+
+#: The second stage one by one in the order of ids: a leader is who is near none before; others join the first leader they are near.
+SQL_MERGED = f"""{SQL_ONCE}, long_ones as (select k, description from once_each where length(description) >= 200), {sql_simhash("long_ones", "k", "description", "sim")},
+        turns_ as (select o.k, simhash, concat_ws('|', firm, city) as block, row_number() over (partition by concat_ws('|', firm, city) order by id) as n from once_each o join sim using (k) where simhash <> 0),
+        steps(block, n, leaders, k, chosen) as (select block, 0::bigint, []::struct(k varchar, h bigint)[], null::varchar, null::varchar from turns_ group by block
+            union all select block, n, case when met is null then list_append(leaders, {{'k': k, 'h': simhash}}) else leaders end, k, coalesce(met, k)
+                from (select s.leaders, t.*, list_filter(s.leaders, lambda x: bit_count(xor(x.h, t.simhash)) <= 3)[1].k as met from (select block, n as was, leaders from steps) s join turns_ t on t.block = s.block and t.n = s.was + 1)),
+        grouped_ as (select o.*, coalesce(chosen, o.k) as leader from once_each o left join steps on steps.k = o.k),
+        again_ as (select * exclude (n, longest), row_number() over (partition by leader order by pri, -length(description), id) as n, first_value(description) over (partition by leader order by -length(description), pri, id) as longest from grouped_),
+        merged as (select * exclude (description), case when length(longest) > length(description) + 200 then longest else description end as description from again_ where n = 1),
         ranked as (select *, 0.55 * relevance + 0.30 * least(length(description) / 1500, 1.0)
             + 0.15 * case when posted is null then 0.5 else greatest(0.0, 1 - ({SQL_AGE}) / {WANTED.hours}) end as score from merged)"""
 
@@ -117,24 +146,25 @@ def drops_by_source(spark, sf_dir):
     return N.drops_by_source(postings(spark, sf_dir), WANTED)
 
 
-@query(f"""with {SQL_MERGED} select (select count(*) from tagged) as fetched, (select count(*) from tagged where coalesce("drop", '') not in ('no_title', 'title')) as relevant,
+@query(f"""with recursive {SQL_MERGED} select (select count(*) from tagged) as fetched, (select count(*) from tagged where coalesce("drop", '') not in ('no_title', 'title')) as relevant,
     (select count(*) from keyed) as after_filters, (select count(*) from merged) as unique_rows, least((select count(*) from merged), 40) as selected""")
 def funnel_counts(spark, sf_dir):
-    return N.funnel_counts(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string")), WANTED)
+    """With reposts, some of which the second stage merges."""
+    return N.funnel_counts(reposted(spark, sf_dir), WANTED)
 
 
-@query(f"""with {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked),
+@query(f"""with recursive {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked),
     picked as (select source from turns qualify row_number() over (order by turn, best desc, source) <= 40), k as (select source, count(*) as n from keyed group by 1), m as (select source, count(*) as n from merged group by 1), g as (select source, count(*) as n from picked group by 1)
     select source, "drop", count(*) as n from tagged where "drop" is not null group by all union all select k.source, 'duplicate', k.n - coalesce(m.n, 0) from k left join m using (source) where k.n > coalesce(m.n, 0)
     union all select m.source, 'over_limit', m.n - coalesce(g.n, 0) from m left join g using (source) where m.n > coalesce(g.n, 0)""")
 def all_drops(spark, sf_dir):
-    return N.all_drops(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string")), WANTED)
+    return N.all_drops(reposted(spark, sf_dir), WANTED)
 
 
-@query(f"""with {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked)
+@query(f"""with recursive {SQL_MERGED}, turns as (select *, row_number() over (partition by source order by score desc, id) as turn, max(score) over (partition by source) as best from ranked)
     select id, source, turn, row_number() over (order by turn, best desc, source) as place from turns qualify place <= 40""")
 def fair_pick(spark, sf_dir):
-    return N.funnel(postings(spark, sf_dir).withColumn("url", F.lit(None).cast("string")), WANTED).select("id", "source", "turn", "place")
+    return N.funnel(reposted(spark, sf_dir), WANTED).select("id", "source", "turn", "place")
 
 
 @query(f"""with {P}, k as (select *, {SQL_COMPANY} as c, {SQL_CITY} as city, case source when 'greenhouse' then 0 when 'lever' then 0 when 'linkedin' then 2 when 'adzuna' then 4 else 3 end as pri from p)
@@ -369,3 +399,11 @@ def plausible_urls(spark, sf_dir):
 def conversation_turns(spark, sf_dir):
     per = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("conversations"), F.sum("n").alias("turns"), F.max("n").alias("longest"))
+
+
+@query(f"""with recursive {SQL_MERGED}, s as (select leader, count(*) as n from grouped_ group by leader) select count(*) as reposts, sum(n - 1) as merged_away, max(n) as largest from s where n > 1""")
+def merged_reposts(spark, sf_dir):
+    """How many groups the second stage makes of what the first leaves, how many rows go into others, and the largest group."""
+    kept = N.tagged(reposted(spark, sf_dir), WANTED).where("drop is null")
+    sizes = N.greedy_groups(N.merged(kept)).groupBy("_class").agg(F.count("*").alias("n")).where("n > 1")
+    return sizes.agg(F.count("*").alias("reposts"), F.sum(F.col("n") - 1).alias("merged_away"), F.max("n").alias("largest"))
