@@ -16,9 +16,11 @@ word, sums of both are rows that Spark aggregates, and the driver factors two sm
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -364,24 +366,38 @@ def found_in(texts: list[np.ndarray], index: Index, space: np.ndarray) -> list[l
     return [sorted(b.values(), key=lambda m: (m["item_id"] is None, m["item_id"])) for b in best]
 
 
-def matched(docs: DataFrame, benchmark: DataFrame) -> Column:
-    """For each row's whole text the benchmark items that it holds, as array of MATCHES; empty for null and empty texts.
+def goes(docs: DataFrame, benchmark: DataFrame) -> tuple[int, Iterator[Column]]:
+    """How many goes there are, and a column for each: of each row's whole text the benchmark items of that go that it holds, as array of MATCHES; empty for null and empty texts.
 
     Items without words are never held. Items whose id is null or no number are sought like others, with a null item_id;
-    of rows with one item_id each gives its match. Passages are cut by a Spark job and sought A_GO at a time: an item's
-    passages stay in one go, so a go is bounded by A_GO and by the longest item.
+    of rows with one item_id each gives its match. Passages are cut and indexed by Spark jobs, A_GO to a go: an item's
+    passages stay in one go, so a go is bounded by A_GO and by the longest item. The driver passes on one go's index at a
+    time, and releases it when the next column is asked for: what a column is used for must be worked out before, unless it
+    is the only one.
     """
     spark = docs.sparkSession
     held, sums, passages = sketch(docs)
     space = latent(held, sums, passages)
     items = benchmark.select(F.monotonically_increasing_id().alias("row"), F.expr("try_cast(item_id as bigint)").alias("item_id"), "text").where("text is not null")
     parts = durable(items.mapInArrow(cut, "row long, item_id long, reach long, words binary, answer binary"))
-    goes = -(-parts.count() // A_GO)
-    columns = []
-    for go in range(goes):
-        mine = parts.where(F.expr(f"pmod(xxhash64(row), {goes}) = {go}")).toArrow()
-        columns.append(seeker(spark.sparkContext.broadcast((index_passages(mine, space, held), space)))("text"))
-    return F.concat(*columns) if columns else F.array().cast(MATCHES)
+    n = -(-parts.count() // A_GO)
+    shared = spark.sparkContext.broadcast((space, held))
+
+    def indexed(rows: pa.Table) -> pa.Table:
+        index = index_passages(rows, *shared.value)
+        return pa.table({"go": pa.array([rows.column("go")[0].as_py()], pa.int64()), "index": pa.array([pickle.dumps(index, 5)], pa.binary())})
+
+    def columns() -> Iterator[Column]:
+        dealt = parts.withColumn("go", F.pmod(F.xxhash64("row"), F.lit(n)).cast("long"))
+        indexes = durable(dealt.groupBy("go").applyInArrow(indexed, "go long, index binary"))
+        for go in range(n):
+            for row in indexes.where(F.col("go") == go).select("index").toLocalIterator():
+                sought = spark.sparkContext.broadcast((pickle.loads(bytes(row["index"])), space))
+                yield seeker(sought)("text")
+                if n > 1:
+                    sought.unpersist()
+
+    return n, columns() if n else iter(())
 
 
 def seeker(shared):
@@ -397,19 +413,29 @@ def seeker(shared):
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, kind, cosine, common, answer, start_word, end_word: a row for each item that a row's text holds.
 
-    Rows of `docs` that hold none give no row; repeated rows give their rows each; null ids stay null.
+    Rows of `docs` that hold none give no row; repeated rows give their rows each; null ids stay null. With more than one
+    go each one's rows are written before the next.
     """
-    docs = docs.select("doc_id", "text")
-    # an outer explode: of an inner one Spark infers a filter on the array, and would seek twice
-    found = docs.withColumn("match", matched(docs, benchmark)).select("doc_id", F.explode_outer("match").alias("match"))
-    return found.where("match is not null").select("doc_id", "match.*")
+    docs, found = docs.select("doc_id", "text"), []
+    n, columns = goes(docs, benchmark)
+    for column in columns:
+        # an outer explode: of an inner one Spark infers a filter on the array, and would seek twice
+        told = docs.withColumn("match", column).select("doc_id", F.explode_outer("match").alias("match")).where("match is not null").select("doc_id", "match.*")
+        found.append(durable(told) if n > 1 else told)
+    none = docs.select("doc_id", F.array().cast(MATCHES).alias("match")).select("doc_id", F.inline("match"))
+    return reduce(DataFrame.unionByName, found) if found else none
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs`, all columns, without rows whose text holds a benchmark item.
 
     Null and empty texts hold none and stay, as all rows do if the benchmark is empty or has null and empty items alone;
-    repeated rows stay or go together; an empty table stays empty. Columns of clashing names are kept.
+    repeated rows stay or go together; an empty table stays empty. Columns of clashing names are kept. With more than one
+    go the rows that one leaves are written and read by the next.
     """
-    name = unused(docs, "_match")
-    return docs.withColumn(name, matched(docs, benchmark)).where(F.size(name) == 0).drop(name)
+    name, left = unused(docs, "_match"), docs
+    n, columns = goes(docs, benchmark)
+    for column in columns:
+        kept = left.withColumn(name, column).where(F.size(name) == 0).drop(name)
+        left = durable(kept) if n > 1 else kept
+    return left
