@@ -193,7 +193,10 @@ def _loader(sql: str):
     return load
 
 
-SUITES = [U.verifier(_loader(_JUDGED), lambda df: df), U.consistency(_loader(_RUNS), lambda df: df, 3), U.extractor(_loader(_LINES), lambda df: df)]
+def suites() -> list[U.Suite]:
+    return [U.verifier(_loader(_JUDGED), lambda df: df), U.consistency(_loader(_RUNS), lambda df: df, 3), U.extractor(_loader(_LINES), lambda df: df)]
+
+
 _CREDIT = "('met', 'partial')"
 
 
@@ -224,7 +227,7 @@ SQL_SUITES = f"""j as ({_JUDGED}), runs_ as ({_RUNS}), lines_ as ({_LINES}), g a
 
 def reports(spark, sf_dir):
     out = None
-    for suite in SUITES:
+    for suite in suites():
         told = U.reported(suite, spark, sf_dir)
         out = told if out is None else out.unionByName(told)
     return out

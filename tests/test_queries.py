@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows at sf0.001."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from brightloom.plans import lists, ontologies, people, scoring, services, store
 from brightloom.plans import queries as engine
 
 SF = "/root/testdata/sf0.001"
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -64,3 +66,12 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_needs_no_session():
+    """The driver imports the entry before it makes a session."""
+    import subprocess
+    import sys
+
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], capture_output=True, text=True, cwd=ROOT, timeout=120)
+    assert told.returncode == 0, told.stderr
