@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,36 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def state_of(spark: SparkSession, path: str) -> str:
+    """What tells one state of a table's files from another: their bytes, their number, and the latest change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told, status = files.getContentSummary(at), files.getFileStatus(at)
+    times = [status.getModificationTime(), *(s.getModificationTime() for s in files.listStatus(at))]
+    return f"{path} {told.getLength()} {told.getFileCount()} {max(times)}"
+
+
+_kept: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, name: str, inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What `make` gives, worked out once in a session for each `name` (all that decides it but the tables) and state of its input tables.
+
+    The result is a table in the shared folder, named by the fingerprint of both, which every later call reads. A changed
+    input file or name makes another one.
+    """
+    print_ = hashlib.sha256("\n".join([name, *(state_of(spark, p) for p in inputs)]).encode()).hexdigest()
+    at = spark.sparkContext.applicationId, print_
+    if at not in _kept:
+        df = make()
+        path = f"{shared_dir(spark)}/brightloom-kept-{print_[:32]}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        delete_at_end(spark, path)
+        _kept[at] = path, df.schema
+    path, schema = _kept[at]
+    return spark.read.schema(schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """`df` dealt evenly for steps whose work a row is much and whose bytes are few: by size alone, adaptive plans would give such
     rows to a handful of tasks. As many parts as the session's shuffles have, and four for each core at least."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 NOW = "1998-12-01 00:00:00"
+TABLES = ("orders", "lineitem", "part", "supplier", "customer", "nation")
 
 POSTINGS = """
 select concat('p-', cast(o_orderkey as varchar(20))) as id,
@@ -31,7 +32,7 @@ from orders join (select l_orderkey, min(l_partkey) as l_partkey, min(l_suppkey)
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation, without touching the session's catalog."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem", "part", "supplier", "customer", "nation")}
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
     text = POSTINGS
     for t in tables:
         text = text.replace(f" {t} ", f" {{{t}}} ").replace(f"join {t} ", f"join {{{t}}} ")

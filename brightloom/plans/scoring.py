@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import kept
 from ..operators import gates as G
 from ..operators import matching as M
 from ..operators import requirements as Q
 from ..operators import skills as S
-from .postings import postings
+from .postings import POSTINGS, TABLES, postings
 from .queries import P, query, rows, table, values
 
 #: skill, category, alias, words of which one must stand near.
@@ -32,7 +33,9 @@ def aliases(spark):
 
 
 def all_scores(spark, sf_dir):
-    return M.scored(postings(spark, sf_dir), TAX, PROFILE)
+    """The scores of all derived postings, worked out once for each state of the tables."""
+    inputs = [f"{sf_dir}/{t}.parquet" for t in TABLES]
+    return kept(spark, f"scores of {POSTINGS} by {TAX!r} for {PROFILE!r}", inputs, lambda: M.scored(postings(spark, sf_dir), TAX, PROFILE))
 
 
 # --- SQL of mentions: every run of up to four words against the aliases, clause by clause ----------------------------------

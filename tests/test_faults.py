@@ -55,3 +55,20 @@ def test_headers_know_all_role_words(spark):
     rows = spark.createDataFrame([("Acme Corp, Accountant",), ("Big Bank | Financial Advisor",), ("Chef at Trattoria",)], "text string")
     found = [tuple(r) for r in rows.select(W.header_parts(F.col("text")).alias("h")).select("h.title", "h.company").collect()]
     assert found == [("Accountant", "Acme Corp"), ("Financial Advisor", "Big Bank"), ("Chef", "Trattoria")]
+
+
+def test_what_is_kept_follows_its_inputs(spark, tmp_path):
+    from brightloom.durable import kept
+
+    made = []
+    path = str(tmp_path / "t.parquet")
+
+    def make():
+        made.append(1)
+        return spark.read.parquet(path).selectExpr("sum(id) as s")
+
+    spark.range(4).write.parquet(path)
+    assert [kept(spark, "a", [path], make).first().s for _ in range(3)] == [6, 6, 6] and len(made) == 1
+    assert kept(spark, "b", [path], make).first().s == 6 and len(made) == 2
+    spark.range(9, 11).write.mode("append").parquet(path)
+    assert kept(spark, "a", [path], make).first().s == 25 and len(made) == 3
