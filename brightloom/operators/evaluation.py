@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_before
+from .ordering import ranked, running_before
 
 
 def ratio(a: Column, b: Column, empty: float | None = 1.0) -> Column:
@@ -118,6 +118,11 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     return board.select("suite", "model", "r.quality", "r.cost_per_100", "r.p95_ms", "runs")
 
 
+def board_order(board: DataFrame) -> DataFrame:
+    """The leaderboard as it is shown, with place: by suite, in a suite the best quality first, unknown ones last; ties by model."""
+    return ranked(board, [F.col("suite"), F.coalesce("quality", F.lit(-1.0)).desc(), F.col("model")])
+
+
 def trend(runs: DataFrame, key: str, most: int = 20) -> DataFrame:
     """The `most` newest values of each key, oldest first: key, n, value."""
     back = Window.partitionBy(key).orderBy(F.desc("created_at"), F.desc("run_id"))

@@ -18,6 +18,7 @@ from . import embedding as B
 from . import gates as G
 from . import requirements as Q
 from . import skills as S
+from .calibration import Calibration, usable
 from .records import one_each
 
 MOST_HOT = 200_000  #: terms whose weights go to all tasks, some 20 MB
@@ -124,9 +125,10 @@ def repeated_words(description: Column) -> Column:
     return F.transform(F.filter(F.slice(F.array_sort(let(words, counted)), 1, TOP_WORDS), lambda c: c["n"] <= -2), lambda c: c["w"])
 
 
-def total_score(components: dict[str, Column], penalty: Column, capped: Column) -> Column:
-    """0 to 100, rounded half to even; noise in the ninth place doesn't decide a half."""
-    total = sum((V.WEIGHTS[k] * c for k, c in components.items()), F.lit(0.0)) - penalty
+def total_score(components: dict[str, Column], penalty: Column, capped: Column, calibration: Calibration | None = None) -> Column:
+    """0 to 100, rounded half to even; noise in the ninth place doesn't decide a half. A usable calibration takes the place of the weights set by hand."""
+    fitted = usable(calibration)
+    total = (fitted.apply(components) if fitted else sum((V.WEIGHTS[k] * c for k, c in components.items()), F.lit(0.0))) - penalty
     total = F.when(capped, F.least(total, F.lit(0.45))).otherwise(total)
     return F.bround(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * 100, 9)).cast("int")
 

@@ -134,9 +134,18 @@ def in_order(keys: DataFrame, rows: DataFrame, list_column: str, key: str) -> Da
     return wanted.join(rows, key)
 
 
-def inserted_once(stored: DataFrame, arriving: DataFrame, keys: list[str]) -> DataFrame:
-    """`stored` and those of `arriving` whose keys it hasn't; of several that arrive with one key, one. For trackers, labels and promotions."""
-    return stored.unionByName(unseen(arriving, stored, keys).dropDuplicates(keys), allowMissingColumns=True)
+def inserted_once(stored: DataFrame, arriving: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """`stored` and those of `arriving` whose keys it hasn't; of several that arrive with one key, the first. For trackers, labels and promotions.
+
+    First is what has the least `order`, then (or without) what comes first as JSON. Rows with a null key are all new.
+    """
+    new = unseen(arriving, stored, keys)
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    turn = F.struct(*([order] if order is not None else []), F.to_json(F.struct(*arriving.columns)))
+    once = new.where(known).groupBy(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys))).agg(F.min_by(F.struct(*arriving.columns), turn).alias("_row")).select("_row.*")
+    return stored.unionByName(once.unionByName(new.where(~known)), allowMissingColumns=True)
 
 
 def updated(rows: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -156,6 +165,12 @@ def newest_within(rows: DataFrame, now: str, most: int, order: str, key: str) ->
     return alive(rows, now).orderBy(F.desc(order), key).limit(most)
 
 
+def newest_of_each(rows: DataFrame, owner: str, now: str, most: int, order: str, key: str) -> DataFrame:
+    """What a store keeps for each owner: unexpired rows, of these the `most` newest. Tasks keep as many of an owner before they shuffle, so a hot owner is cut at once."""
+    place = Window.partitionBy(owner).orderBy(F.desc(order), key)
+    return alive(rows, now).withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).drop("_n")
+
+
 def to_the_back(queue: DataFrame, skipped: DataFrame, key: str) -> DataFrame:
     """key and place from 0: the queue (key, place) with skipped rows behind all others, in their order."""
     marked = queue.join(skipped.select(key, F.lit(1).alias("_s")).distinct(), key, "left").withColumn("_s", F.coalesce("_s", F.lit(0)))

@@ -25,6 +25,7 @@ LINK = r"(?i)(?:https?://|www\.)\S+|\b(?:linkedin|github)\.com/\S+"
 PRONOUNS = r"(?i)^\W*(?:pronouns?\s*:?\s*)?\(?(?:he|she|they|ze|xe)\s*/\s*(?:him|her|them|hir|zir|xem)(?:\s*/\s*\w+)?\)?\W*$"
 NAME = r"^\p{L}[\p{L}'’.-]*(?:[\s'’.-]+\p{L}[\p{L}'’.-]*){0,4}$"
 SCHOOL_LINE = r"(?i)\b(university|college|school|institute|academy|bachelor|master'?s|ph\.?d|b\.?\s?tech|m\.?\s?tech|b\.?sc|m\.?sc|b\.?e\b|b\.?a\b|mba|degree|gpa|cgpa|graduat|diploma|high school|secondary)\b"
+FIELD = r"\bin\s+([A-Z][\w &/-]{2,60})"
 INSTITUTION = r"(?i)\b(university|college|institute|school|academy|polytechnic)\b"
 MEASURE = r"(?i)(\d+(?:[.,]\d+)?\s*(?:%|x|k|m|bn|\+)|[$£€]\s?\d[\d,.]*\s*[kmb]?)"
 HEADINGS = r"(?i)\b(experience|employment|education|skills|projects|certifications|summary|profile|languages|awards|publications|volunteering|interests)\b"
@@ -110,6 +111,31 @@ def schools(resumes: DataFrame) -> DataFrame:
     )
 
 
+def fields_of_study(resumes: DataFrame) -> DataFrame:
+    """id, text, degree, field of each school: what stands behind `in` and begins with a capital, or blank."""
+    return schools(resumes).select("id", "text", "degree", F.trim(F.regexp_extract("text", FIELD, 1)).alias("field"))
+
+
+def projects(resumes: DataFrame) -> DataFrame:
+    """id, project (p1, ...), name, bullets (array of texts, in order) of the projects section.
+
+    A line that is no bullet begins a project, and so does a bullet ahead of any; bullets belong to the last project before them.
+    """
+    order = Window.partitionBy("id").orderBy("line_no")
+    rows = labelled(resumes).where((F.col("section") == "projects") & ~F.col("heading"))
+    named = ~F.col("bullet") | (F.row_number().over(order) == 1)
+    rows = rows.withColumn("named", named).withColumn("n", F.count_if("named").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    points = F.transform(F.array_sort(F.collect_list(F.when(~F.col("named"), F.struct("line_no", "text")))), lambda x: x["text"])
+    told = rows.groupBy("id", "n").agg(F.max(F.when(F.col("named"), F.substring("text", 1, 120))).alias("name"), points.alias("bullets"))
+    return told.select("id", F.concat(F.lit("p"), F.col("n").cast("string")).alias("project"), "name", "bullets")
+
+
+def certifications(resumes: DataFrame) -> DataFrame:
+    """id, n (from 1), text: lines of the section of certificates, licences, training and courses."""
+    rows = labelled(resumes).where((F.col("section") == "certifications") & ~F.col("heading"))
+    return rows.select("id", F.row_number().over(Window.partitionBy("id").orderBy("line_no")).alias("n"), F.substring("text", 1, 200).alias("text"))
+
+
 def skill_evidence(resumes: DataFrame, taxonomy: Taxonomy, today: str) -> DataFrame:
     """id, skill, evidence (ids of roles and bullets), months (of distinct roles), last_used, source, strength.
 

@@ -10,14 +10,22 @@ from ..durable import delete_at_end, durable, shared_dir
 from ..functions.text import age_hours
 from ..functions.values import NOISE
 from ..operators import edits as D
+from ..operators import evaluation as E
 from ..operators import intent as I
 from ..operators import limits as L
+from ..operators import matching as M
 from ..operators import nested as J
+from ..operators import records
+from ..operators import resumes as R
 from ..operators import suites as U
+from ..operators.calibration import FEATURES, Calibration
+from ..operators.insights import insights
 from ..operators.tables import recency
 from ..sources import plugin
 from .postings import postings
 from .queries import P, query, sql_in, sql_tokens, table
+from .scoring import _OWNED, PROFILE, SQL_SCORES, all_scores
+from .store import _RUNS, runs
 
 # --- recorded feeds: every posting comes back from one of the 17 feeds ------------------------------------------------------
 
@@ -181,7 +189,7 @@ def _status(number: str) -> str:
 
 _JUDGED = f"""select l.doc_id as case_id, concat('r', cast(l.doc_id % 3 as varchar(9))) as requirement, {_status('n_chars')} as gold, l.doc_id % 7 <> 0 as assessed, {_status('(n_chars + l.doc_id % 2)')} as det, {_status('(n_chars + l.doc_id % 3)')} as raw,
     {_status('(n_chars + l.doc_id % 5)')} as final, l.doc_id % 5 <> 0 and l.doc_id % 4 <> 1 as verified, case when l.doc_id % 6 = 0 then '' else 'q' end as quote, l.doc_id % 4 <> 1 as quote_found, case when quality = 1 then 'apply' else 'skip' end as verdict, n_chars from labels l join documents d on d.doc_id = l.doc_id"""
-_RUNS = f"select case_id, requirement, assessed, case when case_id % 5 = 0 and run = 2 then 'missing' else raw end as raw, final, case when case_id % 9 = 0 and run = 1 then 'maybe' else verdict end as verdict from ({_JUDGED}) j, (select 0 as run union all select 1 union all select 2) runs where case_id % 11 <> 0 or run < 2"
+_REPEATED = f"select case_id, requirement, assessed, case when case_id % 5 = 0 and run = 2 then 'missing' else raw end as raw, final, case when case_id % 9 = 0 and run = 1 then 'maybe' else verdict end as verdict from ({_JUDGED}) j, (select 0 as run union all select 1 union all select 2) runs where case_id % 11 <> 0 or run < 2"
 _LINES = f"select n_chars % 4 as tp, case_id % 2 as fp, cast(case_id % 3 = 0 as int) as fn, 5 as model_items, case_id % 3 as dropped, case_id % 4 <> 0 as used, case when case_id % 5 = 0 then 'holdout' else 'dev' end as split from ({_JUDGED}) j"
 
 
@@ -194,7 +202,7 @@ def _loader(sql: str):
 
 
 def suites() -> list[U.Suite]:
-    return [U.verifier(_loader(_JUDGED), lambda df: df), U.consistency(_loader(_RUNS), lambda df: df, 3), U.extractor(_loader(_LINES), lambda df: df)]
+    return [U.verifier(_loader(_JUDGED), lambda df: df), U.consistency(_loader(_REPEATED), lambda df: df, 3), U.extractor(_loader(_LINES), lambda df: df)]
 
 
 _CREDIT = "('met', 'partial')"
@@ -221,7 +229,7 @@ _EXTRACTOR = {
     "ungrounded_item_rate": "round(sum(dropped) / sum(model_items), 4)", "fallback_to_rules_rate": _rate("not used", "true"), "cases": "count(*)",
 }
 _CONSISTENCY = {"requirements": "count(*) filter (n = 3)", "raw_agreement": _rate("raws = 1", "n = 3"), "final_agreement": _rate("finals = 1", "n = 3"), "verdict_flip_rate": _rate("verdicts > 1", "true")}
-SQL_SUITES = f"""j as ({_JUDGED}), runs_ as ({_RUNS}), lines_ as ({_LINES}), g as (select case_id, requirement, count(*) filter (assessed) as n, count(distinct raw) filter (assessed) as raws, count(distinct final) filter (assessed) as finals, count(distinct verdict) as verdicts from runs_ group by all),
+SQL_SUITES = f"""j as ({_JUDGED}), runs_ as ({_REPEATED}), lines_ as ({_LINES}), g as (select case_id, requirement, count(*) filter (assessed) as n, count(distinct raw) filter (assessed) as raws, count(distinct final) filter (assessed) as finals, count(distinct verdict) as verdicts from runs_ group by all),
     report as ({_rows("deep_verifier", _VERIFIER, "j")} union all {_rows("extractor", _EXTRACTOR, "lines_")} union all {_rows("consistency", _CONSISTENCY, "g")} union all select 'consistency', 'repeats', 3)"""
 
 
@@ -254,3 +262,73 @@ AS_OF = "1997-06-01 00:00:00"
 def recency_of_postings(spark, sf_dir):
     """Postings by age at a day amid them: a day, a week, a month, older, unknown."""
     return postings(spark, sf_dir).groupBy(recency(age_hours(F.col("posted"), AS_OF)).alias("recency")).agg(F.count("*").alias("n"))
+
+
+# --- calibrated scores, insights, projects, the board ---------------------------------------------------------------------------
+
+CURVE = Calibration(-2.5, (("skills", 2.0), ("requirements", 1.5), ("role", 1.0), ("experience", 0.5), ("semantic", 0.25)), 300)
+
+
+@query(f"""with {SQL_SCORES} select id, cast(round_even(round(greatest(0.0, least(1.0, case when short then least(u, 0.45) else u end)) * 100, 9), 0) as int) as score
+    from (select *, 1 / (1 + exp(-(-2.5 + 2.0 * skills + 1.5 * requirements + 1.0 * role + 0.5 * experience + 0.25 * semantic))) - penalty as u from parts)""")
+def calibrated_scores(spark, sf_dir):
+    """Scores by a logistic curve over the components."""
+    parts = {k: F.col(k) for k in FEATURES}
+    return all_scores(spark, sf_dir).select("id", M.total_score(parts, F.col("penalty"), F.col("capped"), CURVE).alias("score"))
+
+
+@query(f"""with {SQL_SCORES}, d as (select skill, count(*) as n, count(*) filter (credit < 1) as gap from weights group by skill), t as (select count(*) as n from p),
+    gaps as (select skill, gap as jobs, cast(round_even(100 * gap / (select n from t), 0) as int) as pct, row_number() over (order by gap desc, skill) as k from d where gap > 0 qualify k <= 6),
+    strong as (select skill, cast(round_even(100 * (n - gap) / (select n from t), 0) as int) as pct, row_number() over (order by n - gap desc, skill) as k from d where skill in {_OWNED} and n > gap qualify k <= 5),
+    best as (select title, company, score from scores join (select id, title from p) using (id) order by score desc, title, company limit 1), facts as (select count(*) as n, count(*) filter (years is not null and years <> 0 and round_even(experience * 100, 0) < 70) as short_n,
+        count(*) filter (round_even(role * 100, 0) < 40) as weak, count(*) filter (short or (skills = 0 and matched = '' and missing = '' and n_lines = 0 and length(description) < 200)) as low from scores),
+    good as (select 0 as part, k, skill || ' is requested in ' || pct || '% of these postings and it''s on your resume.' as text from strong union all select 1, 1, 'About 4 years of experience detected on your resume.'
+        union all select 2, 1, 'Strongest fit: ' || title || ' at ' || company || ' (' || score || '%).' from best where score >= 60),
+    better as (select 0 as part, 'Close the most frequent skill gaps: ' || string_agg(skill, ', ' order by k) || '.' as text from gaps where k <= 5 having count(*) > 0
+        union all select 1, short_n || ' postings ask for more experience than your resume shows — make dates and scope of past roles explicit, and quantify impact.' from facts where short_n > 0
+        union all select 2, 'Your resume rarely mentions the role words from ''data'' postings — add a headline/summary that names the target role.' from facts where weak > n / 2
+        union all select 3, low || ' postings had too little text to score reliably; treat their scores as rough.' from facts where low > 0
+        union all select 4, 'Skills on your resume that these postings don''t ask for: ' || string_agg(skill, ', ' order by skill) || '. Keep them only if relevant to your target roles.' from (values ('MySQL'), ('Python'), ('SQL'), ('Spark')) o(skill) where skill not in (select skill from weights) having count(*) > 0)
+    select 'strength' as kind, cast(row_number() over (order by part, k) as int) as place, null as skill, text from good union all select 'improvement', cast(row_number() over (order by part) as int), null, text from better
+    union all select 'skill', cast(k as int), skill, 'Missing from your resume but mentioned in ' || pct || '% of postings (' || jobs || ' of ' || (select n from t) || ').' from gaps""")
+def report_insights(spark, sf_dir):
+    """What the report of all postings says in sentences."""
+    return insights(all_scores(spark, sf_dir), PROFILE, "data")
+
+
+_CV = """concat('Jane Doe', chr(10), 'Projects', chr(10), 'Project ', cast(c_custkey as varchar(20)), chr(10), '• Built it in Python', chr(10), case when c_custkey % 2 = 0 then concat('• Used by ', cast(c_nationkey as varchar(20)), ' teams', chr(10), 'Second project', chr(10)) else '' end, '• Last point', chr(10),
+    'Education', chr(10), 'MSc in ', case cast(c_custkey % 3 as int) when 0 then 'Physics' when 1 then 'Data Science & AI' else 'law' end, ', Rome University, 1998 - 2003', chr(10), 'Certifications', chr(10), case when c_custkey % 5 = 0 then concat('Certified ', cast(c_nationkey as varchar(20)), chr(10)) else '' end, '• Scrum Master')"""
+
+
+def cvs(spark, sf_dir):
+    return table(spark, sf_dir, "customer").selectExpr("c_custkey as id", f"{_CV} as text")
+
+
+@query("""select c_custkey as id, 'p1' as project, 'Project ' || c_custkey as name, case when c_custkey % 2 = 0 then 'Built it in Python|Used by ' || c_nationkey || ' teams' else 'Built it in Python|Last point' end as bullets from customer union all select c_custkey, 'p2', 'Second project', 'Last point' from customer where c_custkey % 2 = 0""")
+def resume_projects(spark, sf_dir):
+    return R.projects(cvs(spark, sf_dir)).select("id", "project", "name", F.array_join("bullets", "|").alias("bullets"))
+
+
+@query("select c_custkey as id, 'Master''s' as degree, case c_custkey % 3 when 0 then 'Physics' when 1 then 'Data Science & AI' else '' end as field from customer")
+def resume_fields(spark, sf_dir):
+    return R.fields_of_study(cvs(spark, sf_dir)).select("id", "degree", "field")
+
+
+@query("select c_custkey as id, 1 as n, 'Certified ' || c_nationkey as text from customer where c_custkey % 5 = 0 union all select c_custkey, case when c_custkey % 5 = 0 then 2 else 1 end, 'Scrum Master' from customer")
+def resume_certificates(spark, sf_dir):
+    return R.certifications(cvs(spark, sf_dir))
+
+
+@query(f"""with r as ({_RUNS}), n as (select *, row_number() over (partition by suite, model order by created_at desc, run_id desc) as n from r), b as (select suite, model, case when run_id % 4 <> 0 then quality end as quality from n where n = 1)
+    select suite, model, row_number() over (order by suite, coalesce(quality, -1) desc, model) as place from b""")
+def board_places(spark, sf_dir):
+    """The leaderboard as it is shown, some qualities unknown."""
+    some = runs(spark, sf_dir)
+    return E.board_order(E.leaderboard(some.withColumn("quality", F.when(F.col("run_id") % 4 != 0, F.col("quality"))))).select("suite", "model", "place")
+
+
+@query("with n as (select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id) as n from events where ts > timestamp '2024-01-10') select event_id, user_id from n where n <= 20")
+def kept_for_owners(spark, sf_dir):
+    """Of each owner's unexpired rows the newest."""
+    e = table(spark, sf_dir, "events").withColumn("expires_at", F.col("ts"))
+    return records.newest_of_each(e, "user_id", "2024-01-10", 20, "ts", "event_id").select("event_id", "user_id")
