@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +24,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
     """`df` written once to the shared folder and read again: the lineage ends there, and lost executors cost nothing.
 
-    The files go when the session's JVM ends.
+    The files go with `discard`, or when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brightloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_at_end(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = weakref.ref(out, lambda _, k=id(out): _written.pop(k, None)), path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the files of `durable` frames that nothing will read again, because what was made of them is written; other frames stay."""
+    for df in frames:
+        known, path = _written.pop(id(df), (None, None))
+        if known is not None and known() is df:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:

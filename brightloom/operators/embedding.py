@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import durable, spread
+from ..durable import discard, durable, spread
 from ..functions.phrases import EMBED_ENDINGS
 from ..functions.values import STOP_EMBED
 from .ordering import running_before
@@ -160,7 +160,8 @@ def best_lines(texts: DataFrame, lines: DataFrame, by: Embedder, least_words: in
     best = durable(spread(asked, "text").withColumns({"line_no": F.lit(None).cast("long"), "line": F.lit(None).cast("string"), "sim": F.lit(0.0)}))
     told = lines.where(F.col("line").isNotNull() & (F.size(F.split(F.trim("line"), r"\s+")) >= least_words)).select(F.col("line_no").cast("long").alias("line_no"), "line")
     for own in in_blocks(told, "line_no", block):
-        best = durable(best.mapInArrow(running_best(own, by), best.schema))
+        best, old = durable(best.mapInArrow(running_best(own, by), best.schema)), best
+        discard(old)
     return best
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import durable, spread
+from ..durable import discard, durable, spread
 from ..functions import values as V
 from ..functions.text import grams, let, terms
 from . import embedding as B
@@ -59,7 +59,8 @@ def closure(edges: DataFrame) -> DataFrame:
     n = known.count()
     while True:
         step = known.alias("k").join(known.alias("e"), F.col("k.dst") == F.col("e.src")).select("k.src", "e.dst")
-        known = durable(known.union(step).where("src <> dst").distinct())  # each round doubles the length of chains
+        known, old = durable(known.union(step).where("src <> dst").distinct()), known  # each round doubles the length of chains
+        discard(old)
         if (m := known.count()) == n:
             return known
         n = m
@@ -279,7 +280,8 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Em
     words = lambda c: S.words_of(F.col(c))
     base = durable(base.withColumns({"hits": S.hits_in(words("description"), taxonomy), "title_hits": S.hits_in(words("title"), taxonomy), "terms": terms(F.col("description"), V.STOP)}))
     df = base.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
-    df = durable(skill_part(df, taxonomy, profile).drop("title_hits", "req_hits", "pref_hits"))
+    parts_ = df = durable(skill_part(df, taxonomy, profile).drop("title_hits", "req_hits", "pref_hits"))
+    discard(base)
     asked = F.col("lines")
     if by:
         own = B.worth_comparing([x.strip(" -•*\t") for x in profile.text.splitlines()])
@@ -295,6 +297,7 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Em
         F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"), x["preferred"].alias("preferred"), x["a"]["coverage"].alias("coverage"),
         x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"), *([x["evidence"].alias("evidence")] if by else []),
     ))).drop("told", "hits"))
+    discard(parts_)
     df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
     df = with_cosine(df, "terms", profile.text)
     lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable, spread
+from ..durable import discard, durable, spread
 
 BANDS, BAND_BITS = 4, 16
 BUCKET = 1024  #: hashes of a band's value that are compared with as many at once
@@ -151,14 +151,15 @@ def near_classes(hashes: DataFrame, block: list[str], most: int = 3, bucket: int
     found = durable(told_by_blocks(distinct, ["copies"], told, "links long, root long", most, bucket))
     edges = found.where("root <> simhash").select("place", "simhash", F.col("root").alias("other")).distinct()
     edges = durable(edges.unionByName(edges.select("place", F.col("other").alias("simhash"), F.col("simhash").alias("other"))))
-    labels = distinct.select("place", "simhash", F.col("simhash").alias("label"))
+    labels, old = distinct.select("place", "simhash", F.col("simhash").alias("label")), None
     while True:  # least labels and pointer jumps, until nothing changes
         theirs = labels.select("place", F.col("simhash").alias("other"), F.col("label").alias("theirs"))
         offered = edges.join(theirs, ["place", "other"]).groupBy("place", "simhash").agg(F.min("theirs").alias("offer"))
         lower = labels.join(offered, ["place", "simhash"], "left").select("place", "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
         jump = labels.select("place", F.col("simhash").alias("label"), F.col("label").alias("further"))
         new = durable(lower.join(jump, ["place", "label"]).select("place", "simhash", F.least("label", "further").alias("label"), "old"))
-        labels = new.drop("old")
+        discard(old)
+        labels, old = new.drop("old"), new
         if new.where("label <> old").isEmpty():
             break
     linked = found.groupBy("place", "simhash").agg(F.sum("links").alias("n"))
@@ -198,14 +199,16 @@ def greedy_classes(hashes: DataFrame, block: list[str], order: list[Column], mos
         kept = np.flatnonzero(open_ & (led | held))
         return kept, led[kept]
 
-    decided = None
+    decided = before = None
     while True:
         open_ = state.where("state = 0")
         found = told_by_blocks(state, ["ord", "state"], waits, "led boolean", most, bucket).groupBy("place", "simhash").agg(F.max("led").alias("led"))
         after = open_.join(found, ["place", "simhash"], "left").withColumn("state", F.when(F.col("led").isNull(), 1).when(F.col("led"), 2).otherwise(0)).drop("led")
         after = durable(after)
         fresh = after.where("state = 1").select("place", "simhash", "ord")
-        decided = fresh if decided is None else durable(decided.unionByName(fresh))
+        more = durable(fresh if decided is None else decided.unionByName(fresh))
+        discard(decided, before)
+        decided, before = more, after
         if after.where("state = 0").isEmpty():
             break
         state = after.where("state < 2")  # leaders of earlier rounds have been heard

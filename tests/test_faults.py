@@ -72,3 +72,16 @@ def test_what_is_kept_follows_its_inputs(spark, tmp_path):
     assert kept(spark, "b", [path], make).first().s == 6 and len(made) == 2
     spark.range(9, 11).write.mode("append").parquet(path)
     assert kept(spark, "a", [path], make).first().s == 25 and len(made) == 3
+
+
+def test_discarded_files_go_at_once(spark):
+    import os
+
+    from brightloom.durable import discard, durable
+
+    first = durable(spark.range(3))
+    second = durable(first.selectExpr("id + 1 as id"))
+    path = first.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    discard(first, None, spark.range(2), second.where("id > 1"))
+    assert not os.path.isdir(path) and second.count() == 3
