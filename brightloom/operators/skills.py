@@ -187,12 +187,34 @@ def mentions(rows: DataFrame, taxonomy: Taxonomy, text: str = "description") ->
     return found.select("id", "s.skill", "s.negated")
 
 
-def mentions_joined(rows: DataFrame, aliases: DataFrame, text: str = "description", longest: int = 8) -> DataFrame:
-    """`mentions` for a taxonomy of any size: runs of up to `longest` words are joined to aliases (skill, alias, context) by equality."""
+MOST_FIRSTS = 1_000_000  #: first words of aliases that go to all workers, so that runs which begin like none are never made
+
+
+def starts_of(words: Column, firsts: list[str]) -> Column:
+    """Places, from 1, of the words that begin some alias. Not for use within a lambda."""
+    known = frozenset(firsts)
+
+    @F.arrow_udf("array<int>")
+    def found(rows: pa.Array) -> pa.Array:
+        return pa.array([[k for k, w in enumerate(row or [], 1) if w in known] for row in rows.to_pylist()], pa.list_(pa.int32()))
+
+    return found(words)
+
+
+def mentions_joined(rows: DataFrame, aliases: DataFrame, text: str = "description", longest: int = 8, most_firsts: int = MOST_FIRSTS) -> DataFrame:
+    """`mentions` for a taxonomy of any size: runs of up to `longest` words are joined to aliases (skill, alias, context) by equality.
+
+    Runs are made only where a word begins some alias, as far as these words are at most `most_firsts` (counted); of a
+    taxonomy with more every word begins runs.
+    """
     known = aliases.select("skill", run_of(F.col("alias")).alias("run"), "context").where("run <> ''").distinct()
+    heads = known.select(F.element_at(F.split("run", " "), 1).alias("w")).distinct().limit(most_firsts + 1).collect()
     words = rows.select("id", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda at: ~F.element_at("w", at).isin(*MARKS))
-    runs = F.transform(runs_in(F.col("w"), starts, longest), lambda r: F.struct(r["run"].alias("run"), around(F.col("w"), r["at"], r["n"]).alias("near"), negated(F.col("w"), r["at"], r["n"]).alias("negated")))
+    if len(heads) <= most_firsts:
+        words = words.withColumn("starts", starts_of(F.col("w"), [r.w for r in heads])).where(F.size("starts") > 0)
+    else:
+        words = words.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("w")), lambda at: ~F.element_at("w", at).isin(*MARKS)))
+    runs = F.transform(runs_in(F.col("w"), F.col("starts"), longest), lambda r: F.struct(r["run"].alias("run"), around(F.col("w"), r["at"], r["n"]).alias("near"), negated(F.col("w"), r["at"], r["n"]).alias("negated")))
     met = words.select("id", F.inline(runs)).join(known, "run").where("context is null or size(context) = 0 or arrays_overlap(near, context)")
     return met.groupBy("id", "skill").agg(F.bool_and("negated").alias("negated"))
 

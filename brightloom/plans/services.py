@@ -21,9 +21,9 @@ from ..operators import suites as U
 from ..operators.calibration import FEATURES, Calibration
 from ..operators.insights import insights
 from ..operators.tables import recency
-from ..sources import plugin
+from ..sources import entries, plugin
 from .postings import postings
-from .queries import P, query, sql_in, sql_tokens, table
+from .queries import WANTED, P, query, sql_in, sql_tagged, sql_tokens, table
 from .scoring import _OWNED, PROFILE, SQL_SCORES, all_scores
 from .store import _RUNS, runs
 
@@ -332,3 +332,26 @@ def kept_for_owners(spark, sf_dir):
     """Of each owner's unexpired rows the newest."""
     e = table(spark, sf_dir, "events").withColumn("expires_at", F.col("ts"))
     return records.newest_of_each(e, "user_id", "2024-01-10", 20, "ts", "event_id").select("event_id", "user_id")
+
+
+# --- postings that aren't fetched -------------------------------------------------------------------------------------------------
+
+
+@query("select 'manual-' || row_number() over (order by p_partkey desc) as id, trim(p_name) as title, p_brand as company, '' as location from part")
+def manual_postings(spark, sf_dir):
+    """Parts typed in as postings, the last one first."""
+    typed = table(spark, sf_dir, "part").select((-F.col("p_partkey")).alias("pos"), F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("title"), F.col("p_brand").alias("company"), F.lit(None).cast("string").alias("location"), F.lit("").alias("url"), F.lit("").alias("description"))
+    return entries.manual(typed).select("id", "title", "company", "location")
+
+
+@query(f"""with {sql_tagged()} select id, relevance, row_number() over (order by relevance desc, id) as place from r where relevance >= 0.5""")
+def sample_postings(spark, sf_dir):
+    """Of the derived postings as samples those that fit the title."""
+    return entries.samples(postings(spark, sf_dir), WANTED.title).select("id", "relevance", "place")
+
+
+@query(f"""with {sql_tagged()} select id, employment_type from tagged where source = 'linkedin' and "drop" is null""")
+def carded_postings(spark, sf_dir):
+    """Cards without kinds of employment, which only their details tell and the filters then look at."""
+    p = postings(spark, sf_dir).where("source = 'linkedin'")
+    return entries.carded(p.drop("description", "employment_type"), p.select("id", "description", "employment_type"), WANTED).select("id", "employment_type")

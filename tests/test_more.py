@@ -16,6 +16,8 @@ from brightloom.operators import matching as M
 from brightloom.operators import pages as G
 from brightloom.operators import records as R
 from brightloom.operators import resumes as B
+from brightloom.operators import skills as S
+from brightloom.sources import entries
 
 
 def descent(rows, l2, steps, rate):
@@ -120,3 +122,27 @@ def test_pages_that_need_a_visit(spark):
 def test_unknown_quality_is_last(spark):
     board = spark.createDataFrame([("s", "a", None), ("s", "b", 0.1), ("r", "c", 0.0), ("s", "d", 0.9)], "suite string, model string, quality double")
     assert [r.model for r in E.board_order(board).orderBy("place").collect()] == ["c", "d", "b", "a"]
+
+
+def test_cases_of_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "tags": ["x"]}\n\nnot json\n{"id": 2}\n{"id": "three"\n', encoding="utf-8")
+    cases, broken = entries.read_cases(spark, str(tmp_path), "id int, tags array<string>")
+    assert [(r.id, r.tags) for r in cases.orderBy("id").collect()] == [(1, ["x"]), (2, None)]
+    assert sorted((r.file, r.line) for r in broken.collect()) == [("a.jsonl", "not json"), ("a.jsonl", '{"id": "three"')]
+
+
+def test_samples_and_typed_rows(spark):
+    rows = spark.createDataFrame([("1", "Data Engineer", ""), ("2", "Nurse", ""), ("3", "Senior Data Engineer", ""), ("4", None, None)], "id string, title string, description string")
+    assert [(r.place, r.id) for r in entries.samples(rows, "Data Engineer").orderBy("place").collect()] == [(1, "1"), (2, "3"), (3, "2"), (4, "4")]  # fewer than four fit
+    more = rows.unionByName(rows.where("id in ('1', '3')").selectExpr("concat(id, 'x') as id", "title", "description"))
+    assert {r.id for r in entries.samples(more, "Data Engineer").collect()} == {"1", "3", "1x", "3x"}
+    typed = spark.createDataFrame([(2, " Cook ", None, "Rome", "", "x "), (1, "Nurse", "City", None, None, None)], "pos int, title string, company string, location string, url string, description string")
+    assert [tuple(r) for r in entries.manual(typed).orderBy("id").collect()] == [("manual-1", "manual", "Nurse", "City", "", "", ""), ("manual-2", "manual", "Cook", "", "Rome", "", "x")]
+    assert entries.manual(typed.limit(0)).count() == 0
+
+
+def test_joined_mentions_with_many_first_words(spark):
+    rows = spark.createDataFrame([(1, "We use SQL, no Apache Spark"), (2, None)], "id int, description string")
+    aliases = spark.createDataFrame([("Spark", "", "apache spark", None), ("SQL", "", "sql", None)], "skill string, category string, alias string, context array<string>")
+    for most in (10, 1):
+        assert {tuple(r) for r in S.mentions_joined(rows, aliases, most_firsts=most).collect()} == {(1, "SQL", False), (1, "Spark", True)}
