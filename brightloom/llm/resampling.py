@@ -86,7 +86,7 @@ def counts(docs: DataFrame, key: str, longest: int = LONGEST, buckets: int = BUC
                 continue
             con.register("texts", pa.table({"place": pa.array(range(batch.num_rows), pa.int64()), "text": batch.column("text")}))
             columns: list[list] = [[0] * batch.num_rows, [0] * batch.num_rows, [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]]
-            found = con.execute(sql).to_arrow_table()
+            found = con.sql(sql).to_arrow_table()
             con.unregister("texts")
             order = pa.compute.sort_indices(found.column("place"))
             found = found.take(order)
