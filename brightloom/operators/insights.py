@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import Profile, skill_demand, unused_skills
 
+# --- fixed values: how many of each, what falls short, and the sentences --------------------------------------------------
 STRENGTHS, GAPS, NAMED, UNUSED = 5, 6, 5, 8
 ENOUGH, FAR, WEAK = 60, 0.70, 0.40  #: a score worth naming; an experience and a role component that fall short
+ASKED_FOR = "{skill} is requested in {pct}% of these postings and it's on your resume."
+YEARS = "About {years} years of experience detected on your resume."
+BEST = "Strongest fit: {title} at {company} ({score}%)."
+NO_STRENGTH = "No strong overlaps found yet — see the skills to build below."
+CLOSE_GAPS = "Close the most frequent skill gaps: {skills}."
+MORE_YEARS = "{n} postings ask for more experience than your resume shows — make dates and scope of past roles explicit, and quantify impact."
+NAME_THE_ROLE = "Your resume rarely mentions the role words from '{sought}' postings — add a headline/summary that names the target role."
+LITTLE_TEXT = "{n} postings had too little text to score reliably; treat their scores as rough."
+SPARE = "Skills on your resume that these postings don't ask for: {skills}. Keep them only if relevant to your target roles."
+LEARN = "Missing from your resume but mentioned in {pct}% of postings ({jobs} of {n})."
 
 
-def said(*parts) -> Column:
-    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+def filled(sentence: str, **parts: Column) -> Column:
+    """The sentence with a column for each name in braces."""
+    cells = [parts[x] if k % 2 else F.lit(x) for k, x in enumerate(re.split(r"\{(\w+)\}", sentence)) if x]
+    return F.concat(*cells)
 
 
 def whole(c: Column) -> Column:
@@ -37,19 +52,17 @@ def insights(scores: DataFrame, profile: Profile, sought: str = "these") -> Data
     spare = unused_skills(scores, profile).agg(F.slice(F.array_sort(F.collect_list("skill")), 1, UNUSED).alias("spare"))
     facts = sums.crossJoin(strong).crossJoin(gaps).crossJoin(spare)  # one row each
 
+    some = lambda test, text: F.when(test, F.array(text)).otherwise(F.array().cast("array<string>"))
     good = F.concat(
-        F.transform("strong", lambda s: said(s["skill"], " is requested in ", whole(s["pct"]), "% of these postings and it's on your resume.")),
-        F.array(said(f"About {profile.years:.0f} years of experience detected on your resume.")) if profile.years else F.array().cast("array<string>"),
-        F.when(F.col("best.score") >= ENOUGH, F.array(said("Strongest fit: ", F.col("best.title"), " at ", F.col("best.company"), " (", whole(F.col("best.score")), "%)."))).otherwise(F.array().cast("array<string>")),
-    )
-    good = F.when(F.size(good) > 0, good).otherwise(F.array(F.lit("No strong overlaps found yet — see the skills to build below.")))
+        F.transform("strong", lambda s: filled(ASKED_FOR, skill=s["skill"], pct=whole(s["pct"]))), some(F.lit(profile.years > 0), filled(YEARS, years=F.lit(f"{profile.years:.0f}"))),
+        some(F.coalesce(F.col("best.score") >= ENOUGH, F.lit(False)), filled(BEST, title=F.col("best.title"), company=F.col("best.company"), score=whole(F.col("best.score")))),
+    )
+    good = F.when(F.size(good) > 0, good).otherwise(F.array(F.lit(NO_STRENGTH)))
     better = F.array_compact(F.array(
-        F.when(F.size("gaps") > 0, said("Close the most frequent skill gaps: ", F.array_join(F.transform(F.slice("gaps", 1, NAMED), lambda g: g["skill"]), ", "), ".")),
-        F.when((F.col("short") > 0) & F.lit(profile.years > 0), said(whole(F.col("short")), " postings ask for more experience than your resume shows — make dates and scope of past roles explicit, and quantify impact.")),
-        F.when(F.col("weak") > F.col("n") / 2, said(f"Your resume rarely mentions the role words from '{sought}' postings — add a headline/summary that names the target role.")),
-        F.when(F.col("low") > 0, said(whole(F.col("low")), " postings had too little text to score reliably; treat their scores as rough.")),
-        F.when(F.size("spare") > 0, said("Skills on your resume that these postings don't ask for: ", F.array_join("spare", ", "), ". Keep them only if relevant to your target roles.")),
+        F.when(F.size("gaps") > 0, filled(CLOSE_GAPS, skills=F.array_join(F.transform(F.slice("gaps", 1, NAMED), lambda g: g["skill"]), ", "))),
+        F.when((F.col("short") > 0) & F.lit(profile.years > 0), filled(MORE_YEARS, n=whole(F.col("short")))), F.when(F.col("weak") > F.col("n") / 2, filled(NAME_THE_ROLE, sought=F.lit(sought))),
+        F.when(F.col("low") > 0, filled(LITTLE_TEXT, n=whole(F.col("low")))), F.when(F.size("spare") > 0, filled(SPARE, skills=F.array_join("spare", ", "))),
     ))
-    learn = F.transform("gaps", lambda g, i: row("skill", i + 1, g["skill"], said("Missing from your resume but mentioned in ", whole(g["pct"]), "% of postings (", whole(g["jobs"]), " of ", whole(F.col("n")), ").")))
+    learn = F.transform("gaps", lambda g, i: row("skill", i + 1, g["skill"], filled(LEARN, pct=whole(g["pct"]), jobs=whole(g["jobs"]), n=whole(F.col("n")))))
     every = F.concat(F.transform(good, lambda t, i: row("strength", i + 1, none, t)), F.transform(better, lambda t, i: row("improvement", i + 1, none, t)), learn)
     return facts.select(F.inline(every))
