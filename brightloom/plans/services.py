@@ -52,6 +52,7 @@ ITEMS = {
     "adzuna": ("named_struct('id', n, 'title', title, 'company', struct(company as display_name), 'location', struct(place as display_name), 'created', ts, 'description', text)", "to_json(struct(collect_list(item) as results))"),
 }
 SLUGS = {"workday": "acme/wd1/jobs"}
+PAGE = 200  #: postings of a payload, roughly
 _OWN_COMPANY = ("lever", "ashby", "workable", "personio", "teamtailor", "workday")
 _PREFIXED = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable", "recruitee", "personio", "teamtailor", "workday")
 
@@ -62,7 +63,9 @@ def payloads(spark, sf_dir):
         F.substring("id", 3, 20).alias("n"), "title", "company", F.col("location").alias("place"), F.date_format("posted", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), F.unix_seconds(F.col("posted").cast("timestamp")).cast("string").alias("epoch"),
         F.date_format("posted", "EEE, d MMM yyyy HH:mm:ss 'GMT'").alias("mail"), F.concat(F.lit("We ship "), "title").alias("text"),
     )
-    p = durable(p.withColumns({"k": F.pmod(F.col("n").cast("long"), F.lit(len(ITEMS))).cast("int"), "page": F.pmod(F.xxhash64("n"), F.lit(16))}))
+    p = durable(p.withColumns({"k": F.pmod(F.col("n").cast("long"), F.lit(len(ITEMS))).cast("int"), "page": F.xxhash64("n")}))
+    pages = max(16, p.count() // (len(ITEMS) * PAGE))  # more postings make more payloads, not longer ones
+    p = p.withColumn("page", F.pmod("page", F.lit(pages)))
     out = None
     for k, (feed, (item, wrap)) in enumerate(ITEMS.items()):
         own = p.where(F.col("k") == k).select("page", F.expr(item.replace("{h}", _HTML)).alias("item")).groupBy("page").agg(F.expr(wrap).alias("payload"))

@@ -289,3 +289,28 @@ def test_pairs_to_label_equal_plain_python(spark):
         pool = [i for kind in {o for _, o in postings} - {own} for i in sorted((i for i, o in postings if o == kind), key=lambda i: (md5("s" + i), i))[:6]]
         wanted |= {(resume, i, False) for i in sorted(pool, key=lambda i: (md5(f"s{resume}{i}"), i))[:6]}
     assert found == wanted
+
+
+def test_large_feeds_are_read_in_parts(spark, tmp_path, monkeypatch):
+    """A slug's files are dealt over tasks, and batches are bounded by letters."""
+    payloads = [json.dumps([{"id": str(k), "text": "x" * 50}]) for k in range(40)]
+    rows = spark.createDataFrame([("lever", "acme", p) for p in payloads], "feed string, slug string, payload string").repartition(4)
+    monkeypatch.setattr(plugin, "FILE_PAYLOADS", 3)
+    plugin.record(rows, str(tmp_path / "r"))
+    monkeypatch.setattr(plugin, "PART_BYTES", 1000)
+    monkeypatch.setattr(plugin, "MOST_LETTERS", 200)
+    reader = plugin.SlugReader(plugin.RECORDED, {"path": str(tmp_path / "r")})
+    parts = reader.partitions()
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(parts) >= 4 and all(b.num_rows <= 3 for b in batches)
+    assert sorted(x for b in batches for x in b.column("payload").to_pylist()) == sorted(payloads)
+    monkeypatch.undo()
+    assert plugin.scan(spark, str(tmp_path / "r")).count() == 40
+
+
+def test_payloads_do_not_grow_with_the_postings(spark, monkeypatch):
+    from brightloom.plans import services
+
+    monkeypatch.setattr(services, "PAGE", 1)
+    found = services.payloads(spark, "/root/testdata/sf0.001").where("feed = 'lever'").select(F.size(F.from_json("payload", "array<struct<id: string>>")).alias("n"))
+    assert found.count() > 16 and found.agg(F.max("n")).first()[0] < 10
