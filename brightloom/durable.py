@@ -8,7 +8,8 @@ import uuid
 import weakref
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -92,3 +93,22 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(parts, key)
+
+
+def text_key(*columns: str) -> Column:
+    """A digest that tells one combination of these columns from any other; nulls differ from blanks."""
+    return F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256))
+
+
+def distinct_texts(rows: DataFrame, *columns: str) -> DataFrame:
+    """Each combination of `columns` once, dealt evenly, with the _text of `rows` and copies, the number of its rows."""
+    return spread(rows.groupBy("_text", *columns).agg(F.count("*").alias("copies")), "_text")
+
+
+def of_each_text(rows: DataFrame, columns: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`rows` without `columns`, joined to what `work` finds in these: a text that many rows share is worked on once.
+
+    `work` takes _text, `columns` and copies, and returns _text with any columns and any number of rows of each.
+    """
+    own = durable(rows.withColumn("_text", text_key(*columns)))
+    return own.drop(*columns).join(work(distinct_texts(own, *columns)), "_text").drop("_text")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import discard, durable, spread
+from ..durable import discard, distinct_texts, durable, spread, text_key
 from ..functions import values as V
 from ..functions.text import grams, let, terms
 from . import embedding as B
@@ -19,7 +19,7 @@ from . import gates as G
 from . import requirements as Q
 from . import skills as S
 from .calibration import Calibration, usable
-from .records import one_each
+from .records import only_once
 
 MOST_HOT = 200_000  #: terms whose weights go to all tasks, some 20 MB
 TOP_WORDS = 12
@@ -159,17 +159,20 @@ def weighed(terms_: Column, hot: dict[str, tuple[float, float]]) -> Column:
     return told(terms_)
 
 
-def with_cosine(rows: DataFrame, terms_column: str, other: str, most_hot: int = MOST_HOT) -> DataFrame:
+def with_cosine(rows: DataFrame, terms_column: str, other: str, most_hot: int = MOST_HOT, copies: str | None = None) -> DataFrame:
     """`rows` (from the shared folder, with an array of terms) and cosine: of TF-IDF vectors of each row's terms and pairs against those of the text `other`, which counts as one more document.
 
+    A row counts as one document, or as many as the column `copies` says.
+
     Documents are counted for each term by an aggregate with partial results. The most frequent `most_hot` terms go to all
     tasks, and what a row has of them is summed within it; only terms beyond are joined by equality, none of which is a
     large part of all, as at most `most_hot` can be. With fewer terms than that, nothing but the counts is shuffled.
     """
     spark = rows.sparkSession
-    n = rows.count()
+    many = F.col(copies) if copies else F.lit(1)
+    n = rows.agg(F.coalesce(F.sum(many), F.lit(0))).first()[0]
     theirs = spark.createDataFrame([(other,)], "t string").select(F.explode(grams(terms(F.col("t"), V.STOP))).alias("term")).groupBy("term").agg(F.count("*").alias("tf_q"))
-    df = rows.select(F.explode(F.array_distinct(grams(F.col(terms_column)))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(theirs), "term", "full")
+    df = rows.select(many.alias("_many"), F.explode(F.array_distinct(grams(F.col(terms_column)))).alias("term")).groupBy("term").agg(F.sum("_many").alias("df")).join(F.broadcast(theirs), "term", "full")
     idf = F.ln((2 + F.lit(n)) / (1 + F.coalesce("df", F.lit(0)) + F.col("tf_q").isNotNull().cast("int"))) + 1
     told = durable(df.select("term", F.coalesce("df", F.lit(0)).alias("df"), idf.alias("idf"), F.coalesce(F.when(F.col("tf_q").isNotNull(), (1 + F.ln("tf_q")) * idf), F.lit(0.0)).alias("wq")))
     norm = told.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq")))).first()[0] or 0.0
@@ -265,7 +268,20 @@ def _content_terms(text: str) -> list[str]:
 
 
 def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Embedder | None = None) -> DataFrame:
-    """Each posting with its score of 0 to 100, the components, and what they rest on.
+    """`scored_texts`, joined: a row for each posting."""
+    return with_scores(*scored_texts(postings, taxonomy, profile, by))
+
+
+def with_scores(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Postings (id, source, company, location, _text) with the scores of their texts."""
+    both = rows.join(texts, "_text")
+    return both.select("id", "source", "company", "location", *(c for c in texts.columns if c != "_text"))
+
+
+def scored_texts(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings, and the scores of each distinct title and description, by _text; a text that stands in many postings is worked on once.
+
+    Each posting with its score of 0 to 100, the components, and what they rest on.
 
     id, source, company, location, title, required, preferred, matched, missing, negated, related, keywords, requirement_rows
     (id, text, preferred, coverage, missing, how, status), requirements_met, required_years, years_inferred, education
@@ -275,7 +291,8 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Em
     meaning (how: semantic match), and requirement_rows has `evidence`, the nearest of these lines.
     """
     base = postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
-    base = spread(one_each(base, "id"), "id")
+    once = only_once(durable(base.withColumn("_text", text_key("title", "description"))), "id")
+    base = distinct_texts(once, "title", "description")
     # steps are written, so that no later step works an earlier one out again for each of its uses
     words = lambda c: S.words_of(F.col(c))
     base = durable(base.withColumns({"hits": S.hits_in(words("description"), taxonomy), "title_hits": S.hits_in(words("title"), taxonomy), "terms": terms(F.col("description"), V.STOP)}))
@@ -299,7 +316,7 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Em
     ))).drop("told", "hits"))
     discard(parts_)
     df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
-    df = with_cosine(df, "terms", profile.text)
+    df = with_cosine(df, "terms", profile.text, copies="copies")
     lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))
     degree = F.when(lacks & F.col("education.strict"), F.concat(F.lit("Requires a "), F.col("education.level"), F.lit(" degree"))).when(lacks, F.concat(F.lit("Prefers a "), F.col("education.level"), F.lit(" degree")))
     few = ~F.col("years.inferred") & F.lit(profile.years > 0) & (F.lit(profile.years) < 0.6 * F.col("years.years"))
@@ -312,8 +329,8 @@ def scored(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Em
     df = df.withColumns({"blockers": blockers, "penalty": F.when(lacks & F.col("education.strict"), 0.08).when(lacks, 0.02).otherwise(0.0), **parts})
     judged = F.concat(G.judged(F.col("stated"), profile.eligibility, profile.text), G.degree_gate(F.col("education"), F.lit(profile.education), Q.degree_rank))
     unsure = short | ((F.size("weights") == 0) & ~F.col("by_keyword") & (F.size("rows") == 0))
-    return df.select(
-        "id", "source", "company", "location", "title", "required", "preferred", "matched", "missing", "negated", "related", "keywords", F.col("rows").alias("requirement_rows"),
+    return once.drop("title", "description"), df.select(
+        "_text", "title", "required", "preferred", "matched", "missing", "negated", "related", "keywords", F.col("rows").alias("requirement_rows"),
         F.size(F.filter("rows", lambda r: r["status"] == "met")).alias("requirements_met"), F.col("years.years").alias("required_years"), F.col("years.inferred").alias("years_inferred"), "education",
         judged.alias("gates"), "blockers", "penalty", short.alias("capped"), *parts, total_score({k: F.col(k) for k in parts}, F.col("penalty"), short).alias("score"), F.when(unsure, "low").otherwise("high").alias("confidence"),
     )

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 
 def one_each(rows: DataFrame, key: str, order: Column | None = None) -> DataFrame:
     """`rows` with one of each key: the one of the largest `order`, then (or without) the last by its columns as JSON. Rows of a null key all stay."""
@@ -16,6 +18,15 @@ def one_each(rows: DataFrame, key: str, order: Column | None = None) -> DataFram
     return once.select("_row.*").unionByName(rows.where(F.col(key).isNull()))
 
 
+def only_once(rows: DataFrame, key: str) -> DataFrame:
+    """`one_each` of `rows` from the shared folder: only rows whose key comes again are ordered, and none is if no key does."""
+    again = durable(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if again.isEmpty():
+        return rows
+    chosen = one_each(rows.join(again, key, "left_semi").select(rows.columns), key)
+    return durable(rows.join(again, key, "left_anti").select(rows.columns).unionByName(chosen))
+
+
 def upsert(stored: DataFrame, arriving: DataFrame, key: str, keep_first: list[str], keep_if_null: list[str], order: Column | None = None) -> DataFrame:
     """`stored` with `arriving` rows put in: `keep_first` columns stay as first stored, `keep_if_null` where the new one is null.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..durable import kept
+from ..durable import kept, of_each_text
 from ..operators import gates as G
 from ..operators import matching as M
 from ..operators import requirements as Q
@@ -34,8 +34,15 @@ def aliases(spark):
 
 def all_scores(spark, sf_dir):
     """The scores of all derived postings, worked out once for each state of the tables."""
-    inputs = [f"{sf_dir}/{t}.parquet" for t in TABLES]
-    return kept(spark, f"scores of {POSTINGS} by {TAX!r} for {PROFILE!r}", inputs, lambda: M.scored(postings(spark, sf_dir), TAX, PROFILE))
+    inputs, made = [f"{sf_dir}/{t}.parquet" for t in TABLES], []
+
+    def make(k):
+        made.extend([] if made else M.scored_texts(postings(spark, sf_dir), TAX, PROFILE))
+        return made[k]
+
+    name = f"of {POSTINGS} by {TAX!r} for {PROFILE!r}"
+    texts = kept(spark, f"scores {name}", inputs, lambda: make(1))
+    return M.with_scores(kept(spark, f"postings {name}", inputs, lambda: make(0)), texts)
 
 
 # --- SQL of mentions: every run of up to four words against the aliases, clause by clause ----------------------------------
@@ -163,8 +170,11 @@ SQL_LINES = f"""{SQL_MENTIONS}, raw as (select id, unnest(string_split(descripti
 
 @query(f"with {SQL_LINES} select id, cast(no as int) as line_no, text, preferred from req_lines")
 def requirement_lines(spark, sf_dir):
-    p = postings(spark, sf_dir).withColumn("hits", S.hits_in(S.words_of(F.col("description")), TAX))
-    found = p.select("id", F.inline(Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"]))))
+    def lines(texts):
+        hits = texts.withColumn("hits", S.hits_in(S.words_of(F.col("description")), TAX))
+        return hits.select("_text", F.inline(Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"]))))
+
+    found = of_each_text(postings(spark, sf_dir).select("id", "description"), ["description"], lines)
     return found.select("id", F.col("line").alias("line_no"), "text", "preferred")
 
 

@@ -257,3 +257,35 @@ def test_logistic(spark):
     p = [1 / (1 + math.exp(-(a + b * x))) for x, _ in rows]
     assert b > 0 and abs(sum(y - q for (_, y), q in zip(rows, p, strict=True))) < 1e-3
     assert abs(sum(x * (y - q) for (x, y), q in zip(rows, p, strict=True))) < 1e-2
+
+
+def test_a_shared_text_is_scored_once(spark):
+    """Postings of one text are worked on once, count as often as they come for the weights of terms, and have what rows alone have."""
+    text = "Requirements\n- Python and SQL\n- Must be authorized to work in the United States."
+    rows = [("a", "s", "c", "l", "Data Engineer", text), ("b", "t", "c", "l", "Data Engineer", text), ("c", "s", "c", "l", "Nurse", text), ("d", "s", "c", "l", None, None), ("d", "s", "c", "l", "", "Z"), (None, "s", "c", "l", "", ""), (None, "s", "c", "l", "", "")]
+    postings = spark.createDataFrame(rows, "id string, source string, company string, location string, title string, description string")
+    taxonomy = S.Taxonomy.of([("Python", "Languages", "python", None), ("SQL", "Languages", "sql", None)])
+    own, texts = M.scored_texts(postings, taxonomy, M.Profile(("Python",), 3.0, "Python for data\nSQL too"))
+    assert own.count() == 6 and texts.count() == 4
+    found = M.with_scores(own, texts).collect()
+    told = {r.id: (r.title, r.matched, r.missing, r.semantic, r.score) for r in found if r.id}
+    assert told["a"] == told["b"] and told["a"][1:3] == (["Python"], ["SQL"]) and told["c"][0] == "Nurse" and told["d"][0] == ""
+    alone = M.similarity(postings.where("id in ('a', 'b', 'c')"), "id", "description", "Python for data\nSQL too")
+    three = M.scored(postings.where("id in ('a', 'b', 'c')"), taxonomy, M.Profile(("Python",), 3.0, "Python for data\nSQL too"))
+    wanted = {r.id: min(1.0, r.cosine / 0.30) for r in alone.collect()}
+    assert {r.id: round(r.semantic, 9) for r in three.collect()} == {k: round(v, 9) for k, v in wanted.items()}
+
+
+def test_work_on_each_text_once(spark):
+    from brightloom.durable import of_each_text
+
+    rows = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, ""), (5, "y")], "id int, text string")
+    seen = []
+
+    def work(texts):
+        seen.extend(texts.select("text", "copies").collect())
+        return texts.where("text is distinct from 'y'").select("_text", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+
+    found = of_each_text(rows, ["text"], work)
+    assert sorted(map(tuple, found.collect())) == [(k, n) for k in (1, 2, 3, 4) for n in (1, 2)]
+    assert sorted(map(str, seen)) == sorted(["Row(text='x', copies=2)", "Row(text=None, copies=1)", "Row(text='', copies=1)", "Row(text='y', copies=1)"])
