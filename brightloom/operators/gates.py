@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import spread
+from ..durable import of_each_text
 from ..functions.text import let
 
 # --- fixed values: countries, languages, licences and phrases by which a posting states a gate -------------------------
@@ -194,8 +194,8 @@ def degree_gate(required: Column, have: Column, rank) -> Column:
 def stated(postings: DataFrame, licences: dict[str, str] | None = None) -> DataFrame:
     """id, type, need, text, no_sponsorship: a row for each gate of a posting (id, description and, if there is one, title)."""
     title = F.col("title") if "title" in postings.columns else F.lit("")
-    rows = spread(postings.select("id", "description", title.alias("title")), "id")
-    return rows.select("id", F.inline(detected(F.col("description"), F.col("title"), licences)))
+    rows = postings.select("id", "description", title.alias("title"))
+    return of_each_text(rows, ["description", "title"], lambda texts: texts.select("_text", F.inline(detected(F.col("description"), F.col("title"), licences))))
 
 
 def settled(gates: DataFrame, person: Eligibility, resume: str = "") -> DataFrame:
