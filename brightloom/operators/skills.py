@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import spread
+from ..durable import of_each_text
 from ..functions.text import let
 from ..functions.values import CLAUSE_WORDS, CONTEXT_WORDS, NEGATIONS, SEASON_YEAR, SOFT_CATEGORY
 
@@ -182,9 +182,11 @@ def ruled_out_of(hits: Column) -> Column:
 
 def mentions(rows: DataFrame, taxonomy: Taxonomy, text: str = "description") -> DataFrame:
     """id, skill, negated: each skill that a row's text names; negated if every mention is. Null texts name none."""
-    words = spread(rows.select("id", text), "id").select("id", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
-    found = words.select("id", F.explode(skills_of(hits_in(F.col("w"), taxonomy))).alias("s"))
-    return found.select("id", "s.skill", "s.negated")
+    def named(texts: DataFrame) -> DataFrame:
+        words = texts.select("_text", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
+        return words.select("_text", F.inline(skills_of(hits_in(F.col("w"), taxonomy))))
+
+    return of_each_text(rows.select("id", text), [text], named)
 
 
 MOST_FIRSTS = 1_000_000  #: first words of aliases that go to all workers, so that runs which begin like none are never made
@@ -209,14 +211,16 @@ def mentions_joined(rows: DataFrame, aliases: DataFrame, text: str = "descriptio
     """
     known = aliases.select("skill", run_of(F.col("alias")).alias("run"), "context").where("run <> ''").distinct()
     heads = known.select(F.element_at(F.split("run", " "), 1).alias("w")).distinct().limit(most_firsts + 1).collect()
-    words = rows.select("id", words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
-    if len(heads) <= most_firsts:
-        words = words.withColumn("starts", starts_of(F.col("w"), [r.w for r in heads])).where(F.size("starts") > 0)
-    else:
-        words = words.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("w")), lambda at: ~F.element_at("w", at).isin(*MARKS)))
+    few = len(heads) <= most_firsts
+    starts = starts_of(F.col("w"), [r.w for r in heads]) if few else F.filter(F.sequence(F.lit(1), F.size("w")), lambda at: ~F.element_at("w", at).isin(*MARKS))
     runs = F.transform(runs_in(F.col("w"), F.col("starts"), longest), lambda r: F.struct(r["run"].alias("run"), around(F.col("w"), r["at"], r["n"]).alias("near"), negated(F.col("w"), r["at"], r["n"]).alias("negated")))
-    met = words.select("id", F.inline(runs)).join(known, "run").where("context is null or size(context) = 0 or arrays_overlap(near, context)")
-    return met.groupBy("id", "skill").agg(F.bool_and("negated").alias("negated"))
+
+    def named(texts: DataFrame) -> DataFrame:
+        words = texts.select("_text", words_of(F.col(text)).alias("w")).where(F.size("w") > 0).withColumn("starts", starts).where(F.size("starts") > 0)
+        met = words.select("_text", F.inline(runs)).join(known, "run").where("context is null or size(context) = 0 or arrays_overlap(near, context)")
+        return met.groupBy("_text", "skill").agg(F.bool_and("negated").alias("negated"))
+
+    return of_each_text(rows.select("id", text), [text], named).groupBy("id", "skill").agg(F.bool_and("negated").alias("negated"))
 
 
 def canonical(names: DataFrame, aliases: DataFrame) -> DataFrame:
