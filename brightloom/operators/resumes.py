@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable, of_each_text
 from ..functions.phrases import header_parts, month_label, months_between
 from ..functions.text import let
 from ..functions.values import BULLET, ROLE_WORD
@@ -80,7 +83,19 @@ def worked(resumes: DataFrame, today: str) -> DataFrame:
     return lines.withColumn("d", F.when(dated, told)).withColumn("role", F.when(F.col("d.start") <= F.col("d.end"), F.col("d")))
 
 
+def of_each_resume(resumes: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`work` (of id, text) on each distinct text once, whichever resumes share it."""
+    told = lambda texts: work(durable(texts.select(F.col("_text").alias("id"), "text"))).withColumnRenamed("id", "_text")
+    found = of_each_text(resumes.select("id", "text"), ["text"], told)
+    return found.select("id", *(c for c in found.columns if c != "id"))
+
+
 def roles(resumes: DataFrame, today: str) -> DataFrame:
+    """`roles_in`, a resume's text once."""
+    return of_each_resume(resumes, lambda texts: roles_in(texts, today))
+
+
+def roles_in(resumes: DataFrame, today: str) -> DataFrame:
     """id, role (r1, ...), title, company, start, end (YYYY-MM or present), months, precision, by line."""
     order = Window.partitionBy("id").orderBy("line_no")
     rows = worked(resumes, today).where("role is not null")
@@ -92,6 +107,11 @@ def roles(resumes: DataFrame, today: str) -> DataFrame:
 
 
 def bullets(resumes: DataFrame, today: str) -> DataFrame:
+    """`bullets_in`, a resume's text once."""
+    return of_each_resume(resumes, lambda texts: bullets_in(texts, today))
+
+
+def bullets_in(resumes: DataFrame, today: str) -> DataFrame:
     """id, bullet (b1, ...), role, text, measures: bullets, and lines of over six words, belong to the last role ahead of them."""
     order = Window.partitionBy("id").orderBy("line_no")
     rows = worked(resumes, today).withColumn("n", F.count("role").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -137,14 +157,19 @@ def certifications(resumes: DataFrame) -> DataFrame:
 
 
 def skill_evidence(resumes: DataFrame, taxonomy: Taxonomy, today: str) -> DataFrame:
+    """`skill_evidence_in`, a resume's text once."""
+    return of_each_resume(resumes, lambda texts: skill_evidence_in(texts, taxonomy, today))
+
+
+def skill_evidence_in(resumes: DataFrame, taxonomy: Taxonomy, today: str) -> DataFrame:
     """id, skill, evidence (ids of roles and bullets), months (of distinct roles), last_used, source, strength.
 
     source: experience, skills_list or mentioned. strength: strong with two pieces of experience, moderate with one, else weak.
     """
     named = lambda c: wanted_of(hits_in(words_of(F.col(c)), taxonomy))
-    jobs = roles(resumes, today)
-    pieces = jobs.select("id", "role", F.col("role").alias("piece"), F.col("title").alias("text")).unionByName(bullets(resumes, today).select("id", "role", F.col("bullet").alias("piece"), "text"))
-    used = pieces.select("id", "role", "piece", F.explode(named("text")).alias("skill"))
+    jobs = durable(roles_in(resumes, today))
+    pieces = jobs.select("id", "role", F.col("role").alias("piece"), F.col("title").alias("text")).unionByName(bullets_in(resumes, today).select("id", "role", F.col("bullet").alias("piece"), "text"))
+    used = durable(pieces.select("id", "role", "piece", F.explode(named("text")).alias("skill")))
     months = used.select("id", "skill", "role").distinct().join(jobs.select("id", "role", "months", "end"), ["id", "role"]).groupBy("id", "skill").agg(F.sum("months").alias("months"), F.max("end").alias("last_used"))
     found = used.groupBy("id", "skill").agg(F.array_sort(F.collect_set("piece")).alias("evidence")).join(months, ["id", "skill"])
     listed = labelled(resumes).where("section = 'skills' and not heading").select("id", F.explode(named("text")).alias("skill")).distinct().withColumn("listed", F.lit(True))

@@ -289,3 +289,18 @@ def test_work_on_each_text_once(spark):
     found = of_each_text(rows, ["text"], work)
     assert sorted(map(tuple, found.collect())) == [(k, n) for k in (1, 2, 3, 4) for n in (1, 2)]
     assert sorted(map(str, seen)) == sorted(["Row(text='x', copies=2)", "Row(text=None, copies=1)", "Row(text='', copies=1)", "Row(text='y', copies=1)"])
+
+
+def test_a_shared_resume_is_taken_apart_once(spark, monkeypatch):
+    from brightloom.operators import resumes as B
+
+    text = "Experience\nEngineer at Acme 1/2010 - 3/2012\n- Built Python pipelines\nSkills\nKafka"
+    rows = spark.createDataFrame([(1, text), (2, text), (3, None), (4, text + ", Python")], "id int, text string")
+    seen, real = [], B.worked
+    monkeypatch.setattr(B, "worked", lambda resumes, today: seen.append(resumes.count()) or real(resumes, today))
+    taxonomy = S.Taxonomy.of([("Python", "Languages", "python", None), ("Kafka", "Data", "kafka", None)])
+    found = {(r.id, r.skill): (r.evidence, r.months, r.strength) for r in B.skill_evidence(rows, taxonomy, "2024-05-01").collect()}
+    assert {k[0] for k in found} == {1, 2, 4} and found[1, "Python"] == found[2, "Python"] == found[4, "Python"] == (["b1"], 27, "moderate")
+    assert sorted((r.id, r.role, r.months) for r in B.roles(rows, "2024-05-01").collect()) == [(1, "r1", 27), (2, "r1", 27), (4, "r1", 27)]
+    assert sorted((r.id, r.bullet, r.text) for r in B.bullets(rows, "2024-05-01").collect()) == [(k, "b1", "Built Python pipelines") for k in (1, 2, 4)]
+    assert set(seen) == {3}
