@@ -46,6 +46,11 @@ def simhash(rows: DataFrame, id_column: str, text: str, out: str = "simhash") ->
     return spread(rows.select(id_column, text), id_column).select(id_column, simhash_of(F.col(text)).alias(out))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that grows with the input: such rows meet by a shuffle and are never gathered by the driver to be broadcast."""
+    return df.hint("merge")
+
+
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join whose keys match where both are null too; the right ones go."""
     other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
@@ -61,7 +66,7 @@ def in_blocks(hashes: DataFrame, bucket: int) -> DataFrame:
     banded = hashes.select("*", F.inline(bands))
     keys = ["place", "band", "value"]
     held = banded.groupBy(*keys).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"), F.count("*").alias("size")).where("size > 1").drop("size")
-    dealt = banded.join(held, keys).withColumn("side", F.pmod(F.xxhash64("simhash", "band"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = banded.join(shuffled(held), keys).withColumn("side", F.pmod(F.xxhash64("simhash", "band"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("*", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")).drop("parts", "other")
 
 
@@ -154,19 +159,19 @@ def near_classes(hashes: DataFrame, block: list[str], most: int = 3, bucket: int
     labels, old = distinct.select("place", "simhash", F.col("simhash").alias("label")), None
     while True:  # least labels and pointer jumps, until nothing changes
         theirs = labels.select("place", F.col("simhash").alias("other"), F.col("label").alias("theirs"))
-        offered = edges.join(theirs, ["place", "other"]).groupBy("place", "simhash").agg(F.min("theirs").alias("offer"))
-        lower = labels.join(offered, ["place", "simhash"], "left").select("place", "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
+        offered = edges.join(shuffled(theirs), ["place", "other"]).groupBy("place", "simhash").agg(F.min("theirs").alias("offer"))
+        lower = labels.join(shuffled(offered), ["place", "simhash"], "left").select("place", "simhash", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
         jump = labels.select("place", F.col("simhash").alias("label"), F.col("label").alias("further"))
-        new = durable(lower.join(jump, ["place", "label"]).select("place", "simhash", F.least("label", "further").alias("label"), "old"))
+        new = durable(lower.join(shuffled(jump), ["place", "label"]).select("place", "simhash", F.least("label", "further").alias("label"), "old"))
         discard(old)
         labels, old = new.drop("old"), new
         if new.where("label <> old").isEmpty():
             break
     linked = found.groupBy("place", "simhash").agg(F.sum("links").alias("n"))
-    told_ = labels.join(distinct, ["place", "simhash"]).join(linked, ["place", "simhash"], "left")
+    told_ = labels.join(shuffled(distinct), ["place", "simhash"]).join(shuffled(linked), ["place", "simhash"], "left")
     least = told_.groupBy("place", "label").agg(F.min("least").alias("class_id"))
-    told_ = told_.join(least, ["place", "label"]).select("place", "simhash", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    return hashes.join(told_, ["place", "simhash"], "left").select(*block, "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    told_ = told_.join(shuffled(least), ["place", "label"]).select("place", "simhash", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return hashes.join(shuffled(told_), ["place", "simhash"], "left").select(*block, "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 NONE = (1 << 63) - 1
@@ -203,7 +208,7 @@ def greedy_classes(hashes: DataFrame, block: list[str], order: list[Column], mos
     while True:
         open_ = state.where("state = 0")
         found = told_by_blocks(state, ["ord", "state"], waits, "led boolean", most, bucket).groupBy("place", "simhash").agg(F.max("led").alias("led"))
-        after = open_.join(found, ["place", "simhash"], "left").withColumn("state", F.when(F.col("led").isNull(), 1).when(F.col("led"), 2).otherwise(0)).drop("led")
+        after = open_.join(shuffled(found), ["place", "simhash"], "left").withColumn("state", F.when(F.col("led").isNull(), 1).when(F.col("led"), 2).otherwise(0)).drop("led")
         after = durable(after)
         fresh = after.where("state = 1").select("place", "simhash", "ord")
         more = durable(fresh if decided is None else decided.unionByName(fresh))
@@ -218,9 +223,9 @@ def greedy_classes(hashes: DataFrame, block: list[str], order: list[Column], mos
         kept = np.flatnonzero(~columns["leads"] & (heard < NONE))
         return kept, heard[kept]
 
-    leads = numbered.join(decided.select("place", "simhash", F.lit(True).alias("leads")), ["place", "simhash"], "left").fillna(False, ["leads"])
+    leads = numbered.join(shuffled(decided.select("place", "simhash", F.lit(True).alias("leads"))), ["place", "simhash"], "left").fillna(False, ["leads"])
     leads = durable(leads)
     led = told_by_blocks(leads, ["ord", "leads"], joins, "leader long", most, bucket).groupBy("place", "simhash").agg(F.min("leader").alias("leader"))
     by_number = numbered.select("place", F.col("ord").alias("leader"), F.col("own_id").alias("leader_id"))
-    chosen = leads.join(led, ["place", "simhash"], "left").withColumn("leader", F.coalesce("leader", "ord")).join(by_number, ["place", "leader"]).select("place", "simhash", "leader_id")
-    return hashes.join(chosen, ["place", "simhash"], "left").select(*block, "id", F.coalesce("leader_id", "id").alias("leader_id"))
+    chosen = leads.join(shuffled(led), ["place", "simhash"], "left").withColumn("leader", F.coalesce("leader", "ord")).join(shuffled(by_number), ["place", "leader"]).select("place", "simhash", "leader_id")
+    return hashes.join(shuffled(chosen), ["place", "simhash"], "left").select(*block, "id", F.coalesce("leader_id", "id").alias("leader_id"))

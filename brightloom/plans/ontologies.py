@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import spread
 from ..functions.phrases import EMBED_ENDINGS
 from ..functions.values import STOP_EMBED
 from ..operators import embedding as E
@@ -60,9 +61,9 @@ def ontology_links(spark, sf_dir):
     select documents.source, doc_id as id, coalesce(chosen, doc_id) as leader_id from documents left join (select d.source, d.id, chosen from d join steps using (source, n)) c on c.id = doc_id and c.source = documents.source""")
 def greedy_duplicates(spark, sf_dir):
     """Each document's leader within its source, when documents come one by one, the longest first."""
-    docs = table(spark, sf_dir, "documents")
-    hashes = N.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "source", "n_chars"), "doc_id")
-    return N.greedy_classes(hashes.withColumnRenamed("doc_id", "id"), ["source"], [-F.col("n_chars")])
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars", "text"), "id")
+    hashes = docs.select("id", "source", "n_chars", N.simhash_of(F.col("text")).alias("simhash"))
+    return N.greedy_classes(hashes, ["source"], [-F.col("n_chars")])
 
 
 # --- embeddings: the hashing one of 256 places, whose hash SQL knows too -------------------------------------------------------

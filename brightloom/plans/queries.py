@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import spread
 from ..functions import text as T
 from ..functions.values import NOISE, PHRASES, ROLE_NOUNS, SYNONYMS
 from ..operators import evaluation as E
@@ -194,7 +195,7 @@ def simhash(spark, sf_dir):
 def near_duplicates(spark, sf_dir):
     """Each document's class within its source by SimHashes that differ in at most three bits, and its number of links."""
     docs = table(spark, sf_dir, "documents")
-    hashes = N.simhash(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id").select("source", F.col("doc_id").alias("id"), "simhash")
+    hashes = spread(docs.select(F.col("doc_id").alias("id"), "source", "text"), "id").select("source", "id", N.simhash_of(F.col("text")).alias("simhash"))
     return N.near_classes(hashes, ["source"])
 
 

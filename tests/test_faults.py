@@ -85,3 +85,14 @@ def test_discarded_files_go_at_once(spark):
     assert os.path.isdir(path)
     discard(first, None, spark.range(2), second.where("id > 1"))
     assert not os.path.isdir(path) and second.count() == 3
+
+
+@pytest.mark.parametrize("classes", ["near_classes", "greedy_classes"])
+def test_classes_broadcast_no_hashes(spark, classes):
+    from brightloom.operators import near as N
+
+    table = spark.createDataFrame([("x", k, (k * 0x9E3779B97F4A7C15 >> 3) % (1 << 62)) for k in range(1, 60)] + [("x", 60, 7), ("x", 61, 6)], "block string, id long, simhash long")
+    found = N.near_classes(table, ["block"]) if classes == "near_classes" else N.greedy_classes(table, ["block"], [F.col("id")])
+    plan = found._jdf.queryExecution()
+    assert len(found.collect()) == 61
+    assert "Join" in plan.executedPlan().toString() and "Broadcast" not in plan.executedPlan().toString()
