@@ -43,12 +43,16 @@ def role_noun(tokens: Column) -> Column:
 
 def relevance(title: Column, context: Column, wanted: Column) -> Column:
     """0 to 1: how well a title, and weaker its context, hold the core tokens of the wanted title."""
-    tokens, core = norm_tokens(title), core_tokens(wanted)
-    n = F.size(core)
-    hits = F.size(F.array_intersect(core, tokens)) / n
-    soft = F.size(F.array_intersect(F.array_except(core, tokens), norm_tokens(context))) / n
-    other = role_noun(core) != role_noun(tokens)
-    return F.when(n == 0, 1.0).when(other, 0.3).when(hits >= 1, 1.0).otherwise(F.least(F.lit(1.0), hits + 0.4 * soft))
+
+    def fit(s: Column) -> Column:
+        tokens, core = s["tokens"], s["core"]
+        n = F.size(core)
+        hits = F.size(F.array_intersect(core, tokens)) / n
+        soft = F.size(F.array_intersect(F.array_except(core, tokens), norm_tokens(context))) / n
+        other = role_noun(core) != role_noun(tokens)
+        return F.when(n == 0, 1.0).when(other, 0.3).when(hits >= 1, 1.0).otherwise(F.least(F.lit(1.0), hits + 0.4 * soft))
+
+    return let(F.struct(norm_tokens(title).alias("tokens"), core_tokens(wanted).alias("core")), fit)
 
 
 def norm_company(company: Column) -> Column:

@@ -116,6 +116,11 @@ def tagged(postings: DataFrame, query: Query) -> DataFrame:
     return postings.withColumn("relevance", best).withColumn("drop", drop)
 
 
+def tagged_once(postings: DataFrame, query: Query) -> DataFrame:
+    """`tagged`, written: a filter on its tags would work them out again in each of its uses. Dropped rows leave their descriptions behind."""
+    return durable(tagged(postings, query).withColumn("description", F.when(F.col("drop").isNull(), F.col("description"))))
+
+
 def priority(source: Column) -> Column:
     told = F.create_map(*(F.lit(x) for pair in SOURCE_PRIORITY.items() for x in pair))
     return F.coalesce(F.try_element_at(told, source), F.lit(OTHER_PRIORITY))
@@ -221,7 +226,7 @@ def fair_pick(scored: DataFrame, count: int) -> DataFrame:
 
 def funnel(postings: DataFrame, query: Query) -> DataFrame:
     """The picked postings, ranked."""
-    kept = tagged(postings, query).where("drop is null")
+    kept = tagged_once(postings, query).where("drop is null")
     unique = deduplicated(kept)
     score = rank_score(F.col("relevance"), F.col("description"), F.col("posted"), query.now, query.hours)
     return fair_pick(unique.withColumn("score", score), query.count)
@@ -229,7 +234,7 @@ def funnel(postings: DataFrame, query: Query) -> DataFrame:
 
 def funnel_counts(postings: DataFrame, query: Query) -> DataFrame:
     """One row: fetched, relevant, after_filters, unique_rows, selected."""
-    rows = tagged(postings, query)
+    rows = tagged_once(postings, query)
     counts = rows.agg(F.count("*").alias("fetched"), F.count_if(F.coalesce("drop", F.lit("")).isin("no_title", "title") == F.lit(False)).alias("relevant"), F.count_if(F.col("drop").isNull()).alias("after_filters"))
     unique = deduplicated(rows.where("drop is null")).agg(F.count("*").alias("unique_rows"))
     return counts.crossJoin(unique).withColumn("selected", F.least("unique_rows", F.lit(query.count).cast("long")))
@@ -242,7 +247,7 @@ def drops_by_source(postings: DataFrame, query: Query) -> DataFrame:
 
 def all_drops(postings: DataFrame, query: Query) -> DataFrame:
     """source, drop, n: postings lost to each reason, those merged into another (duplicate) and those beyond the count (over_limit) too."""
-    rows = tagged(postings, query)
+    rows = tagged_once(postings, query)
     kept = rows.where("drop is null")
     unique = durable(deduplicated(kept))
     score = rank_score(F.col("relevance"), F.col("description"), F.col("posted"), query.now, query.hours)

@@ -87,6 +87,31 @@ def test_discarded_files_go_at_once(spark):
     assert not os.path.isdir(path) and second.count() == 3
 
 
+def counted(spark, column):
+    """The column through a function that counts its calls, and the counter."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        calls.add(1)
+        return x
+
+    return F.udf(told, "string")(column), calls
+
+
+@pytest.mark.parametrize("plan", ["all_drops", "funnel_counts", "funnel"])
+def test_postings_are_tagged_once(spark, plan):
+    from brightloom.operators import funnel as N
+
+    rows = [(str(k), "lever", f"Acme {k % 3}", "Data Engineer" if k % 2 else "Nurse", "Berlin", f"text {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, source string, company string, title string, location string, description string")
+    title, calls = counted(spark, F.col("title"))
+    df = df.withColumns({"title": title, "remote": F.lit(None).cast("boolean"), "url": F.lit(None).cast("string"), "posted": F.lit(None).cast("timestamp"), "employment_type": F.lit("")})
+    found = getattr(N, plan)(df, N.Query(title="Data Engineer", now="2024-05-01", count=2)).collect()
+    assert calls.value == 40
+    if plan == "all_drops":
+        assert {tuple(r) for r in found} == {("lever", "title", 20), ("lever", "duplicate", 17), ("lever", "over_limit", 1)}
+
+
 @pytest.mark.parametrize("classes", ["near_classes", "greedy_classes"])
 def test_classes_broadcast_no_hashes(spark, classes):
     from brightloom.operators import near as N
