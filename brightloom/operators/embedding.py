@@ -153,15 +153,16 @@ def best_lines(texts: DataFrame, lines: DataFrame, by: Embedder, least_words: in
     """text, line_no, line, sim: for each distinct text (of `texts`: text) the nearest of `lines` (line_no, line); ties by line_no.
 
     Lines go to the tasks in blocks, one at a time; a block is one pass, which lowers nothing of what earlier blocks found,
-    as each text's best so far is written and read again. Lines of fewer words are left out; null texts and lines are
+    as each text's best so far is written and read again; the lines are written before, so no block works them out again. Lines of fewer words are left out; null texts and lines are
     too; line numbers are unique. Without lines line_no and line are null and sim 0.
     """
     asked = texts.where("text is not null").select("text").distinct()
     best = durable(spread(asked, "text").withColumns({"line_no": F.lit(None).cast("long"), "line": F.lit(None).cast("string"), "sim": F.lit(0.0)}))
-    told = lines.where(F.col("line").isNotNull() & (F.size(F.split(F.trim("line"), r"\s+")) >= least_words)).select(F.col("line_no").cast("long").alias("line_no"), "line")
+    told = durable(lines.where(F.col("line").isNotNull() & (F.size(F.split(F.trim("line"), r"\s+")) >= least_words)).select(F.col("line_no").cast("long").alias("line_no"), "line"))
     for own in in_blocks(told, "line_no", block):
         best, old = durable(best.mapInArrow(running_best(own, by), best.schema)), best
         discard(old)
+    discard(told)
     return best
 
 

@@ -121,3 +121,13 @@ def test_classes_broadcast_no_hashes(spark, classes):
     plan = found._jdf.queryExecution()
     assert len(found.collect()) == 61
     assert "Join" in plan.executedPlan().toString() and "Broadcast" not in plan.executedPlan().toString()
+
+
+def test_lines_of_all_blocks_are_made_once(spark):
+    from brightloom.operators import embedding as B
+
+    line, calls = counted(spark, F.concat(F.lit("shipped green steel parts "), F.col("id").cast("string")))
+    lines = spark.range(30).select(F.col("id").alias("line_no"), line.alias("line"))
+    texts = spark.createDataFrame([("shipped green steel parts 17",), ("parts",)], "text string")
+    found = {r.text: r.line_no for r in B.best_lines(texts, lines, B.embedder("md5"), block=4).collect()}
+    assert found["shipped green steel parts 17"] == 17 and len(found) == 2 and calls.value <= 60  # for the filter, and for the written row
