@@ -95,25 +95,47 @@ def clause(text: Column, at: Column, found: Column) -> Column:
     return F.substring(F.btrim(F.regexp_replace(F.concat(start, found, end), r"\s+", " "), F.lit(" -•*;.")), 1, 220)
 
 
-def first_of(text: Column, low: Column, pattern: str, group: int = 1, anchors: list[str] | None = None) -> Column:
-    """struct<group, text> of the first match of a pattern, or null; `low` is the text in lower case."""
+def has_any(low: Column, anchors: list[str] | None) -> Column:
+    """Whether a text in lower case may match a pattern of these anchors."""
     maybe = F.lit(not anchors)
     for word in anchors or []:
         maybe = maybe | F.contains(low, F.lit(word))
+    return maybe
+
+
+def anchored(line: Column) -> Column:
+    """array<int>: numbers of ANCHORS of which a line has some. As no anchor has a line end, a text has those of its lines."""
+    numbers = lambda low: F.array_compact(F.array(*(F.when(has_any(low, words), k) for k, words in enumerate(ANCHORS.values()))))
+    return let(F.lower(line), numbers)
+
+
+def first_of(text: Column, low: Column, pattern: str, group: int = 1, anchors: list[str] | Column | None = None) -> Column:
+    """struct<group, text> of the first match of a pattern, or null; `low` is the text in lower case. `anchors` are its letters, or whether there are some."""
+    maybe = has_any(low, anchors) if anchors is None or isinstance(anchors, list) else anchors
     told = F.struct(F.regexp_extract(text, pattern, group).alias("group"), clause(text, F.regexp_instr(text, F.lit(pattern)), F.regexp_extract(text, pattern, 0)).alias("text"))
     return F.when(maybe & text.rlike(pattern), told)
 
 
-def detected(description: Column, title: Column, licences: dict[str, str] | None = None) -> Column:
+def detected(description: Column, title: Column, licences: dict[str, str] | None = None, lines: Column | None = None, of_title: Column | None = None) -> Column:
     """array of GATE: each gate that a posting states, with the clause that states it first.
 
     A right to work counts before citizenship, and that before refused sponsorship. A softened clause states no language,
-    licence or clearance. A null description states none.
+    licence or clearance. A null description states none. `lines` and `of_title` are the numbers of `anchored` of the
+    description's lines and of the title, where they are known.
     """
+    places = {name: k for k, name in enumerate(ANCHORS)}
+    known = lines is not None
+
+    def some(name: str, title_too: bool = False):
+        if not known or name not in places:
+            return ANCHORS.get(name)
+        here = F.array_contains(lines, places[name])
+        return here | F.array_contains(of_title, places[name]) if title_too else here
+
     gate = lambda kind, need, told, refused=None: F.struct(F.lit(kind).alias("type"), need.alias("need"), told.alias("text"), (F.lit(False) if refused is None else refused).alias("no_sponsorship")).cast(GATE)
 
     def work(text: Column, low: Column) -> Column:
-        find = lambda pattern, group=1: first_of(text, low, pattern, group, ANCHORS[pattern])
+        find = lambda pattern, group=1: first_of(text, low, pattern, group, some(pattern))
         refusal = lambda r: let(find(CITIZEN), lambda c: F.when(c.isNotNull(), gate("authorization", country(c["group"]), c["text"], F.lit(True))).when(r.isNotNull(), gate("authorization", F.lit(""), r["text"], F.lit(True))))
         return let(find(UNSPONSORED, 0), lambda r: let(find(AUTHORISED), lambda a: F.when(a.isNotNull(), gate("authorization", country(a["group"]), a["text"], r.isNotNull())).otherwise(refusal(r))))
 
@@ -125,15 +147,13 @@ def detected(description: Column, title: Column, licences: dict[str, str] | None
             level = F.when(held["group"] == "", "Security").otherwise(held["group"])
             return F.when(held.isNotNull() & ~softened, gate("clearance", F.when(F.length(level) <= 6, F.upper(level)).otherwise(F.initcap(level)), held["text"]))
 
-        return let(first_of(whole, F.lower(whole), CLEARANCE, 1, ANCHORS[CLEARANCE]), told)
+        return let(first_of(whole, F.lower(whole), CLEARANCE, 1, some(CLEARANCE, True)), told)
 
     def paper(text: Column, low: Column, name: str, pattern: str) -> Column:
-        return let(first_of(text, low, f"(?i){pattern}", 0, ANCHORS.get(name)), lambda p: F.when(p.isNotNull() & ~p["text"].rlike(SOFT), gate("license", F.lit(name), p["text"])))
+        return let(first_of(text, low, f"(?i){pattern}", 0, some(name)), lambda p: F.when(p.isNotNull() & ~p["text"].rlike(SOFT), gate("license", F.lit(name), p["text"])))
 
     def tongues(text: Column, low: Column) -> Column:
-        maybe = F.lit(False)
-        for word in ANCHORS[LANGUAGE]:
-            maybe = maybe | F.contains(low, F.lit(word))
+        maybe = some(LANGUAGE) if known else has_any(low, ANCHORS[LANGUAGE])
         need = lambda m: F.initcap(F.coalesce(*(F.nullif(F.regexp_extract(m, LANGUAGE, k), F.lit("")) for k in (1, 2, 3))))
         spoken = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(LANGUAGE), F.lit(0))), lambda m: F.struct(need(m).alias("need"), clause(text, F.position(m, text), m).alias("text")))
         firsts = lambda hard: F.filter(hard, lambda t, i: ~F.exists(F.slice(hard, 1, i), lambda u: u["need"] == t["need"]))
@@ -141,11 +161,12 @@ def detected(description: Column, title: Column, licences: dict[str, str] | None
         return F.when(maybe, told).otherwise(F.array().cast(f"array<{GATE}>"))
 
     def all_gates(text: Column, low: Column) -> Column:
-        onsite = let(first_of(text, low, ONSITE, 0, ANCHORS[ONSITE]), lambda p: F.when(p.isNotNull(), gate("onsite", F.lit(""), p["text"])))
+        onsite = let(first_of(text, low, ONSITE, 0, some(ONSITE)), lambda p: F.when(p.isNotNull(), gate("onsite", F.lit(""), p["text"])))
         papers = [paper(text, low, name, pattern) for name, pattern in (licences or LICENCES).items()]
         return F.concat(F.array_compact(F.array(work(text, low), clearance(text, low), *papers)), tongues(text, low), F.array_compact(F.array(onsite)))
 
-    return let(F.coalesce(description, F.lit("")), lambda text: let(F.lower(text), lambda low: all_gates(text, low)))
+    found = let(F.coalesce(description, F.lit("")), lambda text: let(F.lower(text), lambda low: all_gates(text, low)))
+    return F.when((F.size(lines) > 0) | (F.size(of_title) > 0), found).otherwise(F.array().cast(f"array<{GATE}>")) if known and licences is None else found
 
 
 def is_gate_line(line: Column, gates: Column) -> Column:

@@ -19,6 +19,7 @@ from . import gates as G
 from . import requirements as Q
 from . import skills as S
 from .calibration import Calibration, usable
+from .lines import with_lines
 from .records import only_once
 
 MOST_HOT = 200_000  #: terms whose weights go to all tasks, some 20 MB
@@ -200,7 +201,8 @@ def similarity(rows: DataFrame, id_column: str, text: str, other: str, most_hot:
 def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFrame:
     """`df` (with hits, title_hits, description) and required, preferred, negated, weights, matched, missing, related, keywords and skill_score."""
     soft = taxonomy.soft
-    split = lambda fits: let(Q.preferred_from(F.col("description")), lambda at: F.filter("hits", lambda h: fits(h["line"], at)))
+    df = df.withColumn("_from", Q.preferred_from(F.col("description")))
+    split = lambda fits: let(F.col("_from"), lambda at: F.filter("hits", lambda h: fits(h["line"], at)))
     df = df.withColumns({"req_hits": F.concat(split(lambda line, at: F.coalesce(line < at, F.lit(True))), F.col("title_hits")), "pref_hits": split(lambda line, at: line >= at)})
     df = df.withColumn("required", S.wanted_of(F.col("req_hits"))).withColumn("preferred", F.array_except(S.wanted_of(F.col("pref_hits")), "required"))
     ruled = F.array_union(S.ruled_out_of(F.col("req_hits")), S.ruled_out_of(F.col("pref_hits")))
@@ -220,7 +222,7 @@ def skill_part(df: DataFrame, taxonomy: S.Taxonomy, profile: Profile) -> DataFra
     words = F.try_divide(F.size(F.array_intersect("keywords", F.lit(own).cast("array<string>"))).cast("double"), F.size("keywords"))
     n = F.size("weights")
     both = F.when(words.isNotNull(), (skills * n + words * 3) / (n + 3)).otherwise(skills)
-    return df.withColumn("skill_score", F.coalesce(F.when(n > 0, both).otherwise(words), F.lit(0.0)))
+    return df.withColumn("skill_score", F.coalesce(F.when(n > 0, both).otherwise(words), F.lit(0.0))).drop("_from")
 
 
 def assessed(line: Column, hits: Column, profile: Profile, by: B.Embedder | None = None) -> Column:
@@ -242,7 +244,7 @@ def assessed(line: Column, hits: Column, profile: Profile, by: B.Embedder | None
         missing = F.when(whole, F.array().cast("array<string>")).otherwise(F.transform(F.filter(c, lambda x: x["c"]["credit"] < 1), lambda x: x["skill"]))
         return told(share, F.when(share > 0, kind).otherwise("not found"), missing)
 
-    need = F.regexp_extract(text, V.YEARS_ON_LINE, 1).try_cast("double")
+    need = F.nullif(F.regexp_extract(text, V.YEARS_ON_LINE, 1), F.lit("")).try_cast("double")
     years = F.when(need == 0, 1.0).otherwise(F.least(F.lit(1.0), F.lit(profile.years) / need) if profile.years else F.lit(0.3))
     bar, have = Q.degree_rank(Q.lowest_degree(text)), Q.degree_rank(F.lit(profile.education))
     degree = F.when(have >= bar, 1.0).when(text.rlike(V.DEGREE_SOFTENER), 0.5).otherwise(0.0)
@@ -256,6 +258,49 @@ def assessed(line: Column, hits: Column, profile: Profile, by: B.Embedder | None
     return let(credited, lambda c: F.when(F.size(c) > 0, by_skill(c)).when(F.size(hits) == 0, rest.otherwise(let(F.array_distinct(terms(text, V.STOP)), overlap))))
 
 
+def lines_told(rows: DataFrame, profile: Profile, by: B.Embedder | None = None) -> DataFrame:
+    """`rows` (line, hits of the line: skill, negated) and told: all that a line says for the scores, whatever text it is in.
+
+    Attributes of `line_told`, terms, hits, and of the line as a requirement and of its strays (own): degree, what `assessed`
+    makes of it (a), and with an embedder the nearest line of the resume (evidence).
+    """
+    df = rows.withColumn("_t", Q.line_told(F.trim("line"), F.size("hits") > 0))
+    items = F.when(F.col("_t.head").isNull(), F.concat(F.array("_t.text"), F.transform("_t.strays", lambda p: p["text"]))).otherwise(F.array().cast("array<string>"))  # headings are no requirements
+    near = F.lit(None)
+    if by:
+        df = df.withColumn("_near", B.best_lines_in_row(items, B.worth_comparing([x.strip(" -•*\t") for x in profile.text.splitlines()]), by))
+        near = F.col("_near")
+    more = (lambda i: [F.get("_near", i)["line"].alias("evidence")]) if by else (lambda i: [])
+    line = lambda x, i: F.struct(x.alias("text"), *([F.get(near, i).alias("near")] if by else []))
+    own = lambda x, i: F.struct(Q.degree_named(x).alias("degree"), let(line(x, i), lambda y: assessed(y, F.col("hits"), profile, by)).alias("a"), *more(i))
+    told = F.struct(*(F.col("_t")[c].alias(c) for c in ("text", "bullet", "head", "plain", "fits", "strays")), (F.trim("line") != "").alias("filled"), G.anchored(F.col("line")).alias("anchored"), terms(F.col("line"), V.STOP).alias("terms"), "hits", F.transform(items, own).alias("own"))
+    return df.withColumn("told", told).drop("_t", "_near")
+
+
+def text_parts(texts: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by: B.Embedder | None = None, **hot: int) -> DataFrame:
+    """`texts` (_text, title, description, copies; from the shared folder) and hits (skill, line, negated), title_hits, terms, anchored and title_anchored (of gates) and
+    lines, the requirement lines with what `lines_told` says of each, written. The work is done once for each distinct line."""
+    lines = F.concat(F.array("title"), F.split("description", "\n"))  # the title ahead, at 0
+
+    def alone(df: DataFrame) -> DataFrame:
+        df = durable(df.withColumn("_h", S.hits_on_line(F.col("line"), taxonomy)).select("*", "_h.hits", "_h.open"))
+        return lines_told(df, profile, by)
+
+    def within(odd: DataFrame) -> DataFrame:
+        df = durable(odd.select("_text", F.split("description", "\n").alias("l"), S.hits_in(S.words_of(F.col("description")), taxonomy).alias("h")))
+        df = df.select("_text", "h", F.posexplode("l").alias("at", "line")).select("_text", (F.col("at") + 1).alias("pos"), "line", F.filter("h", lambda h: h["line"] == F.col("at")).alias("h"))
+        return lines_told(df.withColumn("hits", F.transform("h", lambda h: F.struct(h["skill"].alias("skill"), h["negated"].alias("negated")))), profile, by)
+
+    df = with_lines(texts, lines, alone, within, **hot)
+    placed = lambda t, i: F.transform(t["hits"], lambda h: F.struct(h["skill"].alias("skill"), i.alias("line"), h["negated"].alias("negated")))
+    more = {"degree": "struct<level: string, soft: boolean>", "a": "struct<coverage: double, missing: array<string>, how: string>"} | ({"evidence": "string"} if by else {})
+    filled = lambda own: F.filter(F.transform(own, lambda t, i: F.struct(i.alias("line"), t.alias("told"))), lambda x: x["told"]["filled"])
+    parts = lambda own: F.struct(F.flatten(F.transform(own, placed)).alias("hits"), F.flatten(F.transform(own, lambda t: t["terms"])).alias("terms"), F.flatten(F.transform(own, lambda t: t["anchored"])).alias("anchored"), Q.in_sections(filled(own), more).alias("lines"))
+    told = let(F.slice("told", 2, F.greatest(F.lit(1), F.size("told"))), parts)
+    heard = F.transform(F.get("told", F.lit(0))["hits"], lambda h: F.struct(h["skill"].alias("skill"), F.lit(0).alias("line"), h["negated"].alias("negated")))
+    return durable(df.select("_text", "title", "description", "copies", heard.alias("title_hits"), F.get("told", F.lit(0))["anchored"].alias("title_anchored"), told.alias("_p")).select("_text", "title", "description", "copies", "title_hits", "title_anchored", "_p.*"))
+
+
 def _content_terms(text: str) -> list[str]:
     """The terms of one resume, as `functions.text.terms` gives them for columns."""
     found = []
@@ -292,30 +337,16 @@ def scored_texts(postings: DataFrame, taxonomy: S.Taxonomy, profile: Profile, by
     """
     base = postings.select("id", "source", "company", "location", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"))
     once = only_once(durable(base.withColumn("_text", text_key("title", "description"))), "id")
-    base = distinct_texts(once, "title", "description")
-    # steps are written, so that no later step works an earlier one out again for each of its uses
-    words = lambda c: S.words_of(F.col(c))
-    base = durable(base.withColumns({"hits": S.hits_in(words("description"), taxonomy), "title_hits": S.hits_in(words("title"), taxonomy), "terms": terms(F.col("description"), V.STOP)}))
-    df = base.withColumns({"lines": Q.requirement_lines(F.col("description"), F.transform("hits", lambda h: h["line"])), "stated": G.detected(F.col("description"), F.col("title"))})
-    parts_ = df = durable(skill_part(df, taxonomy, profile).drop("title_hits", "req_hits", "pref_hits"))
-    discard(base)
-    asked = F.col("lines")
-    if by:
-        own = B.worth_comparing([x.strip(" -•*\t") for x in profile.text.splitlines()])
-        near = B.best_lines_in_row(F.transform("lines", lambda x: x["text"]), own, by)
-        df = df.withColumn("near", near)
-        asked = F.transform(F.arrays_zip(F.col("lines").alias("x"), F.col("near").alias("y")), lambda z: F.struct(z["x"]["text"].alias("text"), z["x"]["preferred"].alias("preferred"), z["x"]["line"].alias("line"), z["y"].alias("near")))
-    counted = let(F.struct(F.col("stated").alias("g"), asked.alias("x")), lambda s: F.filter(s["x"], lambda x: ~G.is_gate_line(x["text"], s["g"])))
-    more = (lambda x: [x["near"]["line"].alias("evidence")]) if by else (lambda x: [])
-    judge = lambda x, hits: F.struct(x["text"].alias("text"), x["preferred"].alias("preferred"), *more(x), let(F.filter(hits, lambda h: h["line"] == x["line"]), lambda own: assessed(x, own, profile, by)).alias("a"))
-    told = let(F.struct(F.col("hits").alias("h"), counted.alias("x")), lambda s: F.transform(s["x"], lambda x: judge(x, s["h"])))
-    df = df.withColumn("told", F.filter(told, lambda x: x["a"].isNotNull())).drop("near")
-    df = durable(df.withColumn("rows", F.transform("told", lambda x, i: F.struct(
+    texts = durable(distinct_texts(once, "title", "description"))
+    base = text_parts(texts, taxonomy, profile, by)  # steps are written, so that no later step works an earlier one out again for each of its uses
+    df = skill_part(base.withColumn("stated", G.detected(F.col("description"), F.col("title"), None, F.col("anchored"), F.col("title_anchored"))), taxonomy, profile).drop("hits", "title_hits", "req_hits", "pref_hits", "anchored", "title_anchored")
+    told = let(F.struct(F.col("stated").alias("g"), F.col("lines").alias("x")), lambda s: F.filter(s["x"], lambda x: x["a"].isNotNull() & ~G.is_gate_line(x["text"], s["g"])))
+    df = df.withColumn("rows", F.transform(told, lambda x, i: F.struct(
         F.concat(F.lit("r"), (i + 1).cast("string")).alias("id"), x["text"].alias("text"), x["preferred"].alias("preferred"), x["a"]["coverage"].alias("coverage"),
         x["a"]["missing"].alias("missing"), x["a"]["how"].alias("how"), Q.status_of(x["a"]["coverage"]).alias("status"), *([x["evidence"].alias("evidence")] if by else []),
-    ))).drop("told", "hits"))
-    discard(parts_)
-    df = df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))})
+    )))
+    df = durable(df.withColumns({"years": Q.required_years(F.col("title"), F.col("description")), "education": Q.required_education(F.col("lines"))}).drop("lines"))
+    discard(base, texts)
     df = with_cosine(df, "terms", profile.text, copies="copies")
     lacks = F.coalesce(Q.degree_rank(F.col("education.level")) > Q.degree_rank(F.lit(profile.education)), F.lit(False))
     degree = F.when(lacks & F.col("education.strict"), F.concat(F.lit("Requires a "), F.col("education.level"), F.lit(" degree"))).when(lacks, F.concat(F.lit("Prefers a "), F.col("education.level"), F.lit(" degree")))

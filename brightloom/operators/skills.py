@@ -25,7 +25,9 @@ WORD = r"\.?[a-z0-9+#_]+(?:\.[a-z0-9+#_]+)*(?:'t)?|[.;:!?\n•]"
 MARKS = [".", ";", ":", "!", "?", "\n", "•"]
 NEAR = 6  #: words before a mention in which a negation counts
 NOT_ASKED = r"^(\S+ ){0,4}?((is|are) )?(not|\S*n't) (required|needed|necessary|mandatory|a requirement)( |$)"
+SEASON_END = r"(?i)\b(?:spring|summer|fall|autumn|winter)(?:\s+(?:term|semester|of))?\s*$"  #: a line that a year on the next one may follow
 HITS = "array<struct<skill: string, line: int, negated: boolean>>"
+LINE_HITS = "struct<hits: array<struct<skill: string, negated: boolean>>, open: boolean>"
 FOUND = "array<struct<at: int, n: int, skill: string, context: array<string>>>"
 MOST_ALIASES = 200_000  #: rows of a taxonomy that goes to all workers
 MOST_LETTERS = 16 << 20  #: and the letters of its aliases, skills and context words
@@ -158,6 +160,23 @@ def hits_in(words: Column, taxonomy: Taxonomy) -> Column:
     return let(both, lambda x: F.transform(F.filter(x["found"], lambda r: fits(x["w"], r)), lambda r: told(x["w"], r)))
 
 
+def hits_on_line(line: Column, taxonomy: Taxonomy) -> Column:
+    """struct<hits: array<struct<skill, negated>>, open> of one line by itself.
+
+    Aliases and clauses end with the line, so these are the hits that a text has on it, unless `open` says that other lines
+    may add to them: a mention whose context isn't on the line, or a season whose year may be on the next one. Not for use
+    within a lambda.
+    """
+    ends = F.coalesce(line.rlike(SEASON_END), F.lit(False))
+    if not taxonomy.entries:
+        return F.struct(F.array().alias("hits"), F.lit(False).alias("open")).cast(LINE_HITS)
+    both = F.struct(words_of(line).alias("w"), finder(taxonomy)(F.array_join(words_of(line), " ")).alias("found"))
+    fits = lambda w, r: (F.size(r["context"]) == 0) | F.arrays_overlap(around(w, r["at"], r["n"]), r["context"])
+    met = lambda x: F.transform(x["found"], lambda r: F.struct(r["skill"].alias("skill"), fits(x["w"], r).alias("fits"), negated(x["w"], r["at"], r["n"]).alias("negated")))
+    told = lambda m: F.struct(F.transform(F.filter(m, lambda h: h["fits"]), lambda h: F.struct(h["skill"].alias("skill"), h["negated"].alias("negated"))).alias("hits"), (ends | F.exists(m, lambda h: ~h["fits"])).alias("open"))
+    return let(both, lambda x: let(met(x), told)).cast(LINE_HITS)
+
+
 def _run(alias: str) -> str:
     import re
 
